@@ -50,16 +50,17 @@ def candidate_keys(host: Column, path: Column, lengths: list[int]) -> Column:
 
 
 def places(key: Column, level: int, hashes: int, bits: int) -> list[Column]:
-    """The bits of a key in a filter, by two hashes."""
-    first, second = F.xxhash64(F.lit(2 * level), key), F.xxhash64(F.lit(2 * level + 1), key)
-    return [F.pmod(first + F.lit(i) * (second.bitwiseOR(F.lit(1))), F.lit(bits)) for i in range(hashes)]
+    """The bits of a key in a filter, by two hashes of 48 bits."""
+    part = F.lit((1 << 48) - 1)
+    first, second = (F.xxhash64(F.lit(2 * level + i), key).bitwiseAND(part) for i in (0, 1))
+    return [(first + F.lit(i) * second.bitwiseOR(F.lit(1))) % F.lit(bits) for i in range(hashes)]
 
 
 def passes(key: Column, number: int, level: Level) -> Column:
     words = F.array(*[F.lit(w).cast("long") for w in level.words])
     found = None
     for place in places(key, number, level.hashes, level.bits):
-        bit = F.getbit(F.element_at(words, (F.floor(place / 64) + 1).cast("int")), (place % 64).cast("int")) == 1
+        bit = F.getbit(F.element_at(words, (F.shiftright(place, 6) + 1).cast("int")), (place % 64).cast("int")) == 1
         found = bit if found is None else found & bit
     return found
 
@@ -78,7 +79,7 @@ def build_level(keys: DataFrame, count: int, number: int, rate: float) -> Level:
     bits = 64 * max(1, math.ceil(max(1, count) * hashes / math.log(2) / 64))
     marks = keys.select(F.explode(F.array(*places(F.col("key"), number, hashes, bits))).alias("at"))
     word = F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("at") % 64).cast("int"))
-    rows = marks.groupBy(F.floor(F.col("at") / 64).cast("long").alias("w")).agg(F.bit_or(word).alias("bits")).collect()
+    rows = marks.groupBy(F.shiftright("at", 6).alias("w")).agg(F.bit_or(word).alias("bits")).collect()
     words = [0] * (bits // 64)
     for row in rows:
         words[row["w"]] = row["bits"]
