@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, embeddings, packing, pii, simhash, toxicity, urlfilter
+from . import chat, decontam, embeddings, packing, pii, simhash, suffixes, toxicity, urlfilter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -100,3 +100,8 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op1_embeddings")
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near_dedup(table(spark, sf_dir, "embeddings"))
+
+
+@query("op10_suffixes")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.repeated_passages(table(spark, sf_dir, "documents"))
