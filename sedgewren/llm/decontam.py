@@ -193,3 +193,27 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = 0.1, least:
         found = found.unionAll(scan(more))
     assert found.sparkSession is spark
     return found
+
+
+def drop_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = 0.1, least: int = 40, text_col: str = "text") -> DataFrame:
+    """The rows in whose whole text no test item occurs within ``rate`` errors, with all their columns."""
+    rows = [(r[0], r[1]) for r in benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).toLocalIterator()]
+    items = make_items(rows, rate, least)
+    place, schema = docs.columns.index(text_col), docs.schema
+    at = 0
+    while at < len(items):
+        own: list[Item] = []
+        size = 0
+        while at < len(items) and (not own or size + len(items[at].text) <= PASS_CHARS):
+            own.append(items[at])
+            size += len(items[at].text)
+            at += 1
+
+        def work(batches: Iterator[pa.RecordBatch], own: list[Item] = own) -> Iterator[pa.RecordBatch]:
+            words = automaton(own)
+            for batch in batches:
+                clean = [not t or next(matches(fold_only(t), own, words), None) is None for t in batch.column(place).to_pylist()]
+                yield batch.filter(pa.array(clean, pa.bool_()))
+
+        docs = docs.mapInArrow(work, schema)
+    return docs
