@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import known, tokens
+from .text import known, token_hits, tokens
 
 # Frequent words by language.
 STOP_WORDS = {
@@ -22,7 +22,7 @@ STOP_WORDS = {
 def language_approx(text: Column) -> Column:
     """The language whose frequent words occur most; English on ties with it and where none occurs."""
     words = tokens(text)
-    scores = F.array(*[F.struct(F.size(F.filter(words, lambda w, s=s: w.isin(s))).alias("n"), F.lit(1 if code == "en" else 0).alias("first"), F.lit(code).alias("code")) for code, s in STOP_WORDS.items()])
+    scores = F.array(*[F.struct(token_hits(words, s).alias("n"), F.lit(1 if code == "en" else 0).alias("first"), F.lit(code).alias("code")) for code, s in STOP_WORDS.items()])
     return F.coalesce(F.array_max(scores)["code"], F.lit("en"))
 
 

@@ -177,6 +177,6 @@ def apply_temperature(score: Column, t: float) -> Column:
 def contribution_summary(frame: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
     """Of (feature, contribution) columns: mean size, and the sign of their correlation ('0' without spread)."""
     rows = frame.selectExpr(f"stack({len(pairs)}, " + ", ".join(f"'{v}', cast(`{v}` as double), cast(`{c}` as double)" for v, c in pairs) + ") as (feature, v, c)")
-    agg = rows.groupBy("feature").agg(F.avg(F.abs("c")).alias("mean_abs"), F.corr("v", "c").alias("_r"), F.stddev_pop("v").alias("_sv"), F.stddev_pop("c").alias("_sc"))
+    agg = rows.groupBy("feature").agg(F.avg(F.abs("c")).alias("mean_abs"), F.covar_pop("v", "c").alias("_r"), F.stddev_pop("v").alias("_sv"), F.stddev_pop("c").alias("_sc"))
     flat = (F.col("_sv") < 1e-12) | (F.col("_sc") < 1e-12)
     return agg.select("feature", "mean_abs", F.when(flat, "0").when(F.col("_r") >= 0, "+").otherwise("-").alias("sign"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -13,7 +15,14 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 def read_events(spark: SparkSession, path: str, files: int = 1) -> DataFrame:
     """The events table as a stream of its files, with ts as an instant."""
     schema = spark.read.parquet(path).schema
-    source = spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(path)
+    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", files)
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if target.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(target).isFile():
+        # A stream's source is a folder; of this one it takes the named file alone.
+        folder, _, name = path.rpartition("/")
+        source = reader.option("pathGlobFilter", name).parquet(folder)
+    else:
+        source = reader.parquet(path)
     return source.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
@@ -61,6 +70,14 @@ def early_decisions(scores: DataFrame, threshold: float = 0.5, streak: int = 1)
     return scores.groupBy("user_id").applyInPandasWithState(step, OUT, STATE, "append", GroupStateTimeout.NoTimeout)
 
 
+def working_folder(spark: SparkSession) -> str:
+    """A new folder that all executors share: in spark.checkpoint.dir, or a temporary one where that is unset (tests)."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        return f"file://{tempfile.mkdtemp(prefix='sedgewren-stream-')}"
+    return f"{shared.rstrip('/')}/stream-{uuid.uuid4().hex}"
+
+
 def run_to_table(stream: DataFrame, folder: str, mode: str = "append") -> DataFrame:
     """Runs a stream over what is there and reads its output back; the checkpoint beside it lets a later run go on."""
     query = stream.writeStream.format("parquet").outputMode(mode).option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
