@@ -132,21 +132,18 @@ def repeated_passages(docs: DataFrame, least: int = 50, seed_words: int = 20, id
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["doc_id", "start", "end", "n_words", "first_doc_id"]
         for batch in batches:
-            out: list[tuple[int, int, int, int, int]] = []
-            for key, found in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                begin = None
-                for r in found:
-                    word, start, end, first = r["word"], r["start"], r["end"], r["first"]
-                    if begin is not None and word <= last + least:
-                        last, stop, low = max(last, word), max(stop, end), min(low, first)
-                        continue
-                    if begin is not None:
-                        out.append((key, at_char, stop, last + least - begin, low))
-                    begin, at_char, last, stop, low = word, start, word, end, first
-                if begin is not None:
-                    out.append((key, at_char, stop, last + least - begin, low))
-            columns = list(zip(*out, strict=True)) or [[]] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in columns], names)
-
-    lists = marked.groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct("word", "start", "end", "first"))).alias("found"))
+            keys, lists = batch.column(0).to_numpy(), batch.column(1)
+            sizes = np.diff(lists.offsets.to_numpy())
+            # Fields of all lists in a row; flatten() heeds the batch's own offsets.
+            word, start, end, first = (f.to_numpy() for f in lists.flatten().flatten())
+            owner = np.repeat(np.arange(len(keys)), sizes)
+            new = np.ones(len(word), dtype=bool)
+            new[1:] = (owner[1:] != owner[:-1]) | (word[1:] > word[:-1] + least)
+            at = np.flatnonzero(new)
+            last = np.append(at[1:], len(word)) - 1 if len(at) else at
+            low = np.minimum.reduceat(first, at) if len(at) else first
+            columns = (keys[owner[at]], start[at].astype(np.int64), end[last].astype(np.int64), (word[last] - word[at] + least).astype(np.int64), low)
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names)
+
+    lists = marked.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("word", "start", "end", "first"))).alias("found"))
     return lists.mapInArrow(merge, "doc_id long, start long, end long, n_words long, first_doc_id long")
