@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections.abc import Iterator
 
@@ -184,11 +183,12 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     names = docs.columns
     found = find_private(docs, id_col, text_col).where("spans <> ''").select("doc_id", "doc_key", "spans").distinct()
     scratch = Scratch(docs.sparkSession, "redact")
-    found = scratch.put(found.select(F.coalesce("doc_id", F.lit(-1)).alias("k1"), F.col("doc_id").isNull().alias("k3"), "doc_key", "spans"))
+    found = scratch.put(found.select(F.coalesce("doc_id", F.lit(-1)).alias("_sw_1"), F.col("doc_id").isNull().alias("_sw_2"), "doc_key", "spans"))
     # A text is matched by its id and its number; an id that repeats with other texts has a list of both.
-    lists = scratch.put(found.groupBy("k1", "k3").agg(F.map_from_entries(F.collect_set(F.struct("doc_key", "spans"))).alias("_spans")))
+    lists = scratch.put(found.groupBy("_sw_1", "_sw_2").agg(F.map_from_entries(F.collect_set(F.struct("doc_key", "spans"))).alias("_sw_spans")))
     key = F.col(id_col).cast("long")
-    wide = docs.join(lists.hint("merge"), (F.coalesce(key, F.lit(-1)) == lists.k1) & (key.isNull() == lists.k3), "left").select(*[docs[c] for c in names], "_spans")
+    on = (F.coalesce(key, F.lit(-1)) == F.col("_sw_1")) & (key.isNull() == F.col("_sw_2"))
+    wide = docs.join(lists.hint("merge"), on, "left").select(*names, "_sw_spans")
     place = names.index(text_col)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -212,7 +212,3 @@ def replaced(text: str, spans: str) -> str:
             out += [text[done:start], f"[{kind.upper()}]"]
             done = end
     return "".join([*out, text[done:]])
-
-
-def sha(text: str) -> str:
-    return hashlib.sha256(text.encode()).hexdigest()

@@ -168,14 +168,14 @@ def spanning(ids: np.ndarray, prints: np.ndarray, own: np.ndarray, other: np.nda
 
 
 def near_copies(docs: DataFrame, shingle: int = 5, most: int = FULL_BITS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, raw, component_id) of each row with an id: groups of texts whose word shingles are alike to 0.8 or more.
+    """(doc_id, raw, whole, component_id) of each row with an id: groups of texts whose word shingles are alike to 0.8 or more.
 
     Equal word sequences are one text from the start. Each distinct text has a 1,024-bit SimHash of its words,
     cut into 32 segments of 32 bits that are looked up exactly (balls of radius 0: at this similarity a segment
     is untouched with a chance near a tenth, so one of 32 nearly always is), and a 1,024-bit SimHash of its
     shingles, whose complete distance decides. Buckets of over TILE texts are compared tile by tile in many
     tasks, so every pair of a bucket is compared and none is emitted but a spanning set of links. ``raw`` is
-    xxhash64 of the text, which tells rows of one id apart. A null text is empty; all empty texts are copies.
+    xxhash64 of the text and ``whole`` one of its words in order, which tell rows of one id apart. A null text is empty; all empty texts are copies.
     """
     scratch = Scratch(docs.sparkSession, "near-copies")
     texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.xxhash64(text_col).alias("raw"))
@@ -215,7 +215,7 @@ def near_copies(docs: DataFrame, shingle: int = 5, most: int = FULL_BITS, id_col
     links = scratch.put(grouped.select("low", "high", "all").mapInArrow(compare, "u long, v long").distinct())
     found = components(links, scratch)
     named = scratch.put(reps.join(found.hint("merge"), reps.rep == found.node, "left").select("whole", F.coalesce("component", "rep").alias("component_id")))
-    return own.select("doc_id", "raw", "whole").join(named.hint("merge"), "whole").select("doc_id", "raw", "component_id")
+    return own.select("doc_id", "raw", "whole").join(named.hint("merge"), "whole").select("doc_id", "raw", "whole", "component_id")
 
 
 def drop_copies(docs: DataFrame, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -226,12 +226,11 @@ def drop_copies(docs: DataFrame, shingle: int = 5, id_col: str = "doc_id", text_
     scratch = Scratch(docs.sparkSession, "drop-copies")
     names = docs.columns
     groups = near_copies(docs, shingle, FULL_BITS, id_col, text_col)
-    # Of one id with several texts in a group, the least text number stays; a row that repeats as it is, once.
-    chosen = groups.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n"), F.min("raw").alias("raw"))
-    chosen = scratch.put(chosen)
-    marked = docs.withColumns({"_id": F.col(id_col).cast("long"), "_raw": F.xxhash64(text_col)})
-    known = marked.where("_id is not null").join(chosen.hint("merge"), (F.col("_id") == chosen.doc_id) & (F.col("_raw") == chosen.raw))
-    kept = known.select(*[docs[c] for c in names], F.col("n").alias("_n"))
-    once = kept.where("_n = 1").select(*names)
-    more = kept.where("_n > 1").dropDuplicates([id_col]).select(*names)
+    # Rows that repeat, or differ in case and white space alone, stay once; other texts under one id are others.
+    chosen = groups.where("doc_id = component_id").groupBy("doc_id", "whole").agg(F.count("*").alias("n"), F.min("raw").alias("raw"))
+    chosen = scratch.put(chosen.select(F.col("doc_id").alias("_sw_id"), F.col("raw").alias("_sw_raw"), F.col("n").alias("_sw_n")))
+    on = (F.col(id_col).cast("long") == F.col("_sw_id")) & (F.xxhash64(text_col) == F.col("_sw_raw"))
+    kept = docs.where(F.col(id_col).isNotNull()).join(chosen.hint("merge"), on).select(*names, "_sw_n")
+    once = kept.where("_sw_n = 1").select(*names)
+    more = kept.where("_sw_n > 1").dropDuplicates([id_col, text_col]).select(*names)
     return once.unionByName(more).unionByName(docs.where(F.col(id_col).isNull()))

@@ -62,16 +62,21 @@ def reported() -> Transducer:
 def clause(insult: float = 1.0, threat: float = 0.6, aimed: float = 0.5, denied: float = 0.5, told: float = 0.7) -> Transducer:
     """Weights of a clause: insults, threats, and more once the clause names a target (on either side).
 
-    States: 0 nothing, 1 target, 2 abuse, 3 both. The weight of an insult arc is multiplied by the word's own.
+    States are sums of 1 (a target was named), 2 (abuse was said) and 4 (a threat waits for its target); a threat
+    counts only with a target. The weight of an insult arc is multiplied by the word's own.
     """
-    hits = {INSULT: insult, DENIED: insult * denied, REPORTED: insult * told, THREAT: threat, DENIED_THREAT: threat * denied, REPORTED_THREAT: threat * told}
+    insults = {INSULT: insult, DENIED: insult * denied, REPORTED: insult * told}
+    threats = {THREAT: threat, DENIED_THREAT: threat * denied, REPORTED_THREAT: threat * told}
     arcs = []
-    for state in range(4):
+    for state in range(8):
         row = [(state, s, 0.0) for s in range(SYMBOLS)]
-        row[TARGET] = (state | 1, TARGET, aimed if state == 2 else 0.0)
-        for symbol, weight in hits.items():
-            alone = symbol in (THREAT, DENIED_THREAT, REPORTED_THREAT) and not state & 1
-            row[symbol] = (state | (0 if alone else 2), symbol, (0.0 if alone else weight) + (aimed if state == 1 else 0.0))
+        first = aimed if state & 3 == 1 else 0.0  # the target stood before any abuse
+        for symbol, weight in insults.items():
+            row[symbol] = (state | 2, symbol, weight + first)
+        for symbol, weight in threats.items():
+            row[symbol] = (state | 2, symbol, weight + first) if state & 1 else (state | 4, symbol, 0.0)
+        late = threat if state & 4 else 0.0
+        row[TARGET] = ((state & 3 | 1) | (2 if late else 0), TARGET, late + (aimed if state & 1 == 0 and state & 6 else 0.0))
         arcs.append(row)
     return Transducer(arcs)
 
