@@ -79,8 +79,8 @@ def pseudonym(author: Column, salt: str = SALT) -> Column:
 
 
 def tokens(text: Column, most: int | None = None) -> Column:
-    """Lower-case words with their apostrophes; the first ``most``."""
-    found = F.regexp_extract_all(F.lower(known(text)), F.lit(r"(?U)\b[\w']+\b"), F.lit(0))
+    """Lower-case words of letters, numbers and underscores with the apostrophes inside them; the first ``most``."""
+    found = F.regexp_extract_all(F.lower(known(text)), F.lit(r"[\p{L}\p{N}_](?:[\p{L}\p{N}_']*[\p{L}\p{N}_])?"), F.lit(0))
     return F.slice(found, 1, most) if most else found
 
 

@@ -58,7 +58,7 @@ def words(items: tuple[str, ...] | list[str]) -> str:
 
 
 #: Tokens in SQL without Unicode word boundaries.
-TOKENS = r"regexp_extract_all(lower(text), '[\p{L}\p{N}\p{M}_]([\p{L}\p{N}\p{M}_'']*[\p{L}\p{N}\p{M}_])?')"
+TOKENS = r"regexp_extract_all(lower(text), '[\p{L}\p{N}_](?:[\p{L}\p{N}_'']*[\p{L}\p{N}_])?')"
 
 
 def hits(terms: tuple[str, ...], tokens: str = "toks") -> str:

@@ -84,7 +84,7 @@ def fairness_subgroups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(metrics.subgroup_metrics(labelled(spark, sf_dir), "lang", min_n=20, min_pos=2))
 
 
-@register("fairness_gaps", f"WITH {LABELLED}, {SUBGROUPS} SELECT round(max(tpr) - min(tpr), 6) AS tpr_gap, round(max(fpr) - min(fpr), 6) AS fpr_gap, round(max(selection_rate) - min(selection_rate), 6) AS selection_rate_gap, round(greatest(max(tpr) - min(tpr), max(fpr) - min(fpr)), 6) AS equalized_odds_diff FROM s HAVING count(*) >= 2")
+@register("fairness_gaps", f"WITH {LABELLED}, {SUBGROUPS} SELECT CASE WHEN count(*) >= 2 THEN round(max(tpr) - min(tpr), 6) END AS tpr_gap, CASE WHEN count(*) >= 2 THEN round(max(fpr) - min(fpr), 6) END AS fpr_gap, CASE WHEN count(*) >= 2 THEN round(max(selection_rate) - min(selection_rate), 6) END AS selection_rate_gap, CASE WHEN count(*) >= 2 THEN round(greatest(max(tpr) - min(tpr), max(fpr) - min(fpr)), 6) END AS equalized_odds_diff FROM s")
 def fairness_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(metrics.fairness_gaps(metrics.subgroup_metrics(labelled(spark, sf_dir), "lang", min_n=20, min_pos=2)))
 

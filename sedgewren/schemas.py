@@ -7,13 +7,21 @@ from pyspark.sql import types as T
 
 TARGETS = ("anxiety", "health_anxiety", "depression", "suicidality")
 
-POST_RAW = T.StructType.fromDDL(
+KINDS = {"string": T.StringType(), "long": T.LongType(), "double": T.DoubleType(), "boolean": T.BooleanType()}
+
+
+def struct(ddl: str) -> T.StructType:
+    """A StructType of "name kind, ..."; unlike fromDDL it needs no session."""
+    return T.StructType([T.StructField(name, KINDS[kind]) for name, kind in (part.split() for part in ddl.split(", "))])
+
+
+POST_RAW = struct(
     "id string, subreddit string, created_utc double, title string, body string, author string, score long, num_comments long, "
     "permalink string, is_self boolean, over_18 boolean, source string, collected_at double, kind string, parent_id string"
 )
-POST_CLEAN = T.StructType([f for f in POST_RAW.fields if f.name != "author"]).add("clean_text", "string").add("lang", "string").add("author_hash", "string")
-USERS = T.StructType.fromDDL("author_hash string, " + ", ".join(f"user_{t} long" for t in TARGETS) + ", user_group string, n_posts long, subreddits string")
-DECISION = T.StructType.fromDDL("user_id string, true_label long, predicted_label long, posts_seen long, n_posts_total long")
+POST_CLEAN = T.StructType([f for f in POST_RAW.fields if f.name != "author"] + struct("clean_text string, lang string, author_hash string").fields)
+USERS = struct("author_hash string, " + ", ".join(f"user_{t} long" for t in TARGETS) + ", user_group string, n_posts long, subreddits string")
+DECISION = struct("user_id string, true_label long, predicted_label long, posts_seen long, n_posts_total long")
 
 
 def require_columns(frame: DataFrame, *names: str) -> DataFrame:
