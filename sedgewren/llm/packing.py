@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 #: different Unicode versions); others, and texts that spell the special token, go to ``tokenizers``.
 PLAIN = re.compile("[\x00-ɏͰ-ϿЀ-ӿ‐-‧‰-⁞€]*")
 SPECIAL = "<|endoftext|>"
+#: On longer runs of white space the fast library's regular expressions run out of stack.
+BLANKS = re.compile(r"\s{1000}")
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -35,7 +37,7 @@ def make_encoder(folder: str | None = None) -> Callable[[list[str]], list[list[i
 
     def encode(texts: list[str]) -> list[list[int]]:
         return [
-            fast.encode_ordinary(t) if SPECIAL not in t and PLAIN.fullmatch(t) else slow.encode(t, add_special_tokens=False).ids
+            fast.encode_ordinary(t) if SPECIAL not in t and PLAIN.fullmatch(t) and not BLANKS.search(t) else slow.encode(t, add_special_tokens=False).ids
             for t in texts
         ]
 

@@ -15,7 +15,7 @@ from sedgewren.llm import packing
 def rows():
     rng = random.Random(1)
     texts = [" ".join(rng.choice(["the", "cats", "Über", "12", "x!", "ñandú"]) for _ in range(rng.choice([1, 5, 80, 700, 3000]))) for _ in range(120)]
-    odd = [None, "", " ", "<|endoftext|> a", "日本語 テキスト \u3000x", "a\u200bb 😀\r\n\t", "\u0378 ꟲ", texts[3], "tabs\tand  spaces \n\n"]
+    odd = [None, "", " ", "<|endoftext|> a", "日本語 テキスト \u3000x", "a\u200bb 😀\r\n\t", "\u0378 ꟲ", texts[3], "tabs\tand  spaces \n\n", " " * 300_000 + "x", "a" * 200_000, "\n" * 50_000]
     return list(enumerate(texts + odd)) + [(5, texts[5]), (None, "no id")]
 
 
