@@ -34,20 +34,22 @@ def signatures(frame: DataFrame, key: str, text: str, extra: tuple[str, ...] = (
     return grouped.select(key, *extra, sig.alias("sig"))
 
 
-def near_pairs(sigs: DataFrame, key: str, group: str, most: int = 5, bands: int = 8) -> DataFrame:
-    """(a, b, distance) of one group at Hamming distance ``most`` or less.
+def near_classes(classes: DataFrame, group: str, most: int = 5, bands: int = 8) -> DataFrame:
+    """(group, sa, sb) with sa < sb: distinct signatures of one group at Hamming distance ``most`` or less.
 
-    Eight bands of eight bits: with up to seven flips one band is untouched, so no pair is lost. Equal
-    signatures are joined once as a class and expanded after, which keeps bands of copies small.
+    Eight bands of eight bits: with up to seven flips one band is untouched, so no pair is lost.
     """
     width = 64 // bands
-    classes = sigs.select(group, "sig").distinct()
     banded = classes.select(group, "sig", F.posexplode(F.array(*[F.shiftrightunsigned("sig", i * width).bitwiseAND(F.lit((1 << width) - 1)) for i in range(bands)])).alias("band", "value"))
     left = banded.select(group, "band", "value", F.col("sig").alias("sa"))
     right = banded.select(group, "band", "value", F.col("sig").alias("sb"))
-    near = left.join(right, [group, "band", "value"]).where("sa < sb").where(F.expr(f"bit_count(sa ^ sb) <= {most}")).select(group, "sa", "sb").distinct()
-    own = classes.select(group, F.col("sig").alias("sa"), F.col("sig").alias("sb"))
-    both = near.union(own)
+    return left.join(right, [group, "band", "value"]).where("sa < sb").where(F.expr(f"bit_count(sa ^ sb) <= {most}")).select(group, "sa", "sb").distinct()
+
+
+def near_pairs(sigs: DataFrame, key: str, group: str, most: int = 5, bands: int = 8) -> DataFrame:
+    """(a, b, distance): all pairs of rows of one group at Hamming distance ``most`` or less. Signatures are compared once, and expanded to rows after."""
+    classes = sigs.select(group, "sig").distinct()
+    both = near_classes(classes, group, most, bands).union(classes.select(group, F.col("sig").alias("sa"), F.col("sig").alias("sb")))
     a = sigs.select(group, F.col("sig").alias("sa"), F.col(key).alias("ka"))
     b = sigs.select(group, F.col("sig").alias("sb"), F.col(key).alias("kb"))
     pairs = both.join(a, [group, "sa"]).join(b, [group, "sb"]).where("ka <> kb").where("sa <> sb or ka < kb")
@@ -57,19 +59,26 @@ def near_pairs(sigs: DataFrame, key: str, group: str, most: int = 5, bands: int
 def greedy_near_dedup(frame: DataFrame, key: str, group: str, text: str, most: int = 5) -> DataFrame:
     """The rows that a pass in the order of ``key`` keeps: one is dropped if a kept earlier row of its group is near.
 
-    The pass is over the graph of near pairs of a group (short where copies are few), not over its texts.
+    Of rows with one signature only the first can stay, and its fate is the others' too, so the pass is over
+    distinct signatures by their first row: copies, however many, make no pairs. A group's pass sees the graph of
+    its near signatures, not its texts.
     """
-    pairs = near_pairs(signatures(frame, key, text, (group,)), key, group, most)
+    classes = signatures(frame, key, text, (group,)).groupBy(group, "sig").agg(F.min(key).alias("first"))
+    firsts = lambda n: classes.select(group, F.col("sig").alias(f"s{n}"), F.col("first").alias(f"k{n}"))
+    near = near_classes(classes.select(group, "sig"), group, most).join(firsts("a"), [group, "sa"]).join(firsts("b"), [group, "sb"])
+    pairs = near.select(group, F.least("ka", "kb").alias("a"), F.greatest("ka", "kb").alias("b"))
+    kind = dict(frame.dtypes)[key]
 
     def walk(part: pd.DataFrame) -> pd.DataFrame:
         dropped: set = set()
         for b, earlier in part.sort_values(["b", "a"]).groupby("b", sort=True)["a"]:
             if any(a not in dropped for a in earlier):
                 dropped.add(b)
-        return pd.DataFrame({key: sorted(dropped)})
+        return pd.DataFrame({"first": sorted(dropped)})
 
-    dropped = pairs.groupBy(group).applyInPandas(walk, f"{key} {dict(frame.dtypes)[key]}")
-    return frame.join(dropped, key, "left_anti")
+    dropped = pairs.groupBy(group).applyInPandas(walk, f"first {kind}")
+    kept = classes.join(dropped, "first", "left_anti").select(F.col("first").alias(key))
+    return frame.join(kept, key, "left_semi")
 
 
 def merge_and_dedupe(frames: list[DataFrame], text: str, order: str) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import perturb
 from ..functions import text as T
-from ..operators import early, metrics, models, stats, users
+from ..operators import early, metrics, models, splits, stats, users
 from ..operators import labels as L
 from ..streaming import events as E
 from .adapters import LABELLED, PROBE, STREAM, TOKENS, hits, labelled, posts, rounded, stream
@@ -389,10 +389,10 @@ def label_correlation_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(agg.where("n >= 5"))
 
 
-@register("standardised_features", f"WITH {LABELLED}, s AS (SELECT avg(n_chars) AS m, stddev_pop(n_chars) AS d FROM labelled WHERE doc_id % 2 = 0) SELECT doc_id, round((n_chars - m) / CASE WHEN d = 0 THEN 1 ELSE d END, 6) AS n_chars FROM labelled, s")
+@register("standardised_features", f"WITH {LABELLED}, s AS (SELECT avg(n_chars) AS m, stddev_pop(n_chars) AS d FROM labelled WHERE quality = 1) SELECT doc_id, round((n_chars - m) / CASE WHEN d = 0 THEN 1 ELSE d END, 6) AS n_chars FROM labelled, s")
 def standardised_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = labelled(spark, sf_dir)
-    return rounded(models.standardise(rows, rows.where("doc_id % 2 = 0"), ["n_chars"]).select("doc_id", "n_chars"))
+    return rounded(models.standardise(rows, rows.where("quality = 1"), ["n_chars"]).select("doc_id", "n_chars"))
 
 
 @register("class_weights", f"WITH {LABELLED}, n AS (SELECT y, count(*) AS n FROM labelled GROUP BY y) SELECT y, round(sum(n) OVER () / (2 * n), 6) AS weight, round((1 - 0.999::DOUBLE) / (1 - pow(0.999::DOUBLE, n)), 6) AS effective FROM n")
@@ -410,7 +410,7 @@ def featured(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[str]]:
 @register("tfidf_logreg_scores")
 def tfidf_logreg_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = labelled(spark, sf_dir).select("doc_id", "text", "y")
-    fitted = models.build_model("tfidf", min_df=3, size=20_000).fit(rows.where("doc_id % 5 <> 0"))
+    fitted = models.build_model("tfidf", min_df=3, size=20_000).fit(splits.folds(rows, "doc_id").where("fold <> 0").drop("fold"))
     return rounded(fitted.score(rows).select("doc_id", "score", "pred"))
 
 

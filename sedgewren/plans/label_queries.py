@@ -26,9 +26,9 @@ def weak_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(found.select("doc_id", *[c for t in TARGETS for c in (f"weak_{t}", f"weak_{t}_bin")]))
 
 
-@register("label_precedence", f"WITH {POSTS} SELECT doc_id, round(CASE WHEN quality IS NOT NULL AND doc_id % 3 = 0 THEN quality WHEN toxic = 1 THEN 1 ELSE score END, 6) AS label_x, CASE WHEN quality IS NOT NULL AND doc_id % 3 = 0 THEN 'manual' WHEN toxic = 1 THEN 'disclosure' ELSE 'weak' END AS label_x_source, CAST(CASE WHEN quality IS NOT NULL AND doc_id % 3 = 0 THEN 1.0 WHEN toxic = 1 THEN 0.85 ELSE 0.4 END AS DOUBLE) AS label_x_weight FROM posts WHERE doc_id % 7 <> 0 OR (quality IS NOT NULL AND doc_id % 3 = 0) OR toxic = 1")
+@register("label_precedence", f"WITH {POSTS} SELECT doc_id, round(CASE WHEN quality IS NOT NULL AND lang = 'en' THEN quality WHEN toxic = 1 THEN 1 ELSE score END, 6) AS label_x, CASE WHEN quality IS NOT NULL AND lang = 'en' THEN 'manual' WHEN toxic = 1 THEN 'disclosure' ELSE 'weak' END AS label_x_source, CAST(CASE WHEN quality IS NOT NULL AND lang = 'en' THEN 1.0 WHEN toxic = 1 THEN 0.85 ELSE 0.4 END AS DOUBLE) AS label_x_weight FROM posts WHERE score >= 0.15 OR (quality IS NOT NULL AND lang = 'en') OR toxic = 1")
 def label_precedence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = posts(spark, sf_dir).withColumns({"manual_x": F.when(F.col("doc_id") % 3 == 0, F.col("quality")), "disclosure_x": F.col("toxic"), "weak_x": F.when(F.col("doc_id") % 7 != 0, F.col("score"))})
+    p = posts(spark, sf_dir).withColumns({"manual_x": F.when(F.col("lang") == "en", F.col("quality")), "disclosure_x": F.col("toxic"), "weak_x": F.when(F.col("score") >= 0.15, F.col("score"))})
     return rounded(labels.aggregate_labels(p, "x").select("doc_id", "label_x", "label_x_source", "label_x_weight"))
 
 
@@ -69,14 +69,6 @@ def merge_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.merge_and_dedupe([a, b], "text", "doc_id").select("doc_id", "s")
 
 
-@register("benchmark_overlap", "SELECT d.doc_id, b.item_id FROM documents d JOIN benchmark b ON contains(lower(d.text), lower(substr(b.text, 1, 60)))")
-def benchmark_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Items whose first 60 characters stand in a document: a nested loop over a benchmark, which is small by its nature."""
-    b = table(spark, sf_dir, "benchmark").select("item_id", F.lower(F.substring("text", 1, 60)).alias("head"))
-    d = table(spark, sf_dir, "documents").select("doc_id", F.lower("text").alias("lower"))
-    return d.join(b, F.col("lower").contains(F.col("head"))).select("doc_id", "item_id")
-
-
 @register("corpus_stats", f"WITH {LABELLED} SELECT count(*) AS n_posts, count(DISTINCT source) AS n_communities, count(DISTINCT lang) AS n_authors, min(n_chars) AS first, max(n_chars) AS last, round(avg(length(text)), 6) AS mean_length, CAST(quantile_cont(length(text), 0.5) AS DOUBLE) AS median_length FROM posts")
 def corpus_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(audit.corpus_stats(posts(spark, sf_dir), "text", "source", "lang", "n_chars"))
@@ -135,10 +127,10 @@ def test_users(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cohort.test_users(flagged(spark, sf_dir), "user_id", "event_type", FLAGS)
 
 
-@register("regroup_within_cohort", f"WITH {USERS_SQL}, c AS (SELECT DISTINCT user_id FROM stream WHERE user_id % 3 = 0 UNION SELECT -5) SELECT c.user_id, coalesce(user_click, 0) AS user_click, coalesce(user_late, 0) AS user_late, coalesce(user_group, 'matched_control') AS user_group, coalesce(n_posts, 0) AS n_posts, coalesce(subreddits, '') AS subreddits FROM c LEFT JOIN users u ON c.user_id = u.user_id")
+@register("regroup_within_cohort", f"WITH {USERS_SQL}, c AS (SELECT DISTINCT user_id FROM stream WHERE value > 150 UNION SELECT -5) SELECT c.user_id, coalesce(user_click, 0) AS user_click, coalesce(user_late, 0) AS user_late, coalesce(user_group, 'matched_control') AS user_group, coalesce(n_posts, 0) AS n_posts, coalesce(subreddits, '') AS subreddits FROM c LEFT JOIN users u ON c.user_id = u.user_id")
 def regroup_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = flagged(spark, sf_dir)
-    members = f.where("user_id % 3 = 0").select("user_id").union(spark.createDataFrame([(-5,)], "user_id long"))
+    members = f.where("value > 150").select("user_id").union(spark.createDataFrame([(-5,)], "user_id long"))
     return cohort.regroup(f, members, "user_id", "event_type", FLAGS)
 
 
@@ -182,10 +174,10 @@ def user_set_operations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return named(a.union(b).distinct(), "union").union(named(a.intersect(b), "intersect")).union(named(a.subtract(b), "except"))
 
 
-@register("upsert_rows", "SELECT doc_id, 'new' AS origin FROM labels WHERE doc_id % 2 = 0 UNION ALL SELECT doc_id, 'prior' FROM documents d WHERE doc_id % 3 = 0 AND NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id AND l.doc_id % 2 = 0)")
+@register("upsert_rows", "SELECT doc_id, 'new' AS origin FROM labels WHERE quality = 1 UNION ALL SELECT doc_id, 'prior' FROM documents d WHERE lang = 'en' AND NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id AND l.quality = 1)")
 def upsert_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    new = table(spark, sf_dir, "labels").where("doc_id % 2 = 0").select("doc_id", F.lit("new").alias("origin"))
-    return files.upsert(new, table(spark, sf_dir, "documents").where("doc_id % 3 = 0").select("doc_id", F.lit("prior").alias("origin")), ["doc_id"])
+    new = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id", F.lit("new").alias("origin"))
+    return files.upsert(new, table(spark, sf_dir, "documents").where("lang = 'en'").select("doc_id", F.lit("prior").alias("origin")), ["doc_id"])
 
 
 @register("resume_not_done", "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
@@ -216,11 +208,11 @@ def nested_submissions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flat.select("kind", "item_id", "parent_id", F.md5("body").alias("body"))
 
 
-@register("canonical_posts", "SELECT CAST(o_orderkey AS VARCHAR) AS id, 'erisk' AS subreddit, CASE WHEN o_orderkey % 5 = 0 THEN 0 ELSE epoch(o_orderdate) END AS created_utc FROM orders WHERE o_orderkey % 2 = 0")
+@register("canonical_posts", "SELECT CAST(o_orderkey AS VARCHAR) AS id, 'erisk' AS subreddit, CASE WHEN o_orderkey % 5 = 0 THEN 0 ELSE epoch(o_orderdate) END AS created_utc FROM orders WHERE o_orderstatus = 'F'")
 def canonical_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders")
     date = F.when(F.col("o_orderkey") % 5 == 0, "not a date").otherwise(F.date_format(F.col("o_orderdate").cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss'Z'"))
-    rows = o.select(F.when(F.col("o_orderkey") % 2 == 0, "submission").otherwise("comment").alias("kind"), F.col("o_orderkey").cast("string").alias("item_id"), date.alias("date"), F.lit("t").alias("title"), F.lit("b").alias("body"), F.lit("a").alias("author"))
+    rows = o.select(F.when(F.col("o_orderstatus") == "F", "submission").otherwise("comment").alias("kind"), F.col("o_orderkey").cast("string").alias("item_id"), date.alias("date"), F.lit("t").alias("title"), F.lit("b").alias("body"), F.lit("a").alias("author"))
     return corpora.to_canonical(rows).select("id", "subreddit", "created_utc")
 
 
