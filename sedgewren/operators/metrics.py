@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ordered import by_score, running
+from .ordered import by_score, exact_quantiles, running
 
 
 def ratio(a: Column, b: Column, empty: float | None = 0.0) -> Column:
@@ -42,10 +42,11 @@ def auroc(frame: DataFrame, y: str = "y", score: str = "score", by: tuple[str, .
 
 
 def curve(frame: DataFrame, y: str = "y", score: str = "score", by: tuple[str, ...] = ()) -> DataFrame:
-    """Of each distinct score as a threshold: tp, fp, and all positives."""
-    run = running(by_score(frame, F.col(y), F.col(score), by), "score", {"tp": "pos", "fp": "neg"}, descending=True, by=by)
-    totals = frame.groupBy(*by).agg(F.sum(F.col(y).cast("long")).alias("all_pos"))
-    return run.join(totals, list(by)) if by else run.withColumn("all_pos", F.lit(totals.first()[0]))
+    """Of each distinct score as a threshold: tp, fp, and all positives. All of it comes from one table of counts."""
+    counted = by_score(frame, F.col(y), F.col(score), by)
+    run = running(counted, "score", {"tp": "pos", "fp": "neg"}, descending=True, by=by)
+    totals = counted.groupBy(*by).agg(F.sum("pos").alias("all_pos"))
+    return run.join(totals, list(by)) if by else run.join(F.broadcast(totals))  # one row without groups
 
 
 def auprc(frame: DataFrame, y: str = "y", score: str = "score") -> DataFrame:
@@ -106,8 +107,8 @@ def fairness_gaps(groups: DataFrame) -> DataFrame:
 
 def quantile_bins(frame: DataFrame, column: str, q: int = 5) -> DataFrame:
     """Adds bin: equal-frequency bins by exact quantiles, right-closed, the least included, equal edges merged."""
-    edges = frame.agg(F.expr(f"percentile({column}, array({', '.join(f'{i / q}D' for i in range(1, q))}))").alias("e")).first()
-    cuts = sorted(set(edges["e"])) if edges and edges["e"] else []
+    edges = exact_quantiles(frame, column, [i / q for i in range(1, q)]).first()
+    cuts = sorted({v for v in edges if v is not None})
     out = F.lit(len(cuts))
     for i in range(len(cuts) - 1, -1, -1):
         out = F.when(F.col(column) <= cuts[i], i).otherwise(out)

@@ -13,13 +13,9 @@ def running(frame: DataFrame, key: str, sums: dict[str, str], descending: bool =
     buckets of equal width between their least and greatest; totals of whole buckets are summed over a table
     of at most ``buckets`` rows a group, and rows are only ordered within their bucket, so no task holds all.
     """
-    low, high = F.min(key).alias("_low"), F.max(key).alias("_high")
-    # Without groups one constant stands for them; the bounds are a single row (or one a group) either way.
-    if by:
-        wide = frame.join(frame.groupBy(*by).agg(low, high), list(by))
-    else:
-        bounds = frame.agg(low, high).first()
-        wide = frame.withColumns({"_low": F.lit(bounds[0]).cast("double"), "_high": F.lit(bounds[1]).cast("double")})
+    bounds = frame.groupBy(*by).agg(F.min(key).alias("_low"), F.max(key).alias("_high"))
+    # Without groups the bounds are one row; either way the plan's second use of ``frame`` reuses its shuffle.
+    wide = frame.join(bounds, list(by)) if by else frame.join(F.broadcast(bounds))
     share = F.try_divide(F.col(key) - F.col("_low"), F.col("_high") - F.col("_low"))
     bucket = F.least(F.floor(F.coalesce(share, F.lit(0.0)) * buckets), F.lit(buckets - 1)).cast("int")
     wide = wide.withColumn("_bucket", bucket).drop("_low", "_high")
@@ -36,3 +32,22 @@ def running(frame: DataFrame, key: str, sums: dict[str, str], descending: bool =
 def by_score(frame: DataFrame, y: Column, score: Column, by: tuple[str, ...] = ()) -> DataFrame:
     """Positive and negative rows of each distinct score: what curves and ranks need, after partial sums."""
     return frame.select(*by, score.cast("double").alias("score"), y.cast("long").alias("_y")).groupBy(*by, "score").agg(F.sum("_y").alias("pos"), F.sum(1 - F.col("_y")).alias("neg"))
+
+
+def exact_quantiles(frame: DataFrame, column: str, shares: list[float]) -> DataFrame:
+    """One row with q0, q1, ...: quantiles with linear interpolation, from counts by distinct value and their running sums.
+
+    Unlike a percentile aggregate no task holds all distinct values.
+    """
+    counted = frame.where(F.col(column).isNotNull()).groupBy(F.col(column).cast("double").alias("_v")).agg(F.count("*").alias("_c"))
+    upto = running(counted, "_v", {"_upto": "_c"})
+    total = counted.agg(F.sum("_c").alias("_n"))
+    wide = upto.join(F.broadcast(total))  # one row
+    out = []
+    for i, share in enumerate(shares):
+        place = F.lit(float(share)) * (F.col("_n") - 1)
+        low = F.min(F.when(F.col("_upto") > F.floor(place), F.col("_v")))
+        high = F.min(F.when(F.col("_upto") > F.ceil(place), F.col("_v")))
+        part = F.max(place - F.floor(place))
+        out.append((low + (high - low) * part).alias(f"q{i}"))
+    return wide.agg(*out)

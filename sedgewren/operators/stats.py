@@ -98,10 +98,10 @@ def delong_parts(frame: DataFrame, y: str, scores: tuple[str, str]) -> DataFrame
     wide = frame
     for name in scores:
         per = wide.groupBy(F.col(name).cast("double").alias("score")).agg(F.sum(F.col(y).cast("long")).alias("pos"), F.sum(1 - F.col(y).cast("long")).alias("neg"))
-        totals = per.agg(F.sum("pos"), F.sum("neg")).first()
-        run = running(per, "score", {"below_neg": "neg", "below_pos": "pos"})
-        v10 = (F.col("below_neg") - F.col("neg") / 2) / float(totals[1] or 1)
-        v01 = 1 - (F.col("below_pos") - F.col("pos") / 2) / float(totals[0] or 1)
+        totals = per.agg(F.sum("pos").cast("double").alias("_p"), F.sum("neg").cast("double").alias("_n"))
+        run = running(per, "score", {"below_neg": "neg", "below_pos": "pos"}).join(F.broadcast(totals))  # one row
+        v10 = F.try_divide(F.col("below_neg") - F.col("neg") / 2, F.col("_n"))
+        v01 = 1 - F.try_divide(F.col("below_pos") - F.col("pos") / 2, F.col("_p"))
         part = run.select(F.col("score").alias(f"_s_{name}"), v10.alias(f"_v10_{name}"), v01.alias(f"_v01_{name}"))
         wide = wide.join(part, F.col(name).cast("double") == F.col(f"_s_{name}"))
     a, b = scores
