@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
 
@@ -18,13 +20,30 @@ def shared_folder(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+_ROOTS: list[tuple[SparkSession, str]] = []
+
+
+@atexit.register
+def _clean_up() -> None:
+    """No result outlives the driver's process, so its scratch tables go with it (if the session still runs)."""
+    for spark, root in _ROOTS:
+        with contextlib.suppress(Exception):
+            delete(spark, root)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 class Scratch:
-    """Tables written to the shared folder, which cut lineage and outlive lost executors."""
+    """Tables written to the shared folder, which cut lineage and outlive lost executors; deleted when the driver ends."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
         self.count = 0
+        _ROOTS.append((spark, self.root))
 
     def put(self, frame: DataFrame) -> DataFrame:
         """Writes the frame and reads it back; ``drop`` takes what this returns."""
@@ -37,9 +56,7 @@ class Scratch:
 
     def drop(self, frame: DataFrame) -> None:
         """Deletes a table that no later plan reads."""
-        jvm = self.spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(frame._sedgewren_path)
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        delete(self.spark, frame._sedgewren_path)
 
 
 def components(edges: DataFrame, scratch: Scratch, rounds: int = 60) -> DataFrame:
