@@ -20,8 +20,11 @@ STOP_WORDS = {
 
 
 def language_approx(text: Column) -> Column:
-    """The language whose frequent words occur most; English on ties with it and where none occurs."""
-    words = tokens(text)
+    return language_of(tokens(text))
+
+
+def language_of(words: Column) -> Column:
+    """The language whose frequent words occur most among the tokens; English on ties with it and where none occurs."""
     scores = F.array(*[F.struct(token_hits(words, s).alias("n"), F.lit(1 if code == "en" else 0).alias("first"), F.lit(code).alias("code")) for code, s in STOP_WORDS.items()])
     return F.coalesce(F.array_max(scores)["code"], F.lit("en"))
 

@@ -81,6 +81,10 @@ def prefilter(targets: tuple[str, ...]) -> str:
     return "(?i)" + "|".join(f"(?:{p})" for t in targets for p in POSITIVE[t])
 
 
+# Every pattern names one of these; looking for literals is far cheaper than trying all patterns at each place.
+NAMED = ("anxiety", "gad", "panic disorder", "iad", "hypochondria", "depress", "mdd")
+
+
 def disclosure_labels(frame: DataFrame, text: str, targets: tuple[str, ...] = tuple(POSITIVE)) -> DataFrame:
     """Adds disclosure_<target> (0/1) and disclosure_<target>_match; Python sees the few rows with a candidate match alone."""
     schema = ", ".join(f"{t}: struct<hit: long, span: string, ruled: string>" for t in targets)
@@ -92,7 +96,11 @@ def disclosure_labels(frame: DataFrame, text: str, targets: tuple[str, ...] = tu
             yield pd.DataFrame({t: [{"hit": int(h), "span": s, "ruled": r} for h, s, r in rows] for t, rows in found.items()})
 
     pattern = prefilter(targets)
-    candidate = F.when(F.col(text).rlike(pattern), F.col(text))
+    lower = F.lower(F.col(text))
+    named = F.lit(False)
+    for word in NAMED:
+        named = named | lower.contains(word)
+    candidate = F.when(F.when(named, F.col(text).rlike(pattern)), F.col(text))
     wide = frame.withColumn("_d", find(candidate))
     out = {}
     for t in targets:

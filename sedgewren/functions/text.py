@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterable, Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .lexicons import DIMENSIONS, Lexicons
@@ -27,6 +27,16 @@ AGE = r"(?i)\b(\d{1,2})\s?(?:years?[- ]old|yo|y/o)\b|\b(?:i am|i'?m)\s+(\d{1,2})
 MALE = ("man", "male", "guy", "dude")
 
 
+def once(frame: DataFrame, **columns: Column) -> DataFrame:
+    """Adds columns that are computed once for each row, whatever filters and projections read them later.
+
+    Catalyst pushes filters through projections by repeating what they read, which would clean or tokenise a
+    text several times. It does not push them through a generator, so the columns come out of one.
+    """
+    names = [c for c in frame.columns if c not in columns]
+    return frame.select(*names, F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
+
+
 def known(text: Column) -> Column:
     return F.coalesce(text.cast("string"), F.lit(""))
 

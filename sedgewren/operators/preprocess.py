@@ -29,10 +29,12 @@ def known_author(author: Column) -> Column:
 
 def preprocess(posts: DataFrame, least_chars: int = 50, language: str | None = "en", near: int = -1) -> DataFrame:
     """Adds clean_text, lang and author_hash, drops author. Cheap filters come before Python and shuffles; ``near`` is the Hamming distance of near-dedup (-1: exact only)."""
-    kept = posts.where(present(F.col("body"))).withColumn("clean_text", T.clean_text(F.col("title"), F.col("body"))).where(F.length("clean_text") >= least_chars)
-    kept = kept.withColumn("lang", approx.language_approx(F.col("clean_text")))
+    kept = T.once(posts.where(present(F.col("body"))), clean_text=T.clean_text(F.col("title"), F.col("body"))).where(F.length("clean_text") >= least_chars)
+    kept = T.once(T.once(kept, _words=T.tokens(F.col("clean_text"))), lang=approx.language_of(F.col("_words"))).drop("_words")
     if language:
         kept = kept.where(F.col("lang") == language)
-    kept = kept.withColumns({"clean_text": T.redact(F.col("clean_text")), "author_hash": T.pseudonym(F.col("author"))}).drop("author")
-    once = exact_dedup(kept, "clean_text", "id")
-    return once if near < 0 else greedy_near_dedup(once, "id", "subreddit", "clean_text", near)
+    kept = T.once(kept, clean_text=T.redact(F.col("clean_text")), author_hash=T.pseudonym(F.col("author"))).drop("author")
+    if kept.sparkSession.conf.get("spark.checkpoint.dir", None):
+        kept = kept.checkpoint()  # dedup reads it more than once
+    first = exact_dedup(kept, "clean_text", "id")
+    return first if near < 0 else greedy_near_dedup(first, "id", "subreddit", "clean_text", near)

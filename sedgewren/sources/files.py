@@ -23,6 +23,12 @@ def read_parquet(spark: SparkSession, path: str, columns: Sequence[str] | None =
     return frame.select(*columns) if columns else frame
 
 
+def spread(frame: DataFrame) -> DataFrame:
+    """Deals a scan of fewer partitions than there are cores (a file or two) out to all of them; larger ones stay as they are."""
+    cores = frame.sparkSession.sparkContext.defaultParallelism
+    return frame.repartition(cores) if frame.rdd.getNumPartitions() < cores else frame
+
+
 def read_shards(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     """All shards by name; columns that some lack are null there."""
     whole = None
