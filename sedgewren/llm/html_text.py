@@ -26,6 +26,7 @@ TAG = re.compile(r"<(?:!--(.*?)(?:-->|--!>|\Z)|(/?)([A-Za-z][^\s/>]*)((?:[^>\"']
 CUT = re.compile(r"<(?:/?[A-Za-z]|[!?])[^<]*\Z")
 ATTR = re.compile(r"(?:^|\s)(class|id|role|itemprop|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 TOKEN = re.compile(r"[a-z]+")
+ATTR_IN_TAG = re.compile(r"\s(?:class|id)=(?:\"[^\"]*\"|'[^']*'|[^\s>\"']+)")
 
 
 @dataclass(slots=True)
@@ -343,6 +344,13 @@ class PageMaker:
         return "".join(f'<li><a href="/x">{self.say(1, 3, False)}</a></li>' for _ in range(self.rng.integers(low, high + 1)))
 
     def boiler(self) -> str:
+        """A block that is no main text; some have names that say nothing, or none."""
+        made, r = self.named_boiler(), self.rng.random()
+        if r < 0.1:
+            return ATTR_IN_TAG.sub("", made)
+        return ATTR_IN_TAG.sub(lambda m: f' class="{self.pick(*self.words[:200])}"', made) if r < 0.2 else made
+
+    def named_boiler(self) -> str:
         kind = int(self.rng.integers(13))
         s = self.say
         if kind == 0:
@@ -398,8 +406,8 @@ class PageMaker:
             inside.append(self.boiler())
         opening, closing = {
             0: ("<article>", "</article>"), 1: ("<main>", "</main>"), 2: (f'<div class="{self.pick("content", "post", "entry-content", "article-body", "story")}">', "</div>"),
-            3: ('<div id="main"><div class="inner">', "</div></div>"), 4: ("<main><article>", "</article></main>"), 5: ("<section class='post'>", "</section>"), 6: ("<div>", "</div>"),
-        }[int(self.rng.choice([0, 0, 0, 0, 1, 2, 3, 4, 5, 6]))]
+            3: ('<div id="main"><div class="inner">', "</div></div>"), 4: ("<main><article>", "</article></main>"), 5: ("<section class='post'>", "</section>"), 6: ("<div>", "</div>"), 7: (f'<div class="{self.pick(*self.words[:200])}">', "</div>"),
+        }[int(self.rng.choice([0, 0, 0, 0, 1, 2, 3, 4, 5, 6, 7]))]
         before = "".join(self.boiler() for _ in range(self.rng.integers(0, 5)))
         after = "".join(self.boiler() for _ in range(self.rng.integers(0, 5)))
         whole = f"<!DOCTYPE html><html><head><title>{self.say(1, 9, False)}</title></head><body>{before}{opening}{''.join(inside)}{closing}{after}</body></html>"

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.files import spread
 from . import chat, decontam, embeddings, html_text, packing, pii, simhash, suffixes, toxicity, urlfilter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -29,12 +30,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 @query("op3_packing")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents"))
+    return packing.pack(spread(table(spark, sf_dir, "documents")))
 
 
 @query("op4_decontamination")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontam.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return decontam.find_leaks(spread(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"))
 
 
 OP5_SQL = r"""
@@ -62,7 +63,7 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op7_toxicity")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents"))
     return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
 
 
@@ -104,9 +105,9 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op10_suffixes")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffixes.repeated_passages(table(spark, sf_dir, "documents"))
+    return suffixes.repeated_passages(spread(table(spark, sf_dir, "documents")))
 
 
 @query("op9_html")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return html_text.extract(table(spark, sf_dir, "pages"))
+    return html_text.extract(spread(table(spark, sf_dir, "pages")))
