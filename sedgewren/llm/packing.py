@@ -30,14 +30,19 @@ def make_encoder(folder: str | None = None) -> Callable[[list[str]], list[list[i
     from tokenizers import Tokenizer
 
     place = (lambda name: f"{folder}/{name}") if folder else public_tokenizers.path
-    slow = Tokenizer.from_file(place("byte_bpe_50k.json"))
+    slow: list[Tokenizer] = []  # loaded for the first text that needs it
     with open(place("byte_bpe_50k.tiktoken"), "rb") as lines:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
     fast = tiktoken.Encoding("byte_bpe_50k", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
+    def by_tokenizers(text: str) -> list[int]:
+        if not slow:
+            slow.append(Tokenizer.from_file(place("byte_bpe_50k.json")))
+        return slow[0].encode(text, add_special_tokens=False).ids
+
     def encode(texts: list[str]) -> list[list[int]]:
         return [
-            fast.encode_ordinary(t) if SPECIAL not in t and PLAIN.fullmatch(t) and not BLANKS.search(t) else slow.encode(t, add_special_tokens=False).ids
+            fast.encode_ordinary(t) if SPECIAL not in t and PLAIN.fullmatch(t) and not BLANKS.search(t) else by_tokenizers(t)
             for t in texts
         ]
 
