@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import known, strip
+from ..session import settled
 
 
 def text_digest(text: Column) -> Column:
@@ -77,6 +78,7 @@ def near_classes(classes: DataFrame, group: str, most: int = 5, bands: int = 8)
 
 def near_pairs(sigs: DataFrame, key: str, group: str, most: int = 5, bands: int = 8) -> DataFrame:
     """(a, b, distance): all pairs of rows of one group at Hamming distance ``most`` or less. Signatures are compared once, and expanded to rows after."""
+    sigs = settled(sigs)
     classes = sigs.select(group, "sig").distinct()
     both = near_classes(classes, group, most, bands).union(classes.select(group, F.col("sig").alias("sa"), F.col("sig").alias("sb")))
     a = sigs.select(group, F.col("sig").alias("sa"), F.col(key).alias("ka"))
@@ -92,7 +94,7 @@ def greedy_near_dedup(frame: DataFrame, key: str, group: str, text: str, most: i
     distinct signatures by their first row: copies, however many, make no pairs. A group's pass sees the graph of
     its near signatures, not its texts.
     """
-    classes = signatures(frame, key, text, (group,)).groupBy(group, "sig").agg(F.min(key).alias("first"))
+    classes = settled(signatures(frame, key, text, (group,)).groupBy(group, "sig").agg(F.min(key).alias("first")))
     firsts = lambda n: classes.select(group, F.col("sig").alias(f"s{n}"), F.col("first").alias(f"k{n}"))
     near = near_classes(classes.select(group, "sig"), group, most).join(firsts("a"), [group, "sa"]).join(firsts("b"), [group, "sb"])
     pairs = near.select(group, F.least("ka", "kb").alias("a"), F.greatest("ka", "kb").alias("b"))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions.lexicons import Lexicons
 from ..schemas import TARGETS
+from ..session import small
 
 # Weights and thresholds of weak labels, precedence and confidence of label sources.
 WEIGHTS = {"prior": 0.5, "lexicon": 0.5}
@@ -20,9 +21,9 @@ MAX_TOKENS = 800
 
 
 def community_priors(frame: DataFrame, priors: DataFrame, community: str, targets: tuple[str, ...] = TARGETS) -> DataFrame:
-    """Adds prior_<target> by the community's name in lower case; 0 where it is not listed."""
-    small = priors.select(F.lower("name").alias("_name"), *[F.col(f"prior_{t}").cast("double").alias(f"prior_{t}") for t in targets])
-    joined = frame.join(small, F.lower(F.col(community)) == F.col("_name"), "left").drop("_name")
+    """Adds prior_<target> by the community's name in lower case; 0 where it is not listed. Of names that differ in case alone one counts."""
+    listed = priors.select(F.lower("name").alias("_name"), *[F.col(f"prior_{t}").cast("double").alias(f"prior_{t}") for t in targets]).dropDuplicates(["_name"])
+    joined = frame.join(small(listed), F.lower(F.col(community)) == F.col("_name"), "left").drop("_name")
     return joined.fillna(0.0, [f"prior_{t}" for t in targets])
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import approx
 from ..functions import text as T
+from ..session import settled
 from .dedup import exact_dedup, greedy_near_dedup
 
 GONE = ("[deleted]", "[removed]", "")
@@ -34,7 +35,5 @@ def preprocess(posts: DataFrame, least_chars: int = 50, language: str | None = "
     if language:
         kept = kept.where(F.col("lang") == language)
     kept = T.once(kept, clean_text=T.redact(F.col("clean_text")), author_hash=T.pseudonym(F.col("author"))).drop("author")
-    if kept.sparkSession.conf.get("spark.checkpoint.dir", None):
-        kept = kept.checkpoint()  # dedup reads it more than once
-    first = exact_dedup(kept, "clean_text", "id")
+    first = exact_dedup(settled(kept), "clean_text", "id")
     return first if near < 0 else greedy_near_dedup(first, "id", "subreddit", "clean_text", near)

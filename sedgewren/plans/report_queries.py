@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import metrics, preprocess, reports, users
+from ..session import small
 from .adapters import LABELLED, POSTS, STREAM, labelled, posts, rounded, stream
 from .catalog import register, table
 from .eval_queries import BEST, CONF, F1, sweep
@@ -27,7 +28,7 @@ def present_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("group_lookup", "WITH g(name, grp) AS (VALUES ('src0', 'main'), ('src1', 'main'), ('src2', 'other')) SELECT doc_id, coalesce(grp, 'baseline') AS grp FROM documents LEFT JOIN g ON lower(source) = name")
 def group_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = spark.createDataFrame([("src0", "main"), ("src1", "main"), ("src2", "other")], "name string, grp string")
-    return table(spark, sf_dir, "documents").join(groups, F.lower("source") == F.col("name"), "left").select("doc_id", F.coalesce("grp", F.lit("baseline")).alias("grp"))
+    return table(spark, sf_dir, "documents").join(small(groups), F.lower("source") == F.col("name"), "left").select("doc_id", F.coalesce("grp", F.lit("baseline")).alias("grp"))
 
 
 @register("labels_left_join", "SELECT d.doc_id, d.source, CAST(l.quality AS BIGINT) AS quality FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id")

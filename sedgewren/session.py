@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Settings that change results (time zone, ANSI) or plans (AQE); everything else belongs to the cluster.
 SETTINGS = {
@@ -15,6 +16,20 @@ SETTINGS = {
 }
 
 
+#: Most rows of a lookup table that is sent to all executors.
+SMALL_ROWS = 100_000
+
+
+def settled(frame: DataFrame) -> DataFrame:
+    """The frame, computed once and for all where the session has a checkpoint folder: for small results of costly work that a plan reads several times."""
+    return frame.checkpoint() if frame.sparkSession.conf.get("spark.checkpoint.dir", None) else frame
+
+
+def small(frame: DataFrame) -> DataFrame:
+    """Marks a lookup table for broadcasting if it has at most SMALL_ROWS rows (counted up to there); else a plain join takes it, whose skew AQE splits."""
+    return F.broadcast(frame) if frame.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS else frame
+
+
 def build_session(name: str = "sedgewren", master: str | None = None, **more: str) -> SparkSession:
     """A session with SETTINGS; ``more`` holds further options (dots written as double underscores)."""
     builder = SparkSession.builder.appName(name)
