@@ -98,30 +98,28 @@ def labelled(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, int
     return out
 
 
-def key_of(text: str | None) -> int:
-    """A text's own number, by which repeated rows of an id are told apart."""
-    return xxhash.xxh64_intdigest((text or "").encode("utf-8", "surrogatepass"), 7) - (1 << 63)
-
-
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One pass over whole texts: base spans, and the labelled values around which patterns are learned."""
+    """One pass over whole texts: base spans, and the labelled values around which patterns are learned.
+
+    doc_key is xxhash64 of the text, by which rows of one id, and rows without an id, are told apart.
+    """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fields = pa.struct([("pattern", pa.string()), ("value", pa.int64()), ("kind", pa.string()), ("identifier", pa.bool_()), ("start", pa.int64()), ("end", pa.int64())])
         names = ["doc_id", "doc_key", "n_email", "n_ip", "n_card", "n_phone", "base", "found"]
         for batch in batches:
             rows = []
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for key, text, own in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 text = text or ""
                 spans = base_spans(text)
                 counts = [sum(k == kind for k, _, _ in spans) for kind in KINDS]
                 found = [dict(zip(("pattern", "value", "kind", "identifier", "start", "end"), x, strict=True)) for x in labelled(text, spans)]
-                rows.append((key, key_of(text), *counts, joined(spans), found))
+                rows.append((key, own, *counts, joined(spans), found))
             columns = list(zip(*rows, strict=True)) or [[]] * 8
             types = [pa.int64()] * 6 + [pa.string(), pa.list_(fields)]
             yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, types, strict=True)], names)
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(work, SCAN)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.xxhash64(text_col).alias("own")).mapInArrow(work, SCAN)
 
 
 def score_patterns(edges: DataFrame, scratch: Scratch, rounds: int = 3, support: int = 3, sure: float = 0.6) -> DataFrame:
@@ -183,22 +181,16 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     names = docs.columns
     found = find_private(docs, id_col, text_col).where("spans <> ''").select("doc_id", "doc_key", "spans").distinct()
     scratch = Scratch(docs.sparkSession, "redact")
-    found = scratch.put(found.select(F.coalesce("doc_id", F.lit(-1)).alias("_sw_1"), F.col("doc_id").isNull().alias("_sw_2"), "doc_key", "spans"))
-    # A text is matched by its id and its number; an id that repeats with other texts has a list of both.
-    lists = scratch.put(found.groupBy("_sw_1", "_sw_2").agg(F.map_from_entries(F.collect_set(F.struct("doc_key", "spans"))).alias("_sw_spans")))
+    found = scratch.put(found.select(F.coalesce("doc_id", F.lit(-1)).alias("_sw_1"), F.col("doc_id").isNull().alias("_sw_2"), F.col("doc_key").alias("_sw_3"), F.col("spans").alias("_sw_spans")))
     key = F.col(id_col).cast("long")
-    on = (F.coalesce(key, F.lit(-1)) == F.col("_sw_1")) & (key.isNull() == F.col("_sw_2"))
-    wide = docs.join(lists.hint("merge"), on, "left").select(*names, "_sw_spans")
+    on = (F.coalesce(key, F.lit(-1)) == F.col("_sw_1")) & (key.isNull() == F.col("_sw_2")) & (F.xxhash64(text_col) == F.col("_sw_3"))
+    wide = docs.join(found.hint("merge"), on, "left").select(*names, "_sw_spans")
     place = names.index(text_col)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(place).to_pylist()
-            for i, held in enumerate(batch.column(len(names)).to_pylist()):
-                if held and texts[i] is not None:
-                    own = dict(held).get(key_of(texts[i]))
-                    if own:
-                        texts[i] = replaced(texts[i], own)
+            spans = batch.column(len(names)).to_pylist()
+            texts = [replaced(t, s) if s else t for t, s in zip(batch.column(place).to_pylist(), spans, strict=True)]
             columns = [pa.array(texts, batch.column(i).type) if i == place else batch.column(i) for i in range(len(names))]
             yield pa.RecordBatch.from_arrays(columns, names)
 
