@@ -106,8 +106,12 @@ def simhash_groups(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", te
     return own.join(named.hint("merge"), "fp", "left").select("id", "fp", "component_id")
 
 
-#: Long fingerprints: 64-bit words of the one that is looked up, and of the one that is compared in full.
-LOOKUP_WORDS, FULL_WORDS = 16, 16
+#: 64-bit words of the long fingerprint, which is compared in full.
+FULL_WORDS = 16
+#: Lookup: so many keys of so many least hashes of the shingles. Texts alike to J share a key with a chance of
+#: 1 - (1 - J^4)^24, whatever the edits: all but 3 in a million at 0.8.
+BANDS, BAND_ROWS = 24, 4
+_MIX = np.random.default_rng(SEED).integers(0, 1 << 64, (2, BANDS * BAND_ROWS), dtype=np.uint64)
 #: Two sets of similarity 0.8 have cosine 0.889, an angle of 0.1514 of a half turn: 155 of 1,024 bits, give or
 #: take 11.5 by chance. One deviation above catches most pairs at 0.8, and few below 0.77.
 FULL_BITS = 167
@@ -128,22 +132,31 @@ def long_fingerprint(hashes: np.ndarray, planes: int) -> np.ndarray:
     return np.packbits(counts * 2 > len(hashes)).view(np.uint64)
 
 
-def sketches(text: str | None, shingle: int) -> tuple[int, np.ndarray, np.ndarray]:
-    """A number of the words in order, the lookup fingerprint of the distinct words, the full one of the distinct shingles.
+def band_keys(hashes: np.ndarray) -> np.ndarray:
+    """BANDS keys: each a hash of the least values of BAND_ROWS functions over all the hashes, and of the band."""
+    low = np.full(BANDS * BAND_ROWS, (1 << 64) - 1, dtype=np.uint64)
+    for at in range(0, len(hashes), 1024):
+        low = np.minimum(low, ((hashes[at : at + 1024, None] ^ _MIX[0]) * (_MIX[1] | np.uint64(1))).min(axis=0))
+    keys = np.arange(1, BANDS + 1, dtype=np.uint64)
+    for column in low.reshape(BANDS, BAND_ROWS).T:
+        keys = (keys ^ column) * np.uint64(0xBF58476D1CE4E5B9)
+        keys ^= keys >> np.uint64(29)
+    return keys.view(np.int64)
 
-    Words of under four bytes, which all texts of a language share, count only where there are under eight others.
-    """
+
+def shingle_set(text: str | None, shingle: int) -> np.ndarray:
+    """The hashes of the distinct shingles, ascending; none without words."""
+    return np.unique(shingle_hashes(text, shingle))
+
+
+def sketches(text: str | None, shingle: int) -> tuple[int, np.ndarray, np.ndarray]:
+    """A number of the words in order, the lookup keys and the full fingerprint of the distinct shingles."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    digest = xxhash.xxh64_intdigest
-    whole = digest(b" ".join(words), SEED) - (1 << 63)
-    own = set(words)
-    long = {w for w in own if len(w) > 3}
-    chosen = long if len(long) >= 8 else own
-    if not words:
-        return whole, np.zeros(LOOKUP_WORDS, np.uint64), np.zeros(FULL_WORDS, np.uint64)
-    shingles = {b" ".join(words[i : i + shingle]) for i in range(max(1, len(words) - shingle + 1))}
-    hashed = [np.fromiter((digest(w, SEED) for w in group), dtype=np.uint64, count=len(group)) for group in (chosen, shingles)]
-    return whole, long_fingerprint(hashed[0], LOOKUP_WORDS), long_fingerprint(hashed[1], FULL_WORDS)
+    whole = xxhash.xxh64_intdigest(b" ".join(words), SEED) - (1 << 63)
+    own = shingle_set(text, shingle)
+    if not len(own):
+        return whole, np.zeros(BANDS, np.int64), np.zeros(FULL_WORDS, np.uint64)
+    return whole, band_keys(own), long_fingerprint(own, FULL_WORDS)
 
 
 def spanning(ids: np.ndarray, prints: np.ndarray, own: np.ndarray, other: np.ndarray, most: int) -> list[tuple[int, int]]:
@@ -170,10 +183,8 @@ def spanning(ids: np.ndarray, prints: np.ndarray, own: np.ndarray, other: np.nda
 def near_copies(docs: DataFrame, shingle: int = 5, most: int = FULL_BITS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, raw, whole, component_id) of each row with an id: groups of texts whose word shingles are alike to 0.8 or more.
 
-    Equal word sequences are one text from the start. Each distinct text has a 1,024-bit SimHash of its words,
-    cut into 32 segments of 32 bits that are looked up exactly (balls of radius 0: at this similarity a segment
-    is untouched with a chance near a tenth, so one of 32 nearly always is), and a 1,024-bit SimHash of its
-    shingles, whose complete distance decides. Buckets of over TILE texts are compared tile by tile in many
+    Equal word sequences are one text from the start. Each distinct text has BANDS lookup keys of its
+    shingles' least hashes, and a 1,024-bit SimHash of its shingles, whose complete distance decides. Buckets of over TILE texts are compared tile by tile in many
     tasks, so every pair of a bucket is compared and none is emitted but a spanning set of links. ``raw`` is
     xxhash64 of the text and ``whole`` one of its words in order, which tell rows of one id apart. A null text is empty; all empty texts are copies.
     """
@@ -185,20 +196,20 @@ def near_copies(docs: DataFrame, shingle: int = 5, most: int = FULL_BITS, id_col
             for at in range(0, batch.num_rows, 1024):
                 part = batch.slice(at, 1024)
                 done = [sketches(t, shingle) for t in part.column(1).to_pylist()]
-                segments = pa.FixedSizeListArray.from_arrays(pa.array(np.concatenate([d[1] for d in done]).view(np.int32)), 2 * LOOKUP_WORDS) if done else pa.array([], pa.list_(pa.int32(), 2 * LOOKUP_WORDS))
+                keys = pa.FixedSizeListArray.from_arrays(pa.array(np.concatenate([d[1] for d in done])), BANDS) if done else pa.array([], pa.list_(pa.int64(), BANDS))
                 full = pa.FixedSizeListArray.from_arrays(pa.array(np.concatenate([d[2] for d in done]).view(np.int64)), FULL_WORDS) if done else pa.array([], pa.list_(pa.int64(), FULL_WORDS))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array([d[0] for d in done], pa.int64()), segments.cast(pa.list_(pa.int32())), full.cast(pa.list_(pa.int64()))], ["doc_id", "raw", "whole", "segments", "full"])
-
-    own = scratch.put(texts.mapInArrow(work, "doc_id long, raw long, whole long, segments array<int>, full array<long>"))
-    reps = scratch.put(own.groupBy("whole").agg(F.min("doc_id").alias("rep"), F.any_value("segments").alias("segments"), F.any_value("full").alias("full")))
-    keys = reps.select("rep", "whole", F.posexplode("segments").alias("segment", "value"))
-    sizes = scratch.put(keys.groupBy("segment", "value").agg(F.count("*").alias("n")).where("n > 1").withColumn("parts", F.ceil(F.col("n") / TILE).cast("int")))
-    met = scratch.put(keys.join(sizes.hint("merge"), ["segment", "value"]).select("segment", "value", "parts", "whole"))
-    # The same texts meet in many segments; each distinct set of texts that meets nowhere else costs one comparison.
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array([d[0] for d in done], pa.int64()), keys.cast(pa.list_(pa.int64())), full.cast(pa.list_(pa.int64()))], ["doc_id", "raw", "whole", "keys", "full"])
+
+    own = scratch.put(texts.mapInArrow(work, "doc_id long, raw long, whole long, keys array<long>, full array<long>"))
+    reps = scratch.put(own.groupBy("whole").agg(F.min("doc_id").alias("rep"), F.any_value("keys").alias("keys"), F.any_value("full").alias("full")))
+    keys = reps.select("rep", "whole", F.explode("keys").alias("key"))
+    sizes = scratch.put(keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").withColumn("parts", F.ceil(F.col("n") / TILE).cast("int")))
+    met = scratch.put(keys.join(sizes.hint("merge"), "key").select("key", "parts", "whole"))
+    # The same texts meet under many keys; each distinct set of texts that meets nowhere else costs one comparison.
     placed = met.withColumn("part", F.pmod(F.xxhash64("whole"), F.col("parts").cast("long")).cast("int"))
-    tiles = placed.withColumn("q", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("segment", "value", "part", F.least("part", "q").alias("low"), F.greatest("part", "q").alias("high"), "whole")
+    tiles = placed.withColumn("q", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("key", "part", F.least("part", "q").alias("low"), F.greatest("part", "q").alias("high"), "whole")
     full = tiles.join(reps.select("whole", "rep", "full").hint("merge"), "whole")
-    grouped = full.groupBy("segment", "value", "low", "high").agg(F.collect_list(F.struct("rep", "part", "full")).alias("all"))
+    grouped = full.groupBy("key", "low", "high").agg(F.collect_list(F.struct("rep", "part", "full")).alias("all"))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

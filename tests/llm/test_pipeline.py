@@ -103,3 +103,24 @@ def test_pipeline_stages(spark, tmp_path):
             assert {r.doc_id for r in after} == {r.doc_id for r in current.collect()}
         current = after_frame
     assert corpus_pipeline.run(spark, sf_dir).count() == current.count()
+
+
+def blocks():
+    """Pairs of a text and the same text with a block appended or its tail cut, alike to 0.8 or more, and somewhat less."""
+    rng = random.Random(5)
+    words = ["".join(rng.choice("aeioubdgklmnprst") for _ in range(rng.randrange(2, 9))) for _ in range(3000)]
+    near, apart = [], []
+    for _ in range(150):
+        base = [rng.choice(words) for _ in range(rng.randrange(100, 700))]
+        for share in (0.1, 0.15, 0.22, 0.32):
+            more = [rng.choice(words) for _ in range(int(len(base) * share))]
+            for other in (base + more, base[: int(len(base) / (1 + share))]):
+                pair = " ".join(base), " ".join(other)
+                (near if alike(shingles(pair[0]), shingles(pair[1])) >= 0.8 else apart).append(pair)
+    return near, apart
+
+
+def test_appended_and_cut_copies_meet():
+    near, _ = blocks()
+    missed = sum(not set(simhash.sketches(a, 5)[1].tolist()) & set(simhash.sketches(b, 5)[1].tolist()) for a, b in near)
+    assert len(near) > 800 and missed == 0
