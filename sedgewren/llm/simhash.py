@@ -112,9 +112,11 @@ FULL_WORDS = 16
 #: 1 - (1 - J^4)^24, whatever the edits: all but 3 in a million at 0.8.
 BANDS, BAND_ROWS = 24, 4
 _MIX = np.random.default_rng(SEED).integers(0, 1 << 64, (2, BANDS * BAND_ROWS), dtype=np.uint64)
+#: Shingle sets (five words) alike to this much are near copies.
+ALIKE = 0.8
 #: Two sets of similarity 0.8 have cosine 0.889, an angle of 0.1514 of a half turn: 155 of 1,024 bits, give or
-#: take 11.5 by chance. One deviation above catches most pairs at 0.8, and few below 0.77.
-FULL_BITS = 167
+#: take 11.5 by chance. Pairs beyond seven deviations are not compared in full; sets too small for that rule always are.
+WIDE_BITS, SMALL = 240, 64
 #: Rows of a bucket that meet in one task; larger buckets are compared tile by tile.
 TILE = 512
 
@@ -149,43 +151,42 @@ def shingle_set(text: str | None, shingle: int) -> np.ndarray:
     return np.unique(shingle_hashes(text, shingle))
 
 
-def sketches(text: str | None, shingle: int) -> tuple[int, np.ndarray, np.ndarray]:
-    """A number of the words in order, the lookup keys and the full fingerprint of the distinct shingles."""
+def sketches(text: str | None, shingle: int) -> tuple[int, np.ndarray, np.ndarray, int]:
+    """A number of the words in order; the lookup keys, the full fingerprint and the count of the distinct shingles."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     whole = xxhash.xxh64_intdigest(b" ".join(words), SEED) - (1 << 63)
     own = shingle_set(text, shingle)
     if not len(own):
-        return whole, np.zeros(BANDS, np.int64), np.zeros(FULL_WORDS, np.uint64)
-    return whole, band_keys(own), long_fingerprint(own, FULL_WORDS)
+        return whole, np.zeros(BANDS, np.int64), np.zeros(FULL_WORDS, np.uint64), 0
+    return whole, band_keys(own), long_fingerprint(own, FULL_WORDS), len(own)
 
 
-def spanning(ids: np.ndarray, prints: np.ndarray, own: np.ndarray, other: np.ndarray, most: int) -> list[tuple[int, int]]:
-    """A spanning set of the links between rows ``own`` and ``other`` (positions) at distances up to ``most``."""
-    root = list(range(len(ids)))
+def candidates(ids: np.ndarray, groups: np.ndarray, sizes: np.ndarray, prints: np.ndarray, own: np.ndarray, other: np.ndarray, ranks: tuple[int, int | None]) -> tuple[list[tuple[int, int]], bool]:
+    """Pairs of different groups among rows ``own`` and ``other`` (positions) that may be alike, and whether later ranks have more.
 
-    def find(x: int) -> int:
-        while root[x] != x:
-            root[x] = root[root[x]]
-            x = root[x]
-        return x
-
-    found = []
+    Each row's partners are ordered by distance, then id, whatever their groups, and those of ``ranks`` are taken;
+    so calls with one range after the other take each pair once. Rows are in order of ids.
+    """
+    found, more = [], False
     for a in own.tolist():
-        near = other[np.bitwise_count(prints[other] ^ prints[a]).sum(axis=1) <= most]
-        for b in near.tolist():
-            x, y = find(a), find(b)
-            if x != y:
-                root[max(x, y)] = min(x, y)
-                found.append((int(ids[a]), int(ids[b])))
-    return found
-
-
-def near_copies(docs: DataFrame, shingle: int = 5, most: int = FULL_BITS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, raw, whole, component_id) of each row with an id: groups of texts whose word shingles are alike to 0.8 or more.
-
-    Equal word sequences are one text from the start. Each distinct text has BANDS lookup keys of its
-    shingles' least hashes, and a 1,024-bit SimHash of its shingles, whose complete distance decides. Buckets of over TILE texts are compared tile by tile in many
-    tasks, so every pair of a bucket is compared and none is emitted but a spanning set of links. ``raw`` is
+        rest = other[other > a] if own is other else other
+        small, large = np.minimum(sizes[rest], sizes[a]), np.maximum(sizes[rest], sizes[a])
+        bits = np.bitwise_count(prints[rest] ^ prints[a]).sum(axis=1)
+        near = (small / large >= ALIKE) & ((bits <= WIDE_BITS) | (small < SMALL))
+        rest = rest[near][np.argsort(bits[near], kind="stable")]
+        found += [(int(ids[a]), int(ids[b])) for b in rest[slice(*ranks)].tolist() if groups[b] != groups[a]]
+        more = more or ranks[1] is not None and bool((groups[rest[ranks[1] :]] != groups[a]).any())
+    return found, more
+
+
+def near_copies(docs: DataFrame, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, raw, whole, component_id) of each row with an id: groups of texts whose word shingles are alike to ALIKE or more.
+
+    Equal word sequences are one text from the start. Each distinct text has BANDS lookup keys of its shingles'
+    least hashes, and texts that share a key are candidates; the exact Jaccard similarity of their shingle sets
+    decides. Pairs that are one group already need no comparison, so candidates come in rounds: each
+    text's nearest by SimHash first, then those of later ranks that are in other groups still, until none is left.
+    Keys of over TILE texts are gone through tile by tile in many tasks. ``raw`` is
     xxhash64 of the text and ``whole`` one of its words in order, which tell rows of one id apart. A null text is empty; all empty texts are copies.
     """
     scratch = Scratch(docs.sparkSession, "near-copies")
@@ -196,36 +197,78 @@ def near_copies(docs: DataFrame, shingle: int = 5, most: int = FULL_BITS, id_col
             for at in range(0, batch.num_rows, 1024):
                 part = batch.slice(at, 1024)
                 done = [sketches(t, shingle) for t in part.column(1).to_pylist()]
-                keys = pa.FixedSizeListArray.from_arrays(pa.array(np.concatenate([d[1] for d in done])), BANDS) if done else pa.array([], pa.list_(pa.int64(), BANDS))
-                full = pa.FixedSizeListArray.from_arrays(pa.array(np.concatenate([d[2] for d in done]).view(np.int64)), FULL_WORDS) if done else pa.array([], pa.list_(pa.int64(), FULL_WORDS))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array([d[0] for d in done], pa.int64()), keys.cast(pa.list_(pa.int64())), full.cast(pa.list_(pa.int64()))], ["doc_id", "raw", "whole", "keys", "full"])
+                keys = pa.FixedSizeListArray.from_arrays(pa.array(np.concatenate([d[1] for d in done])), BANDS)
+                full = pa.FixedSizeListArray.from_arrays(pa.array(np.concatenate([d[2] for d in done]).view(np.int64)), FULL_WORDS)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array([d[0] for d in done], pa.int64()), pa.array([d[3] for d in done], pa.int64()), keys.cast(pa.list_(pa.int64())), full.cast(pa.list_(pa.int64()))], ["doc_id", "raw", "whole", "size", "keys", "full"])
 
-    own = scratch.put(texts.mapInArrow(work, "doc_id long, raw long, whole long, keys array<long>, full array<long>"))
-    reps = scratch.put(own.groupBy("whole").agg(F.min("doc_id").alias("rep"), F.any_value("keys").alias("keys"), F.any_value("full").alias("full")))
-    keys = reps.select("rep", "whole", F.explode("keys").alias("key"))
+    own = scratch.put(texts.mapInArrow(work, "doc_id long, raw long, whole long, size long, keys array<long>, full array<long>"))
+    reps = scratch.put(own.groupBy("whole").agg(F.min(F.struct("doc_id", "raw")).alias("rep"), F.any_value("size").alias("size"), F.any_value("keys").alias("keys"), F.any_value("full").alias("full")).select("whole", "rep.*", "size", "keys", "full"))
+    keys = reps.where("size > 0").select("whole", F.explode("keys").alias("key"))
     sizes = scratch.put(keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").withColumn("parts", F.ceil(F.col("n") / TILE).cast("int")))
-    met = scratch.put(keys.join(sizes.hint("merge"), "key").select("key", "parts", "whole"))
-    # The same texts meet under many keys; each distinct set of texts that meets nowhere else costs one comparison.
-    placed = met.withColumn("part", F.pmod(F.xxhash64("whole"), F.col("parts").cast("long")).cast("int"))
-    tiles = placed.withColumn("q", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("key", "part", F.least("part", "q").alias("low"), F.greatest("part", "q").alias("high"), "whole")
-    full = tiles.join(reps.select("whole", "rep", "full").hint("merge"), "whole")
-    grouped = full.groupBy("key", "low", "high").agg(F.collect_list(F.struct("rep", "part", "full")).alias("all"))
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    met = scratch.put(keys.join(sizes.hint("merge"), "key").select("key", "parts", "whole", F.pmod(F.xxhash64("whole"), F.col("parts").cast("long")).cast("int").alias("part")))
+    meeting = met.groupBy("whole").agg(F.count("*").alias("_n")).select("whole")
+    places = meeting.join(reps.select("whole", "doc_id", "raw").hint("merge"), "whole")
+
+    def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[tuple[int, int]] = []
-            for at in range(batch.num_rows):
-                low, high = batch.column(0)[at].as_py(), batch.column(1)[at].as_py()
-                rows = batch.column(2)[at].values
-                ids, part = rows.field(0).to_numpy(), rows.field(1).to_numpy()
-                prints = rows.field(2).flatten().to_numpy().view(np.uint64).reshape(-1, FULL_WORDS)
-                first = np.flatnonzero(part == low)
-                out += spanning(ids, prints, first, first if low == high else np.flatnonzero(part == high), most)
-            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], ["u", "v"])
-
-    links = scratch.put(grouped.select("low", "high", "all").mapInArrow(compare, "u long, v long").distinct())
-    found = components(links, scratch)
-    named = scratch.put(reps.join(found.hint("merge"), reps.rep == found.node, "left").select("whole", F.coalesce("component", "rep").alias("component_id")))
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                sets = [shingle_set(t, shingle).view(np.int64) for t in part.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.list_(pa.int64()))], ["whole", "hashes"])
+
+    # Rows that repeat under one id hold the same text; the first of them will do.
+    once = texts.join(places.hint("merge"), ["doc_id", "raw"]).select("whole", "text").groupBy("whole").agg(F.first("text").alias("text"))
+    sets = scratch.put(once.mapInArrow(sets_of, "whole long, hashes array<long>"))
+
+    def compare(ranks: tuple[int, int | None]):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                out: set[tuple[int | None, int | None]] = set()
+                for at in range(batch.num_rows):
+                    low, high = batch.column(0)[at].as_py(), batch.column(1)[at].as_py()
+                    rows = batch.column(2)[at].values
+                    ids = rows.field(0).to_numpy()
+                    order = np.argsort(ids)
+                    part, groups, size = (rows.field(i).to_numpy()[order] for i in (1, 2, 3))
+                    prints = rows.field(4).flatten().to_numpy().view(np.uint64).reshape(-1, FULL_WORDS)[order]
+                    first = np.flatnonzero(part == low)
+                    found, more = candidates(ids[order], groups, size, prints, first, first if low == high else np.flatnonzero(part == high), ranks)
+                    out.update((min(p), max(p)) for p in found)
+                    if more:
+                        out.add((None, None))
+                pairs = list(out)
+                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in pairs], pa.int64()), pa.array([y for _, y in pairs], pa.int64())], ["u", "v"])
+
+        return run
+
+    links = groups = None
+    for across, ranks in ((False, (0, 1)), (True, (0, 2)), (True, (2, 16)), (True, (16, None))):
+        state = met.withColumn("group", F.col("whole")) if groups is None else met.join(groups.hint("merge"), met.whole == groups.node, "left").select("key", "parts", met.whole, "part", F.coalesce("component", met.whole).alias("group"))
+        if groups is not None:
+            state = scratch.put(state)
+            mixed = state.groupBy("key").agg(F.min("group").alias("least"), F.max("group").alias("most")).where("least <> most").select("key")
+            state = state.join(mixed.hint("merge"), "key", "left_semi")
+        other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)) if across else F.col("part")
+        tiles = state.withColumn("q", other).select("key", "part", F.least("part", "q").alias("low"), F.greatest("part", "q").alias("high"), "whole", "group")
+        full = tiles.join(reps.select("whole", "size", "full").hint("merge"), "whole")
+        grouped = full.groupBy("key", "low", "high").agg(F.collect_list(F.struct("whole", "part", "group", "size", "full")).alias("all")).where("size(all) > 1")
+        pairs = scratch.put(grouped.select("low", "high", "all").mapInArrow(compare(ranks), "u long, v long").distinct())
+        left = pairs.where("u is not null").join(sets.select(F.col("whole").alias("u"), F.col("hashes").alias("a")).hint("merge"), "u")
+        both = left.join(sets.select(F.col("whole").alias("v"), F.col("hashes").alias("b")).hint("merge"), "v")
+        shared = F.size(F.array_intersect("a", "b"))
+        sure = scratch.put(both.where(shared / (F.size("a") + F.size("b") - shared) >= ALIKE).select("u", "v"))
+        links = sure if links is None else links.union(sure)
+        if not sure.isEmpty():
+            groups = scratch.put(components(links, scratch))
+        if across and pairs.where("u is null").isEmpty():
+            break
+    if groups is None:
+        groups = scratch.put(components(links, scratch))
+    linked = reps.select("whole", "doc_id").join(groups.hint("merge"), F.col("whole") == F.col("node"))
+    linked = scratch.put(linked.select("whole", "doc_id", "component"))
+    named = linked.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    named = scratch.put(linked.join(named.hint("merge"), "component").select("whole", "component_id"))
+    named = scratch.put(reps.select("whole", "doc_id").join(named.hint("merge"), "whole", "left").select("whole", F.coalesce("component_id", "doc_id").alias("component_id")))
     return own.select("doc_id", "raw", "whole").join(named.hint("merge"), "whole").select("doc_id", "raw", "whole", "component_id")
 
 
@@ -236,7 +279,7 @@ def drop_copies(docs: DataFrame, shingle: int = 5, id_col: str = "doc_id", text_
     """
     scratch = Scratch(docs.sparkSession, "drop-copies")
     names = docs.columns
-    groups = near_copies(docs, shingle, FULL_BITS, id_col, text_col)
+    groups = near_copies(docs, shingle, id_col, text_col)
     # Rows that repeat, or differ in case and white space alone, stay once; other texts under one id are others.
     chosen = groups.where("doc_id = component_id").groupBy("doc_id", "whole").agg(F.count("*").alias("n"), F.min("raw").alias("raw"))
     chosen = scratch.put(chosen.select(F.col("doc_id").alias("_sw_id"), F.col("raw").alias("_sw_raw"), F.col("n").alias("_sw_n")))

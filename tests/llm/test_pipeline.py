@@ -124,3 +124,25 @@ def test_appended_and_cut_copies_meet():
     near, _ = blocks()
     missed = sum(not set(simhash.sketches(a, 5)[1].tolist()) & set(simhash.sketches(b, 5)[1].tolist()) for a, b in near)
     assert len(near) > 800 and missed == 0
+
+
+def test_exact_similarity_decides(spark):
+    near, apart = blocks()
+    short = [f"s{i}" for i in range(9)]
+    near = [*near[:300], (" ".join(short), " ".join(short[:8]))]
+    pairs = near + apart[:300]
+    rows = [(2 * i + k, text) for i, pair in enumerate(pairs) for k, text in enumerate(pair)]
+    got = {r.doc_id: r.component_id for r in simhash.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    groups, sets = {}, {text: shingles(text) for _, text in rows}
+    for key, text in rows:
+        groups.setdefault(got[key], []).append(text)
+    for texts in groups.values():  # connected by pairs at 0.8 or more alone
+        reached, todo = {texts[0]}, [texts[0]]
+        while todo:
+            a = todo.pop()
+            new = {b for b in texts if b not in reached and alike(sets[a], sets[b]) >= 0.8}
+            reached |= new
+            todo += new
+        assert reached == set(texts)
+    at = {text: key for key, text in rows}
+    assert all(got[at[a]] == got[at[b]] for a, b in near)
