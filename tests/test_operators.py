@@ -207,6 +207,12 @@ def test_threads(spark):
     assert again == got
 
 
+def test_deep_threads_are_walked_to_the_end(spark):
+    rows = [("a", i, i - 1) for i in range(500)] + [("c", 1, 2), ("c", 2, 1), ("d", 4, 4), ("e", 1, 0), ("e", 2, 1), ("e", 2, 3), ("e", 3, 2)]
+    got = sorted((r.th, r.position, r.n, r.depth) for r in threads.depth_first(spark.createDataFrame(rows, "th string, n long, p long"), "th", "n", "p").collect())
+    assert got == [("a", i + 1, i, i) for i in range(500)] + [("e", 1, 1, 0), ("e", 2, 2, 1), ("e", 3, 3, 2)]
+
+
 def test_splits(spark):
     frame = spark.range(1000).selectExpr("id", "id % 4 = 0 as y", "id % 50 as g")
     sizes = {(r.y, r.split): r["count"] for r in splits.stratified_split(frame, "id", "y").groupBy("y", "split").count().collect()}
