@@ -23,8 +23,10 @@ IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 #: A label, a separator, perhaps a quotation mark, and a value.
-LABELLED = re.compile(r"([^\W\d]\w{1,30})[\x20\t]?([=:#])[\x20\t]?([\"']?)([^\s\"'<>|]{4,128})")
-HEX = re.compile(r"[0-9a-f]{32,128}|[0-9A-F]{32,128}")
+LABELLED = re.compile(r"([^\W\d]\w{1,30})[\x20\t]?([=:#])[\x20\t]?([\"']?)([^\s\"'<>|]{4,})")
+#: After a long value the search goes on so many characters behind its start: labels within it are seen as well.
+RESUME = 128
+HEX = re.compile(r"[0-9a-f]{32,}|[0-9A-F]{32,}")
 SCAN = "doc_id long, doc_key long, n_email long, n_ip long, n_card long, n_phone long, base string, found array<struct<pattern:string,value:long,kind:string,identifier:boolean,start:long,end:long>>"
 
 
@@ -81,11 +83,13 @@ def labelled(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, int
         return []
     starts = {a: (k, b) for k, a, b in base}
     out = []
-    for match in LABELLED.finditer(text):
+    match = LABELLED.search(text)
+    while match:
         label, mark, quote, value = match.groups()
+        start = match.start(4)
+        match = LABELLED.search(text, min(match.end(), start + RESUME))
         if value.startswith("//"):
             continue
-        start = match.start(4)
         value = value.rstrip(".,;:!?)")
         end = start + len(value)
         if start in starts:

@@ -53,3 +53,17 @@ def test_bootstrapping_finds_what_no_pattern_lists(spark):
 def test_empty_table(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert pii.find_private(empty).count() == 0 and pii.redact(empty).count() == 0
+
+
+def test_long_values_are_redacted_whole(spark):
+    rng = random.Random(4)
+    long = "".join(rng.choice("0123456789abcdef") for _ in range(5000))
+    web = "eyJ0." + "".join(rng.choice("ABCDEFabcdef0123456789_-") for _ in range(3000))
+    texts = [f'some words token = "{hexes(rng)}" more words {i}' for i in range(8)]
+    texts += [f'here token = "{long}" ends', f'here token = "{web}" ends', f"see link:https://host.example/{'p/' * 100}?token=\"{hexes(rng)}\" ends", f"x token = \"{web[:-1]}\" y"]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    clean = {r.doc_id: r.text for r in pii.redact(frame).collect()}
+    assert clean[8] == clean[9] == 'here token = "[SECRET]" ends' and clean[11] == 'x token = "[SECRET]" y'
+    values = [pii.labelled(t, [])[-1] for t in (texts[9], texts[11])]
+    assert values[0][1] != values[1][1]
+    assert [x[0] for x in pii.labelled("a1=" + "x" * 200 + "&token=abcdef", [])][1:] == ["token = "]
