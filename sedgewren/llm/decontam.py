@@ -71,6 +71,7 @@ class Item:
     item_id: int
     text: str
     budget: int
+    short: bool = False
     cuts: list[int] = field(default_factory=list)
 
     def __post_init__(self) -> None:
@@ -79,9 +80,15 @@ class Item:
 
 
 def make_items(rows: list[tuple[int, str]], rate: float, least: int) -> list[Item]:
-    """Distinct test items with their error budgets; texts of fewer than ``least`` folded characters are left out."""
+    """Distinct test items with their error budgets; one of fewer than ``least`` folded characters has none and matches as whole words."""
     folded = sorted({(key, fold_only(text)) for key, text in rows if key is not None and text})
-    return [Item(key, text, int(len(text) * rate)) for key, text in folded if len(text) >= least]
+    return [Item(key, text, int(len(text) * rate) if len(text) >= least else 0, len(text) < least) for key, text in folded if text]
+
+
+def whole_words(text: str, start: int, end: int) -> bool:
+    """Whether no word of the text goes on over either end of the stretch."""
+    word = lambda at: text[at].isalnum() or text[at] == "_"
+    return not (start > 0 and word(start - 1) and word(start) or end < len(text) and word(end - 1) and word(end))
 
 
 def automaton(items: list[Item]) -> ahocorasick.Automaton:
@@ -129,6 +136,10 @@ def matches(text: str, items: list[Item], words: ahocorasick.Automaton) -> Itera
             held = best.get(at)
             if held and held[0] == 0:
                 continue
+            if item.short:
+                if whole_words(text, start, last + 1):
+                    best[at] = (0, start, last + 1)
+                continue
             place = (at, start - item.cuts[piece])
             if place in tried or not grows(item, piece, start, text):
                 continue
@@ -152,7 +163,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = 0.1, least:
 
     Texts and items are compared in lower case with white space collapsed; start and end are code points of the
     text as it is. Every whole text is scanned once per PASS_CHARS of benchmark text. Null or empty texts and
-    null items match nothing; items under ``least`` characters are not looked for (they occur by chance); rows
+    null items match nothing; items under ``least`` characters match exactly, as whole words (with errors they occur by chance); rows
     that repeat an id each give their own rows; an empty table on either side gives no rows.
     """
     spark = docs.sparkSession

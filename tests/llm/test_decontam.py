@@ -75,3 +75,12 @@ def test_several_passes_and_empty_tables(spark, monkeypatch):
     assert decontam.drop_leaks(docs, bench).count() == 0
     assert decontam.find_leaks(docs.limit(0), bench).count() == 0 and decontam.find_leaks(docs, bench.limit(0)).count() == 0
     assert decontam.drop_leaks(docs, bench.limit(0)).count() == 5
+
+
+def test_short_items_match_as_whole_words(spark):
+    texts = {1: "Q: what is  the capital of\nFrance? A: Paris", 2: "what is the capital of Francea", 3: "the cat sat on a mat", 4: "concatenate", 5: "what is the capitol of france?", 6: "Cat"}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    bench = spark.createDataFrame([(1, "What is the capital of France?"), (2, "cat"), (3, " \n")], "item_id long, text string")
+    got = {(r.doc_id, r.item_id, texts[r.doc_id][r.start : r.end], r.distance) for r in decontam.find_leaks(docs, bench).collect()}
+    assert got == {(1, 1, "what is  the capital of\nFrance?", 0), (3, 2, "cat", 0), (6, 2, "Cat", 0)}
+    assert {r.doc_id for r in decontam.drop_leaks(docs, bench).collect()} == {2, 4, 5}
