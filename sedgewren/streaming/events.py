@@ -12,10 +12,16 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
-def read_events(spark: SparkSession, path: str, files: int = 1) -> DataFrame:
-    """The events table as a stream of its files, with ts as an instant."""
+def read_events(spark: SparkSession, path: str, files: int | None = None) -> DataFrame:
+    """The events table as a stream of its files, with ts as an instant.
+
+    All files that are there come in one micro-batch: their times may overlap, and a watermark that moved between
+    them would drop rows as late. ``files`` a batch is for tables whose files come in order of time.
+    """
     schema = spark.read.parquet(path).schema
-    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", files)
+    reader = spark.readStream.schema(schema)
+    if files is not None:
+        reader = reader.option("maxFilesPerTrigger", files)
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     if target.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(target).isFile():
         # A stream's source is a folder; of this one it takes the named file alone.

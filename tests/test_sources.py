@@ -92,3 +92,15 @@ def test_stream_equals_batch(spark, tmp_path):
     got = sorted((r.user_id, r.posts_seen) for r in out.collect())
     batch = early.decisions(frame.selectExpr("*", "0 as y"), "user_id", "score", "y", "s", "event_id", 0.6, 2).where("predicted_label = 1")
     assert got == sorted((r.user_id, r.posts_seen) for r in batch.collect())
+
+
+def test_streams_do_not_depend_on_the_number_of_files(spark, tmp_path):
+    from sedgewren.plans.all_queries import queries
+
+    rows = [(i, i * 7 % 11, ["view", "click"][i % 3 == 0], float(i * 37 % 500), 1_700_000_000 + i * 5000) for i in range(400)]
+    frame = spark.createDataFrame(rows, "event_id long, user_id long, event_type string, value double, t long").selectExpr("event_id", "user_id", "event_type", "value", "cast(cast(t as timestamp) as timestamp_ntz) as ts")
+    frame.coalesce(1).write.parquet(str(tmp_path / "one/events.parquet"))
+    frame.repartition(5, "value").write.parquet(str(tmp_path / "many/events.parquet"))
+    for name in ("stream_tumbling", "stream_sessions", "stream_distinct", "stream_early_decision"):
+        one, many = (sorted(map(tuple, queries()[name](spark, str(tmp_path / kind)).collect())) for kind in ("one", "many"))
+        assert one == many and one, name
