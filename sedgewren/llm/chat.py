@@ -15,8 +15,6 @@ Turn = tuple[str, str]
 
 #: Control strings of the template; none overlaps its own end, so the first place where one stands ends a text.
 CONTROLS = ("</s>", "<s>", "[/INST]", "[INST]", "<</SYS>>", "<<SYS>>", "[/ROLE]", "[ROLE]")
-#: Longer conversations are first tried in parts, as rendering all prefixes takes time with their square.
-DIRECT = 64
 OPEN = {"user": "<s>[INST]", "system": "<s><<SYS>>"}
 CLOSE = {"user": "[/INST]", "system": "<</SYS>></s>", "assistant": "</s>"}
 
@@ -79,20 +77,27 @@ class Rendered:
     rewrites: int | None = None
 
 
+def render_turns(turns: list[Turn], template: Callable[[list[Turn]], str]) -> Rendered:
+    """The same for a template whose caller declares that its output is that of its turns, one after the other.
+
+    Takes time in proportion to the conversation. The whole is rendered as well; where it differs, the
+    declaration was wrong and this raises.
+    """
+    parts, whole = [template([turn]) for turn in turns], template(turns)
+    if whole != "".join(parts):
+        raise ValueError("the template's output is not that of its turns in a row")
+    ends = list(accumulate(map(len, parts)))
+    return Rendered(whole, list(zip([0, *ends], ends, strict=False)))
+
+
 def render_incrementally(turns: list[Turn], template: Callable[[list[Turn]], str]) -> Rendered:
-    """Renders successive prefixes and compares consecutive outputs.
+    """Renders successive prefixes and compares consecutive outputs, for conversations of any length.
 
     A turn's span is what its prefix's output adds to the one before. If an output doesn't begin with the one
     before, the template rewrites history: the turn's number is kept, its span begins where the two outputs
-    part, and earlier spans are cut there. The template is any function; its output alone is looked at.
+    part, and earlier spans are cut there. The template is any function; its output alone is looked at. One
+    output is held at a time; since each prefix is rendered, time grows with the square of the turns.
     """
-    if len(turns) > DIRECT:
-        # Each turn rendered alone, and the whole once: if the whole is the parts in a row, they are the spans,
-        # in time in proportion to the conversation. Otherwise the prefixes have to be rendered after all.
-        parts, whole = [template([turn]) for turn in turns], template(turns)
-        if whole == "".join(parts):
-            ends = list(accumulate(map(len, parts)))
-            return Rendered(whole, list(zip([0, *ends], ends, strict=False)))
     before, spans, rewrites = template([]), [], None
     for n in range(1, len(turns) + 1):
         now = template(turns[:n])
@@ -113,18 +118,21 @@ def render_incrementally(turns: list[Turn], template: Callable[[list[Turn]], str
 OUT = "conv_id long, formatted string, n_turns long, roles array<string>, mask array<struct<start:long,end:long>>, rewrites_history boolean, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
 
 
-def format_chats(conversations: DataFrame, template: Callable[[list[Turn]], str] = instruct_template, reader: Callable[[str], tuple[str, str, int, int]] = read_turn) -> DataFrame:
+def format_chats(conversations: DataFrame, template: Callable[[list[Turn]], str] = instruct_template, reader: Callable[[str], tuple[str, str, int, int]] = read_turn, turnwise: bool = False) -> DataFrame:
     """One row per conversation: the formatted text, the loss mask over assistant texts, and digests read back from both.
 
     Turns go by number; of equal numbers, by role and text. Null roles and texts are empty, a null turn number
     comes first, and rows with a null conv_id are one conversation. A conversation is rendered in one task (its
     hash is one sequence), so the longest must fit there; a hot one takes no room from others, since rows are
-    gathered by partial lists. With a template that rewrites history, what is read back is what is left of each
+    gathered by partial lists. ``turnwise`` is the caller's word that the template renders turns one by one, which
+    saves rendering all prefixes; a template that does otherwise then raises. With a template that rewrites history, what is read back is what is left of each
     turn's span; a span that cannot be read counts as an empty turn and ``rewrites_history`` is true.
     """
     turn = F.struct(F.col("turn").cast("long").alias("turn"), F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     grouped = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), turn.alias("t")).groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("turns"))
 
+    render = render_turns if turnwise else render_incrementally
+
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         span = pa.struct([("start", pa.int64()), ("end", pa.int64())])
         types = [pa.int64(), pa.string(), pa.int64(), pa.list_(pa.string()), pa.list_(span), pa.bool_(), pa.string(), pa.int64(), pa.string(), pa.int64()]
@@ -132,7 +140,7 @@ def format_chats(conversations: DataFrame, template: Callable[[list[Turn]], str]
         for batch in batches:
             rows = []
             for key, turns in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                done = render_incrementally([(t["role"], t["text"]) for t in turns], template)
+                done = render([(t["role"], t["text"]) for t in turns], template)
                 roles, mask = [], []
                 all_turns, loss, loss_chars = hashlib.sha256(), hashlib.sha256(), 0
                 for start, end in done.spans:

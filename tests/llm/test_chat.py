@@ -2,6 +2,7 @@
 
 import hashlib
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -59,13 +60,25 @@ def test_empty_table(spark):
     assert chat.format_chats(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
 
 
-def test_long_conversations_take_no_square_time_and_equal_the_prefixes(monkeypatch):
+def test_long_conversations_are_compared_prefix_by_prefix():
+    """A mark before odd prefixes rewrites history, however many turns there are."""
+    marked = lambda ts: ("!" if len(ts) % 2 else "") + "".join(f"{r}{t}" for r, t in ts)
+    for n in (64, 66, 400):
+        assert chat.render_incrementally([("user", "x")] * n, marked).rewrites == 1
+    late = lambda ts: ("!" if len(ts) > 300 else "") + "".join(f"{r}{t}" for r, t in ts)
+    assert chat.render_incrementally([("user", "x")] * 400, late).rewrites == 300
     turns = [("user" if i % 2 == 0 else "assistant", f"turn {i} </s>") for i in range(200)]
-    fast = chat.render_incrementally(turns, chat.instruct_template)
-    monkeypatch.setattr(chat, "DIRECT", 1000)
-    assert fast == chat.render_incrementally(turns, chat.instruct_template)
-    many = [("user", "x" * 50)] * 100_000
-    monkeypatch.setattr(chat, "DIRECT", 64)
-    assert len(chat.render_incrementally(many, chat.instruct_template).spans) == 100_000
+    assert chat.render_turns(turns, chat.instruct_template) == chat.render_incrementally(turns, chat.instruct_template)
     numbered = lambda ts: "".join(f"{i}{r}{t}" for i, (r, t) in enumerate(ts))
     assert chat.render_incrementally(turns, numbered).rewrites is None
+
+
+def test_declared_templates_take_no_square_time_and_are_held_to_their_word():
+    assert len(chat.render_turns([("user", "x" * 50)] * 100_000, chat.instruct_template).spans) == 100_000
+    with pytest.raises(ValueError):
+        chat.render_turns([("user", "a"), ("user", "b")], lambda ts: "".join(f"{i}{t}" for i, (_, t) in enumerate(ts)))
+
+
+def test_declared_templates_give_the_same_rows(spark):
+    frame = spark.createDataFrame([(1, i, ("user", "assistant")[i % 2], f"t{i} [INST]") for i in range(100)] + [(2, 0, "tool", None)], "conv_id long, turn long, role string, text string")
+    assert sorted(map(str, chat.format_chats(frame, turnwise=True).collect())) == sorted(map(str, chat.format_chats(frame).collect()))
