@@ -6,6 +6,7 @@ import html
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -18,12 +19,15 @@ RAW = frozenset("script style textarea title noscript iframe xmp noembed templat
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var img br wbr".split())
 #: What a start tag ends first: the open elements of the first set, looked for up to one of the second.
 P_ENDERS = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
-IMPLIED = {"li": ("li", "ul ol menu"), "dt": ("dt dd", "dl"), "dd": ("dt dd", "dl"), "tr": ("tr td th", "table"), "td": ("td th", "tr table"), "th": ("td th", "tr table"), "option": ("option", "select")}
+IMPLIED = {
+    name: (frozenset(ends.split()), frozenset(until.split()))
+    for name, ends, until in (("li", "li", "ul ol menu"), ("dt", "dt dd", "dl"), ("dd", "dt dd", "dl"), ("tr", "tr td th", "table"), ("td", "td th", "tr table"), ("th", "td th", "tr table"), ("option", "option", "select"))
+}
 SCOPE = frozenset("html body article section div main td th table button".split())
+P_ALONE, PAGE, INLINE_ENDS = frozenset(("p",)), frozenset(("html", "body")), P_ENDERS | SCOPE
 SKIPPED = frozenset("script style noscript iframe template textarea xmp noembed head title".split())
-TAG = re.compile(r"<(?:!--(.*?)(?:-->|--!>|\Z)|(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|[!?][^>]*>|/[^A-Za-z>][^>]*>)", re.S)
-#: A tag that the page's end cuts off is not text.
-CUT = re.compile(r"<(?:/?[A-Za-z]|[!?])[^<]*\Z")
+NAME = re.compile(r"[A-Za-z][^\s/>]*")
+STOP = re.compile(r"[>\"']")
 ATTR = re.compile(r"(?:^|\s)(class|id|role|itemprop|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 TOKEN = re.compile(r"[a-z]+")
 ATTR_IN_TAG = re.compile(r"\s(?:class|id)=(?:\"[^\"]*\"|'[^']*'|[^\s>\"']+)")
@@ -38,13 +42,60 @@ class Node:
     text: list[str] = field(default_factory=list)
 
 
+class Scanner:
+    """Cuts a page into markup from left to right; no part of the page is searched more than a few times."""
+
+    def __init__(self, page: str):
+        self.page = page
+        self.quoted = True
+
+    def end(self, at: int) -> int:
+        """Where the ``>`` stands that ends a tag whose name ends at ``at``, outside quotation marks; -1 without one.
+
+        A quotation mark that nothing closes is no quotation mark, and from there on none is heeded.
+        """
+        place = at
+        while self.quoted:
+            found = STOP.search(self.page, place)
+            if not found:
+                return -1
+            if found.group() == ">":
+                return found.start()
+            place = self.page.find(found.group(), found.end()) + 1
+            self.quoted = place > 0
+        return self.page.find(">", at)
+
+    def next(self, at: int) -> tuple[int, int, str, bool, str] | None:
+        """(start, end, name, closing, attributes) of the next markup; no name for comments and the like.
+
+        What the page's end cuts off is markup up to the end, as for a browser. None if there is no more.
+        """
+        page = self.page
+        while (start := page.find("<", at)) >= 0:
+            sign = page[start + 1 : start + 2]
+            if page.startswith("!--", start + 1):
+                ends = [(found, size) for mark, size in (("-->", 3), ("--!>", 4)) if (found := page.find(mark, start + 4)) >= 0]
+                found, size = min(ends, default=(len(page), 0))
+                return start, found + size, "", False, ""
+            closing = sign == "/"
+            name = NAME.match(page, start + 1 + closing)
+            if name:
+                end = self.end(name.end())
+                if end < 0:
+                    return start, len(page), "", False, ""
+                return start, end + 1, name.group().lower(), closing, page[name.end() : end]
+            if sign in ("!", "?") or closing:
+                end = page.find(">", start + 2)
+                return start, end + 1 or len(page), "", False, ""
+            at = start + 1
+        return None
+
+
 def parse(page: str) -> list[Node]:
     """The page's tree in document order; texts are nodes named #text, kept in their place among their siblings."""
     nodes = [Node("#root")]
     stack = [0]
-    cut = CUT.search(page)
-    if cut and not TAG.match(page, cut.start()):
-        page = page[: cut.start()]
+    opened: dict[str, list[int]] = {}
 
     def put(tag: str, attrs: str = "") -> int:
         nodes.append(Node(tag, attrs, stack[-1]))
@@ -59,49 +110,37 @@ def parse(page: str) -> list[Node]:
             else:
                 nodes[put("#text")].text.append(text)
 
-    def close(names: frozenset[str] | set[str], until: frozenset[str] | set[str]) -> None:
-        for depth in range(len(stack) - 1, 0, -1):
-            tag = nodes[stack[depth]].tag
-            if tag in names:
-                del stack[depth:]
-                return
-            if tag in until:
-                return
-
-    at = 0
-    while found := TAG.search(page, at):
-        add_text(page[at : found.start()])
-        at = found.end()
-        name = (found.group(3) or "").lower()
+    def close(names: frozenset[str], until: frozenset[str]) -> None:
+        """Ends the innermost open element of ``names`` with all in it, unless one of ``until`` stands between."""
+        depth = max((opened[n][-1] for n in names if opened.get(n)), default=0)
+        if not depth or depth < len(stack) - 1 and max((opened[n][-1] for n in until if opened.get(n)), default=0) > depth:
+            return
+        while len(stack) > depth:
+            opened[nodes[stack.pop()].tag].pop()
+
+    scanner, at = Scanner(page), 0
+    while found := scanner.next(at):
+        start, end, name, closing, attrs = found
+        add_text(page[at:start])
+        at = end
         if not name:
             continue
-        if found.group(2):
-            if name == "p" and not any(nodes[i].tag == "p" for i in stack):
-                continue
-            if name in INLINE:
-                close({name}, P_ENDERS | SCOPE)
-            else:
-                close({name}, {"html", "body"} if name not in ("html", "body") else set())
+        if closing:
+            close(frozenset((name,)), INLINE_ENDS if name in INLINE else PAGE if name not in PAGE else frozenset())
             continue
         if name in P_ENDERS:
-            close({"p"}, SCOPE)
+            close(P_ALONE, SCOPE)
         if name in IMPLIED:
-            names, until = IMPLIED[name]
-            close(set(names.split()), set(until.split()))
-        attrs = found.group(4)
+            close(*IMPLIED[name])
         if name in RAW and name != "template":
-            end = re.compile(rf"</{name}[\s/>]", re.I).search(page, at)
+            last = re.compile(rf"</{name}[\s/>]", re.I).search(page, at)
             put(name, attrs)
-            if not end:
-                at = len(page)
-                break
-            at = page.find(">", end.start()) + 1 or len(page)
+            at = page.find(">", last.start()) + 1 or len(page) if last else len(page)
             continue
         node = put(name, attrs)
-        if name not in VOID and not attrs.rstrip().endswith("/"):
+        if name not in VOID and not (attrs.rstrip().endswith("/") and name in ("svg", "path")):
             stack.append(node)
-        elif name not in VOID:
-            stack.append(node) if name not in ("svg", "path") else None
+            opened.setdefault(name, []).append(len(stack) - 1)
     add_text(page[at:])
     return nodes
 
@@ -217,7 +256,7 @@ def features(tree: list[Block]) -> np.ndarray:
             leaves[p] += leaves[i]
             stops[p] += stops[i]
     kinds = 1 + len(BAD_SETS)
-    x = np.zeros((n, 14 + len(TAGS) + 2 * kinds + len(BAD_TAGS) + 2))
+    x = np.zeros((n, 14 + len(TAGS) + 2 * kinds + len(BAD_TAGS) + 2), dtype=np.float32)
     parents, depth, place, count, before, after = ([0] * n for _ in range(6))
     at, up = 14 + len(TAGS), 14 + len(TAGS) + kinds
     marked = [False] * n
@@ -277,33 +316,53 @@ class Trees:
 
 
 def boost(x: np.ndarray, y: np.ndarray, rounds: int = 60, depth: int = 4, rate: float = 0.25, ridge: float = 1.0, bins: int = 24) -> Trees:
-    """Gradient boosting of the logistic loss, with second-order gains over histograms."""
+    """Gradient boosting of the logistic loss, with second-order gains over histograms (over sums for two-valued features)."""
     edges = [np.unique(np.quantile(x[:, f], np.linspace(0, 1, bins + 1)[1:-1])) for f in range(x.shape[1])]
-    binned = np.stack([np.searchsorted(e, x[:, f], side="left") for f, e in enumerate(edges)], axis=1)
+    edges = [np.array([(e[0] + c.max()) / 2]) if len(e) == 1 and c.max() > e[0] else np.array([(c.min() + c.max()) / 2]) if len(np.unique(c)) == 2 else e for e, c in zip(edges, x.T, strict=True)]
+    wide = [f for f, e in enumerate(edges) if len(e) > 1]
+    flags = [f for f, e in enumerate(edges) if len(e) == 1 and x[:, f].max() > e[0]]
+    binned = np.stack([np.searchsorted(edges[f], x[:, f], side="left") for f in wide], axis=1)
+    above = np.stack([x[:, f] > edges[f][0] for f in flags], axis=1).astype(np.float32)
     start = float(np.log((y.mean() + 1e-6) / (1 - y.mean() + 1e-6)))
     margin = np.full(len(x), start)
     model = Trees(start, [], [], [], depth)
-    offset = np.arange(x.shape[1]) * (bins + 1)
+    cells = bins + 1
+    flat = binned + np.arange(len(wide)) * cells
+    worth = lambda g, h: g**2 / (h + ridge)
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-margin))
         g, h = y - p, np.maximum(p * (1 - p), 1e-6)
         size = (1 << depth + 1) - 1
         feature, cut, value = np.zeros(size, dtype=np.int64), np.full(size, np.inf), np.zeros(size)
         node = np.zeros(len(x), dtype=np.int64)
-        for k in range((1 << depth) - 1):
-            at = np.flatnonzero(node == k)
-            if len(at) < 20:
-                continue
-            flat = (binned[at] + offset).ravel()
-            sg = np.bincount(flat, np.repeat(g[at], x.shape[1]), minlength=offset[-1] + bins + 1).reshape(-1, bins + 1).cumsum(1)
-            sh = np.bincount(flat, np.repeat(h[at], x.shape[1]), minlength=offset[-1] + bins + 1).reshape(-1, bins + 1).cumsum(1)
-            tg, th = sg[:, -1:], sh[:, -1:]
-            gain = sg**2 / (sh + ridge) + (tg - sg) ** 2 / (th - sh + ridge) - tg**2 / (th + ridge)
-            f, b = np.unravel_index(np.argmax(gain), gain.shape)
-            if gain[f, b] <= 1e-6 or b >= len(edges[f]):
-                continue
-            feature[k], cut[k] = f, edges[f][b]
-            node[at] = 2 * k + 1 + (binned[at, f] > b)
+        for level in range(depth):
+            first, width = (1 << level) - 1, 1 << level
+            here = np.flatnonzero(node >= first)
+            local = node[here] - first
+            sums = np.stack([np.bincount(local, v[here], minlength=width) for v in (g, h)])
+            cell = (flat[here] + local[:, None] * len(wide) * cells).ravel()
+            left = np.stack([np.bincount(cell, np.repeat(v[here], len(wide)), minlength=width * len(wide) * cells) for v in (g, h)])
+            left = left.reshape(2, width, len(wide), cells).cumsum(3)
+            spread = np.zeros((len(x), 2 * width), dtype=np.float32)
+            spread[here, local], spread[here, local + width] = g[here], h[here]
+            right = (above.T @ spread).astype(float)
+            for k in range(width):
+                at = here[local == k]
+                if len(at) < 20:
+                    continue
+                tg, th = sums[:, k]
+                gain = worth(*left[:, k]) + worth(tg - left[0, k], th - left[1, k])
+                flag_gain = worth(right[:, k], right[:, k + width]) + worth(tg - right[:, k], th - right[:, k + width])
+                f, b = np.unravel_index(np.argmax(gain), gain.shape)
+                least = worth(tg, th) + 1e-6
+                if flag_gain.max(initial=-1.0) > gain[f, b]:
+                    f = int(np.argmax(flag_gain))
+                    if flag_gain[f] > least:
+                        feature[first + k], cut[first + k] = flags[f], edges[flags[f]][0]
+                        node[at] = 2 * (first + k) + 1 + (above[at, f] > 0)
+                elif gain[f, b] > least and b < len(edges[wide[f]]):
+                    feature[first + k], cut[first + k] = wide[f], edges[wide[f]][b]
+                    node[at] = 2 * (first + k) + 1 + (binned[at, f] > b)
         # Rows that stop early go down the left side, where an infinite cut sends them when the tree is used.
         for _ in range(depth):
             early = node < (1 << depth) - 1
@@ -427,8 +486,9 @@ def labelled_page(page: str) -> tuple[np.ndarray, np.ndarray]:
     return features(tree), labels
 
 
+@lru_cache(maxsize=4)
 def train(pages: int = 700, seed: int = 5) -> Trees:
-    """Fits the trees to made pages; the same seed gives the same model."""
+    """Fits the trees to made pages, once in a driver's life; the same seed gives the same model."""
     maker = PageMaker(seed)
     made = [labelled_page(maker.page()) for _ in range(pages)]
     return boost(np.concatenate([x for x, _ in made]), np.concatenate([y for _, y in made]))
@@ -466,13 +526,18 @@ def extract(pages: DataFrame, model: Trees | None = None, html_col: str = "html"
         for batch in batches:
             texts: list[str] = []
             htmls = batch.column(len(keep)).to_pylist()
-            for at in range(0, len(htmls), 64):
-                trees = [blocks(parse(h or "")) for h in htmls[at : at + 64]]
-                margin = model.margin(np.concatenate([features(t) for t in trees]))
+            held: list[list[Block]] = []
+            for number, page in enumerate(htmls, 1):
+                held.append(blocks(parse(page or "")))
+                # Trees meet in one matrix, so far as its size has a bound.
+                if sum(map(len, held)) < 20_000 and number < len(htmls):
+                    continue
+                margin = model.margin(np.concatenate([features(t) for t in held]))
                 place = 0
-                for tree in trees:
+                for tree in held:
                     texts.append(" ".join(tree[i].text for i in decode(tree, margin[place : place + len(tree)])))
                     place += len(tree)
+                held = []
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keep))), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], [*keep, "text", "n_chars"])
 
     return chosen.mapInArrow(work, schema)

@@ -1,6 +1,11 @@
 """HTML extraction: the parser, the decoder, and held-out pages."""
 
+import re
+import time
+from html.parser import HTMLParser
+
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 
 from sedgewren.llm import html_text as H
@@ -58,3 +63,53 @@ def test_extract_keeps_rows(spark, model):
     assert len(got) == 5 and sorted(r.n_chars for r in got)[:2] == [0, 0] and all(r.n_chars == len(r.text) for r in got)
     assert max(got, key=lambda r: r.n_chars).text == " ".join(["word after word here."] * 20_000)
     assert H.extract(spark.createDataFrame([], "page_id long, url string, html string"), model).count() == 0
+
+
+@pytest.mark.parametrize("page", ["<a " * 400_000, "<!x " * 400_000, "<div>" * 100_000 + "x", "<b>" * 100_000 + "x", "<p><button>" + "<b>" * 50_000 + "<h1></h1>" * 50_000, "<a '" * 300_001 + ">", "<div>" * 100_000 + "</b>" * 100_000, "<!--" * 300_000], ids=lambda p: p[:12])
+def test_odd_pages_take_no_square_time(page):
+    began = time.time()
+    H.features(H.blocks(H.parse(page)))
+    assert time.time() - began < 15
+
+
+class Article(HTMLParser):
+    """An extractor of another make: the text of <article> by the standard library's parser, without its named boilerplate."""
+
+    BLOCKS = {"p", "div", "h1", "h2", "h3", "ul", "ol", "li", "section", "article", "table", "tr", "td", "blockquote", "pre"}
+    OUT = {"nav", "header", "footer", "aside", "form", "script", "style"}
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.inside, self.skip, self.parts = 0, [], []
+
+    def handle_starttag(self, tag, attrs):
+        named = " ".join(v or "" for k, v in attrs if k in ("class", "id"))
+        self.inside += tag == "article"
+        if self.skip or tag in self.OUT or re.search(r"\b(ads?|comments?|cookie|share|related|sidebar)\b", named):
+            self.skip.append(tag)
+        if tag in self.BLOCKS or tag == "br":
+            self.parts.append(" ")
+
+    def handle_endtag(self, tag):
+        if self.skip and self.skip[-1] == tag:
+            self.skip.pop()
+        self.inside -= tag == "article"
+        if tag in self.BLOCKS:
+            self.parts.append(" ")
+
+    def handle_data(self, data):
+        if self.inside and not self.skip:
+            self.parts.append(data)
+
+
+def test_equal_to_an_independent_extractor(model):
+    rows = pq.read_table("/root/testdata/sf0.01/pages.parquet", columns=["html"])["html"].to_pylist()
+    assert len(rows) > 100
+    for page in rows:
+        other = Article()
+        other.feed(page)
+        assert text_of(model, page) == " ".join("".join(other.parts).split())
+
+
+def test_the_model_is_fitted_once():
+    assert H.train() is H.train()
