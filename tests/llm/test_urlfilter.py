@@ -1,6 +1,7 @@
 """The Bloom cascade against plain rules."""
 
 import random
+import time
 
 from sedgewren.llm import urlfilter
 
@@ -32,6 +33,26 @@ def test_verdicts_equal_plain_rules(spark):
     assert got == {i: plain(u) for i, u in enumerate(urls())}
 
 
+def test_very_long_hosts(spark):
+    long = ["http://" + "a." * 50_000 + "example.com/en/", "http://" + "b" * 100_000 + ".net/fr/x", "http://" + "." * 100_000 + "/", "x://" + "www.example.com." * 7_000 + "com/en/"]
+    frame = spark.createDataFrame(list(enumerate(long)), "page_id long, url string")
+    began = time.time()
+    got = {r.page_id: (r.rule, r.verdict) for r in urlfilter.judge(frame).collect()}
+    assert got == {0: ("example.com/en/", "block"), 1: ("net/fr/", "block"), 2: (None, "allow"), 3: ("com/", "allow")} and time.time() - began < 60
+
+
+def test_many_rules_are_dealt_to_several_cascades(spark, monkeypatch):
+    monkeypatch.setattr(urlfilter, "CASCADE_RULES", 40)
+    rng = random.Random(9)
+    rules = tuple(sorted({(rng.choice(["block", "allow"]), f"h{rng.randrange(60)}.org", rng.choice(["/", "/a/", "/a/b"])) for _ in range(160)}))
+    rules = tuple({(h, p): (v, h, p) for v, h, p in rules}.values())
+    assert len(rules) > 80
+    pages = [f"http://{rng.choice(['', 'x.', 'y.z.'])}h{rng.randrange(70)}.org{rng.choice(['/', '/a/', '/a/b', '/a/bc', '', '/q'])}" for _ in range(400)]
+    got = {r.page_id: (r.rule, r.verdict) for r in urlfilter.judge(spark.createDataFrame(list(enumerate(pages)), "page_id long, url string"), rules).collect()}
+    monkeypatch.setattr(urlfilter, "RULES", rules)
+    assert got == {i: plain(u)[2:] for i, u in enumerate(pages)}
+
+
 def test_cascade_is_exact_over_its_universe(spark):
     listed = spark.createDataFrame([(f"k{i}",) for i in range(0, 3000, 30)], "key string")
     universe = spark.range(3000).selectExpr("concat('k', id) as key")
