@@ -12,9 +12,11 @@ from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; only where the session has none (tests), a temporary one."""
+    """The folder of spark.checkpoint.dir. Only a local session without one (tests) gets a temporary folder; executors elsewhere would not share it."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='sedgewren-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -59,7 +61,7 @@ class Scratch:
         delete(self.spark, frame._sedgewren_path)
 
 
-def components(edges: DataFrame, scratch: Scratch, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """Connected components by alternating large and small stars.
 
     ``edges`` has long columns u and v, in any order; nulls and loops are ignored. Returns (node, component)
@@ -69,7 +71,7 @@ def components(edges: DataFrame, scratch: Scratch, rounds: int = 60) -> DataFram
     known = edges.where("u is not null and v is not null and u <> v")
     current = scratch.put(known.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     before = None
-    for _ in range(rounds):
+    while True:  # each round makes progress until the stars stand, so this ends
         both = current.select("u", "v").union(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = scratch.put(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
         large = scratch.put(both.where("v > u").join(low.hint("merge"), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
@@ -86,4 +88,3 @@ def components(edges: DataFrame, scratch: Scratch, rounds: int = 60) -> DataFram
                 current.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
             )
         before = tuple(state)
-    raise RuntimeError(f"components did not settle in {rounds} rounds")

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, components
@@ -62,30 +63,53 @@ def fingerprints(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", text
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(work, "id long, fp long")
 
 
-def meeting_keys(fp: str = "fp") -> F.Column:
-    """The multi-index keys of a fingerprint for distances up to two.
+#: Segments of a fingerprint: (lowest bit, radius of the ball that is looked up). If two fingerprints differ in two
+#: bits or fewer, they differ in at most one bit of the first segment, or in none of the second.
+SEGMENTS = ((0, 1), (32, 0))
+#: Fingerprints of one segment value that are compared by the table; hotter values go by whole-fingerprint balls.
+HOT = 64
 
-    The fingerprint is cut into two 32-bit segments. For each segment its Hamming ball of radius one is
-    enumerated while the other segment stays, and the whole key is looked up. Two fingerprints at most two
-    bits apart meet in a key between them (each is one flip or none away from it), so a table of these keys
-    misses no link, and no key is shared by more than 65 distinct fingerprints, however hot a segment is.
-    """
+
+def segment(fp: Column, low: int) -> Column:
+    return F.shiftrightunsigned(fp, low).bitwiseAND(F.lit(0xFFFFFFFF))
+
+
+def ball(value: Column, radius: int, bits: int, low: int = 0) -> Column:
+    """All values at most ``radius`` (0 or 1) flips of the ``bits`` bits from ``low`` away."""
     one = F.lit(1).cast("long")
-    flips = [F.col(fp)] + [F.col(fp).bitwiseXOR(F.shiftleft(one, bit)) for segment in (0, 32) for bit in range(segment, segment + 32)]
-    return F.array(*flips)
+    return F.array(value, *[value.bitwiseXOR(F.shiftleft(one, low + bit)) for bit in range(bits if radius else 0)])
 
 
-def near_links(reps: DataFrame) -> DataFrame:
-    """(u, v): a spanning set of the links among distinct fingerprints (rep, fp) at distance two or less.
+def near_links(reps: DataFrame, scratch: Scratch) -> DataFrame:
+    """(u, v): links among distinct fingerprints (rep, fp) at distance two or less, enough to connect all that are linked.
 
-    All members of a key are within two of each other; each links with the key's least representative, and
-    the complete distance is verified.
+    Multi-index hashing: a table for each segment holds each fingerprint once under the segment's value. A
+    fingerprint enumerates the Hamming ball of its own value, fetches what the table holds under each, and the
+    complete distances are verified. Values that over HOT fingerprints share (texts alike in all but a few
+    shingles) are left out of that; the fingerprints that hold or look up such a value enumerate the ball of
+    radius one of the whole fingerprint instead, whose members meet in a key between them: no key has more
+    than 65, so no group of the size of a hot value comes together, and no link is lost.
     """
-    tables = reps.where("rep is not null").select("rep", "fp", F.explode(meeting_keys()).alias("key"))
-    met = tables.groupBy("key").agg(F.collect_list(F.struct("rep", "fp")).alias("all")).where("size(all) > 1")
-    pairs = met.select(F.array_min("all").alias("a"), F.explode("all").alias("b")).where("a.rep <> b.rep")
-    near = pairs.where("bit_count(a.fp ^ b.fp) <= 2")
-    return near.select(F.col("b.rep").alias("u"), F.col("a.rep").alias("v")).distinct()
+    known = reps.where("rep is not null").select("rep", "fp")
+    fp = F.col("fp")
+    table = [known.select("rep", "fp", F.lit(n).alias("seg"), segment(fp, low).alias("key")) for n, (low, _) in enumerate(SEGMENTS)]
+    table = reduce(DataFrame.unionByName, table)
+    asked = [known.select(F.col("rep").alias("a"), F.col("fp").alias("fa"), F.lit(n).alias("seg"), F.explode(ball(segment(fp, low), radius, 32)).alias("key")) for n, (low, radius) in enumerate(SEGMENTS)]
+    asked = reduce(DataFrame.unionByName, asked)
+    counts = table.groupBy("seg", "key").agg(F.count("*").alias("n"))
+    hot = scratch.put(counts.where(F.col("n") > HOT).select("seg", "key"))
+    if hot.isEmpty():
+        cold, rest = table, None
+    else:
+        cold = table.join(hot.hint("merge"), ["seg", "key"], "left_anti")
+        rest = asked.join(hot.hint("merge"), ["seg", "key"], "left_semi").groupBy("a").agg(F.first("fa").alias("fa")).select(F.col("a").alias("rep"), F.col("fa").alias("fp"))
+    near = F.bit_count(F.col("fp").bitwiseXOR(F.col("fa"))) <= 2
+    links = asked.join(cold.hint("merge"), ["seg", "key"]).where((F.col("a") != F.col("rep")) & near).select(F.greatest("a", "rep").alias("u"), F.least("a", "rep").alias("v"))
+    if rest is not None:
+        met = rest.select("rep", "fp", F.explode(ball(fp, 1, 64)).alias("key")).groupBy("key").agg(F.collect_list(F.struct("rep", "fp")).alias("all")).where("size(all) > 1")
+        pairs = met.select(F.array_min("all").alias("a"), F.explode("all").alias("b")).where("a.rep <> b.rep and bit_count(a.fp ^ b.fp) <= 2")
+        links = links.unionByName(pairs.select(F.col("b.rep").alias("u"), F.col("a.rep").alias("v")))
+    return links.distinct()
 
 
 def simhash_groups(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -98,7 +122,7 @@ def simhash_groups(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", te
     scratch = Scratch(docs.sparkSession, "simhash")
     own = scratch.put(fingerprints(docs, shingle, id_col, text_col))
     reps = scratch.put(own.groupBy("fp").agg(F.min("id").alias("rep")))
-    links = scratch.put(near_links(reps))
+    links = scratch.put(near_links(reps, scratch))
     found = components(links, scratch)
     named = scratch.put(
         reps.join(found, reps.rep == found.node, "left").select("fp", F.coalesce("component", "rep").alias("component_id"))

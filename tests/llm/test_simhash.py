@@ -64,10 +64,33 @@ def test_chains_of_single_flips_are_one_component(spark):
         fp ^= 3 << bit
         values.append(fp - (1 << 64) if fp >> 63 else fp)
     reps = spark.createDataFrame([(i * 7 % 31, v) for i, v in enumerate(values)], "rep long, fp long")
-    found = components(simhash.near_links(reps), Scratch(spark, "t"))
+    scratch = Scratch(spark, "t")
+    found = components(simhash.near_links(reps, scratch), scratch)
     assert {(r.node, r.component) for r in found.collect()} == {(i, 0) for i in range(31)}
 
 
+def test_links_among_hot_and_cold_segments_equal_all_pairs(spark):
+    """Half the fingerprints share a segment's value, in either segment; the others are near some of them, or not."""
+    from sedgewren.llm.common import Scratch, components
+
+    rng, values = random.Random(8), set()
+    hot = [rng.getrandbits(32), rng.getrandbits(32) << 32]
+    for _ in range(300):
+        values.add(hot[0] | rng.getrandbits(10) << 40)
+        values.add(hot[1] | rng.getrandbits(10) << 3)
+    for v in rng.sample(sorted(values), 150):
+        values.add(v ^ 1 << rng.randrange(64) ^ 1 << rng.randrange(64))
+        values.add(v ^ 1 << rng.randrange(64))
+    values |= {rng.getrandbits(64) for _ in range(100)}
+    prints = dict(enumerate(sorted(values)))
+    reps = spark.createDataFrame([(i, v - (1 << 64) if v >> 63 else v) for i, v in prints.items()], "rep long, fp long")
+    scratch = Scratch(spark, "t")
+    links = simhash.near_links(reps, scratch).collect()
+    assert links and all((prints[r.u] ^ prints[r.v]).bit_count() <= 2 for r in links)
+    got = {r.node: r.component for r in components(spark.createDataFrame(links, "u long, v long"), scratch).collect()}
+    assert {i: got.get(i, i) for i in prints} == slow_groups(prints)
+
+
 def test_empty_table_and_null_ids(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert simhash.simhash_groups(empty).count() == 0
