@@ -103,7 +103,22 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near_dedup(table(spark, sf_dir, "embeddings"))
 
 
-@query("op10_suffixes")
+#: White space as Python knows it; windows of 50 words that two documents have, merged where they meet.
+OP10_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS k, doc_id, text FROM (SELECT DISTINCT doc_id, text FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL)),
+p AS (SELECT k, doc_id, unnest(regexp_extract_all(text, '[{s}]+|[^{s}]+')) AS part, generate_subscripts(regexp_extract_all(text, '[{s}]+|[^{s}]+'), 1) AS i FROM d),
+o AS (SELECT k, doc_id, part, i, sum(length(part)) OVER (PARTITION BY k ORDER BY i) AS till FROM p),
+w AS (SELECT k, doc_id, part, row_number() OVER (PARTITION BY k ORDER BY i) AS n, till FROM o WHERE NOT regexp_matches(part, '^[{s}]')),
+r AS (SELECT k, doc_id, n, till - length(part) AS s, lead(till, 49) OVER (PARTITION BY k ORDER BY n) AS e,
+             string_agg(part, ' ') OVER (PARTITION BY k ORDER BY n ROWS BETWEEN CURRENT ROW AND 49 FOLLOWING) AS run FROM w),
+b AS (SELECT run, min(doc_id) AS first FROM r WHERE e IS NOT NULL GROUP BY run HAVING min(doc_id) <> max(doc_id)),
+h AS (SELECT k, doc_id, n, s, e, first, CASE WHEN n <= lag(n) OVER (PARTITION BY k ORDER BY n) + 50 THEN 0 ELSE 1 END AS new FROM r JOIN b USING (run) WHERE e IS NOT NULL),
+g AS (SELECT *, sum(new) OVER (PARTITION BY k ORDER BY n) AS g FROM h)
+SELECT doc_id, CAST(min(s) AS BIGINT) AS start, CAST(max(e) AS BIGINT) AS "end", CAST(max(n) - min(n) + 50 AS BIGINT) AS n_words, min(first) AS first_doc_id FROM g GROUP BY k, doc_id, g
+""".replace("{s}", r"\t\n\x0B\f\r\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}")
+
+
+@query("op10_suffixes", OP10_SQL)
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.repeated_passages(spread(table(spark, sf_dir, "documents")))
 

@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -62,88 +63,257 @@ def minimisers(seeds: np.ndarray, window: int) -> np.ndarray:
     return np.unique(np.arange(len(view)) + view.argmin(axis=1))
 
 
+#: Contexts that are compared at once; a group of equal beginnings that is larger goes on in further blocks.
+BLOCK = 16_384
+#: Between words in sort keys: below every character that a word's key holds, so that order is by whole words.
+BETWEEN = "\0"
+OUT = "kind int, c1 long, c2 long, k1 long, k2 long, l int, low long, high long, doc_id long, own long, w0 int, w1 int"
+
+
+def sort_words(text: str) -> list[str]:
+    """The text's words as sort keys keep them: a NUL, and what stands for one, is spelled with two characters."""
+    words = text.split()
+    if "\0" in text or "\1" in text:
+        words = [w.replace("\1", "\1\2").replace("\0", "\1\1") for w in words]
+    return words
+
+
+def codes(known: dict[str, int], contexts: list[tuple[str, str]], least: int, back: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Words as numbers: those from each suffix's start on, those before it (nearest first), and how many of either.
+
+    What is missing at a text's ends is a number of its own in each row, so it equals nothing.
+    """
+    n = len(contexts)
+    missing = -1 - np.arange(n, dtype=np.int64)[:, None]
+    right, left = np.repeat(missing, least, axis=1), np.repeat(missing, back, axis=1)
+    counts = np.zeros((2, n), dtype=np.int64)
+    code = known.setdefault
+    for i, (suffix, before) in enumerate(contexts):
+        own = [code(w, len(known)) for w in suffix.split(BETWEEN)]
+        right[i, : len(own)] = own
+        counts[0, i] = len(own)
+        if before:
+            own = [code(w, len(known)) for w in reversed(before.split(BETWEEN))]
+            left[i, : len(own)] = own
+            counts[1, i] = len(own)
+    return right, left, counts[0], counts[1]
+
+
+def neighbours(seeds: np.ndarray, contexts: list[tuple[str, str]], low: np.ndarray, high: np.ndarray, known: dict[str, int], least: int, shortest: int) -> tuple[np.ndarray, np.ndarray]:
+    """For sorted contexts: (hit, first) of the run of ``least`` words that begins l words before each suffix, l = 0, 1, ...
+
+    A run hits if it occurs in two documents among the contexts; first is the smallest of them. ``low`` and
+    ``high`` are the least and greatest document of each context. The longest common beginnings of neighbours
+    part the sorted suffixes into ever longer runs of equal beginnings; within those of least - l words, suffixes
+    are extended to the left, and those with the same l words there have the same run.
+    """
+    n, back = len(seeds), least - shortest
+    right, left, after, before = codes(known, contexts, least, back)
+    equal = right[1:] == right[:-1]
+    common = np.where(equal.all(axis=1), least, equal.argmin(axis=1))
+    common[seeds[1:] != seeds[:-1]] = 0
+    hit, first = np.zeros((n, back + 1), dtype=bool), np.zeros((n, back + 1), dtype=np.int64)
+    side, width = np.zeros(n, dtype=np.int64), len(known) + n + 1
+    for l in range(back + 1):  # noqa: E741
+        if l:
+            side = np.unique(side * width + left[:, l - 1] + n, return_inverse=True)[1]
+        begin = np.concatenate([[0], np.cumsum(common < least - l)])
+        key = begin * n + side
+        order = np.argsort(key, kind="stable")
+        at = np.flatnonzero(np.concatenate([[True], key[order][1:] != key[order][:-1]]))
+        least_doc, most_doc = np.minimum.reduceat(low[order], at), np.maximum.reduceat(high[order], at)
+        sizes = np.diff(np.append(at, n))
+        hit[order, l], first[order, l] = np.repeat(least_doc != most_doc, sizes), np.repeat(least_doc, sizes)
+        hit[:, l] &= (after >= least - l) & (before >= l)
+    return hit, first
+
+
+def signed(digest: int) -> tuple[int, int]:
+    """A 128-bit number as two signed ones."""
+    return tuple(v - (1 << 64) if v >> 63 else v for v in (digest >> 64, digest & (1 << 64) - 1))
+
+
+def frame_of(columns: dict[str, np.ndarray], n: int) -> pa.RecordBatch:
+    names = [c.split() for c in OUT.split(", ")]
+    types = {"int": pa.int32(), "long": pa.int64()}
+    return pa.RecordBatch.from_arrays([pa.array(columns[c], types[t]) if c in columns else pa.nulls(n, types[t]) for c, t in names], [c for c, _ in names])
+
+
+def compare_sorted(least: int, shortest: int):
+    """The task over one range of sorted suffixes, as a function for mapInArrow.
+
+    Groups of equal seeds that lie in the range are settled here (kind 0: doc_id, own, first and last run as
+    words, and the smallest document). The first and last group may go on in the ranges beside this one, and a
+    group of over BLOCK contexts is taken in parts; of those come their runs (kind 1: context, l, the run's
+    128-bit hash, least and greatest document) and rows (kind 2), for which the ranges exchange what they hold.
+    """
+    back = least - shortest
+
+    def settle(seeds: np.ndarray, contexts: list[tuple[str, str]], docs: np.ndarray, owns: np.ndarray, places: np.ndarray, of: np.ndarray, open_: np.ndarray, known: dict[str, int]) -> Iterator[pa.RecordBatch]:
+        if not len(seeds):
+            return
+        at = np.searchsorted(of, np.arange(len(seeds)))
+        low, high = np.minimum.reduceat(docs, at), np.maximum.reduceat(docs, at)
+        if not open_.all():
+            hit, first = neighbours(seeds, contexts, low, high, known, least, shortest)
+            some = hit.any(axis=1) & ~open_
+            nearest, farthest = hit.argmax(axis=1), back - hit[:, ::-1].argmax(axis=1)
+            smallest = np.where(hit, first, np.iinfo(np.int64).max).min(axis=1)
+            take = some[of]
+            own = of[take]
+            yield frame_of({"kind": np.zeros(len(own), np.int32), "doc_id": docs[take], "own": owns[take], "w0": places[take] - farthest[own], "w1": places[take] - nearest[own], "low": smallest[own]}, len(own))
+        rest = np.flatnonzero(open_)
+        names = np.zeros((len(seeds), 2), dtype=np.int64)
+        for part in range(0, len(rest), 1024):
+            rows: list[tuple] = []
+            for i in rest[part : part + 1024].tolist():
+                suffix, before = contexts[i]
+                names[i] = signed(xxhash.xxh3_128_intdigest(f"{before}{BETWEEN}{BETWEEN}{suffix}".encode("utf-8", "surrogatepass")))
+                ahead, behind = suffix.split(BETWEEN), before.split(BETWEEN) if before else []
+                for l in range(max(0, least - len(ahead)), min(back, len(behind)) + 1):  # noqa: E741
+                    run = BETWEEN.join([*behind[len(behind) - l :], *ahead[: least - l]])
+                    rows.append((*names[i].tolist(), *signed(xxhash.xxh3_128_intdigest(run.encode("utf-8", "surrogatepass"))), l, int(low[i]), int(high[i])))
+            if rows:
+                columns = dict(zip(("c1", "c2", "k1", "k2", "l", "low", "high"), map(np.array, zip(*rows, strict=True)), strict=True))
+                yield frame_of(columns | {"kind": np.ones(len(rows), np.int32)}, len(rows))
+        take = open_[of]
+        if take.any():
+            own = of[take]
+            yield frame_of({"kind": np.full(len(own), 2, np.int32), "c1": names[own, 0], "c2": names[own, 1], "doc_id": docs[take], "own": owns[take], "w0": places[take]}, len(own))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, int] = {}
+        seeds, contexts = np.empty(0, np.int64), []
+        rows = [np.empty(0, np.int64) for _ in range(4)]  # doc_id, own, place, context
+        border = None  # the seed of the group that the range before this one, or the block before this one, may hold as well
+
+        def flush(upto: int, more: bool) -> Iterator[pa.RecordBatch]:
+            """Settles the first ``upto`` contexts; ``more``: their last group goes on."""
+            nonlocal seeds, contexts, rows, border
+            own, kept = seeds[:upto], int(np.searchsorted(rows[3], upto))
+            open_ = own == border
+            if more and upto:
+                open_ |= own == own[-1]
+                border = own[-1]
+            yield from settle(own, contexts[:upto], rows[0][:kept], rows[1][:kept], rows[2][:kept], rows[3][:kept], open_, known)
+            seeds, contexts = seeds[upto:], contexts[upto:]
+            rows = [r[kept:] for r in rows[:3]] + [rows[3][kept:] - upto]
+            if len(known) > 500_000:
+                known.clear()
+
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            seed, suffix, before = batch.column(0).to_numpy(), batch.column(1), batch.column(2)
+            if border is None:
+                border = seed[0]
+            new = np.ones(n, dtype=bool)
+            new[1:] = seed[1:] != seed[:-1]
+            for column in (suffix, before):
+                new[1:] |= pc.not_equal(column.slice(1), column.slice(0, n - 1)).to_numpy(zero_copy_only=False)
+            new[0] = not contexts or (suffix[0].as_py(), before[0].as_py()) != contexts[-1] or seed[0] != seeds[-1]
+            mask = pa.array(new)
+            place = len(contexts) - 1 + np.cumsum(new)
+            contexts += zip(suffix.filter(mask).to_pylist(), before.filter(mask).to_pylist(), strict=True)
+            seeds = np.concatenate([seeds, seed[new]])
+            rows = [np.concatenate([r, v]) for r, v in zip(rows, (*(batch.column(c).to_numpy().astype(np.int64) for c in (3, 4, 5)), place), strict=True)]
+            if len(contexts) >= BLOCK or len(rows[0]) >= 64 * BLOCK:
+                last = int(np.flatnonzero(seeds == seeds[-1])[0])
+                yield from flush(last or len(contexts), not last)
+        yield from flush(len(contexts), True)
+
+    return work
+
+
 def repeated_passages(docs: DataFrame, least: int = 50, seed_words: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, start, end, n_words, first_doc_id): each maximal stretch of a text in which every run of ``least`` words occurs in another document.
 
     1. A suffix is kept where its first ``seed_words`` words are the least of a window (by hash), so a passage of
-       ``least`` words keeps the same suffixes wherever it stands: about one in sixteen.
-    2. Kept suffixes are grouped in the order of their first words; those whose neighbours of the same start all
-       come from one document are dropped.
-    3. From each that is left the match is extended to the left and right: all runs of ``least`` words around
-       it are compared with their neighbours of other documents, by sorted 64-bit hashes, and the runs that
-       occur elsewhere are merged to stretches.
+       ``least`` words keeps the same suffixes wherever it stands: about one in thirteen. Those whose seed a single
+       document has are dropped.
+    2. The others, with as many words after and before their start as a run may take, are sorted over ranges of
+       about equal size: by seed, then by their words. A sort key ends in the document's id, so a passage that a
+       third of all documents share is spread over many ranges.
+    3. Neighbours are compared: their longest common beginnings give runs of equal beginnings, in which matches
+       are extended to the left and right, word by word (words are compared, not hashes). All suffixes of such a run count, not the nearest alone,
+       since one further off may reach further to the left. Groups that go over a range's end are settled by
+       exchanging their runs.
+    4. What the suffixes of a text found is merged to stretches.
     ``start`` and ``end`` are code points, ``first_doc_id`` is the smallest document that has a run of the stretch.
 
-    Copies are counted by partial aggregates and marked by joins that AQE may split, so a passage that a third
-    of all documents share gathers in no task. Rows of one id are one document, null ids and null texts take no
-    part, texts under ``least`` words have no passage, and other columns are ignored.
+    Rows of one id are one document: passages that only they share don't count. Rows of one id and one text are one; different texts of an id
+    each have their own stretches. Null ids and null texts take no part, texts under ``least`` words have no
+    passage, and other columns are ignored.
     """
     window = least - seed_words + 1
     scratch = Scratch(docs.sparkSession, "suffixes")
-    texts = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    texts = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col).cast("string")).alias("own"), F.col(text_col).cast("string").alias("text"))
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = word_hasher()
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                ids, places, seeds = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.uint64)]
-                for key, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                    own = runs(hasher(text), seed_words)
-                    found = minimisers(own, window)
-                    ids.append(np.full(len(found), key, dtype=np.int64))
-                    places.append(found)
-                    seeds.append(own[found])
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(ids)), pa.array(np.concatenate(places).astype(np.int32)), pa.array(np.concatenate(seeds).view(np.int64))], ["doc_id", "place", "seed"])
-
-    kept = scratch.put(texts.mapInArrow(keep, "doc_id long, place int, seed long"))
+                columns: list[list[np.ndarray]] = [[np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.int32)], [np.empty(0, np.int64)]]
+                for key, own, text in zip(*(part.column(i).to_pylist() for i in range(3)), strict=True):
+                    found_seeds = runs(hasher(text), seed_words)
+                    found = minimisers(found_seeds, window)
+                    for column, values in zip(columns, (np.full(len(found), key, dtype=np.int64), np.full(len(found), own, dtype=np.int64), found.astype(np.int32), found_seeds[found].view(np.int64)), strict=True):
+                        column.append(values)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in columns], ["doc_id", "own", "place", "seed"])
+
+    kept = scratch.put(texts.mapInArrow(keep, "doc_id long, own long, place int, seed long"))
     shared = scratch.put(kept.groupBy("seed").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a <> b").select("seed"))
-    live = scratch.put(kept.join(shared.hint("merge"), "seed").select("doc_id", "place"))
-    around = scratch.put(live.groupBy("doc_id").agg(F.collect_set("place").alias("places")))
+    live = kept.join(shared.hint("merge"), "seed")
+    around = scratch.put(live.groupBy("doc_id", "own").agg(F.collect_set(F.struct("place", "seed")).alias("places")))
     scratch.drop(kept)
 
-    def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = word_hasher()
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["seed", "suffix", "before", "doc_id", "own", "place"]
+        types = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int32()]
         for batch in batches:
-            for at in range(0, batch.num_rows, 128):
-                part = batch.slice(at, 128)
-                columns: list[list[np.ndarray]] = [[np.empty(0, np.int64)], [np.empty(0, np.int32)], [np.empty(0, np.int32)], [np.empty(0, np.int32)], [np.empty(0, np.int64)]]
-                for key, text, places in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True):
-                    own = runs(hasher(text), least)
-                    marks = np.zeros(len(own) + 1, dtype=np.int32)
-                    for place in places:
-                        if place < len(own) + window:
-                            marks[max(0, place - window + 1)] += 1 if max(0, place - window + 1) < len(own) else 0
-                            marks[min(len(own), place + 1)] -= 1 if max(0, place - window + 1) < len(own) else 0
-                    starts = np.flatnonzero(np.cumsum(marks[:-1]) > 0)
-                    if not len(starts):
-                        continue
-                    spans = np.array([m.span() for m in WORD.finditer(text)], dtype=np.int32)
-                    for column, values in zip(columns, (np.full(len(starts), key, dtype=np.int64), starts.astype(np.int32), spans[starts, 0], spans[starts + least - 1, 1], own[starts].view(np.int64)), strict=True):
-                        column.append(values)
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in columns], ["doc_id", "word", "start", "end", "run"])
+            columns: list[list] = [[] for _ in names]
+            for key, own, text, places in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                words = sort_words(text)
+                for found in places:
+                    place = found["place"]
+                    for column, value in zip(columns, (found["seed"], BETWEEN.join(words[place : place + least]), BETWEEN.join(words[max(0, place - window + 1) : place]), key, own, place), strict=True):
+                        column.append(value)
+                if len(columns[0]) >= 4096:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
+                    columns = [[] for _ in names]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
 
-    near = texts.join(around.hint("merge"), "doc_id").mapInArrow(extend, "doc_id long, word int, start int, end int, run long")
-    near = scratch.put(near)
-    twice = scratch.put(near.groupBy("run").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first <> last").select("run", "first"))
-    marked = scratch.put(near.join(twice.hint("merge"), "run").select("doc_id", "word", "start", "end", "first"))
-    scratch.drop(near)
+    order = ["seed", "suffix", "before", "doc_id"]
+    suffixes = scratch.put(texts.join(around.hint("merge"), ["doc_id", "own"]).select("doc_id", "own", "text", "places").mapInArrow(cut, "seed long, suffix string, before string, doc_id long, own long, place int"))
+    done = scratch.put(suffixes.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(compare_sorted(least, seed_words), OUT))
+    scratch.drop(suffixes)
+    scratch.drop(around)
+    asked = done.where("kind = 1").select("c1", "c2", "k1", "k2", "l", "low", "high")
+    held = asked.groupBy("k1", "k2").agg(F.min("low").alias("first"), F.max("high").alias("last")).where("first <> last").select("k1", "k2", "first")
+    answers = asked.join(held.hint("merge"), ["k1", "k2"]).groupBy("c1", "c2").agg(F.max("l").alias("far"), F.min("l").alias("near"), F.min("first").alias("first"))
+    across = done.where("kind = 2").select("c1", "c2", "doc_id", "own", "w0").join(answers.hint("merge"), ["c1", "c2"]).select("doc_id", "own", (F.col("w0") - F.col("far")).alias("w0"), (F.col("w0") - F.col("near")).alias("w1"), "first")
+    within = done.where("kind = 0").select("doc_id", "own", "w0", "w1", F.col("low").alias("first"))
+    lists = within.unionByName(across).groupBy("doc_id", "own").agg(F.sort_array(F.collect_set(F.struct("w0", "w1", "first"))).alias("found"))
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", "start", "end", "n_words", "first_doc_id"]
+        names = ["doc_id", "own", "start", "end", "n_words", "first_doc_id"]
         for batch in batches:
-            keys, lists = batch.column(0).to_numpy(), batch.column(1)
-            sizes = np.diff(lists.offsets.to_numpy())
-            # Fields of all lists in a row; flatten() heeds the batch's own offsets.
-            word, start, end, first = (f.to_numpy() for f in lists.flatten().flatten())
-            owner = np.repeat(np.arange(len(keys)), sizes)
-            new = np.ones(len(word), dtype=bool)
-            new[1:] = (owner[1:] != owner[:-1]) | (word[1:] > word[:-1] + least)
-            at = np.flatnonzero(new)
-            last = np.append(at[1:], len(word)) - 1 if len(at) else at
-            low = np.minimum.reduceat(first, at) if len(at) else first
-            columns = (keys[owner[at]], start[at].astype(np.int64), end[last].astype(np.int64), (word[last] - word[at] + least).astype(np.int64), low)
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names)
-
-    lists = marked.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("word", "start", "end", "first"))).alias("found"))
-    return lists.mapInArrow(merge, "doc_id long, start long, end long, n_words long, first_doc_id long")
+            rows = []
+            for key, own, text, found in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                stretches: list[list[int]] = []
+                for run in found:
+                    if stretches and run["w0"] <= stretches[-1][1] + least:
+                        held = stretches[-1]
+                        held[1], held[2] = max(held[1], run["w1"]), min(held[2], run["first"])
+                    else:
+                        stretches.append([run["w0"], run["w1"], run["first"]])
+                spans = [m.span() for m in WORD.finditer(text)]
+                rows += [(key, own, spans[a][0], spans[b + least - 1][1], b + least - a, first) for a, b, first in stretches]
+            columns = list(zip(*rows, strict=True)) or [[]] * len(names)
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in columns], names)
+
+    # Rows that repeat under one id and text give the same stretches; one of each stays.
+    found = texts.join(lists.hint("merge"), ["doc_id", "own"]).select("doc_id", "own", "text", "found").mapInArrow(merge, "doc_id long, own long, start long, end long, n_words long, first_doc_id long")
+    return found.dropDuplicates(["doc_id", "own", "start"]).select("doc_id", "start", "end", "n_words", "first_doc_id")

@@ -9,19 +9,15 @@ from sedgewren.llm import suffixes
 
 
 def brute(rows, least=50):
-    seen, words = {}, {}
-    for key, text in rows:
-        if key is None or text is None:
-            continue
-        words[key] = text.split()
-        for i in range(len(words[key]) - least + 1):
-            seen.setdefault(tuple(words[key][i : i + least]), set()).add(key)
-    out = set()
-    for key, text in rows:
-        if key not in words:
-            continue
-        spans, at = [m.span() for m in re.finditer(r"\S+", text)], None
-        hits = [i for i in range(len(words[key]) - least + 1) if len(seen[tuple(words[key][i : i + least])]) > 1]
+    seen, texts = {}, sorted({(k, t) for k, t in rows if k is not None and t is not None})
+    for key, text in texts:
+        words = text.split()
+        for i in range(len(words) - least + 1):
+            seen.setdefault(tuple(words[i : i + least]), set()).add(key)
+    out = []
+    for key, text in texts:
+        words, spans = text.split(), [m.span() for m in re.finditer(r"\S+", text)]
+        hits = [i for i in range(len(words) - least + 1) if len(seen[tuple(words[i : i + least])]) > 1]
         groups = []
         for i in hits:
             if groups and i <= groups[-1][1] + least:
@@ -29,10 +25,9 @@ def brute(rows, least=50):
             else:
                 groups.append([i, i])
         for a, b in groups:
-            first = min(min(seen[tuple(words[key][i : i + least])]) for i in hits if a <= i <= b)
-            out.add((key, spans[a][0], spans[b + least - 1][1], b + least - a, first))
-        del at
-    return out
+            first = min(min(seen[tuple(words[i : i + least])]) for i in hits if a <= i <= b)
+            out.append((key, spans[a][0], spans[b + least - 1][1], b + least - a, first))
+    return sorted(out)
 
 
 def rows_of():
@@ -45,11 +40,37 @@ def rows_of():
     return rows
 
 
+def found(spark, rows, parts=4):
+    frame = spark.createDataFrame([(k, t, 1) for k, t in rows], "doc_id long, text string, start int").repartition(parts)
+    return sorted((r.doc_id, r.start, r.end, r.n_words, r.first_doc_id) for r in suffixes.repeated_passages(frame).collect())
+
+
 def test_equal_to_brute_force(spark):
-    rows = rows_of()
-    frame = spark.createDataFrame([(k, t, 1) for k, t in rows], "doc_id long, text string, start int").repartition(4)
-    got = {(r.doc_id, r.start, r.end, r.n_words, r.first_doc_id) for r in suffixes.repeated_passages(frame).collect()}
-    assert got == brute(rows)
+    assert found(spark, rows_of()) == brute(rows_of())
+
+
+def test_groups_over_many_blocks_and_ranges(spark, monkeypatch):
+    """Blocks of a few contexts: nearly every group goes over a block's end, and its parts exchange runs."""
+    monkeypatch.setattr(suffixes, "BLOCK", 5)
+    rng = random.Random(12)
+    say = lambda n: " ".join(rng.choice("abcd") + str(rng.randrange(40)) for _ in range(n))
+    core = say(55)
+    rows = [(i, f"{say(rng.randrange(0, 40))} {core} {say(rng.randrange(0, 40))}") for i in range(60)]
+    # Matches that reach far to the left or to the right only with one partner each.
+    left, right = say(28), say(28)
+    rows += [(100, f"{left} {core.split(' ', 30)[30]}"), (101, f"{left} {' '.join(core.split()[:26])} q"), (102, f"{' '.join(core.split()[30:])} {right}"), (103, f"{core} {right}"), (104, f"{left} {core} {right}")]
+    rows += [(200, "\0a \1b \1\1 " * 30), (201, "x \0a \1b \1\1 " + "\0a \1b \1\1 " * 29), (202, "y\0 " * 70), (203, "y\1\1 " * 70), (204, "z y\0 " + "y\0 " * 69)]
+    assert found(spark, rows) == brute(rows)
+
+
+def test_texts_of_one_id_are_kept_apart(spark):
+    rng = random.Random(13)
+    words = [f"v{i}" for i in range(400)]
+    shared = " ".join(rng.choice(words) for _ in range(60))
+    tail = lambda: " ".join(rng.choice(words) for _ in range(20))
+    rows = [(1, f"{shared} {tail()}"), (1, f"{tail()} {shared}"), (2, f"{tail()} {tail()} {shared}"), (2, rows_of()[0][1]), (1, "a b"), (3, f"{shared} {tail()}")]
+    rows += [rows[0], rows[0]]
+    assert found(spark, rows) == brute(rows) and len(found(spark, rows)) == 4
 
 
 def test_passages_inside_one_document_alone_do_not_count(spark):
