@@ -4,64 +4,56 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import Scratch, components
 
-
-#: Levels whose cuts are fitted on the sample; deeper ones are cut at 0, so a tree's size has a bound.
-FITTED = 10
-
-
-@dataclass
-class Tree:
-    """A random direction for each level; node i of level l (in level order from 1) splits at cuts[i] into 2i and 2i + 1."""
-
-    directions: np.ndarray
-    cuts: np.ndarray
-
-    @property
-    def depth(self) -> int:
-        return len(self.directions)
-
-    def cut(self, node: np.ndarray) -> np.ndarray:
-        return np.where(node < len(self.cuts), self.cuts[np.minimum(node, len(self.cuts) - 1)], 0.0)
+#: Most levels whose nodes are cut at medians of the sample; a node that no sampled row tells about is cut at the
+#: median of its whole level. Bounds a tree's size, whatever its depth.
+FITTED = 12
+#: A tree: a direction for each level, the cuts of its first nodes in level order from 1, and a cut for each level.
+Tree = tuple[np.ndarray, np.ndarray, np.ndarray]
 
 
 def grow(sample: np.ndarray, depth: int, dim: int, rng: np.random.Generator) -> Tree:
-    """Each node is cut at the median of the sample's rows that reach it (at 0 if under eight do)."""
+    """Node i of level l splits at its cut into 2i and 2i + 1. Each is cut at the median of the sample's rows that
+    reach it; where under eight do, and below FITTED levels, at the median of the whole sample along that direction."""
     directions = rng.standard_normal((depth, dim))
     directions /= np.linalg.norm(directions, axis=1, keepdims=True)
-    cuts = np.zeros(1 << min(depth, FITTED))
+    along = sample @ directions.T if len(sample) else np.zeros((1, depth))
+    levels = np.median(along, axis=0)
+    cuts = np.repeat(levels[: min(depth, FITTED)], 1 << np.arange(min(depth, FITTED)))
+    cuts = np.concatenate([[0.0], cuts])
     node = np.ones(len(sample), dtype=np.int64)
-    for level in range(min(depth, FITTED)):
-        along = sample @ directions[level]
-        for i in np.unique(node):
-            at = node == i
-            if at.sum() >= 8:
-                cuts[i] = np.median(along[at])
-        node = 2 * node + (along > cuts[node])
-    return Tree(directions, cuts)
+    for level in range(min(depth, FITTED) if len(sample) else 0):
+        order = np.argsort(node, kind="stable")
+        found, at = np.unique(node[order], return_index=True)
+        for i, rows in zip(found, np.split(order, at[1:]), strict=True):
+            if len(rows) >= 8:
+                cuts[i] = np.median(along[rows, level])
+        node = 2 * node + (along[:, level] > cuts[node])
+    return directions, cuts, levels
 
 
 def leaves(tree: Tree, x: np.ndarray, spill: float) -> tuple[np.ndarray, np.ndarray]:
     """(row, leaf) of every leaf that a row reaches; a row within ``spill`` of a cut goes both ways."""
+    directions, cuts, levels = tree
     rows, node = np.arange(len(x)), np.ones(len(x), dtype=np.int64)
-    for direction in tree.directions:
-        along = (x @ direction)[rows] - tree.cut(node)
+    for direction, level in zip(directions, levels, strict=True):
+        cut = np.where(node < len(cuts), cuts[np.minimum(node, len(cuts) - 1)], level)
+        along = (x @ direction)[rows] - cut
         left, right = along <= spill, along > -spill
         rows, node = np.concatenate([rows[left], rows[right]]), np.concatenate([2 * node[left], 2 * node[right] + 1])
     return rows, node
 
 
-def compare(x: np.ndarray, ids: np.ndarray, codes: list[np.ndarray], code: int, least: float, own: np.ndarray, other: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Within one leaf: how many links of each row belong to it, and the least id that a row's links reach here.
+def compare(x: np.ndarray, ids: np.ndarray, copies: np.ndarray, codes: list[np.ndarray], code: int, least: float, own: np.ndarray, other: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Within one leaf: how many links of each row belong to it (to all copies of its partners), and the least id that a row's links reach here.
 
     ``own`` and ``other`` are the rows compared with each other (the same, or two tiles of a large leaf). A
     link that was already seen in a leaf of smaller code is not counted again: pairs share codes across trees.
@@ -93,8 +85,8 @@ def compare(x: np.ndarray, ids: np.ndarray, codes: list[np.ndarray], code: int,
                     s = slice(part, part + 4096)
                     fresh[s] = np.einsum("ij,ij->i", seen[pi[s]], seen[pj[s]]) == 0
                 i, j = i[fresh], j[fresh]
-            np.add.at(links, i, 1)
-            np.add.at(links, j, 1)
+            np.add.at(links, i, copies[j])
+            np.add.at(links, j, copies[i])
     changed = bool(edges)
     while changed:
         old = reach.copy()
@@ -105,80 +97,107 @@ def compare(x: np.ndarray, ids: np.ndarray, codes: list[np.ndarray], code: int,
     return links, reach
 
 
-def near_dedup(vectors: DataFrame, least: float = 0.98, trees: int = 6, leaf: int = 256, spill: float = 0.03, sample_rows: int = 8192, tile: int = 2048, seed: int = 17) -> DataFrame:
+def near_dedup(vectors: DataFrame, least: float = 0.98, trees: int = 6, leaf: int = 256, spill: float | None = None, sample_rows: int = 8192, tile: int = 2048, seed: int = 17) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of each row of (vec_id, embedding, label).
 
     Rows are linked where their labels are equal and their cosine, in double precision, is ``least`` or more.
-    Each label and dimension has its own forest, fitted on a sample of at most ``sample_rows`` rows in all
-    (chosen by a hash of the id) and as deep as leaves of about ``leaf`` rows need; every row is indexed. A row
-    within ``spill`` of a cut goes both ways, and only rows of one leaf are compared, so a link is missed if
-    every tree parts it by more than that; tests measure the recall. Leaves over ``tile`` rows, which groups of
-    almost equal vectors make, are compared tile by tile in many tasks.
+    Rows of one label with the same components are one node from the start, with their number; so copies cost
+    nothing, however many. Each label and dimension has its own forest, fitted on a sample of at most about
+    ``sample_rows`` rows in all and as deep as leaves of about ``leaf`` rows need; every node is indexed. One
+    within ``spill`` of a cut goes both ways, and only nodes of one leaf are compared, so a link is missed if
+    every tree parts it by more than that; tests measure the recall. Two vectors at the least cosine are
+    sqrt(2 - 2 least) apart, along a random direction that divided by sqrt(dim), of which ``spill`` is 1.2 times by default.
+    Leaves over ``tile`` nodes, which groups of almost equal vectors make, are compared tile by tile in many tasks.
 
     Null labels, null or empty vectors, zero vectors and ones with null or non-finite components link with
-    nothing; they are their own component. A null vec_id keeps a row with null component and kept. Of rows that
-    repeat a vec_id each counts as a vector of its own, and all get the id's sum of links.
+    nothing; they are their own component. A null vec_id keeps a row with null component and kept, and links with
+    nothing. Rows that repeat a vec_id are vectors of their own, each with its own links; the id names all
+    their components.
     """
     spark = vectors.sparkSession
     scratch = Scratch(spark, "embeddings")
-    base = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("e"), F.col("label").cast("long").alias("label"))
+    # Vectors travel in their own precision and are compared in double.
+    kind = "array<float>" if vectors.schema["embedding"].dataType == T.ArrayType(T.FloatType()) else "array<double>"
+    base = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast(kind).alias("e"), F.col("label").cast("long").alias("label"))
     usable = F.col("vec_id").isNotNull() & F.col("label").isNotNull() & F.coalesce(F.forall("e", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & F.exists("e", lambda v: v != 0), F.lit(False))
-    good = base.where(usable).withColumn("dim", F.size("e"))
-    sizes = good.groupBy("label", "dim").count()
+    keys = [F.when(usable, F.xxhash64(F.lit(i), "e")).alias(f"k{i}") for i in (1, 2)]  # 128 bits tell vectors apart
+    keyed = base.select("vec_id", "label", "e", *keys)
+    nodes = keyed.where("k1 is not null").groupBy("label", "k1", "k2").agg(F.first("e").alias("e"), F.count("*").alias("copies"), F.min("vec_id").alias("low"))
+    nodes = scratch.put(nodes.withColumns({"dim": F.size("e"), "node": F.monotonically_increasing_id()}))
+    sizes = nodes.groupBy("label", "dim").count()
     depth = F.greatest(F.lit(0), F.ceil(F.log2(F.col("count") / leaf))).cast("int")
     depths = scratch.put(sizes.select("label", "dim", "count", depth.alias("depth")))
     kinds = depths.groupBy("dim", "depth").agg(F.sum("count").alias("n")).collect()  # a row for each power of two
     total = sum(r.n for r in kinds)
     share = 1 << 30 if total <= sample_rows else int((1 << 30) * sample_rows / total)
-    sample = good.where(F.pmod(F.xxhash64("vec_id"), F.lit(1 << 30)) < share).select("vec_id", "dim", "e").toPandas().sort_values(["dim", "vec_id"])
-    by_dim = {d: unit(np.array(part.e.tolist())) for d, part in sample.groupby("dim")}
-    # One forest for each dimension and depth serves all labels alike (its leaves are kept apart by label).
+    sample = nodes.where(F.pmod(F.xxhash64("k1", "k2"), F.lit(1 << 30)) < share).select("k1", "k2", "dim", "e").toPandas().sort_values(["dim", "k1", "k2"])
+    by_dim = {d: unit(np.array(part.e.tolist(), dtype=float)) for d, part in sample.groupby("dim")}
+    # One forest for each dimension and depth serves all labels alike (its leaves are kept apart by label). Plain
+    # arrays are broadcast: workers have no copy of this package to read objects of its classes with.
     forests: dict[tuple[int, int], list[Tree]] = {}
     for r in kinds:
         rng = np.random.default_rng([seed, r.dim, r.depth])
         forests[r.dim, r.depth] = [grow(by_dim.get(r.dim, np.zeros((0, r.dim))), r.depth, r.dim, rng) for _ in range(trees)]
     shared = spark.sparkContext.broadcast(forests)
+    reach_of = lambda dim: spill if spill is not None else 1.2 * math.sqrt(2 - 2 * least) / math.sqrt(dim)
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forests = shared.value
         for batch in batches:
-            frame = batch.to_pandas()
-            for (dim, depth), part in frame.groupby(["dim", "depth"]):
-                x = unit(np.array(part.e.tolist()))
+            dims, depths = batch.column(2).to_numpy(), batch.column(5).to_numpy()
+            for dim, depth in sorted(set(zip(dims.tolist(), depths.tolist(), strict=True))):
+                part = batch.filter(pa.array((dims == dim) & (depths == depth)))
+                x = unit(matrix(part.column(3), dim))
                 found: list[list[int]] = [[] for _ in range(len(x))]
                 for number, tree in enumerate(forests[dim, depth]):
-                    for row, node in zip(*(v.tolist() for v in leaves(tree, x, spill)), strict=True):
+                    for row, node in zip(*(v.tolist() for v in leaves(tree, x, reach_of(dim))), strict=True):
                         found[row].append(number << depth + 1 | node)
-                yield pa.RecordBatch.from_arrays([pa.array(part.vec_id), pa.array(part.label), pa.array(part.dim, pa.int32()), pa.array(part.e.tolist(), pa.list_(pa.float64())), pa.array(found, pa.list_(pa.int64()))], ["vec_id", "label", "dim", "e", "codes"])
+                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(5)), pa.array(found, pa.list_(pa.int64()))], ["node", "label", "dim", "e", "copies", "codes"])
 
-    placed_at = good.join(depths.select("label", "dim", "depth").hint("merge"), ["label", "dim"]).select("vec_id", "label", "dim", "e", "depth")
-    indexed = scratch.put(placed_at.mapInArrow(index, "vec_id long, label long, dim int, e array<double>, codes array<long>"))
+    placed_at = nodes.join(depths.select("label", "dim", "depth").hint("merge"), ["label", "dim"]).select("node", "label", "dim", "e", "copies", "depth")
+    indexed = scratch.put(placed_at.mapInArrow(index, f"node long, label long, dim int, e {kind}, copies long, codes array<long>"))
     counts = indexed.select("label", "dim", F.explode("codes").alias("code")).groupBy("label", "dim", "code").count()
     # Only leaves of over ``tile`` rows are listed: fewer than one for every ``tile`` rows and tree.
     large = scratch.put(counts.where(F.col("count") > tile).select("label", "dim", "code", F.ceil(F.col("count") / tile).cast("int").alias("parts")))
-    spread = indexed.withColumn("code", F.explode("codes")).join(large.hint("merge"), ["label", "dim", "code"], "left")
-    tiled = spread.withColumn("parts", F.coalesce("parts", F.lit(1))).withColumn("part", F.pmod(F.xxhash64("vec_id"), F.col("parts").cast("long")).cast("int"))
+    spread = indexed.withColumn("code", F.explode("codes")).join(large.hint("merge"), ["label", "dim", "code"], "left") if not large.isEmpty() else indexed.withColumns({"code": F.explode("codes"), "parts": F.lit(1)})
+    tiled = spread.withColumn("parts", F.coalesce("parts", F.lit(1))).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts").cast("long")).cast("int"))
     # A row of part p goes to the tiles (p, q) and (q, p): every two parts meet once.
     placed = tiled.withColumn("q", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumns({"low": F.least("part", "q"), "high": F.greatest("part", "q")})
-
-    def join(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("vec_id", kind="stable")
-        code, low, high = key[2], key[3], key[4]
-        x, ids = unit(np.array(frame.e.tolist())), frame.vec_id.to_numpy(np.int64)
-        codes = [np.asarray(c, dtype=np.int64) for c in frame.codes]
-        part = frame.part.to_numpy()
+    placed = placed.select("label", "dim", "code", "low", "high", "node", "copies", "part", "e", "codes")
+
+    def join(key: tuple, table: pa.Table) -> pa.Table:
+        dim, code, low, high = (v.as_py() for v in key[1:])
+        table = table.combine_chunks()
+        ids, copies, part = (table.column(c).to_numpy() for c in ("node", "copies", "part"))
+        order = np.argsort(ids, kind="stable")
+        x = unit(matrix(table.column("e").combine_chunks(), dim)[order])
+        lists = table.column("codes").combine_chunks()
+        starts, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
+        codes = [flat[starts[i] : starts[i + 1]] for i in order.tolist()]
+        ids, copies, part = ids[order], copies[order], part[order]
         own = np.flatnonzero(part == low)
         other = own if low == high else np.flatnonzero(part == high)
-        links, reach = compare(x, ids, codes, code, least, own, other)
+        links, reach = compare(x, ids, copies, codes, code, least, own, other)
         some = (links > 0) | (reach < ids)
-        return pd.DataFrame({"vec_id": ids[some], "links": links[some], "reach": reach[some]})
+        return pa.table({"node": ids[some], "links": links[some], "reach": reach[some]})
 
-    partial = scratch.put(placed.groupBy("label", "dim", "code", "low", "high").applyInPandas(join, "vec_id long, links long, reach long"))
-    linked = scratch.put(partial.groupBy("vec_id").agg(F.sum("links").alias("n_links")))
-    edges = scratch.put(partial.where("reach < vec_id").select(F.col("vec_id").alias("u"), F.col("reach").alias("v")).distinct())
+    partial = scratch.put(placed.groupBy("label", "dim", "code", "low", "high").applyInArrow(join, "node long, links long, reach long"))
+    edges = scratch.put(partial.where("reach < node").select(F.col("node").alias("u"), F.col("reach").alias("v")).distinct())
     found = components(edges, scratch)
-    wide = base.select("vec_id").join(linked, "vec_id", "left").join(found.withColumnRenamed("node", "vec_id"), "vec_id", "left")
-    return wide.select("vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("component", "vec_id").alias("component_id")).withColumn("kept", F.col("vec_id") == F.col("component_id"))
+    linked = partial.groupBy("node").agg(F.sum("links").alias("links"))
+    known = nodes.select("label", "k1", "k2", "node", "copies", "low").join(linked, "node", "left").join(found, "node", "left")
+    known = scratch.put(known.select("label", "k1", "k2", "low", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "node").alias("component")))
+    named = scratch.put(known.groupBy("component").agg(F.min("low").alias("component_id")))
+    known = scratch.put(known.join(named.hint("merge"), "component").select("label", "k1", "k2", "n_links", "component_id"))
+    rows = keyed.select("vec_id", "label", "k1", "k2")
+    wide = rows.where("k1 is not null").join(known.hint("merge"), ["label", "k1", "k2"]).select("vec_id", "n_links", "component_id")
+    alone = rows.where("k1 is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    return wide.unionByName(alone).withColumn("kept", F.col("vec_id") == F.col("component_id"))
+
+
+def matrix(lists: pa.ListArray, dim: int) -> np.ndarray:
+    """The rows of a list column as a matrix of doubles."""
+    return lists.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, dim)
 
 
 def unit(x: np.ndarray) -> np.ndarray:

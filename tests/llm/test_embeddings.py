@@ -65,3 +65,30 @@ def test_null_ids_and_empty_table(spark):
     assert embeddings.near_dedup(spark.createDataFrame([], schema)).count() == 0
     got = embeddings.near_dedup(spark.createDataFrame([(None, [1.0], 1), (4, [1.0], 1)], schema)).collect()
     assert sorted(((r.vec_id, r.n_links) for r in got), key=str) == [(4, 0), (None, 0)]
+
+
+def test_repeated_ids_and_copies_are_vectors_of_their_own(spark):
+    rows = [(5, [1.0, 0.0], 0), (5, [1.0, 0.0], 0), (6, [1.0, 0.0], 0), (7, [0.999, 0.01], 0), (5, [0.0, 1.0], 0), (8, [1.0, 0.0], 1), (4, [0.0, 1.0], None)]
+    got = sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in embeddings.near_dedup(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect())
+    assert got == [(4, 0, 4, True), (5, 0, 5, True), (5, 3, 5, True), (5, 3, 5, True), (6, 3, 5, False), (7, 3, 5, False), (8, 0, 8, True)]
+
+
+def test_recall_below_the_fitted_levels_and_away_from_the_origin():
+    """Trees of 14 levels on data far from the origin: pairs at the least cosine still meet in some leaf."""
+    rng = np.random.default_rng(4)
+    for dim, shift in ((64, 0.0), (384, 0.0), (64, 0.6)):
+        a = embeddings.unit(rng.normal(size=(3000, dim)) + shift)
+        noise = rng.normal(size=a.shape)
+        noise -= (noise * a).sum(axis=1, keepdims=True) * a
+        b = embeddings.unit(a + embeddings.unit(noise) * np.tan(np.arccos(0.981)))
+        met, copies, spill = np.zeros(len(a), dtype=bool), 0, 1.2 * np.sqrt(0.04) / np.sqrt(dim)
+        for t in range(6):
+            tree = embeddings.grow(a, 14, dim, np.random.default_rng(t))
+            at = [dict() for _ in range(2)]
+            for side, x in enumerate((a, b)):
+                rows, node = embeddings.leaves(tree, x, spill)
+                copies += len(rows)
+                for r, n in zip(rows.tolist(), node.tolist(), strict=True):
+                    at[side].setdefault(r, set()).add(n)
+            met |= np.array([bool(at[0][i] & at[1][i]) for i in range(len(a))])
+        assert met.mean() >= 0.97, (dim, shift, met.mean())
