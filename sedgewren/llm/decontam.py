@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import Scratch
+
 #: Characters of benchmark text in one automaton. A larger benchmark is matched in several passes of this
 #: size, so what a task is sent never grows with the benchmark.
 PASS_CHARS = 2_000_000
@@ -18,8 +20,9 @@ SCHEMA = "doc_id long, item_id long, start long, end long, distance long, item_c
 
 def fold(text: str) -> tuple[str, list[int] | None]:
     """Lower case with runs of white space as one space, trimmed; and each character's place (None: unchanged)."""
-    out = " ".join(text.lower().split())
-    if len(out) == len(text):
+    low = text.lower()
+    out = " ".join(low.split())
+    if len(out) == len(low) == len(text):  # no letter grew, no white space went
         return out, None
     places: list[int] = []
     gap = False
@@ -158,25 +161,29 @@ def matches(text: str, items: list[Item], words: ahocorasick.Automaton) -> Itera
         yield at, begin, end, distance
 
 
+def passes(benchmark: DataFrame, rate: float, least: int) -> Iterator[tuple[list[Item], bool]]:
+    """The test items, so many at a time as PASS_CHARS allows, and whether there are more to come.
+
+    A benchmark beyond that is dealt to passes by a hash of its texts and read pass by pass, so that neither the
+    driver nor a task ever holds more than about one pass of it.
+    """
+    rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null and text <> ''")
+    chars = rows.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
+    parts = max(1, -(-chars // PASS_CHARS))
+    for part in range(parts):
+        own = rows if parts == 1 else rows.where(F.pmod(F.xxhash64("text"), F.lit(parts)) == part)
+        yield make_items([(r.item_id, r.text) for r in own.toLocalIterator()], rate, least), part + 1 < parts
+
+
 def find_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = 0.1, least: int = 40, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, item_id, start, end, distance, item_chars): each text's best occurrence of each item within ``rate`` errors.
 
     Texts and items are compared in lower case with white space collapsed; start and end are code points of the
     text as it is. Every whole text is scanned once per PASS_CHARS of benchmark text. Null or empty texts and
-    null items match nothing; items under ``least`` characters match exactly, as whole words (with errors they occur by chance); rows
-    that repeat an id each give their own rows; an empty table on either side gives no rows.
+    null items match nothing; items under ``least`` characters match exactly, as whole words (with errors they
+    occur by chance); rows that repeat an id each give their own rows; an empty table on either side gives no rows.
     """
-    spark = docs.sparkSession
-    rows = [(r[0], r[1]) for r in benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).toLocalIterator()]
-    items = make_items(rows, rate, least)
-    passes: list[list[Item]] = [[]]
-    size = 0
-    for item in items:
-        if size + len(item.text) > PASS_CHARS and passes[-1]:
-            passes.append([])
-            size = 0
-        passes[-1].append(item)
-        size += len(item.text)
+    scratch = Scratch(docs.sparkSession, "leaks")
 
     def scan(own: list[Item]) -> DataFrame:
         def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -199,32 +206,30 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = 0.1, least:
 
         return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(work, SCHEMA)
 
-    found = scan(passes[0])
-    for more in passes[1:]:
-        found = found.unionAll(scan(more))
-    assert found.sparkSession is spark
+    found = None
+    for own, more in passes(benchmark, rate, least):
+        part = scratch.put(scan(own)) if more or found is not None else scan(own)
+        found = part if found is None else found.unionAll(part)
     return found
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = 0.1, least: int = 40, text_col: str = "text") -> DataFrame:
-    """The rows in whose whole text no test item occurs within ``rate`` errors, with all their columns."""
-    rows = [(r[0], r[1]) for r in benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).toLocalIterator()]
-    items = make_items(rows, rate, least)
+    """The rows in whose whole text no test item occurs within ``rate`` errors, with all their columns.
+
+    Null and empty texts stay, as do all rows if the benchmark is empty; repeated rows stay or go alike.
+    """
+    scratch = Scratch(docs.sparkSession, "drop-leaks")
     place, schema = docs.columns.index(text_col), docs.schema
-    at = 0
-    while at < len(items):
-        own: list[Item] = []
-        size = 0
-        while at < len(items) and (not own or size + len(items[at].text) <= PASS_CHARS):
-            own.append(items[at])
-            size += len(items[at].text)
-            at += 1
-
-        def work(batches: Iterator[pa.RecordBatch], own: list[Item] = own) -> Iterator[pa.RecordBatch]:
+    for items, more in passes(benchmark, rate, least):
+        if not items:
+            continue
+
+        def work(batches: Iterator[pa.RecordBatch], own: list[Item] = items) -> Iterator[pa.RecordBatch]:
             words = automaton(own)
             for batch in batches:
                 clean = [not t or next(matches(fold_only(t), own, words), None) is None for t in batch.column(place).to_pylist()]
                 yield batch.filter(pa.array(clean, pa.bool_()))
 
         docs = docs.mapInArrow(work, schema)
+        docs = scratch.put(docs) if more else docs
     return docs

@@ -84,3 +84,19 @@ def test_short_items_match_as_whole_words(spark):
     got = {(r.doc_id, r.item_id, texts[r.doc_id][r.start : r.end], r.distance) for r in decontam.find_leaks(docs, bench).collect()}
     assert got == {(1, 1, "what is  the capital of\nFrance?", 0), (3, 2, "cat", 0), (6, 2, "Cat", 0)}
     assert {r.doc_id for r in decontam.drop_leaks(docs, bench).collect()} == {2, 4, 5}
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from(["İ", " ", "\n", "a", "Bc", "ß", "Σ"]), max_size=12).map("".join))
+def test_places_of_folded_characters(text):
+    out, places = decontam.fold(text)
+    assert out == decontam.fold_only(text)
+    places = list(range(len(text))) if places is None else places
+    assert len(places) == len(out)
+    assert all(c == " " and text[p].isspace() or c in (text[p].lower() + "ς") for c, p in zip(out, places, strict=True))
+
+
+def test_places_after_letters_that_grow(spark):
+    docs = spark.createDataFrame([(1, " İstanbul abc is a city"), (2, "abc")], "doc_id long, text string")
+    got = decontam.find_leaks(docs, spark.createDataFrame([(1, "abc")], "item_id long, text string")).collect()
+    assert {(r.doc_id, r.start, r.end) for r in got} == {(1, 10, 13), (2, 0, 3)}
