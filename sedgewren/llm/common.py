@@ -22,6 +22,15 @@ def shared_folder(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def fresh(taken: list[str], count: int) -> list[str]:
+    """Column names that none of ``taken`` has, whatever its case."""
+    used = {name.lower() for name in taken}
+    stem = "_sw"
+    while any(name.startswith(stem) for name in used):
+        stem += "_"
+    return [f"{stem}{i}" for i in range(count)]
+
+
 _ROOTS: list[tuple[SparkSession, str]] = []
 
 

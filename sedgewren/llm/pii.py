@@ -1,4 +1,4 @@
-"""Personal data: fixed patterns, and bootstrapped extraction by the labels that stand before identifiers."""
+"""Personal data: fixed patterns, and bootstrapped extraction by the labels and words that stand around identifiers."""
 
 from __future__ import annotations
 
@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, fresh
 
 KINDS = ("email", "ip", "card", "phone")
 #: Seeds of a further kind: long random strings of hexadecimal digits.
@@ -102,8 +102,49 @@ def labelled(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, int
     return out
 
 
+#: Characters that end a token, besides white space, and words or signs next to one.
+TOKEN_ENDS = frozenset("\"'<>|=:#,;()[]{}")
+DIGITS = re.compile(r"[0-9]+")
+NEXT_TO = re.compile(r"[^\W\d_]{1,30}|[^\w\s]")
+
+
+def around(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, int, str | None, bool, int, int]]:
+    """As ``labelled``: each entity of the base patterns, and each other token that could be an identifier (six or more
+    characters, a digit), with the word contexts it induces: the two words before it, and one on either side. Signs
+    count as words, but a context holds a word of letters."""
+    taken = sorted((a, b, k) for k, a, b in base)
+    spots: list[tuple[int, int, str | None]] = [(a, b, k) for a, b, k in taken]
+    done, at = 0, 0
+    for match in DIGITS.finditer(text):
+        start, end = match.span()
+        if start < done:
+            continue
+        while start > done and not (text[start - 1].isspace() or text[start - 1] in TOKEN_ENDS):
+            start -= 1
+        while end < len(text) and not (text[end].isspace() or text[end] in TOKEN_ENDS):
+            end += 1
+        done = end
+        while at < len(taken) and taken[at][1] <= start:
+            at += 1
+        end -= len(text[start:end]) - len(text[start:end].rstrip(".,;:!?)"))
+        if end - start < 6 or at < len(taken) and taken[at][0] < end:
+            continue
+        value = text[start:end]
+        spots.append((start, end, SECRET if HEX.fullmatch(value) and re.search("[a-fA-F]", value) else None))
+    out = []
+    for start, end, kind in spots:
+        before = [w.casefold() for w in NEXT_TO.findall(text[max(0, start - 64) : start])[-2:]]
+        after = [w.casefold() for w in NEXT_TO.findall(text[end : end + 32])[:1]]
+        value = xxhash.xxh64_intdigest(text[start:end].encode("utf-8", "surrogatepass")) - (1 << 63)
+        if len(before) == 2 and any(map(str.isalpha, before)):
+            out.append((f"{before[0]} {before[1]} _", value, kind, True, start, end))
+        if before and after and (before[-1].isalpha() or after[0].isalpha()):
+            out.append((f"{before[-1]} _ {after[0]}", value, kind, True, start, end))
+    return out
+
+
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One pass over whole texts: base spans, and the labelled values around which patterns are learned.
+    """One pass over whole texts: base spans, and the labelled values and word contexts around which patterns are learned.
 
     doc_key is xxhash64 of the text, by which rows of one id, and rows without an id, are told apart.
     """
@@ -117,7 +158,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
                 text = text or ""
                 spans = base_spans(text)
                 counts = [sum(k == kind for k, _, _ in spans) for kind in KINDS]
-                found = [dict(zip(("pattern", "value", "kind", "identifier", "start", "end"), x, strict=True)) for x in labelled(text, spans)]
+                found = [dict(zip(("pattern", "value", "kind", "identifier", "start", "end"), x, strict=True)) for x in (*labelled(text, spans), *around(text, spans))]
                 rows.append((key, own, *counts, joined(spans), found))
             columns = list(zip(*rows, strict=True)) or [[]] * 8
             types = [pa.int64()] * 6 + [pa.string(), pa.list_(fields)]
@@ -181,14 +222,19 @@ def merged(base: Column, added: Column) -> Column:
 
 
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows with every found span replaced by its kind in capitals in brackets; where spans meet, the first wins."""
+    """The rows with every found span replaced by its kind in capitals in brackets; where spans meet, the first wins.
+
+    Null and empty texts and rows with nothing to replace stay as they are; rows of null ids and repeated rows
+    are redacted alike. Other columns may have any names.
+    """
     names = docs.columns
+    one, two, three, spans_name = fresh(names, 4)
     found = find_private(docs, id_col, text_col).where("spans <> ''").select("doc_id", "doc_key", "spans").distinct()
     scratch = Scratch(docs.sparkSession, "redact")
-    found = scratch.put(found.select(F.coalesce("doc_id", F.lit(-1)).alias("_sw_1"), F.col("doc_id").isNull().alias("_sw_2"), F.col("doc_key").alias("_sw_3"), F.col("spans").alias("_sw_spans")))
+    found = scratch.put(found.select(F.coalesce("doc_id", F.lit(-1)).alias(one), F.col("doc_id").isNull().alias(two), F.col("doc_key").alias(three), F.col("spans").alias(spans_name)))
     key = F.col(id_col).cast("long")
-    on = (F.coalesce(key, F.lit(-1)) == F.col("_sw_1")) & (key.isNull() == F.col("_sw_2")) & (F.xxhash64(text_col) == F.col("_sw_3"))
-    wide = docs.join(found.hint("merge"), on, "left").select(*names, "_sw_spans")
+    on = (F.coalesce(key, F.lit(-1)) == F.col(one)) & (key.isNull() == F.col(two)) & (F.xxhash64(text_col) == F.col(three))
+    wide = docs.join(found.hint("merge"), on, "left").select(*names, spans_name)
     place = names.index(text_col)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

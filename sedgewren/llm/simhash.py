@@ -10,8 +10,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import Scratch, components
+from .common import Scratch, components, fresh
 
 SEED = 42
 #: Shingles whose bits are counted at once; bounds a task's memory for very long texts.
@@ -299,16 +300,19 @@ def near_copies(docs: DataFrame, shingle: int = 5, id_col: str = "doc_id", text_
 def drop_copies(docs: DataFrame, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows without near copies: of each group the row with the smallest id stays, one if it repeats.
 
-    Rows with a null id belong to no group and stay.
+    Rows with a null id belong to no group and stay. Of rows that repeat id and text, the one whose other columns come
+    first in order stays. A null text is empty. Other columns may have any names.
     """
     scratch = Scratch(docs.sparkSession, "drop-copies")
     names = docs.columns
+    key, raw, count = fresh(names, 3)
     groups = near_copies(docs, shingle, id_col, text_col)
     # Rows that repeat, or differ in case and white space alone, stay once; other texts under one id are others.
     chosen = groups.where("doc_id = component_id").groupBy("doc_id", "whole").agg(F.count("*").alias("n"), F.min("raw").alias("raw"))
-    chosen = scratch.put(chosen.select(F.col("doc_id").alias("_sw_id"), F.col("raw").alias("_sw_raw"), F.col("n").alias("_sw_n")))
-    on = (F.col(id_col).cast("long") == F.col("_sw_id")) & (F.xxhash64(text_col) == F.col("_sw_raw"))
-    kept = docs.where(F.col(id_col).isNotNull()).join(chosen.hint("merge"), on).select(*names, "_sw_n")
-    once = kept.where("_sw_n = 1").select(*names)
-    more = kept.where("_sw_n > 1").dropDuplicates([id_col, text_col]).select(*names)
+    chosen = scratch.put(chosen.select(F.col("doc_id").alias(key), F.col("raw").alias(raw), F.col("n").alias(count)))
+    on = (F.col(id_col).cast("long") == F.col(key)) & (F.xxhash64(text_col) == F.col(raw))
+    kept = docs.where(F.col(id_col).isNotNull()).join(chosen.hint("merge"), on).select(*names, key, raw, count)
+    once = kept.where(F.col(count) == 1).select(*names)
+    rest = [name for name in names if not isinstance(docs.schema[name].dataType, T.MapType | T.VariantType)]
+    more = kept.where(F.col(count) > 1).groupBy(key, raw).agg(F.min_by(F.struct(*names), F.struct(*rest)).alias(count)).select(f"{count}.*")
     return once.unionByName(more).unionByName(docs.where(F.col(id_col).isNull()))

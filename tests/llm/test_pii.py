@@ -67,3 +67,56 @@ def test_long_values_are_redacted_whole(spark):
     values = [pii.labelled(t, [])[-1] for t in (texts[9], texts[11])]
     assert values[0][1] != values[1][1]
     assert [x[0] for x in pii.labelled("a1=" + "x" * 200 + "&token=abcdef", [])][1:] == ["token = "]
+
+
+def slow_learn(edges, rounds=3, support=3, sure=0.6):
+    """The scoring of the pattern graph in plain dictionaries."""
+    graph = {}
+    for pattern, value, kind, identifier in edges:
+        old = graph.get((pattern, value), (None, False))
+        graph[pattern, value] = (max(filter(None, (old[0], kind)), default=None), old[1] or identifier)
+    sizes = {}
+    for p, _ in graph:
+        sizes[p] = sizes.get(p, 0) + 1
+    seeds = {(p, v, k): 1.0 for (p, v), (k, _) in graph.items() if k}
+    values, scored = dict(seeds), {}
+    for _ in range(rounds):
+        scored = {}
+        for (p, _v, k), conf in values.items():
+            mass, held = scored.get((p, k), (0.0, 0))
+            scored[p, k] = (mass + conf, held + 1)
+        scored = {(p, k): (mass / (sizes[p] + 1), held) for (p, k), (mass, held) in scored.items()}
+        best = {}
+        for (p, v), (kind, identifier) in graph.items():
+            if kind is None and identifier:
+                for (q, k), (conf, _h) in scored.items():
+                    if q == p and conf >= sure / 2:
+                        best[v, k] = max(best.get((v, k), 0.0), conf)
+        values = dict(seeds)
+        for (p, v), (kind, identifier) in graph.items():
+            if kind is None and identifier:
+                values |= {(p, v, k): conf for (w, k), conf in best.items() if w == v}
+    good = {}
+    for (p, k), (conf, held) in scored.items():
+        if conf >= sure and held >= support:
+            good[p] = max(good.get(p, (0.0, "")), (conf, k))
+    return {p: k for p, (_, k) in good.items()}
+
+
+def test_scores_of_the_graph_equal_a_plain_version(spark):
+    from sedgewren.llm.common import Scratch
+
+    rng = random.Random(6)
+    edges = [(f"p{rng.randrange(12)}", rng.randrange(40), rng.choice(["email", "phone", None, None]), rng.random() < 0.8) for _ in range(400)]
+    got = {r.pattern: r.kind for r in pii.score_patterns(spark.createDataFrame(edges, "pattern string, value long, kind string, identifier boolean"), Scratch(spark, "t"), sure=0.4).collect()}
+    assert got == slow_learn(edges, sure=0.4) and got
+
+
+def test_words_on_both_sides_are_learned(spark):
+    rng = random.Random(7)
+    texts = [f"please call {rng.randrange(10**6)} and dial +1 (487) 555-{1000 + i} tonight with news {i}" for i in range(8)]
+    texts += ["then dial 20-55-99-11x tonight maybe", "the year 2024-10-11 of nothing", "and dial 77a-88b-99c"]
+    got = {r.doc_id: r.spans for r in pii.find_private(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got[8] == f"phone:10:{10 + len('20-55-99-11x')}" and got[9] == "" and got[10] == f"phone:9:{9 + len('77a-88b-99c')}"
+    assert [x[0] for x in pii.around("my id: ab12345, ok", [])] == ["id : _"] and pii.around("| 123456 |", []) == []
+    assert [x[0] for x in pii.around("x " + "9" * 300_000 + " y", [])] == ["x _ y"]
