@@ -98,7 +98,21 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.format_chats(rows).select("conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars")
 
 
-@query("op1_embeddings")
+#: All pairs by double-precision cosine; vectors that link with nothing are their own component.
+OP1_SQL = """
+WITH RECURSIVE v AS (SELECT row_number() OVER () AS k, vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+g AS (SELECT k, vec_id, label, e, sqrt(list_sum(list_transform(e, lambda x: x * x))) AS norm FROM v
+      WHERE vec_id IS NOT NULL AND label IS NOT NULL AND e IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+l AS MATERIALIZED (SELECT a.k AS a, b.k AS b, a.vec_id AS va, b.vec_id AS vb FROM g a JOIN g b ON a.label = b.label AND len(a.e) = len(b.e) AND a.k <> b.k
+      WHERE list_dot_product(a.e, b.e) / (a.norm * b.norm) >= 0.98),
+r(k, c) AS (SELECT k, vec_id FROM v UNION SELECT l.b, r.c FROM r JOIN l ON r.k = l.a),
+m AS (SELECT k, min(c) AS component_id FROM r GROUP BY k),
+n AS (SELECT a AS k, count(*) AS n_links FROM l GROUP BY a)
+SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, vec_id = component_id AS kept FROM v JOIN m USING (k) LEFT JOIN n USING (k)
+"""
+
+
+@query("op1_embeddings", OP1_SQL)
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near_dedup(table(spark, sf_dir, "embeddings"))
 
@@ -111,10 +125,10 @@ o AS (SELECT k, doc_id, part, i, sum(length(part)) OVER (PARTITION BY k ORDER BY
 w AS (SELECT k, doc_id, part, row_number() OVER (PARTITION BY k ORDER BY i) AS n, till FROM o WHERE NOT regexp_matches(part, '^[{s}]')),
 r AS (SELECT k, doc_id, n, till - length(part) AS s, lead(till, 49) OVER (PARTITION BY k ORDER BY n) AS e,
              string_agg(part, ' ') OVER (PARTITION BY k ORDER BY n ROWS BETWEEN CURRENT ROW AND 49 FOLLOWING) AS run FROM w),
-b AS (SELECT run, min(doc_id) AS first FROM r WHERE e IS NOT NULL GROUP BY run HAVING min(doc_id) <> max(doc_id)),
-h AS (SELECT k, doc_id, n, s, e, first, CASE WHEN n <= lag(n) OVER (PARTITION BY k ORDER BY n) + 50 THEN 0 ELSE 1 END AS new FROM r JOIN b USING (run) WHERE e IS NOT NULL),
+b AS (SELECT run FROM r WHERE e IS NOT NULL GROUP BY run HAVING min(doc_id) <> max(doc_id)),
+h AS (SELECT k, doc_id, n, s, e, CASE WHEN n <= lag(n) OVER (PARTITION BY k ORDER BY n) + 50 THEN 0 ELSE 1 END AS new FROM r JOIN b USING (run) WHERE e IS NOT NULL),
 g AS (SELECT *, sum(new) OVER (PARTITION BY k ORDER BY n) AS g FROM h)
-SELECT doc_id, CAST(min(s) AS BIGINT) AS start, CAST(max(e) AS BIGINT) AS "end", CAST(max(n) - min(n) + 50 AS BIGINT) AS n_words, min(first) AS first_doc_id FROM g GROUP BY k, doc_id, g
+SELECT doc_id, CAST(min(s) AS BIGINT) AS start, CAST(max(e) AS BIGINT) AS "end", CAST(max(n) - min(n) + 50 AS BIGINT) AS n_words FROM g GROUP BY k, doc_id, g
 """.replace("{s}", r"\t\n\x0B\f\r\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}")
 
 

@@ -67,7 +67,7 @@ def minimisers(seeds: np.ndarray, window: int) -> np.ndarray:
 BLOCK = 16_384
 #: Between words in sort keys: below every character that a word's key holds, so that order is by whole words.
 BETWEEN = "\0"
-OUT = "kind int, c1 long, c2 long, k1 long, k2 long, l int, low long, high long, doc_id long, own long, w0 int, w1 int"
+OUT = "kind int, c1 long, c2 long, k1 long, k2 long, l int, low long, high long, doc_id long, own long, w0 int, w1 int, places array<int>"
 
 
 def sort_words(text: str) -> list[str]:
@@ -99,20 +99,21 @@ def codes(known: dict[str, int], contexts: list[tuple[str, str]], least: int, ba
     return right, left, counts[0], counts[1]
 
 
-def neighbours(seeds: np.ndarray, contexts: list[tuple[str, str]], low: np.ndarray, high: np.ndarray, known: dict[str, int], least: int, shortest: int) -> tuple[np.ndarray, np.ndarray]:
-    """For sorted contexts: (hit, first) of the run of ``least`` words that begins l words before each suffix, l = 0, 1, ...
+def neighbours(seeds: np.ndarray, contexts: list[tuple[str, str]], low: np.ndarray, high: np.ndarray, known: dict[str, int], least: int, shortest: int) -> tuple[np.ndarray, ...]:
+    """For sorted contexts, of the run of ``least`` words that begins l words before each suffix, l = 0, 1, ...: whether
+    there is one, whether this is the first context that has it, and the least and greatest document that do.
 
-    A run hits if it occurs in two documents among the contexts; first is the smallest of them. ``low`` and
-    ``high`` are the least and greatest document of each context. The longest common beginnings of neighbours
-    part the sorted suffixes into ever longer runs of equal beginnings; within those of least - l words, suffixes
-    are extended to the left, and those with the same l words there have the same run.
+    ``low`` and ``high`` are the least and greatest document of each context. The longest common beginnings of
+    neighbours part the sorted suffixes into ever longer runs of equal beginnings; within those of least - l
+    words, suffixes are extended to the left, and those with the same l words there have the same run.
     """
     n, back = len(seeds), least - shortest
     right, left, after, before = codes(known, contexts, least, back)
     equal = right[1:] == right[:-1]
     common = np.where(equal.all(axis=1), least, equal.argmin(axis=1))
     common[seeds[1:] != seeds[:-1]] = 0
-    hit, first = np.zeros((n, back + 1), dtype=bool), np.zeros((n, back + 1), dtype=np.int64)
+    there, lead = np.zeros((n, back + 1), dtype=bool), np.zeros((n, back + 1), dtype=bool)
+    lows, highs = np.zeros((n, back + 1), dtype=np.int64), np.zeros((n, back + 1), dtype=np.int64)
     side, width = np.zeros(n, dtype=np.int64), len(known) + n + 1
     for l in range(back + 1):  # noqa: E741
         if l:
@@ -121,11 +122,12 @@ def neighbours(seeds: np.ndarray, contexts: list[tuple[str, str]], low: np.ndarr
         key = begin * n + side
         order = np.argsort(key, kind="stable")
         at = np.flatnonzero(np.concatenate([[True], key[order][1:] != key[order][:-1]]))
-        least_doc, most_doc = np.minimum.reduceat(low[order], at), np.maximum.reduceat(high[order], at)
         sizes = np.diff(np.append(at, n))
-        hit[order, l], first[order, l] = np.repeat(least_doc != most_doc, sizes), np.repeat(least_doc, sizes)
-        hit[:, l] &= (after >= least - l) & (before >= l)
-    return hit, first
+        lows[order, l] = np.repeat(np.minimum.reduceat(low[order], at), sizes)
+        highs[order, l] = np.repeat(np.maximum.reduceat(high[order], at), sizes)
+        lead[order[at], l] = True
+        there[:, l] = (after >= least - l) & (before >= l)
+    return there, lead, lows, highs
 
 
 def signed(digest: int) -> tuple[int, int]:
@@ -133,19 +135,20 @@ def signed(digest: int) -> tuple[int, int]:
     return tuple(v - (1 << 64) if v >> 63 else v for v in (digest >> 64, digest & (1 << 64) - 1))
 
 
-def frame_of(columns: dict[str, np.ndarray], n: int) -> pa.RecordBatch:
+def frame_of(columns: dict, n: int) -> pa.RecordBatch:
     names = [c.split() for c in OUT.split(", ")]
-    types = {"int": pa.int32(), "long": pa.int64()}
-    return pa.RecordBatch.from_arrays([pa.array(columns[c], types[t]) if c in columns else pa.nulls(n, types[t]) for c, t in names], [c for c, _ in names])
+    types = {"int": pa.int32(), "long": pa.int64(), "array<int>": pa.list_(pa.int32())}
+    return pa.RecordBatch.from_arrays([pa.nulls(n, types[t]) if c not in columns else columns[c] if c == "places" else pa.array(columns[c], types[t]) for c, t in names], [c for c, _ in names])
 
 
 def compare_sorted(least: int, shortest: int):
     """The task over one range of sorted suffixes, as a function for mapInArrow.
 
-    Groups of equal seeds that lie in the range are settled here (kind 0: doc_id, own, first and last run as
-    words, and the smallest document). The first and last group may go on in the ranges beside this one, and a
-    group of over BLOCK contexts is taken in parts; of those come their runs (kind 1: context, l, the run's
-    128-bit hash, least and greatest document) and rows (kind 2), for which the ranges exchange what they hold.
+    Runs that occur in two documents of the range are found here (kind 0: doc_id, own, first and last run as
+    words). The first and last group of equal seeds may go on in the ranges beside this one, and a group of over
+    BLOCK contexts is taken in parts; of those come the runs that they hold (kind 1: the run's 128-bit hash, least
+    and greatest document; with context and l where a single document has it here), and the rows of contexts
+    that ask for such runs (kind 2), for which the ranges exchange what they hold.
     """
     back = least - shortest
 
@@ -153,33 +156,34 @@ def compare_sorted(least: int, shortest: int):
         if not len(seeds):
             return
         at = np.searchsorted(of, np.arange(len(seeds)))
-        low, high = np.minimum.reduceat(docs, at), np.maximum.reduceat(docs, at)
-        if not open_.all():
-            hit, first = neighbours(seeds, contexts, low, high, known, least, shortest)
-            some = hit.any(axis=1) & ~open_
-            nearest, farthest = hit.argmax(axis=1), back - hit[:, ::-1].argmax(axis=1)
-            smallest = np.where(hit, first, np.iinfo(np.int64).max).min(axis=1)
-            take = some[of]
-            own = of[take]
-            yield frame_of({"kind": np.zeros(len(own), np.int32), "doc_id": docs[take], "own": owns[take], "w0": places[take] - farthest[own], "w1": places[take] - nearest[own], "low": smallest[own]}, len(own))
-        rest = np.flatnonzero(open_)
+        there, lead, lows, highs = neighbours(seeds, contexts, np.minimum.reduceat(docs, at), np.maximum.reduceat(docs, at), known, least, shortest)
+        hit = there & (lows != highs)
+        nearest, farthest = hit.argmax(axis=1), back - hit[:, ::-1].argmax(axis=1)
+        take = hit.any(axis=1)[of]
+        own = of[take]
+        yield frame_of({"kind": np.zeros(len(own), np.int32), "doc_id": docs[take], "own": owns[take], "w0": places[take] - farthest[own], "w1": places[take] - nearest[own]}, len(own))
+        asks = there & ~hit & open_[:, None]
+        tells = there & open_[:, None] & (lead | asks)
         names = np.zeros((len(seeds), 2), dtype=np.int64)
-        for part in range(0, len(rest), 1024):
+        some = np.flatnonzero(tells.any(axis=1))
+        for part in range(0, len(some), 1024):
             rows: list[tuple] = []
-            for i in rest[part : part + 1024].tolist():
+            for i in some[part : part + 1024].tolist():
                 suffix, before = contexts[i]
                 names[i] = signed(xxhash.xxh3_128_intdigest(f"{before}{BETWEEN}{BETWEEN}{suffix}".encode("utf-8", "surrogatepass")))
                 ahead, behind = suffix.split(BETWEEN), before.split(BETWEEN) if before else []
-                for l in range(max(0, least - len(ahead)), min(back, len(behind)) + 1):  # noqa: E741
+                for l in np.flatnonzero(tells[i]).tolist():  # noqa: E741
                     run = BETWEEN.join([*behind[len(behind) - l :], *ahead[: least - l]])
-                    rows.append((*names[i].tolist(), *signed(xxhash.xxh3_128_intdigest(run.encode("utf-8", "surrogatepass"))), l, int(low[i]), int(high[i])))
-            if rows:
-                columns = dict(zip(("c1", "c2", "k1", "k2", "l", "low", "high"), map(np.array, zip(*rows, strict=True)), strict=True))
-                yield frame_of(columns | {"kind": np.ones(len(rows), np.int32)}, len(rows))
-        take = open_[of]
-        if take.any():
+                    rows.append((*names[i].tolist(), *signed(xxhash.xxh3_128_intdigest(run.encode("utf-8", "surrogatepass"))), l if asks[i, l] else -1, int(lows[i, l]), int(highs[i, l])))
+            columns = dict(zip(("c1", "c2", "k1", "k2", "l", "low", "high"), map(np.array, zip(*rows, strict=True)), strict=True))
+            yield frame_of(columns | {"kind": np.ones(len(rows), np.int32)}, len(rows))
+        take = np.flatnonzero(asks.any(axis=1)[of])
+        if len(take):
+            # A document's places of one context come as one row.
             own = of[take]
-            yield frame_of({"kind": np.full(len(own), 2, np.int32), "c1": names[own, 0], "c2": names[own, 1], "doc_id": docs[take], "own": owns[take], "w0": places[take]}, len(own))
+            new = np.flatnonzero(np.concatenate([[True], (own[1:] != own[:-1]) | (docs[take][1:] != docs[take][:-1]) | (owns[take][1:] != owns[take][:-1])]))
+            lists = pa.ListArray.from_arrays(pa.array(np.append(new, len(take)), pa.int32()), pa.array(places[take], pa.int32()))
+            yield frame_of({"kind": np.full(len(new), 2, np.int32), "c1": names[own[new], 0], "c2": names[own[new], 1], "doc_id": docs[take][new], "own": owns[take][new], "places": lists}, len(new))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, int] = {}
@@ -227,7 +231,7 @@ def compare_sorted(least: int, shortest: int):
 
 
 def repeated_passages(docs: DataFrame, least: int = 50, seed_words: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, start, end, n_words, first_doc_id): each maximal stretch of a text in which every run of ``least`` words occurs in another document.
+    """(doc_id, start, end, n_words): each maximal stretch of a text in which every run of ``least`` words occurs in another document.
 
     1. A suffix is kept where its first ``seed_words`` words are the least of a window (by hash), so a passage of
        ``least`` words keeps the same suffixes wherever it stands: about one in thirteen. Those whose seed a single
@@ -240,7 +244,7 @@ def repeated_passages(docs: DataFrame, least: int = 50, seed_words: int = 20, id
        since one further off may reach further to the left. Groups that go over a range's end are settled by
        exchanging their runs.
     4. What the suffixes of a text found is merged to stretches.
-    ``start`` and ``end`` are code points, ``first_doc_id`` is the smallest document that has a run of the stretch.
+    ``start`` and ``end`` are code points.
 
     Rows of one id are one document: passages that only they share don't count. Rows of one id and one text are one; different texts of an id
     each have their own stretches. Null ids and null texts take no part, texts under ``least`` words have no
@@ -270,15 +274,15 @@ def repeated_passages(docs: DataFrame, least: int = 50, seed_words: int = 20, id
     scratch.drop(kept)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["seed", "suffix", "before", "doc_id", "own", "place"]
-        types = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int32()]
+        names = ["seed", "suffix", "before", "doc_id", "own", "place", "tail"]
+        types = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.string()]
         for batch in batches:
             columns: list[list] = [[] for _ in names]
             for key, own, text, places in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
                 words = sort_words(text)
                 for found in places:
                     place = found["place"]
-                    for column, value in zip(columns, (found["seed"], BETWEEN.join(words[place : place + least]), BETWEEN.join(words[max(0, place - window + 1) : place]), key, own, place), strict=True):
+                    for column, value in zip(columns, (found["seed"], BETWEEN.join(words[place : place + least]), BETWEEN.join(words[max(0, place - window + 1) : place]), key, own, place, BETWEEN.join(words[place + seed_words : place + seed_words + 8])), strict=True):
                         column.append(value)
                 if len(columns[0]) >= 4096:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
@@ -286,34 +290,36 @@ def repeated_passages(docs: DataFrame, least: int = 50, seed_words: int = 20, id
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
 
     order = ["seed", "suffix", "before", "doc_id"]
-    suffixes = scratch.put(texts.join(around.hint("merge"), ["doc_id", "own"]).select("doc_id", "own", "text", "places").mapInArrow(cut, "seed long, suffix string, before string, doc_id long, own long, place int"))
-    done = scratch.put(suffixes.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(compare_sorted(least, seed_words), OUT))
+    suffixes = scratch.put(texts.join(around.hint("merge"), ["doc_id", "own"]).select("doc_id", "own", "text", "places").mapInArrow(cut, "seed long, suffix string, before string, doc_id long, own long, place int, tail string"))
+    # Ranges are cut by seed and the eight words behind it, which come before the rest in the order: the driver
+    # gets a sample of keys of a bounded size.
+    done = scratch.put(suffixes.repartitionByRange("seed", "tail", "doc_id").drop("tail").sortWithinPartitions(*order).mapInArrow(compare_sorted(least, seed_words), OUT))
     scratch.drop(suffixes)
     scratch.drop(around)
-    asked = done.where("kind = 1").select("c1", "c2", "k1", "k2", "l", "low", "high")
-    held = asked.groupBy("k1", "k2").agg(F.min("low").alias("first"), F.max("high").alias("last")).where("first <> last").select("k1", "k2", "first")
-    answers = asked.join(held.hint("merge"), ["k1", "k2"]).groupBy("c1", "c2").agg(F.max("l").alias("far"), F.min("l").alias("near"), F.min("first").alias("first"))
-    across = done.where("kind = 2").select("c1", "c2", "doc_id", "own", "w0").join(answers.hint("merge"), ["c1", "c2"]).select("doc_id", "own", (F.col("w0") - F.col("far")).alias("w0"), (F.col("w0") - F.col("near")).alias("w1"), "first")
-    within = done.where("kind = 0").select("doc_id", "own", "w0", "w1", F.col("low").alias("first"))
-    lists = within.unionByName(across).groupBy("doc_id", "own").agg(F.sort_array(F.collect_set(F.struct("w0", "w1", "first"))).alias("found"))
+    told = done.where("kind = 1").select("c1", "c2", "k1", "k2", "l", "low", "high")
+    held = told.groupBy("k1", "k2").agg(F.min("low").alias("a"), F.max("high").alias("b")).where("a <> b").select("k1", "k2")
+    answers = told.where("l >= 0").join(held.hint("merge"), ["k1", "k2"]).groupBy("c1", "c2").agg(F.max("l").alias("far"), F.min("l").alias("near"))
+    across = done.where("kind = 2").select("c1", "c2", "doc_id", "own", "places").join(answers.hint("merge"), ["c1", "c2"])
+    across = across.select("doc_id", "own", "far", "near", F.explode("places").alias("at")).select("doc_id", "own", (F.col("at") - F.col("far")).alias("w0"), (F.col("at") - F.col("near")).alias("w1"))
+    within = done.where("kind = 0").select("doc_id", "own", "w0", "w1")
+    lists = within.unionByName(across).groupBy("doc_id", "own").agg(F.sort_array(F.collect_set(F.struct("w0", "w1"))).alias("found"))
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", "own", "start", "end", "n_words", "first_doc_id"]
+        names = ["doc_id", "own", "start", "end", "n_words"]
         for batch in batches:
             rows = []
             for key, own, text, found in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
                 stretches: list[list[int]] = []
                 for run in found:
                     if stretches and run["w0"] <= stretches[-1][1] + least:
-                        held = stretches[-1]
-                        held[1], held[2] = max(held[1], run["w1"]), min(held[2], run["first"])
+                        stretches[-1][1] = max(stretches[-1][1], run["w1"])
                     else:
-                        stretches.append([run["w0"], run["w1"], run["first"]])
+                        stretches.append([run["w0"], run["w1"]])
                 spans = [m.span() for m in WORD.finditer(text)]
-                rows += [(key, own, spans[a][0], spans[b + least - 1][1], b + least - a, first) for a, b, first in stretches]
+                rows += [(key, own, spans[a][0], spans[b + least - 1][1], b + least - a) for a, b in stretches]
             columns = list(zip(*rows, strict=True)) or [[]] * len(names)
             yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in columns], names)
 
     # Rows that repeat under one id and text give the same stretches; one of each stays.
-    found = texts.join(lists.hint("merge"), ["doc_id", "own"]).select("doc_id", "own", "text", "found").mapInArrow(merge, "doc_id long, own long, start long, end long, n_words long, first_doc_id long")
-    return found.dropDuplicates(["doc_id", "own", "start"]).select("doc_id", "start", "end", "n_words", "first_doc_id")
+    found = texts.join(lists.hint("merge"), ["doc_id", "own"]).select("doc_id", "own", "text", "found").mapInArrow(merge, "doc_id long, own long, start long, end long, n_words long")
+    return found.dropDuplicates(["doc_id", "own", "start"]).select("doc_id", "start", "end", "n_words")

@@ -25,8 +25,7 @@ def brute(rows, least=50):
             else:
                 groups.append([i, i])
         for a, b in groups:
-            first = min(min(seen[tuple(words[i : i + least])]) for i in hits if a <= i <= b)
-            out.append((key, spans[a][0], spans[b + least - 1][1], b + least - a, first))
+            out.append((key, spans[a][0], spans[b + least - 1][1], b + least - a))
     return sorted(out)
 
 
@@ -42,7 +41,7 @@ def rows_of():
 
 def found(spark, rows, parts=4):
     frame = spark.createDataFrame([(k, t, 1) for k, t in rows], "doc_id long, text string, start int").repartition(parts)
-    return sorted((r.doc_id, r.start, r.end, r.n_words, r.first_doc_id) for r in suffixes.repeated_passages(frame).collect())
+    return sorted((r.doc_id, r.start, r.end, r.n_words) for r in suffixes.repeated_passages(frame).collect())
 
 
 def test_equal_to_brute_force(spark):
