@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import combinations, pairwise
 
 import numpy as np
 import pandas as pd
@@ -64,19 +65,24 @@ def signatures(frame: DataFrame, key: str, text: str, extra: tuple[str, ...] = (
     return chosen.mapInArrow(work, schema)
 
 
-def near_classes(classes: DataFrame, group: str, most: int = 5, bands: int = 8) -> DataFrame:
+def near_classes(classes: DataFrame, group: str, most: int = 5, bands: int = 7) -> DataFrame:
     """(group, sa, sb) with sa < sb: distinct signatures of one group at Hamming distance ``most`` or less.
 
-    Eight bands of eight bits: with up to seven flips one band is untouched, so no pair is lost.
+    Of seven bands of nine or ten bits, five flips leave two untouched, so two near signatures share some two
+    bands: 21 keys of 18 bits or more each. A large group then meets in 262,144 places a key, not in one band's 256.
     """
-    width = 64 // bands
-    banded = classes.select(group, "sig", F.posexplode(F.array(*[F.shiftrightunsigned("sig", i * width).bitwiseAND(F.lit((1 << width) - 1)) for i in range(bands)])).alias("band", "value"))
+    if bands - most < 2:
+        raise ValueError("two bands have to stay untouched")
+    edges = [64 * i // bands for i in range(bands + 1)]
+    band = [F.shiftrightunsigned("sig", low).bitwiseAND(F.lit((1 << high - low) - 1)) for low, high in pairwise(edges)]
+    keys = F.array(*[F.shiftleft(band[i], 10).bitwiseOR(band[j]) for i, j in combinations(range(bands), 2)])
+    banded = classes.select(group, "sig", F.posexplode(keys).alias("band", "value"))
     left = banded.select(group, "band", "value", F.col("sig").alias("sa"))
     right = banded.select(group, "band", "value", F.col("sig").alias("sb"))
     return left.join(right, [group, "band", "value"]).where("sa < sb").where(F.expr(f"bit_count(sa ^ sb) <= {most}")).select(group, "sa", "sb").distinct()
 
 
-def near_pairs(sigs: DataFrame, key: str, group: str, most: int = 5, bands: int = 8) -> DataFrame:
+def near_pairs(sigs: DataFrame, key: str, group: str, most: int = 5, bands: int = 7) -> DataFrame:
     """(a, b, distance): all pairs of rows of one group at Hamming distance ``most`` or less. Signatures are compared once, and expanded to rows after."""
     sigs = settled(sigs)
     classes = sigs.select(group, "sig").distinct()

@@ -27,10 +27,10 @@ def community_priors(frame: DataFrame, priors: DataFrame, community: str, target
     return joined.fillna(0.0, [f"prior_{t}" for t in targets])
 
 
-def weak_labels(frame: DataFrame, priors: DataFrame, text: str, community: str, lex: Lexicons | None = None, thresholds: dict[str, float] | None = None) -> DataFrame:
-    """Adds weak_<target> (prior and lexicon score in equal parts) and weak_<target>_bin."""
+def weak_labels(frame: DataFrame, priors: DataFrame, text: str, community: str, lex: Lexicons | None = None, thresholds: dict[str, float] | None = None, max_tokens: int | None = None) -> DataFrame:
+    """Adds weak_<target> (prior and lexicon score in equal parts) and weak_<target>_bin, over whole texts or their first ``max_tokens`` words."""
     thresholds = thresholds or THRESHOLDS
-    wide = community_priors(frame, priors, community).withColumn("_words", T.tokens(F.col(text), MAX_TOKENS))
+    wide = community_priors(frame, priors, community).withColumn("_words", T.tokens(F.col(text), max_tokens))
     scores = T.lexicon_scores(F.col(text), F.col("_words"), lex or Lexicons())
     wide = wide.withColumns({f"weak_{t}": WEIGHTS["prior"] * F.col(f"prior_{t}") + WEIGHTS["lexicon"] * s for t, s in scores.items()})
     return wide.withColumns({f"weak_{t}_bin": (F.round(f"weak_{t}", 12) >= thresholds[t]).cast("long") for t in scores}).drop("_words", *[f"prior_{t}" for t in TARGETS])

@@ -471,10 +471,19 @@ def stream_early_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("stream_distinct", "SELECT user_id, event_type FROM events GROUP BY user_id, event_type")
 def stream_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = E.read_events(spark, f"{sf_dir}/events.parquet").select("ts", "user_id", "event_type")
-    return E.run_to_table(E.distinct_within(rows, ["user_id", "event_type"]), E.working_folder(spark)).select("user_id", "event_type")
+    rows = E.read_events(spark, f"{sf_dir}/events.parquet").select("user_id", "event_type")
+    return E.run_to_table(E.distinct(rows, ["user_id", "event_type"]), E.working_folder(spark)).select("user_id", "event_type")
 
 
-@register("stream_sessions")
+SESSIONS_SQL = """
+WITH g AS (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 6 HOUR THEN 0 ELSE 1 END AS new FROM events),
+s AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM g),
+w AS (SELECT max(ts) - INTERVAL 6 HOUR AS mark FROM events)
+SELECT user_id, epoch_us(min(ts)) AS start_us, epoch_us(max(ts) + INTERVAL 6 HOUR) AS end_us, count(*) AS n FROM s, w GROUP BY user_id, s, mark HAVING max(ts) + INTERVAL 6 HOUR <= mark
+"""
+
+
+@register("stream_sessions", SESSIONS_SQL)
 def stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return E.run_to_table(E.sessions(E.read_events(spark, f"{sf_dir}/events.parquet")), E.working_folder(spark))
+    out = E.run_to_table(E.sessions(E.read_events(spark, f"{sf_dir}/events.parquet")), E.working_folder(spark))
+    return out.select("user_id", F.unix_micros("start").alias("start_us"), F.unix_micros("end").alias("end_us"), "n")

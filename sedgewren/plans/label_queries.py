@@ -14,7 +14,7 @@ from .adapters import LABELLED, POSTS, PRIORS, PROBE, STREAM, TOKENS, hits, labe
 from .catalog import register, table
 
 PRIOR_SQL = "priors(name, p1, p2, p3, p4) AS (VALUES " + ", ".join(str((n.lower(), *v)) for n, *v in PRIORS) + ")"
-SCORES_SQL = f"""t AS (SELECT doc_id, source, text, list_slice({TOKENS}, 1, 800) AS toks FROM documents), n AS (SELECT *, greatest(1, len(toks)) AS n FROM t),
+SCORES_SQL = f"""t AS (SELECT doc_id, source, text, {TOKENS} AS toks FROM documents), n AS (SELECT *, greatest(1, len(toks)) AS n FROM t),
 lex AS (SELECT doc_id, source, text, {per_hundred(hits(PROBE.anxiety_terms) + ' + ' + phrases(PROBE.anxiety_phrases))} AS l1, {per_hundred(hits(PROBE.health_terms) + ' + ' + phrases(PROBE.health_phrases) + ' + ' + phrases(PROBE.reassurance) + ' // 2')} AS l2,
   {per_hundred(hits(PROBE.depression_terms))} AS l3, {per_hundred(hits(PROBE.suicidality_terms))} AS l4 FROM n),
 weak AS (SELECT doc_id, source, text, """ + ", ".join(f"CAST(0.5 AS DOUBLE) * coalesce(CAST(p{i} AS DOUBLE), 0) + CAST(0.5 AS DOUBLE) * l{i} AS weak_{t}" for i, t in enumerate(TARGETS, 1)) + " FROM lex LEFT JOIN priors ON lower(source) = name)"

@@ -51,12 +51,12 @@ def token_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register("lexicon_scores", f"""
-WITH t AS (SELECT doc_id, text, list_slice({TOKENS}, 1, 800) AS toks FROM documents), n AS (SELECT *, greatest(1, len(toks)) AS n FROM t)
+WITH t AS (SELECT doc_id, text, {TOKENS} AS toks FROM documents), n AS (SELECT *, greatest(1, len(toks)) AS n FROM t)
 SELECT doc_id, round({per_hundred(hits(PROBE.anxiety_terms) + ' + ' + phrases(PROBE.anxiety_phrases))}, 6) AS anxiety,
   round({per_hundred(hits(PROBE.health_terms) + ' + ' + phrases(PROBE.health_phrases) + ' + ' + phrases(PROBE.reassurance) + ' // 2')}, 6) AS health_anxiety,
   round({per_hundred(hits(PROBE.depression_terms))}, 6) AS depression, round({per_hundred(hits(PROBE.suicidality_terms))}, 6) AS suicidality FROM n""")
 def lexicon_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    wide = table(spark, sf_dir, "documents").select("doc_id", "text", T.tokens(F.col("text"), 800).alias("w"))
+    wide = table(spark, sf_dir, "documents").select("doc_id", "text", T.tokens(F.col("text")).alias("w"))
     return rounded(wide.select("doc_id", *[c.alias(n) for n, c in T.lexicon_scores(F.col("text"), F.col("w"), PROBE).items()]))
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import logging
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,6 +32,19 @@ def small(frame: DataFrame) -> DataFrame:
     return F.broadcast(frame) if frame.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS else frame
 
 
+def configure_logging(level: str = "INFO", spark: SparkSession | None = None) -> logging.Logger:
+    """The package's logger, to standard error with time, level and name; the session's level follows if one is given."""
+    logger = logging.getLogger("sedgewren")
+    if not logger.handlers:
+        handler = logging.StreamHandler()
+        handler.setFormatter(logging.Formatter("%(asctime)s %(levelname)s %(name)s: %(message)s"))
+        logger.addHandler(handler)
+    logger.setLevel(level.upper())
+    if spark is not None:
+        spark.sparkContext.setLogLevel("WARN" if level.upper() == "WARNING" else level.upper())
+    return logger
+
+
 def build_session(name: str = "sedgewren", master: str | None = None, **more: str) -> SparkSession:
     """A session with SETTINGS; ``more`` holds further options (dots written as double underscores)."""
     builder = SparkSession.builder.appName(name)

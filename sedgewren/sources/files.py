@@ -107,6 +107,12 @@ def write_report_csv(frame: DataFrame, path: str) -> None:
     frame.coalesce(1).write.mode("overwrite").option("header", "true").csv(path)
 
 
+def dump_json(frame: DataFrame, path: str) -> None:
+    """One JSON file, an array of objects, of a small report."""
+    rows = frame.agg(F.to_json(F.collect_list(F.struct(*frame.columns))).alias("value"))
+    rows.coalesce(1).write.mode("overwrite").text(path)
+
+
 def append(frame: DataFrame, path: str) -> None:
     frame.write.mode("append").parquet(path)
 

@@ -43,7 +43,13 @@ def sessions(events: DataFrame, gap: str = "6 hours", late: str = "6 hours") ->
     return windowed.select("user_id", F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), "n")
 
 
+def distinct(events: DataFrame, keys: list[str]) -> DataFrame:
+    """Each key once, however many batches a table comes in and however far apart its rows are. State holds all keys."""
+    return events.dropDuplicates(keys)
+
+
 def distinct_within(events: DataFrame, keys: list[str], late: str = "1 hour") -> DataFrame:
+    """Each key once within the watermark's delay: state is bounded, and a key that comes again later is emitted again."""
     return events.withWatermark("ts", late).dropDuplicatesWithinWatermark(keys)
 
 
@@ -77,9 +83,11 @@ def early_decisions(scores: DataFrame, threshold: float = 0.5, streak: int = 1)
 
 
 def working_folder(spark: SparkSession) -> str:
-    """A new folder that all executors share: in spark.checkpoint.dir, or a temporary one where that is unset (tests)."""
+    """A new folder that all executors share: in spark.checkpoint.dir, or a temporary one where a local session has none (tests)."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if not shared:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         return f"file://{tempfile.mkdtemp(prefix='sedgewren-stream-')}"
     return f"{shared.rstrip('/')}/stream-{uuid.uuid4().hex}"
 

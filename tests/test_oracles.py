@@ -35,7 +35,7 @@ def test_equals_sql(spark, duck, name):
     assert canonical(frame.columns, [tuple(r) for r in frame.collect()]) == expected
 
 
-@pytest.mark.parametrize("name", ["near_dedup_greedy", "matched_controls", "test_users", "dawid_skene", "temperature_fit", "stream_sessions", "preprocess", "synthetic_posts", "perturbations", "compare_features"])
+@pytest.mark.parametrize("name", ["near_dedup_greedy", "matched_controls", "test_users", "dawid_skene", "temperature_fit", "preprocess", "synthetic_posts", "perturbations", "compare_features"])
 def test_runs(spark, name):
     QUERIES[name](spark, SF).count()
 
