@@ -7,14 +7,13 @@ from collections.abc import Iterator
 from itertools import combinations, pairwise
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import known, strip
-from ..session import settled
+from ..session import settled, stored
 
 
 def text_digest(text: Column) -> Column:
@@ -97,24 +96,23 @@ def greedy_near_dedup(frame: DataFrame, key: str, group: str, text: str, most: i
     """The rows that a pass in the order of ``key`` keeps: one is dropped if a kept earlier row of its group is near.
 
     Of rows with one signature only the first can stay, and its fate is the others' too, so the pass is over
-    distinct signatures by their first row: copies, however many, make no pairs. A group's pass sees the graph of
-    its near signatures, not its texts.
+    distinct signatures by their first row: copies, however many, make no pairs. The pass is made in rounds over
+    the table of near signatures: those that no undecided earlier one is near to are kept, what is near to them
+    goes, and the rest goes on; so no group, however large, gathers in one task.
     """
-    classes = settled(signatures(frame, key, text, (group,)).groupBy(group, "sig").agg(F.min(key).alias("first")))
+    classes = stored(signatures(frame, key, text, (group,)).groupBy(group, "sig").agg(F.min(key).alias("first")))
     firsts = lambda n: classes.select(group, F.col("sig").alias(f"s{n}"), F.col("first").alias(f"k{n}"))
     near = near_classes(classes.select(group, "sig"), group, most).join(firsts("a"), [group, "sa"]).join(firsts("b"), [group, "sb"])
-    pairs = near.select(group, F.least("ka", "kb").alias("a"), F.greatest("ka", "kb").alias("b"))
-    kind = dict(frame.dtypes)[key]
-
-    def walk(part: pd.DataFrame) -> pd.DataFrame:
-        dropped: set = set()
-        for b, earlier in part.sort_values(["b", "a"]).groupby("b", sort=True)["a"]:
-            if any(a not in dropped for a in earlier):
-                dropped.add(b)
-        return pd.DataFrame({"first": sorted(dropped)})
-
-    dropped = pairs.groupBy(group).applyInPandas(walk, f"first {kind}")
-    kept = classes.join(dropped, "first", "left_anti").select(F.col("first").alias(key))
+    pairs = stored(near.select(F.least("ka", "kb").alias("a"), F.greatest("ka", "kb").alias("b")))
+    dropped = None
+    while not pairs.isEmpty():
+        sure = pairs.select("a").distinct().join(pairs.select(F.col("b").alias("a")).distinct(), "a", "left_anti")
+        gone = stored(pairs.join(sure, "a", "left_semi").select("b").distinct())
+        dropped = gone if dropped is None else dropped.union(gone)
+        pairs = stored(pairs.join(gone, "b", "left_anti").join(gone.select(F.col("b").alias("a")), "a", "left_anti").select("a", "b"))
+    kept = classes.select(F.col("first").alias(key))
+    if dropped is not None:
+        kept = kept.join(dropped.select(F.col("b").alias(key)), key, "left_anti")
     return frame.join(kept, key, "left_semi")
 
 

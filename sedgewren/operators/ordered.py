@@ -6,19 +6,19 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def running(frame: DataFrame, key: str, sums: dict[str, str], descending: bool = False, buckets: int = 512, by: tuple[str, ...] = ()) -> DataFrame:
+def running(frame: DataFrame, key: str, sums: dict[str, str], descending: bool = False, buckets: int = 64, by: tuple[str, ...] = ()) -> DataFrame:
     """Adds ``name``: the sum of column ``sums[name]`` over rows up to this one in the order of ``key``.
 
     ``frame`` has one row for each key and group ``by`` (counts by distinct score, say). Keys are cut into
-    buckets of equal width between their least and greatest; totals of whole buckets are summed over a table
-    of at most ``buckets`` rows a group, and rows are only ordered within their bucket, so no task holds all.
+    buckets of about as many rows each at approximate quantiles, so an outlier takes no room from others; totals
+    of whole buckets are summed over a table of at most ``buckets`` rows a group, and rows are only ordered within
+    their bucket, so no task holds all.
     """
-    bounds = frame.groupBy(*by).agg(F.min(key).alias("_low"), F.max(key).alias("_high"))
+    shares = F.expr("array(" + ", ".join(f"{i / buckets}D" for i in range(1, buckets)) + ")")
+    bounds = frame.groupBy(*by).agg(F.percentile_approx(key, shares, 20 * buckets).alias("_cuts"))
     # Without groups the bounds are one row; either way the plan's second use of ``frame`` reuses its shuffle.
     wide = frame.join(bounds, list(by)) if by else frame.join(F.broadcast(bounds))
-    share = F.try_divide(F.col(key) - F.col("_low"), F.col("_high") - F.col("_low"))
-    bucket = F.least(F.floor(F.coalesce(share, F.lit(0.0)) * buckets), F.lit(buckets - 1)).cast("int")
-    wide = wide.withColumn("_bucket", bucket).drop("_low", "_high")
+    wide = wide.withColumn("_bucket", F.size(F.filter("_cuts", lambda cut: cut < F.col(key)))).drop("_cuts")
     totals = wide.groupBy(*by, "_bucket").agg(*[F.sum(c).alias(f"_t_{n}") for n, c in sums.items()])
     order = F.desc if descending else F.asc
     before = Window.partitionBy(*by).orderBy(order("_bucket")).rowsBetween(Window.unboundedPreceding, -1)

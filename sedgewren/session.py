@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import logging
+import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,6 +29,23 @@ def settled(frame: DataFrame) -> DataFrame:
     return frame.checkpoint() if frame.sparkSession.conf.get("spark.checkpoint.dir", None) else frame
 
 
+def working_folder(spark: SparkSession) -> str:
+    """A new folder that all executors share: in spark.checkpoint.dir, or a temporary one where a local session has none (tests)."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        return f"file://{tempfile.mkdtemp(prefix='sedgewren-work-')}"
+    return f"{shared.rstrip('/')}/work-{uuid.uuid4().hex}"
+
+
+def stored(frame: DataFrame) -> DataFrame:
+    """The frame, written to a folder that executors share and read back: cuts the lineage of rounds."""
+    path = working_folder(frame.sparkSession)
+    frame.write.parquet(f"{path}/t")
+    return frame.sparkSession.read.schema(frame.schema).parquet(f"{path}/t")
+
+
 def small(frame: DataFrame) -> DataFrame:
     """Marks a lookup table for broadcasting if it has at most SMALL_ROWS rows (counted up to there); else a plain join takes it, whose skew AQE splits."""
     return F.broadcast(frame) if frame.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS else frame

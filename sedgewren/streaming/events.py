@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -11,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..session import working_folder  # noqa: F401 - where streams put what they write
+
 
 def read_events(spark: SparkSession, path: str, files: int | None = None) -> DataFrame:
     """The events table as a stream of its files, with ts as an instant.
@@ -82,16 +82,6 @@ def early_decisions(scores: DataFrame, threshold: float = 0.5, streak: int = 1)
     return scores.groupBy("user_id").applyInPandasWithState(step, OUT, STATE, "append", GroupStateTimeout.NoTimeout)
 
 
-def working_folder(spark: SparkSession) -> str:
-    """A new folder that all executors share: in spark.checkpoint.dir, or a temporary one where a local session has none (tests)."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        return f"file://{tempfile.mkdtemp(prefix='sedgewren-stream-')}"
-    return f"{shared.rstrip('/')}/stream-{uuid.uuid4().hex}"
-
-
 def run_to_table(stream: DataFrame, folder: str, mode: str = "append") -> DataFrame:
     """Runs a stream over what is there and reads its output back; the checkpoint beside it lets a later run go on."""
     query = stream.writeStream.format("parquet").outputMode(mode).option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()

@@ -261,3 +261,39 @@ def test_model_round_trip(spark, tmp_path):
     fitted.save(str(tmp_path / "m"))
     again = models.build_model("elastic", features=["f"]).load(str(tmp_path / "m"))
     assert [r.pred for r in again.score(frame).orderBy("id").collect()] == [i % 2 for i in range(40)]
+
+
+def test_greedy_rounds_equal_a_pass_in_order(spark):
+    """A community's near texts, whose chains take several rounds."""
+    import random
+
+    from sedgewren.operators import dedup
+
+    rng = random.Random(4)
+    words = [f"w{i}" for i in range(60)]
+    base = [rng.choice(words) for _ in range(30)]
+    rows = []
+    for i in range(150):
+        if i % 10 == 0:
+            base = [rng.choice(words) for _ in range(30)]
+        else:
+            base = list(base)
+            base[rng.randrange(30)] = rng.choice(words)
+        rows.append((i, f"c{i % 2}", " ".join(base)))
+    frame = spark.createDataFrame(rows, "id long, community string, text string")
+    sigs = {r.id: (r.community, r.sig) for r in dedup.signatures(frame, "id", "text", ("community",)).collect()}
+    kept = []
+    for i in sorted(sigs):
+        if not any(sigs[j][0] == sigs[i][0] and ((sigs[i][1] ^ sigs[j][1]) & (1 << 64) - 1).bit_count() <= 5 for j in kept):
+            kept.append(i)
+    assert sorted(r.id for r in dedup.greedy_near_dedup(frame, "id", "community", "text").collect()) == kept and len(kept) < 150
+
+
+def test_running_sums_with_an_outlier(spark):
+    from sedgewren.operators.ordered import running
+
+    frame = spark.createDataFrame([(float(i), i) for i in range(500)] + [(1e18, 7)], "k double, n long").repartition(5)
+    got = {r.k: r.upto for r in running(frame, "k", {"upto": "n"}, buckets=16).collect()}
+    assert got == {float(i): i * (i + 1) // 2 for i in range(500)} | {1e18: 499 * 250 + 7}
+    down = {r.k: r.upto for r in running(frame, "k", {"upto": "n"}, descending=True, buckets=16).collect()}
+    assert down[499.0] == 7 + 499 and down[0.0] == 499 * 250 + 7
