@@ -49,10 +49,10 @@ def curve(frame: DataFrame, y: str = "y", score: str = "score", by: tuple[str, .
     return run.join(totals, list(by)) if by else run.join(F.broadcast(totals))  # one row without groups
 
 
-def auprc(frame: DataFrame, y: str = "y", score: str = "score") -> DataFrame:
+def auprc(frame: DataFrame, y: str = "y", score: str = "score", by: tuple[str, ...] = ()) -> DataFrame:
     """Average precision: the sum of precision times the step in recall."""
-    c = curve(frame, y, score)
-    return c.agg(F.sum(ratio(F.col("pos"), F.col("all_pos")) * ratio(F.col("tp"), F.col("tp") + F.col("fp"))).alias("auprc"))
+    c = curve(frame, y, score, by)
+    return c.groupBy(*by).agg(F.sum(ratio(F.col("pos"), F.col("all_pos")) * ratio(F.col("tp"), F.col("tp") + F.col("fp"))).alias("auprc"))
 
 
 def best_threshold(frame: DataFrame, y: str = "y", score: str = "score", by: tuple[str, ...] = ()) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .metrics import auroc
 from .splits import folds
 
 
@@ -141,6 +142,21 @@ def out_of_fold(frame: DataFrame, make: Callable[[], Scorer], key: str, k: int =
     return out
 
 
+def nested_grid(frame: DataFrame, make: Callable[..., Scorer], grid: Sequence[dict], key: str, label: str = "y", outer: int = 5, inner: int = 3, seed: int = 42) -> DataFrame:
+    """Scores of each row by a model that did not see its fold, with ``chosen``: the place in ``grid`` of that model's options.
+
+    They are those of greatest AUROC (the first of equal ones) over inner folds of the rows outside the fold alone.
+    """
+    marked, out = folds(frame, key, outer, seed), None
+    for i in range(outer):
+        train = marked.where(F.col("fold") != i).drop("fold")
+        found = [auroc(out_of_fold(train, lambda o=options: make(**o), key, inner, seed + 1 + i), label).first()["auroc"] or 0.0 for options in grid]
+        chosen = max(range(len(grid)), key=lambda at: (found[at], -at))
+        part = make(**grid[chosen]).fit(train).score(marked.where(F.col("fold") == i)).withColumn("chosen", F.lit(chosen).cast("long"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def stacked(frame: DataFrame, makers: dict[str, Callable[[], Scorer]], key: str, label: str = "y", k: int = 3) -> tuple[Scorer, DataFrame]:
     """A logistic regression over the out-of-fold scores of base models."""
     wide = frame

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import pseudonym
-from . import metrics
+from . import metrics, stats
 from .ordered import exact_quantiles
 from .splits import unit_hash
 
@@ -86,9 +86,25 @@ def assemble(keys: DataFrame, parts: Sequence[DataFrame], key: str, fill: float
     return out.fillna(fill)
 
 
+def full_report(frame: DataFrame, key: str, y: str = "y", score: str = "score", threshold: float | None = None, draws: int = 200, alpha: float = 0.05, seed: int = 42) -> DataFrame:
+    """One row: metrics at a threshold (that of greatest F1 if none is given), areas, calibration error, and percentile intervals of F1 and both areas."""
+    if threshold is None:
+        best = metrics.best_threshold(frame, y, score).first()
+        threshold = 0.5 if best is None or best["threshold"] is None else float(best["threshold"])
+    drawn, by = stats.resampled(frame.select(key, y, score), key, draws, seed), ("draw",)
+    each = metrics.basic_metrics(drawn, y, score, threshold, by).select("draw", "f1").join(metrics.auroc(drawn, y, score, by), "draw").join(metrics.auprc(drawn, y, score, by), "draw")
+    limits = each.agg(*[F.expr(f"percentile({m}, {p}D)").alias(f"{m}_ci_{side}") for m in ("f1", "auroc", "auprc") for side, p in (("lo", alpha / 2), ("hi", 1 - alpha / 2))])
+    out = metrics.basic_metrics(frame, y, score, threshold).withColumn("threshold", F.lit(threshold))
+    for part in (metrics.auroc(frame, y, score), metrics.auprc(frame, y, score), metrics.calibration_error(frame, y, score), limits):
+        out = out.join(F.broadcast(part))  # one row each
+    return out
+
+
 def read_reports(spark: SparkSession, path: str, separator: str = "__") -> DataFrame:
-    """Rows of metric files named model__target__metrics.json, with model and target from the name."""
-    name = F.element_at(F.split(F.input_file_name(), "/"), -1)
-    rows = spark.read.text(path, wholetext=True).select(F.split(name, separator).alias("p"), F.from_json("value", "map<string,string>").alias("m"))
+    """Rows of metric files named model__target__metrics.json (files, or folders that Spark wrote), with model and target from the name."""
+    name = F.regexp_extract(F.input_file_name(), r"([^/]*)metrics\.json", 1)
+    kind = "map<string,string>"
+    metrics_of = F.coalesce(F.from_json("value", kind), F.get(F.from_json("value", f"array<{kind}>"), 0))
+    rows = spark.read.text(path, wholetext=True).select(F.split(name, separator).alias("p"), metrics_of.alias("m"))
     long = rows.select(F.get("p", 0).alias("model"), F.get("p", 1).alias("target"), F.explode("m").alias("metric", "value"))
     return long.withColumn("value", F.expr("try_cast(value AS double)"))

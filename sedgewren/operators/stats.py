@@ -132,6 +132,13 @@ def poisson_weight(key: Column, draw: Column, seed: int) -> Column:
     return out
 
 
+def resampled(frame: DataFrame, key: str, draws: int, seed: int = 42) -> DataFrame:
+    """The rows of each Poisson resample, with its number as ``draw``; a row that is drawn twice stands there twice."""
+    drawn = frame.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws))))
+    weight = poisson_weight(F.col(key), F.col("draw"), seed)
+    return drawn.withColumn("_w", weight).where("_w > 0").withColumn("_w", F.explode(F.sequence(F.lit(1), F.col("_w")))).drop("_w")
+
+
 def bootstrap_f1(frame: DataFrame, key: str, y: str, pred: str, draws: int = 200, alpha: float = 0.05, seed: int = 42) -> DataFrame:
     """Percentile interval of F1 by a Poisson bootstrap: each draw's counts are partial sums, nothing is collected."""
     wide = frame.select(F.col(key).alias("k"), F.col(y).alias("y"), F.col(pred).alias("p"), F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("draw"))

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import catalog, eval_queries, label_queries, report_queries, source_queries, text_queries
+from . import catalog, eval_queries, label_queries, model_queries, report_queries, source_queries, text_queries
 
-MODULES = (text_queries, label_queries, eval_queries, report_queries, source_queries)
+MODULES = (text_queries, label_queries, eval_queries, model_queries, report_queries, source_queries)
 
 
 def queries() -> dict[str, catalog.Query]:

@@ -206,7 +206,15 @@ def bh_adjust(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(stats.bh_adjust(p).select("feature", "p_bh"))
 
 
-@register("compare_features")
+#: The two-sided tail of the normal law by the operator's rational approximation of erfc, from the constant up.
+TAIL = "-1.26551223 + t * (1.00002368 + t * (0.37409196 + t * (0.09678418 + t * (-0.18628806 + t * (0.27886807 + t * (-1.13520398 + t * (1.48851587 + t * (-0.82215223 + t * 0.17087277))))))))"
+P_SQL = f"""{U_SQL}, ties AS (SELECT feature, sum(pow(CAST(pos + neg AS DOUBLE), 3) - (pos + neg)) AS ties FROM mg GROUP BY feature),
+z AS (SELECT mu.*, (abs(u - CAST(n1 AS DOUBLE) * n2 / 2) - 0.5) / sqrt(CAST(n1 AS DOUBLE) * n2 / 12 * (n1 + n2 + 1 - ties / (CAST(n1 + n2 AS DOUBLE) * (n1 + n2 - 1)))) / sqrt(2::DOUBLE) AS z FROM mu JOIN ties ON mu.feature = ties.feature),
+x AS (SELECT feature, u, greatest(z, 0) AS x, CAST(1 AS DOUBLE) / (1 + 0.5::DOUBLE * greatest(z, 0)) AS t FROM z), ps AS (SELECT feature, u, least(1, t * exp(-x * x + {TAIL})) AS p FROM x),
+pr AS (SELECT *, row_number() OVER (ORDER BY p, feature) AS r, count(*) OVER () AS m FROM ps), pb AS (SELECT *, least(1, min(p * m / r) OVER (ORDER BY r ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS p_bh FROM pr)"""
+
+
+@register("compare_features", f"WITH {LONG}, {D_SQL}, {P_SQL} SELECT d.feature, n_pos, n_neg, round(mean_pos, 6) AS mean_pos, round(mean_neg, 6) AS mean_neg, round({D_EXPR}, 6) AS cohen_d, round(u, 6) AS u, round(p, 6) AS p, round(p_bh, 6) AS p_bh, CAST(p_bh < 0.05 AS BIGINT) AS significant FROM d JOIN pb ON d.feature = pb.feature")
 def compare_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(stats.compare_features(markers(spark, sf_dir), "y", list(MARKERS)).orderBy(F.desc(F.abs("cohen_d"))))
 

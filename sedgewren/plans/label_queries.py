@@ -117,12 +117,21 @@ def matched_control_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cohort.control_pool(flagged(spark, sf_dir), "user_id", "event_type", list(FLAGS.values()))
 
 
-@register("matched_controls")
+def matched_sql(target: str, flag: str, seed: int) -> str:
+    """Tables of the controls matched to a target's positives, the last of them named matched_<target>."""
+    settle = "{0}_{t} AS (SELECT user_id, c, row_number() OVER (PARTITION BY c ORDER BY md5('{s}|' || user_id), user_id) - 1 AS i FROM (SELECT user_id, arg_min(event_type, md5('{s}|' || user_id || '|' || event_type)) AS c FROM {1} GROUP BY user_id))"
+    own = f"own_{target} AS (SELECT DISTINCT user_id, event_type FROM flagged WHERE user_id IN (SELECT user_id FROM flagged WHERE {flag} = 1))"
+    free = f"free_{target} AS (SELECT DISTINCT s.user_id, s.event_type FROM flagged s JOIN users u ON s.user_id = u.user_id WHERE u.user_group = 'matched_control' AND u.n_posts >= 3)"
+    ask, offer = (settle.format(a, f"{b}_{target}", t=target, s=seed) for a, b in (("ask", "own"), ("offer", "free")))
+    return f"{own}, {free}, {ask}, {offer}, matched_{target} AS (SELECT a.user_id AS positive, o.user_id AS control, a.c AS community FROM ask_{target} a JOIN offer_{target} o ON a.c = o.c AND o.i // 2 = a.i)"
+
+
+@register("matched_controls", f"WITH {USERS_SQL}, {matched_sql('late', 'd_late', 42)} SELECT * FROM matched_late")
 def matched_controls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cohort.matched_controls(flagged(spark, sf_dir), "user_id", "event_type", "d_late", list(FLAGS.values()))
 
 
-@register("test_users")
+@register("test_users", f"WITH {USERS_SQL}, {matched_sql('click', 'd_click', 42)}, {matched_sql('late', 'd_late', 43)} SELECT * FROM users WHERE user_group <> 'matched_control' OR user_id IN (SELECT control FROM matched_click UNION ALL SELECT control FROM matched_late)")
 def test_users(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cohort.test_users(flagged(spark, sf_dir), "user_id", "event_type", FLAGS)
 

@@ -4,7 +4,7 @@ import json
 
 from pyspark.sql import functions as F
 
-from sedgewren.operators import reports
+from sedgewren.operators import models, reports, stats
 
 
 def test_observed_counts(spark):
@@ -37,3 +37,23 @@ def test_samples_and_reindexing(spark):
     assert {r.y: r["count"] for r in got} == {True: 5, False: 15}
     keys = spark.createDataFrame([("a",), ("z",)], "k string")
     assert {r.k: r.n for r in reports.reindex(spark.createDataFrame([("a", 3)], "k string, n int"), keys, "k", {"n": 0}).collect()} == {"a": 3, "z": 0}
+
+
+def test_full_report_of_known_scores(spark):
+    rows = spark.range(200).selectExpr("id", "cast(id % 4 = 0 as long) as y", "if(id % 4 = 0, 0.9D, 0.2D) as score")
+    got = reports.full_report(rows, "id", draws=20).first()
+    assert (got.f1, got.auroc, got.auprc, got.threshold) == (1.0, 1.0, 1.0, 0.9)
+    assert got.f1_ci_lo == got.auroc_ci_hi == got.auprc_ci_lo == 1.0
+
+
+def test_resamples_keep_their_size_on_average(spark):
+    n = {r.draw: r["count"] for r in stats.resampled(spark.range(1000), "id", 10).groupBy("draw").count().collect()}
+    assert len(n) == 10 and all(850 < v < 1150 for v in n.values())
+
+
+def test_nested_grid_scores_each_row_once(spark):
+    rows = spark.range(60).selectExpr("id", "cast(id % 2 as long) as y", "cast(id % 2 as double) * 3 + cast(id % 7 as double) as a")
+    made = lambda **o: models.build_model("elastic", features=["a"], **o)
+    got = models.nested_grid(rows, made, [{"mix": 0.0}, {"mix": 0.5}], "id", outer=2, inner=2).select("id", "fold", "chosen", "score").collect()
+    assert sorted(r.id for r in got) == list(range(60)) and {r.chosen for r in got} <= {0, 1}
+    assert len({(r.fold, r.chosen) for r in got}) == 2
