@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.files import spread
-from . import chat, decontam, embeddings, html_text, packing, pii, simhash, suffixes, toxicity, urlfilter
+from . import chat, decontam, embeddings, filter_audit, html_text, merkle, packing, pii, sharding, simhash, suffixes, toxicity, urlfilter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -140,3 +140,109 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_html")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(spread(table(spark, sf_dir, "pages")))
+
+
+def crc_table() -> list[int]:
+    """The 256 remainders of CRC-32 (reflected polynomial 0xEDB88320)."""
+    table = []
+    for value in range(256):
+        for _ in range(8):
+            value = value >> 1 ^ (0xEDB88320 if value & 1 else 0)
+        table.append(value)
+    return table
+
+
+def crc_sql(text: str) -> str:
+    """CRC-32 of a text's UTF-8 bytes in DuckDB's SQL."""
+    table = f"CAST({crc_table()} AS BIGINT[])"
+    step = f"xor(c >> 8, {table}[CAST(xor(c, h) & 255 AS INT) + 1])"
+    return f"xor(list_reduce(list_transform(regexp_extract_all(hex(encode({text})), '..'), lambda h: CAST(CAST('0x' || h AS INT) AS BIGINT)), lambda c, h: {step}, CAST(4294967295 AS BIGINT)), 4294967295)"
+
+
+#: Two rows of one id, size and checksum are alike, so their order does not matter.
+OP12_SQL = f"""
+WITH d AS (SELECT doc_id, coalesce(strlen(text), 0) + 1 AS size, {crc_sql("coalesce(text, '')")} AS text_crc32 FROM documents),
+p AS (SELECT *, sum(size) OVER () AS whole, coalesce(sum(size) OVER (ORDER BY doc_id NULLS FIRST, size, text_crc32 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM d),
+s AS (SELECT *, CAST((2 * before + size) * 16 // (2 * whole) AS INT) AS shard FROM p)
+SELECT doc_id, CAST(size AS BIGINT) AS size, text_crc32, 'bytes' AS law, shard,
+       row_number() OVER (PARTITION BY shard ORDER BY doc_id NULLS FIRST, size, text_crc32) - 1 AS slot, CAST(NULL AS INT) AS grown_shard FROM s
+"""
+
+
+@query("op12_sharding", OP12_SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = sharding.assign(table(spark, sf_dir, "documents"))
+    return cut.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+#: Each order and step counted over documents by itself, not through subsets.
+OP13_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS words FROM documents),
+f AS (SELECT w.doc_id, part, len(words) < 50 AS a, 100 * len(list_distinct(words)) < 65 * len(words) AS b,
+             100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 5 * length(text) AS c, regexp_matches(text, '[#$%&*|]') AS d,
+             coalesce(w.doc_id > min(w.doc_id) OVER (PARTITION BY text), false) AS e FROM w),
+l AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels GROUP BY doc_id),
+m AS (SELECT part, (CASE WHEN a THEN 'A' ELSE '' END || CASE WHEN b THEN 'B' ELSE '' END || CASE WHEN c THEN 'C' ELSE '' END || CASE WHEN d THEN 'D' ELSE '' END || CASE WHEN e THEN 'E' ELSE '' END) AS fails,
+             count(*) AS n, coalesce(sum(good), 0) AS good, coalesce(sum(toxic), 0) AS toxic FROM f LEFT JOIN l USING (doc_id) GROUP BY ALL),
+o(filter_order) AS (SELECT '' UNION ALL SELECT filter_order || x FROM o, unnest(['A', 'B', 'C', 'D', 'E']) AS t(x) WHERE length(filter_order) < 5 AND NOT contains(filter_order, x)),
+s AS (SELECT filter_order, step, substr(filter_order, step, 1) AS filter, substr(filter_order, 1, step - 1) AS gone, substr(filter_order, 1, step) AS applied FROM o, range(1, 6) AS r(step) WHERE length(filter_order) = 5),
+r AS (SELECT m.part, s.filter_order, s.step, s.filter,
+             sum(CASE WHEN translate(m.fails, s.applied, '') = m.fails THEN n ELSE 0 END) AS kept,
+             sum(CASE WHEN contains(m.fails, s.filter) AND translate(m.fails, s.gone, '') = m.fails THEN n ELSE 0 END) AS removed,
+             sum(CASE WHEN contains(m.fails, s.filter) AND translate(m.fails, s.gone, '') <> m.fails THEN n ELSE 0 END) AS redundant,
+             sum(CASE WHEN m.fails = s.filter THEN n ELSE 0 END) AS unique_fails,
+             sum(CASE WHEN contains(m.fails, s.filter) AND translate(m.fails, s.gone, '') = m.fails THEN good ELSE 0 END) AS good_lost,
+             sum(CASE WHEN contains(m.fails, s.filter) AND translate(m.fails, s.gone, '') = m.fails THEN toxic ELSE 0 END) AS toxic_lost FROM m, s GROUP BY ALL)
+SELECT part, filter_order, CAST(step AS INT) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails,
+       CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, filter) AS BIGINT) AS shapley FROM r
+"""
+
+
+@query("op13_filter_audit", OP13_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.filter_audit(spread(table(spark, sf_dir, "documents")), table(spark, sf_dir, "labels"))
+
+
+def merkle_sql() -> str:
+    """Levels of all trees by one recursion, and each row's fold by another."""
+    field = lambda c, t: f"coalesce(CAST(strlen({t}) AS VARCHAR) || ':' || {t}, '-')"
+    lower = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    leaf = lambda text: "sha256(" + " || ".join([field("", "CAST(doc_id AS VARCHAR)"), field("", "source"), field("", "lang"), field("", "CAST(n_chars AS VARCHAR)"), field("", text)]) + ")"
+    return f"""
+WITH RECURSIVE d AS (SELECT doc_id, lang, {leaf("text")} AS leaf, CASE WHEN {crc_sql("CAST(doc_id AS VARCHAR)")} % 3 = 0 THEN {leaf(lower)} END AS again FROM documents),
+t AS (SELECT lang, row_number() OVER (ORDER BY encode(lang) NULLS FIRST) - 1 AS tree FROM (SELECT DISTINCT lang FROM d)),
+p AS (SELECT tree, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, doc_id, leaf, again FROM d JOIN t ON d.lang IS NOT DISTINCT FROM t.lang),
+n(tree, level, i, node, last) AS (
+    SELECT tree, 0, i, leaf, max(i) OVER (PARTITION BY tree) FROM p
+    UNION ALL SELECT tree, level + 1, i // 8, sha256(string_agg(node, '' ORDER BY i)), last // 8 FROM n WHERE last > 0 GROUP BY tree, level, i // 8, last),
+h AS (SELECT tree, max(level) AS height FROM n GROUP BY tree),
+u(level, i, node, last) AS (
+    SELECT 0, n.tree, node, (SELECT max(tree) FROM t) FROM n JOIN h ON n.tree = h.tree AND n.level = h.height
+    UNION ALL SELECT level + 1, i // 8, sha256(string_agg(node, '' ORDER BY i)), last // 8 FROM u WHERE last > 0 GROUP BY level, i // 8, last),
+-- all nodes above a row, those of its tree first, then those above its subroot
+a AS (SELECT p.tree, p.i, n.level AS level, n.i AS own, n.tree AS of FROM p JOIN n ON n.tree = p.tree AND n.i = p.i // CAST(pow(8, n.level) AS BIGINT)),
+b AS (SELECT tree, i, level, own, of FROM a JOIN h USING (tree) WHERE level < height
+      UNION ALL SELECT p.tree, p.i, h.height + u.level, u.i, NULL FROM p JOIN h USING (tree) JOIN u ON u.i = p.tree // CAST(pow(8, u.level) AS BIGINT) WHERE u.last > 0),
+s AS (SELECT b.tree, b.i, b.level, coalesce(string_agg(CASE WHEN x.i < b.own THEN x.node END, '' ORDER BY x.i), '') AS l, coalesce(string_agg(CASE WHEN x.i > b.own THEN x.node END, '' ORDER BY x.i), '') AS r
+      FROM b JOIN (SELECT tree, level, i, node FROM n UNION ALL SELECT NULL, level, i, node FROM u) x
+        ON x.tree IS NOT DISTINCT FROM b.of AND x.level = b.level - CASE WHEN b.of IS NULL THEN (SELECT height FROM h WHERE h.tree = b.tree) ELSE 0 END AND x.i // 8 = b.own // 8
+      GROUP BY b.tree, b.i, b.level),
+g(tree, i, level, node) AS (SELECT tree, i, 0, coalesce(again, leaf) FROM p UNION ALL SELECT g.tree, g.i, g.level + 1, sha256(l || node || r) FROM g JOIN s ON g.tree = s.tree AND g.i = s.i AND g.level = s.level),
+e AS (SELECT tree, i, arg_max(node, level) AS folded_root FROM g GROUP BY tree, i),
+q AS (SELECT tree, i, sha256(string_agg(l || r, '' ORDER BY level)) AS proof FROM s GROUP BY tree, i)
+SELECT p.doc_id, p.leaf, (SELECT node FROM u WHERE u.level = 0 AND u.i = p.tree) AS subroot, (SELECT node FROM u WHERE u.last = 0) AS root,
+       coalesce(q.proof, sha256('')) AS proof_sha256, e.folded_root, e.folded_root = (SELECT node FROM u WHERE u.last = 0) AS verified
+FROM p JOIN e ON p.tree = e.tree AND p.i = e.i LEFT JOIN q ON p.tree = q.tree AND p.i = q.i
+"""
+
+
+@query("op11_merkle", merkle_sql())
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spread(table(spark, sf_dir, "documents"))
+    lower = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    changed = F.when(F.crc32(F.col("doc_id").cast("string")) % 3 == 0, merkle.leaf_hash("doc_id", "source", "lang", "n_chars", lower))
+    leaves = docs.select("doc_id", "lang", merkle.leaf_hash(*merkle.FIELDS).alias("leaf"), changed.alias("changed"))
+    proved = merkle.prove(leaves)
+    folded = proved.withColumn("folded_root", merkle.fold(F.coalesce("changed", "leaf"), F.col("proof")))
+    proof = F.sha2(F.array_join(F.transform("proof", lambda p: F.concat(p["left"], p["right"])), ""), 256)
+    return folded.select("doc_id", "leaf", "subroot", "root", proof.alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
