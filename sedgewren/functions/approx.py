@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 import pandas as pd
@@ -29,14 +30,49 @@ def language_of(words: Column) -> Column:
     return F.coalesce(F.array_max(scores)["code"], F.lit("en"))
 
 
+# The 27 characters that Windows-1252 has in the place of control codes 0x80 to 0x9F.
+WINDOWS = {c: i for i in range(0x80, 0xA0) if (c := bytes([i]).decode("cp1252", "replace")) != "\ufffd"}
+
+
+def as_byte(char: str) -> int:
+    """The byte that was misread as this character; codes that Windows-1252 leaves open stand for themselves."""
+    return WINDOWS.get(char, ord(char))
+
+
+TRAIL = "\x80-\xbf" + "".join(WINDOWS)
+#: Misread characters: a lead byte and the bytes that it asks for.
+MISREAD = re.compile(f"[\xc2-\xdf][{TRAIL}]|[\xe0-\xef][{TRAIL}]{{2}}|[\xf0-\xf4][{TRAIL}]{{3}}")
+#: Lead bytes that are no likely letters before a sign: of Latin-1 and Latin Extended-A, general punctuation, full-width forms, emoji.
+SURE = "\xc2\xc3\xc4\xc5\xe2\xef\xf0"
+RUN = re.compile(f"(?:{MISREAD.pattern})+")
+
+
+def reread(run: str) -> str:
+    """A run of misread characters as it was meant; one that is not UTF-8 after all, or a single one with an unlikely lead, stays."""
+    parts = MISREAD.findall(run)
+    out = []
+    for part in parts:
+        meant = None
+        if len(parts) > 1 or part[0] in SURE:
+            try:
+                meant = bytes(map(as_byte, part)).decode("utf-8")
+            except UnicodeDecodeError:
+                meant = None
+        out.append(part if meant is None else meant)
+    return "".join(out)
+
+
 def repaired(text: str) -> str:
-    """Text that was UTF-8 read as Windows-1252 or Latin-1 is read again, if all of it can be."""
-    for encoding in ("cp1252", "latin-1"):
-        try:
-            return text.encode(encoding).decode("utf-8")
-        except UnicodeError:
-            continue
-    return text
+    """Passages that were UTF-8 read as Windows-1252 or Latin-1 are read again, wherever they stand and as often as they were misread.
+
+    What is right stays: bytes that form no character, and single letters beyond Latin before a closing quotation mark
+    (``CAF\xc9\xbb``). Each pass shortens the text, so this ends.
+    """
+    while True:
+        again = RUN.sub(lambda m: reread(m.group()), text)
+        if again == text:
+            return text
+        text = again
 
 
 def fix_encoding_approx(text: Column) -> Column:
@@ -46,7 +82,7 @@ def fix_encoding_approx(text: Column) -> Column:
     def fix(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: None if t is None else repaired(t))
 
-    odd = known(text).rlike("[ÃÂâ][\\x{80}-\\x{BF}€™œ]")
+    odd = known(text).rlike(f"[\\x{{C2}}-\\x{{F4}}][\\x{{80}}-\\x{{BF}}{''.join(WINDOWS)}]")
     return F.when(odd, fix(F.when(odd, text))).otherwise(text)
 
 

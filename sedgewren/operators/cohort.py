@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import drop_stored, stored
+
 
 def disclosed(frame: DataFrame, user: str, flags: Sequence[str]) -> DataFrame:
     """(user, one 0/1 column for each flag): whether any of a user's rows has it. Null and empty users are left out."""
@@ -38,25 +41,58 @@ def hash_order(key: Column, seed: int) -> Column:
     return F.md5(F.concat_ws("|", F.lit(str(seed)), key.cast("string")))
 
 
-def matched_controls(frame: DataFrame, user: str, community: str, flag: str, flags: Sequence[str], per_positive: int = 2, min_posts: int = 3, seed: int = 42) -> DataFrame:
-    """Controls for each positive from one of its communities, each user at most once.
+def placed(rows: DataFrame, group: str, who: str, name: str, seed: int, weight: Column | None = None) -> DataFrame:
+    """Adds ``name``: the rows (or sum of weights) before this one in its group, by hash and then by ``who``.
 
-    A positive asks in one community of its own and a control offers itself in one of its own (both by hash),
-    so communities can be matched apart: within one, the i-th positives take the candidates numbered
-    (i-1)n+1 to in. All is windows by community and a join on (community, number); nobody is chosen twice,
-    as everyone stands in one community alone.
+    Groups are cut into 4,096 ranges of the hash; ranges are summed up, and rows ordered within a range only, so a
+    large group is not one window.
     """
-    positives = frame.where(F.col(user).isNotNull() & (F.coalesce(F.col(flag).cast("long"), F.lit(0)) == 1)).select(user).distinct()
-    pool = control_pool(frame, user, community, flags, min_posts)
-    own = frame.select(user, community).distinct().join(positives, user, "left_semi")
+    wide = rows.withColumn("_h", hash_order(F.col(who), seed)).withColumn("_part", F.substring("_h", 1, 3)).withColumn("_w", F.lit(1).cast("long") if weight is None else weight.cast("long"))
+    sums = wide.groupBy(group, "_part").agg(F.sum("_w").alias("_s"))
+    before = Window.partitionBy(group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sums.select(group, "_part", F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_o"))
+    inside = Window.partitionBy(group, "_part").orderBy("_h", who).rowsBetween(Window.unboundedPreceding, -1)
+    own = wide.withColumn(name, F.coalesce(F.sum("_w").over(inside), F.lit(0)))
+    return own.join(offsets, [group, "_part"]).withColumn(name, F.col(name) + F.col("_o")).drop("_h", "_part", "_w", "_o")
 
-    def settle(rows: DataFrame, who: str) -> DataFrame:
-        once = rows.groupBy(user).agg(F.min(F.struct(hash_order(F.concat_ws("|", F.col(user).cast("string"), F.col(community).cast("string")), seed).alias("h"), F.col(community).alias("c"))).alias("m"))
-        place = Window.partitionBy("c").orderBy(hash_order(F.col(who), seed), who)
-        return once.select(F.col(user).alias(who), F.col("m.c").alias("c")).withColumn("i", F.row_number().over(place) - 1)
 
-    asks = settle(own, "positive").select("positive", "c", F.explode(F.sequence(F.col("i") * per_positive, (F.col("i") + 1) * per_positive - 1)).alias("i"))
-    return asks.join(settle(pool, "control"), ["c", "i"]).select(F.col("positive"), F.col("control"), F.col("c").alias("community"))
+def matched_controls(frame: DataFrame, user: str, community: str, flag: str, flags: Sequence[str], per_positive: int = 2, min_posts: int = 3, seed: int = 42) -> DataFrame:
+    """(positive, control, community): controls for each positive from any of its communities, each user at most once.
+
+    In rounds: a positive that still needs controls asks in the first of its communities (by hash) where a user
+    is free; a free user offers itself in the first of its communities (by hash) that is asked. Within a
+    community the places of asks, as wide as their need, meet the places of offers. Rounds end when no positive in need shares a
+    community with a free user, so nobody goes short while a control is left, as in a pass over positives one by one.
+    Each round serves at least one ask of each community with an offer; tables of the round are written and the last ones
+    deleted. Null communities match nothing.
+    """
+    positives = frame.where(F.col(user).isNotNull() & (F.coalesce(F.col(flag).cast("long"), F.lit(0)) == 1)).select(user).distinct()
+    order = hash_order(F.concat_ws("|", F.col(user).cast("string"), F.col(community).cast("string")), seed)
+    edges = lambda rows: rows.where(F.col(community).isNotNull()).select(user, F.col(community).alias("c"), order.alias("h"))
+    own = stored(edges(frame.select(user, community).distinct().join(positives, user, "left_semi")))
+    free = stored(edges(control_pool(frame, user, community, flags, min_posts)))
+    need = stored(own.select(user).distinct().withColumn("need", F.lit(per_positive).cast("long")))
+    first = F.min(F.struct("h", "c")).getField("c").alias("c")
+    rounds = []
+    while True:
+        asks = own.join(need, user).join(free.select("c").distinct(), "c", "left_semi").groupBy(user, "need").agg(first)
+        asks = stored(placed(asks.withColumnRenamed(user, "positive"), "c", "positive", "start", seed, F.col("need")))
+        if asks.isEmpty():
+            break
+        offers = free.join(asks.select("c").distinct(), "c", "left_semi").groupBy(user).agg(first)
+        offers = placed(offers.withColumnRenamed(user, "control"), "c", "control", "place", seed)
+        wanted = asks.select("positive", "c", F.explode(F.sequence("start", F.col("start") + F.col("need") - 1)).alias("place"))
+        got = stored(wanted.join(offers, ["c", "place"]).select("positive", "control", F.col("c").alias("community")))
+        rounds.append(got)
+        served = got.groupBy(F.col("positive").alias(user)).agg(F.count("*").alias("_got"))
+        left = need.join(served, user, "left").select(user, (F.col("need") - F.coalesce("_got", F.lit(0))).alias("need")).where("need > 0")
+        gone = got.select(F.col("control").alias(user))
+        before = (need, free, asks)
+        need, free = stored(left), stored(free.join(gone, user, "left_anti"))
+        for table in before:
+            drop_stored(table)
+    empty = frame.sparkSession.createDataFrame([], f"positive {frame.schema[user].dataType.simpleString()}, control {frame.schema[user].dataType.simpleString()}, community {frame.schema[community].dataType.simpleString()}")
+    return reduce(DataFrame.unionByName, rounds, empty)
 
 
 def test_users(frame: DataFrame, user: str, community: str, flags: dict[str, str], per_positive: int = 2, min_posts: int = 3, seed: int = 42) -> DataFrame:

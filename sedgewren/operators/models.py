@@ -3,16 +3,22 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LinearSVC, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import IDF, CountVectorizer, NGram, Normalizer, RegexTokenizer, SQLTransformer, VectorAssembler
-from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..session import write_apart
+from .coral import Coral
 from .metrics import auroc
-from .splits import folds
+from .splits import folds, unit_hash
+from .stages import ClassWeights, ScoreColumns
+from .trees import ExtraTrees, HistogramBoost
 
 
 def tfidf_stages(text: str, min_df: float = 5, max_df: float = 0.95, size: int = 100_000) -> list:
@@ -27,28 +33,25 @@ def tfidf_stages(text: str, min_df: float = 5, max_df: float = 0.95, size: int =
 
 
 class Scorer:
-    """fit, score and labels of a pyspark.ml pipeline; ``score`` adds score (of class 1) and pred."""
+    """fit, score and labels of a pyspark.ml pipeline; ``score`` adds score (of class 1) and pred. What is fitted is one PipelineModel, saved and loaded whole."""
 
     def __init__(self, stages: list, label: str = "y", balance: bool = True):
         self.stages, self.label, self.balance = stages, label, balance
         self.model: PipelineModel | None = None
 
+    def pipeline(self) -> Pipeline:
+        """All stages as an Estimator, for any of pyspark.ml's own tools."""
+        return Pipeline(stages=[*([ClassWeights(labelCol=self.label)] if self.balance else []), *self.stages, ScoreColumns()])
+
     def fit(self, frame: DataFrame) -> Scorer:
-        data = frame.withColumn(self.label, F.col(self.label).cast("double"))
-        if self.balance:
-            data = balanced_weights(data, self.label)
-        self.model = Pipeline(stages=self.stages).fit(data)
+        self.model = self.pipeline().fit(frame.withColumn(self.label, F.col(self.label).cast("double")))
         return self
 
     def score(self, frame: DataFrame, threshold: float = 0.5) -> DataFrame:
         if self.model is None:
             raise ValueError("the model is not fitted")
-        out = self.model.transform(frame if "weight" in frame.columns else frame.withColumn("weight", F.lit(1.0)))
-        if "probability" in out.columns:
-            out = out.withColumn("score", F.get(vector_to_array("probability"), 1))
-        else:
-            out = out.withColumn("score", 1 / (1 + F.exp(-F.get(vector_to_array("rawPrediction"), 1))))
-        return out.withColumn("pred", (F.col("score") >= threshold).cast("long"))
+        out = self.model.transform(frame)
+        return out if threshold == 0.5 else out.withColumn("pred", (F.col("score") >= threshold).cast("long"))
 
     def save(self, path: str) -> None:
         self.model.write().overwrite().save(path)
@@ -59,14 +62,8 @@ class Scorer:
 
 
 def balanced_weights(frame: DataFrame, label: str, column: str = "weight") -> DataFrame:
-    """Weights that give both classes the same sum."""
-    sizes = {r[label]: r["count"] for r in frame.groupBy(label).count().collect()}
-    total = sum(sizes.values())
-    weight = F.lit(1.0)
-    for value, n in sizes.items():
-        weight = F.when(F.col(label) == value, total / (len(sizes) * n)).otherwise(weight)
-    own = F.col(column) if column in frame.columns else F.lit(1.0)
-    return frame.withColumn(column, own * weight)
+    """Weights that give all classes the same sum."""
+    return ClassWeights(labelCol=label, weightCol=column).fit(frame).transform(frame)
 
 
 def effective_number_weight(count: Column, beta: float = 0.999) -> Column:
@@ -112,8 +109,8 @@ def forest(features: Sequence[str], label: str = "y", **options: float) -> Score
 
 
 @model("elastic")
-def elastic(features: Sequence[str], label: str = "y", mix: float = 0.3) -> Scorer:
-    return Scorer([assembled(features), LogisticRegression(labelCol=label, weightCol="weight", elasticNetParam=mix, regParam=1e-3, maxIter=100)], label)
+def elastic(features: Sequence[str], label: str = "y", mix: float = 0.3, penalty: float = 1e-3, rounds: int = 100) -> Scorer:
+    return Scorer([assembled(features), LogisticRegression(labelCol=label, weightCol="weight", elasticNetParam=mix, regParam=penalty, maxIter=rounds)], label)
 
 
 @model("svm")
@@ -121,6 +118,16 @@ def svm(features: Sequence[str], label: str = "y") -> Scorer:
     return Scorer([assembled(features), LinearSVC(labelCol=label, weightCol="weight", maxIter=50, regParam=1e-3)], label)
 
 
+@model("extra_trees")
+def extra_trees(features: Sequence[str], label: str = "y", **options: float) -> Scorer:
+    return Scorer([assembled(features), ExtraTrees(labelCol=label, **options)], label)
+
+
+@model("hist_gbm")
+def hist_gbm(features: Sequence[str], label: str = "y", **options: float) -> Scorer:
+    return Scorer([assembled(features), HistogramBoost(labelCol=label, **options)], label)
+
+
 @model("multinomial")
 def multinomial(text: str = "text", label: str = "y") -> Scorer:
     return Scorer([*tfidf_stages(text), LogisticRegression(labelCol=label, weightCol="weight", family="multinomial", maxIter=30, regParam=1e-3)], label)
@@ -142,19 +149,53 @@ def out_of_fold(frame: DataFrame, make: Callable[[], Scorer], key: str, k: int =
     return out
 
 
-def nested_grid(frame: DataFrame, make: Callable[..., Scorer], grid: Sequence[dict], key: str, label: str = "y", outer: int = 5, inner: int = 3, seed: int = 42) -> DataFrame:
-    """Scores of each row by a model that did not see its fold, with ``chosen``: the place in ``grid`` of that model's options.
+def nested_grid(frame: DataFrame, make: Callable[..., Scorer], grid: Sequence[dict], key: str, label: str = "y", outer: int = 5, inner: int = 3, seed: int = 42, workers: int = 4) -> DataFrame:
+    """(columns of ``frame``, fold, chosen, score, pred): each row scored by a model that did not see its outer fold.
+
+    ``chosen`` is the place in ``grid`` of that model's options: those of greatest AUROC (the first of equal ones) over
+    inner folds of the rows outside the outer fold alone. The rows and all their folds are one written table, held in
+    memory for the fits, of which ``workers`` run at a time; one job over all inner scores gives every AUROC.
 
-    They are those of greatest AUROC (the first of equal ones) over inner folds of the rows outside the fold alone.
+    Fits run in a session of their own: a session that has used an Observation can't serialise the closures of later fits.
     """
-    marked, out = folds(frame, key, outer, seed), None
-    for i in range(outer):
-        train = marked.where(F.col("fold") != i).drop("fold")
-        found = [auroc(out_of_fold(train, lambda o=options: make(**o), key, inner, seed + 1 + i), label).first()["auroc"] or 0.0 for options in grid]
-        chosen = max(range(len(grid)), key=lambda at: (found[at], -at))
-        part = make(**grid[chosen]).fit(train).score(marked.where(F.col("fold") == i)).withColumn("chosen", F.lit(chosen).cast("long"))
-        out = part if out is None else out.unionByName(part)
-    return out
+    spark = frame.sparkSession
+    apart = spark.newSession()
+    for name in ("spark.sql.shuffle.partitions", "spark.sql.session.timeZone"):  # the session's own settings; the rest is the cluster's
+        if (value := spark.conf.get(name, None)) is not None:
+            apart.conf.set(name, value)
+    place = lambda k, s: F.floor(unit_hash(F.col(key), s) * k).cast("long")
+    marked = frame.withColumns({"fold": place(outer, seed)} | {f"_inner{i}": place(inner, seed + 1 + i) for i in range(outer)})
+    path = write_apart(marked)
+    rows = apart.read.schema(marked.schema).parquet(path).persist()
+
+    def inner_scores(case: tuple[int, int, int]) -> DataFrame:
+        i, option, j = case
+        fitted = make(**grid[option]).fit(rows.where((F.col("fold") != i) & (F.col(f"_inner{i}") != j)))
+        scored = fitted.score(rows.where((F.col("fold") != i) & (F.col(f"_inner{i}") == j)))
+        return scored.select(F.lit(i).alias("_fold"), F.lit(option).alias("_option"), F.col(label).cast("long").alias("_y"), "score")
+
+    def outer_scores(case: tuple[int, int]) -> DataFrame:
+        i, option = case
+        fitted = make(**grid[option]).fit(rows.where(F.col("fold") != i))
+        return fitted.score(rows.where(F.col("fold") == i)).withColumn("chosen", F.lit(option).cast("long")).select(*frame.columns, "fold", "chosen", "score", "pred")
+
+    try:
+        with ThreadPoolExecutor(workers) as pool:
+            tried = list(pool.map(inherited(apart, inner_scores), [(i, option, j) for i in range(outer) for option in range(len(grid)) for j in range(inner)])) if len(grid) > 1 else []
+            found = {(r._fold, r._option): r.auroc or 0.0 for r in auroc(reduce(DataFrame.union, tried), "_y", "score", ("_fold", "_option")).collect()} if tried else {}
+            chosen = {i: max(range(len(grid)), key=lambda at, i=i: (found.get((i, at), 0.0), -at)) for i in range(outer)}
+            parts = list(pool.map(inherited(apart, outer_scores), chosen.items()))
+        done = reduce(DataFrame.union, parts)
+        scores = write_apart(done)
+    finally:
+        rows.unpersist()
+    return spark.read.schema(done.schema).parquet(scores)
+
+
+def inherited(spark: SparkSession, function: Callable) -> Callable:
+    """The function with the caller's job group and tags in a thread of a pool."""
+    wrapped = inheritable_thread_target(spark)
+    return wrapped(function)
 
 
 def stacked(frame: DataFrame, makers: dict[str, Callable[[], Scorer]], key: str, label: str = "y", k: int = 3) -> tuple[Scorer, DataFrame]:
@@ -166,33 +207,33 @@ def stacked(frame: DataFrame, makers: dict[str, Callable[[], Scorer]], key: str,
     return meta, meta.score(wide)
 
 
-def ordinal(frame: DataFrame, features: Sequence[str], label: str, levels: int) -> DataFrame:
-    """Adds level: how many of the cumulative models P(y >= j) reach a half (made monotone by their running minimum)."""
-    wide = frame
-    for j in range(1, levels):
-        fitted = Scorer([assembled(features), LogisticRegression(labelCol="_y", maxIter=50, regParam=1e-3)], "_y", False).fit(frame.withColumn("_y", (F.col(label) >= j).cast("double")))
-        scored = fitted.score(wide.drop("features", "rawPrediction", "probability", "prediction", "score", "pred", "weight"))
-        wide = scored.withColumn(f"_p{j}", F.col("score"))
-    run = [F.least(*[F.col(f"_p{i}") for i in range(1, j + 1)], F.lit(1.0)) for j in range(1, levels)]
-    total = sum(((r >= 0.5).cast("long") for r in run), F.lit(0))
-    return wide.withColumn("level", total.cast("long")).drop("features", "rawPrediction", "probability", "prediction", "score", "pred", "weight")
+def ordinal(frame: DataFrame, features: Sequence[str], label: str, levels: int, rounds: int = 60) -> DataFrame:
+    """Adds levels_above and level by one weight vector and ordered thresholds (``coral.Coral``)."""
+    fitted = Pipeline(stages=[assembled(features), Coral(labelCol=label, levels=levels, maxIter=rounds)]).fit(frame)
+    return fitted.transform(frame).drop("features")
 
 
 def top_terms(scorer: Scorer, n: int = 20) -> list[tuple[str, float]]:
     """Terms of the greatest and least coefficients (the vocabulary has a bound)."""
     vocabulary = next(s.vocabulary for s in scorer.model.stages if hasattr(s, "vocabulary"))
-    weights = list(zip(vocabulary, scorer.model.stages[-1].coefficients.toArray().tolist(), strict=True))
+    weights = list(zip(vocabulary, next(s for s in scorer.model.stages if hasattr(s, "coefficients")).coefficients.toArray().tolist(), strict=True))
     weights.sort(key=lambda w: (-w[1], w[0]))
     return weights[:n] + weights[-n:]
 
 
-def permutation_importance(frame: DataFrame, scorer: Scorer, key: str, column: str, label: str = "y", seed: int = 42) -> float:
-    """Loss of accuracy when a column is moved to other rows: each row takes the value of the next row by hash within its bucket."""
-    from pyspark.sql import Window
-
-    from .splits import unit_hash
+def permutation_importances(frame: DataFrame, scorer: Scorer, key: str, columns: Sequence[str], label: str = "y", seed: int = 42) -> DataFrame:
+    """(feature, loss): loss of accuracy when a column is moved to other rows, for each column in one job.
 
+    Each row takes the value of the next row by hash within its one of 64 buckets (the last one that of the first).
+    """
     own = Window.partitionBy("_b").orderBy("_u", key)
-    mixed = frame.withColumn("_u", unit_hash(F.col(key), seed)).withColumn("_b", F.floor(F.col("_u") * 64)).withColumn(column, F.coalesce(F.lead(column).over(own), F.first(column).over(own))).drop("_u", "_b")
-    right = lambda f: f.agg(F.avg((F.col("pred") == F.col(label)).cast("double"))).first()[0]
-    return right(scorer.score(frame)) - right(scorer.score(mixed))
+    dealt = frame.withColumn("_u", unit_hash(F.col(key), seed)).withColumn("_b", F.floor(F.col("_u") * 64))
+    right = lambda f, name: scorer.score(f).select(F.lit(name).alias("feature"), (F.col("pred") == F.col(label)).cast("double").alias("right"))
+    mixed = [right(dealt.withColumn(c, F.coalesce(F.lead(c).over(own), F.first(c).over(own))).drop("_u", "_b"), c) for c in columns]
+    whole = right(frame, "").agg(F.avg("right").alias("whole"))
+    return reduce(DataFrame.union, mixed).groupBy("feature").agg(F.avg("right").alias("right")).join(F.broadcast(whole)).select("feature", (F.col("whole") - F.col("right")).alias("loss"))  # one row
+
+
+def permutation_importance(frame: DataFrame, scorer: Scorer, key: str, column: str, label: str = "y", seed: int = 42) -> float:
+    """The loss of accuracy of one column."""
+    return permutation_importances(frame, scorer, key, [column], label, seed).first()["loss"]

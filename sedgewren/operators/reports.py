@@ -2,21 +2,25 @@
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Observation, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import pseudonym
+from ..session import stored
 from . import metrics, stats
 from .ordered import exact_quantiles
 from .splits import unit_hash
 
 
-def counted(frame: DataFrame, name: str) -> tuple[DataFrame, Observation]:
-    """The frame with its row count observed while it runs: a stage's log line without a job of its own."""
-    seen = Observation(name)
-    return frame.observe(seen, F.count(F.lit(1)).alias("rows")), seen
+def counted(frame: DataFrame, name: str) -> tuple[DataFrame, int]:
+    """A stage's result as a written table, and its row count from the files' footers, for a log line."""
+    table = stored(frame)
+    rows = table.count()
+    logging.getLogger("sedgewren").info("%s: %d rows", name, rows)
+    return table, rows
 
 
 def reindex(frame: DataFrame, keys: DataFrame, key: str, fill: dict[str, float | int | str]) -> DataFrame:

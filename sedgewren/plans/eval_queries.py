@@ -10,6 +10,7 @@ from ..functions import text as T
 from ..operators import early, metrics, models, splits, stats, users
 from ..operators import labels as L
 from ..streaming import events as E
+from ..session import stored
 from .adapters import LABELLED, PROBE, STREAM, TOKENS, hits, labelled, posts, rounded, stream
 from .catalog import register, table
 
@@ -437,7 +438,7 @@ def out_of_fold_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("ordinal_levels")
 def ordinal_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, names = featured(spark, sf_dir)
-    return models.ordinal(rows.withColumn("lv", F.col("doc_id") % 3), names[:6], "lv", 3).select("doc_id", "lv", "level")
+    return models.ordinal(stored(rows.withColumn("lv", F.col("doc_id") % 3)), names, "lv", 3).select("doc_id", "lv", "level")
 
 
 @register("robustness_flips")

@@ -117,13 +117,25 @@ def matched_control_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cohort.control_pool(flagged(spark, sf_dir), "user_id", "event_type", list(FLAGS.values()))
 
 
-def matched_sql(target: str, flag: str, seed: int) -> str:
-    """Tables of the controls matched to a target's positives, the last of them named matched_<target>."""
-    settle = "{0}_{t} AS (SELECT user_id, c, row_number() OVER (PARTITION BY c ORDER BY md5('{s}|' || user_id), user_id) - 1 AS i FROM (SELECT user_id, arg_min(event_type, md5('{s}|' || user_id || '|' || event_type)) AS c FROM {1} GROUP BY user_id))"
-    own = f"own_{target} AS (SELECT DISTINCT user_id, event_type FROM flagged WHERE user_id IN (SELECT user_id FROM flagged WHERE {flag} = 1))"
-    free = f"free_{target} AS (SELECT DISTINCT s.user_id, s.event_type FROM flagged s JOIN users u ON s.user_id = u.user_id WHERE u.user_group = 'matched_control' AND u.n_posts >= 3)"
-    ask, offer = (settle.format(a, f"{b}_{target}", t=target, s=seed) for a, b in (("ask", "own"), ("offer", "free")))
-    return f"{own}, {free}, {ask}, {offer}, matched_{target} AS (SELECT a.user_id AS positive, o.user_id AS control, a.c AS community FROM ask_{target} a JOIN offer_{target} o ON a.c = o.c AND o.i // 2 = a.i)"
+def matched_sql(target: str, flag: str, seed: int, rounds: int = 6) -> str:
+    """Rounds of asks and offers as tables, the last named matched_<target>. On the test tables the last of these rounds has nothing left to match."""
+    t, one = target, f"md5('{seed}|' || user_id)"
+    edge = f"SELECT user_id, event_type AS c, md5('{seed}|' || user_id || '|' || event_type) AS h"
+    parts = [
+        f"own_{t} AS MATERIALIZED ({edge} FROM (SELECT DISTINCT user_id, event_type FROM flagged WHERE user_id IN (SELECT user_id FROM flagged WHERE {flag} = 1)))",
+        f"free_{t}0 AS MATERIALIZED ({edge} FROM (SELECT DISTINCT s.user_id, s.event_type FROM flagged s JOIN users u ON s.user_id = u.user_id WHERE u.user_group = 'matched_control' AND u.n_posts >= 3))",
+        f"need_{t}0 AS MATERIALIZED (SELECT DISTINCT user_id, 2 AS need FROM own_{t})",
+    ]
+    for r in range(1, rounds + 1):
+        p = r - 1
+        parts += [
+            f"ask_{t}{r} AS MATERIALIZED (SELECT *, sum(need) OVER (PARTITION BY c ORDER BY {one}, user_id) - need AS start FROM (SELECT user_id, need, arg_min(c, h) AS c FROM own_{t} JOIN need_{t}{p} USING (user_id) WHERE c IN (SELECT c FROM free_{t}{p}) GROUP BY user_id, need))",
+            f"offer_{t}{r} AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY c ORDER BY {one}, user_id) - 1 AS place FROM (SELECT user_id, arg_min(c, h) AS c FROM free_{t}{p} WHERE c IN (SELECT c FROM ask_{t}{r}) GROUP BY user_id))",
+            f"got_{t}{r} AS MATERIALIZED (SELECT a.user_id AS positive, o.user_id AS control, a.c AS community FROM ask_{t}{r} a JOIN offer_{t}{r} o ON a.c = o.c AND o.place >= a.start AND o.place < a.start + a.need)",
+            f"need_{t}{r} AS MATERIALIZED (SELECT n.user_id, n.need - coalesce(g.n, 0) AS need FROM need_{t}{p} n LEFT JOIN (SELECT positive, count(*) AS n FROM got_{t}{r} GROUP BY positive) g ON n.user_id = g.positive WHERE n.need > coalesce(g.n, 0))",
+            f"free_{t}{r} AS MATERIALIZED (SELECT * FROM free_{t}{p} WHERE user_id NOT IN (SELECT control FROM got_{t}{r}))",
+        ]
+    return ", ".join(parts) + f", matched_{t} AS (" + " UNION ALL ".join(f"SELECT * FROM got_{t}{r}" for r in range(1, rounds + 1)) + ")"
 
 
 @register("matched_controls", f"WITH {USERS_SQL}, {matched_sql('late', 'd_late', 42)} SELECT * FROM matched_late")

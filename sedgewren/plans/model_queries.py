@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import audit, models, reports
+from ..operators import audit, metrics, models, reports, splits
 from ..sources import files
 from ..streaming import events as E
 from .adapters import LABELLED, labelled, rounded
@@ -41,6 +41,37 @@ def svm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scores_of(spark, sf_dir, "svm")
 
 
+@register("extra_trees_scores")
+def extra_trees_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scores_of(spark, sf_dir, "extra_trees")
+
+
+@register("hist_gbm_scores")
+def hist_gbm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scores_of(spark, sf_dir, "hist_gbm")
+
+
+@register("nested_grid")
+def nested_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores by forests whose depth is chosen within each outer fold."""
+    rows, names = kept_features(spark, sf_dir)
+    made = lambda **o: models.build_model("forest", features=names, numTrees=10, **o)
+    return rounded(models.nested_grid(rows, made, [{"maxDepth": 2}, {"maxDepth": 5}], "doc_id", outer=3, inner=2).select("doc_id", "fold", "chosen", "score", "pred"))
+
+
+@register("feature_ablation")
+def feature_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Held-out AUROC without each group of features, and with that group only."""
+    rows, names = kept_features(spark, sf_dir)
+    groups = {"terms": [n for n in names if n.startswith(("f_anx", "f_health", "f_dep", "f_suic", "f_reass", "f_body"))], "pronouns": [n for n in names if n.startswith(("f_first", "f_second", "f_third"))], "length": [n for n in names if n.startswith(("f_n_", "f_avg"))]}
+    marked, out = splits.folds(rows, "doc_id", 4), None
+    for mask, columns in splits.feature_masks(names, groups).items():
+        fitted = models.build_model("elastic", features=columns, rounds=20).fit(marked.where("fold <> 0"))
+        part = metrics.auroc(fitted.score(marked.where("fold = 0")), "y", "score").select(F.lit(mask).alias("mask"), F.lit(len(columns)).cast("long").alias("n_features"), "auroc")
+        out = part if out is None else out.unionByName(part)
+    return rounded(out)
+
+
 @register("top_terms")
 def top_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten terms of greatest and of least weight (a report's limit)."""
@@ -51,15 +82,15 @@ def top_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("permutation_importance")
 def permutation_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Loss of accuracy of each of the first features when it is moved to other rows."""
+    """Loss of accuracy of each feature when it is moved to other rows."""
     rows, names = kept_features(spark, sf_dir)
     fitted = models.build_model("elastic", features=names).fit(rows)
-    return rounded(spark.createDataFrame([(n, float(models.permutation_importance(rows, fitted, "doc_id", n))) for n in names[:4]], "feature string, loss double"))
+    return rounded(models.permutation_importances(rows, fitted, "doc_id", names))
 
 
 @register("full_report")
 def full_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(reports.full_report(labelled(spark, sf_dir), "doc_id", draws=50))
+    return rounded(reports.full_report(labelled(spark, sf_dir), "doc_id", draws=500))
 
 
 AGREED = "SELECT '{0}' AS model, '{1}' AS target, '{2}' AS metric, round({3}, 6) AS value FROM labelled"

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..sources import files
+from ..sources import collectors, files
 from ..streaming import events as E
 from .adapters import rounded
 from .catalog import register, table
@@ -75,3 +75,38 @@ def dump_communities(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     names = docs.where("source is not null").groupBy(F.lower("source").alias("s")).count().orderBy(F.desc("count"), "s").limit(2).collect()
     return files.read_dump(dump, [r.s.upper() for r in names]).select("id", "subreddit", "body", "score")
+
+
+def saved_pages(spark: SparkSession, sf_dir: str, folder: str) -> list[str]:
+    """Documents as saved listing pages of 50 posts, a folder for each source and a file for each page; pages overlap by a post. Returns the sources."""
+    docs = table(spark, sf_dir, "documents").where("source is not null")
+    place = F.row_number().over(Window.partitionBy("source", F.floor(F.col("doc_id") / 1000)).orderBy("doc_id")) - 1
+    page = F.format_string("%08d-%02d", F.floor(F.col("doc_id") / 1000), F.floor(F.col("place") / 50))
+    post = F.struct(F.col("doc_id").cast("string").alias("id"), F.col("source").alias("subreddit"), F.col("text").alias("selftext"), F.col("n_chars").alias("score"), F.lit("a").alias("author"), (F.col("doc_id") % 10 != 0).alias("is_self"))
+    rows = docs.withColumn("place", place).withColumn("page", page).select("source", "page", post.alias("data"))
+    again = rows.where(F.col("data.id").cast("long") % 50 == 1).withColumn("page", F.concat("page", F.lit("-more")))
+    child = F.struct(F.when(F.col("data.id").cast("long") % 17 == 0, "t1").otherwise("t3").alias("kind"), "data")
+    pages = rows.union(again).groupBy("source", "page").agg(F.to_json(F.struct(F.struct(F.collect_list(child).alias("children")).alias("data"))).alias("value"))
+    pages.repartition("source", "page").write.partitionBy("source", "page").text(folder)
+    return sorted(r.source for r in docs.select("source").distinct().collect())
+
+
+PAGES_SQL = "SELECT CAST(doc_id AS VARCHAR) AS id, source AS subreddit, coalesce(text, '') AS body, CAST(coalesce(n_chars, 0) AS BIGINT) AS score FROM documents WHERE source IS NOT NULL AND doc_id % 17 <> 0 AND doc_id % 10 <> 0 AND n_chars >= 100 AND length(coalesce(text, '')) >= 50"
+
+
+@register("listing_collector", PAGES_SQL)
+def listing_collector(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages of all sources through the collector: posts of kind t3 that are texts, each id once."""
+    folder = f"{E.working_folder(spark)}/pages"
+    names = saved_pages(spark, sf_dir, folder)
+    found = collectors.make_collector("listing", spark, collectors.Collection(names, least_score=100, least_chars=50), path=folder)
+    return found.collect_all().select("id", "subreddit", "body", "score")
+
+
+@register("listing_stream", PAGES_SQL)
+def listing_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same pages as a stream, written and read back."""
+    folder = E.working_folder(spark)
+    names = saved_pages(spark, sf_dir, f"{folder}/pages")
+    found = collectors.make_collector("listing", spark, collectors.Collection(names, least_score=100, least_chars=50), path=f"{folder}/pages")
+    return E.run_to_table(found.stream(), folder).dropDuplicates(["id"]).select("id", "subreddit", "body", "score")

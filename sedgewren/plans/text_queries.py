@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from ..functions import approx, disclosure, perturb
 from ..functions import text as T
 from ..functions.lexicons import DIMENSIONS
+from ..operators import language, splits
+from ..operators import sentiment as S
 from .adapters import PROBE, TOKENS, hits, per_hundred, phrases, posts, rounded
 from .catalog import register, table
 
@@ -161,6 +163,40 @@ def readability_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(wide.select("doc_id", *[c.alias(n) for n, c in T.feature_columns(F.col("text"), F.col("w"), PROBE, ("readability", "sentiment")).items()]))
 
 
+#: Letters n-gram by n-gram, with a space at both ends of a word; shares of the 3,000 most frequent ones of each language.
+PROFILES_SQL = r"""
+WITH d AS (SELECT doc_id, lang, text, CAST('0x' || substr(md5('42|' || doc_id), 1, 8) AS BIGINT) / 4294967296 >= 0.5 AS held_out FROM documents),
+ok AS (SELECT lang FROM d WHERE NOT held_out AND text IS NOT NULL AND lang IS NOT NULL GROUP BY lang HAVING count(*) >= 3),
+w AS MATERIALIZED (SELECT doc_id, lang, held_out, ' ' || word || ' ' AS word, count(*) AS n FROM (SELECT doc_id, lang, held_out, unnest(regexp_extract_all(lower(text), '\p{L}+')) AS word FROM d) GROUP BY ALL),
+v AS MATERIALIZED (SELECT word, substr(word, CAST(i AS INT), CAST(k AS INT)) AS g FROM (SELECT DISTINCT word FROM w) AS x, range(1, 4) AS r(k), LATERAL (SELECT unnest(range(1, length(word) - k + 2)) AS i)),
+c AS (SELECT lang, g, sum(n) AS n FROM w JOIN v USING (word) JOIN ok USING (lang) WHERE NOT held_out GROUP BY lang, g),
+t AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY n DESC, encode(g)) AS r FROM c) WHERE r <= 3000),
+s AS (SELECT lang, sum(n) AS total, (SELECT count(DISTINCT g) FROM t) AS size FROM t GROUP BY lang),
+p AS (SELECT g, s.lang, ln((coalesce(t.n, 0) + 0.5) / (total + 0.5 * (size + 1))) AS share FROM (SELECT DISTINCT g FROM t) JOIN s ON true LEFT JOIN t USING (g, lang)),
+e AS (SELECT word, s.lang, sum(coalesce(p.share, ln(0.5 / (total + 0.5 * (size + 1))))) AS weight FROM v JOIN s ON true LEFT JOIN p ON v.g = p.g AND s.lang = p.lang GROUP BY word, s.lang),
+f AS (SELECT doc_id, e.lang, round(sum(n * weight), 6) AS total FROM w JOIN e USING (word) GROUP BY doc_id, e.lang),
+b AS (SELECT doc_id, lang FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY total DESC, lang <> 'en', encode(lang)) AS r FROM f) WHERE r = 1)
+SELECT d.doc_id, d.lang, d.held_out, coalesce(b.lang, 'en') AS found FROM d LEFT JOIN b USING (doc_id)
+"""
+
+
+@register("language_profiles", PROFILES_SQL)
+def language_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every text by profiles that were fitted on the half of the rows that is not held out."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text").withColumn("held_out", splits.unit_hash(F.col("doc_id"), 42) >= 0.5)
+    profiles = language.fit_profiles(docs.where("not held_out"), "doc_id", "text", "lang", rows=1_000_000)
+    return docs.select("doc_id", "lang", "held_out", language.language_by_profile(F.col("text"), profiles).alias("found"))
+
+
+@register("encoding_round_trip", "SELECT doc_id, md5(coalesce(text, '')) AS once, md5(coalesce(text, '')) AS twice, md5(coalesce(text, '') || ' / ' || coalesce(text, '')) AS mixed FROM documents")
+def encoding_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts that were misread once, twice, or in part only, repaired: they equal the texts as they are."""
+    misread = lambda c: F.decode(F.encode(c, "UTF-8"), "ISO-8859-1")
+    text = F.coalesce("text", F.lit(""))
+    rows = table(spark, sf_dir, "documents").select("doc_id", misread(text).alias("once"), misread(misread(text)).alias("twice"), F.concat(text, F.lit(" / "), misread(text)).alias("mixed"))
+    return rows.select("doc_id", *[F.md5(approx.fix_encoding_approx(F.col(c))).alias(c) for c in ("once", "twice", "mixed")])
+
+
 @register("encoding_repair_approx")
 def encoding_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.md5(approx.fix_encoding_approx(F.col("text"))).alias("digest"))
@@ -193,3 +229,55 @@ def punct_strip(spark: SparkSession, sf_dir: str) -> DataFrame:
 def perturbations(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents").select("doc_id", "text")
     return d.select("doc_id", *[F.md5(perturb.perturbed(n, F.col("text"), F.col("doc_id"))).alias(n) for n in perturb.PERTURBATIONS])
+
+
+#: Frequent words with made-up valences, boosters and negations, in the place of a sentiment lexicon.
+VALENCES = (("the", 1.5), ("of", -1.2), ("and", -2.0), ("is", 0.9), ("der", 0.8), ("die", -1.1), ("que", -0.6), ("la", 1.9), ("les", 1.3), ("a", 2.2), ("with", -0.4), ("it", 3.1))
+BOOSTERS = {"in": 0.293, "to": -0.293, "de": 0.293, "für": -0.293}
+NEGATED = ("on", "und", "pour", "with", "for")
+
+
+def sentiment_sql() -> str:
+    """The rules as a chain of tables, a column v0, v1, ... for each step."""
+    pairs = ", ".join(f"('{w}', CAST({v} AS DOUBLE))" for w, v in VALENCES)
+    marks = S.PUNCTUATION.replace("'", "''")
+    word = rf"CASE WHEN length(regexp_replace(w, '^[{marks}]+|[{marks}]+$', '', 'g')) <= 2 THEN w ELSE regexp_replace(w, '^[{marks}]+|[{marks}]+$', '', 'g') END"
+    capital = "({0} = upper({0}) AND {0} <> lower({0}))"
+    back = ", ".join(f"CASE WHEN i > {k} THEN low[i - {k}] END AS p{k}, CASE WHEN i > {k} THEN coalesce({capital.format(f'ws[i - {k}]')}, false) ELSE false END AS l{k}" for k in (1, 2, 3))
+    listed = lambda c, items: f"coalesce({c} IN ({', '.join(repr(x) for x in items)}), false)"
+    steps, at = [], 0
+    steps.append("s0 AS (SELECT *, v + CASE WHEN mixed AND l0 THEN sign(v) * 0.733 ELSE 0 END AS v0 FROM k)")
+    push = "CASE {0} " + " ".join(f"WHEN '{w}' THEN {b}" for w, b in BOOSTERS.items()) + " ELSE 0 END"
+    for k in (1, 2, 3):
+        here = f"(p{k} IS NOT NULL AND k{k} IS NULL)"
+        b = push.format(f"p{k}")
+        steps.append(f"s{at + 1} AS (SELECT *, CASE WHEN {here} AND {b} <> 0 THEN v{at} + ({b} + CASE WHEN mixed AND l{k} THEN 0.733 ELSE 0 END) * sign(v{at}) * {S.DAMPED[k - 1]} ELSE v{at} END AS v{at + 1} FROM s{at})")
+        at += 1
+        no = f"({listed(f'p{k}', NEGATED)} OR coalesce(contains(p{k}, 'n''t'), false))"
+        factor = f"CASE WHEN {no} THEN -0.74 ELSE 1 END"
+        if k > 1:
+            so, doubt = (f"({listed('p1', x)}" + (f" OR {listed('p2', x)}" if k == 3 else "") + ")" for x in (("so", "this"), ("doubt",)))
+            factor = f"CASE WHEN {listed(f'p{k}', ('never',))} AND {so} THEN 1.25 WHEN {listed(f'p{k}', ('without',))} AND {doubt} THEN 1 WHEN {no} THEN -0.74 ELSE 1 END"
+        steps.append(f"s{at + 1} AS (SELECT *, v{at} * CASE WHEN {here} THEN {factor} ELSE 1 END AS v{at + 1} FROM s{at})")
+        at += 1
+    return rf"""
+WITH lex(token, valence) AS (VALUES {pairs}),
+t AS (SELECT doc_id, coalesce(text, '') AS text, list_transform(list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> ''), lambda w: {word}) AS ws FROM documents),
+u AS (SELECT doc_id, ws, list_transform(ws, lambda w: lower(w)) AS low, len(list_filter(ws, lambda w: {capital.format('w')})) AS loud,
+             least(length(text) - length(replace(text, '!', '')), 4) * 0.292 + CASE WHEN length(text) - length(replace(text, '?', '')) <= 1 THEN 0 WHEN length(text) - length(replace(text, '?', '')) <= 3 THEN (length(text) - length(replace(text, '?', ''))) * 0.18 ELSE 0.96 END AS marks FROM t),
+e AS (SELECT doc_id, marks, loud > 0 AND loud < len(ws) AS mixed, coalesce(list_position(low, 'est'), 0) AS but, ws, low, unnest(range(1, len(ws) + 1)) AS i FROM u),
+f AS (SELECT doc_id, marks, mixed, but, i, low[i] AS token, {capital.format('ws[i]')} AS l0, {back} FROM e),
+k AS (SELECT f.*, CASE WHEN token NOT IN ({', '.join(repr(w) for w in BOOSTERS)}) THEN x.valence END AS v, x1.token AS k1, x2.token AS k2, x3.token AS k3
+      FROM f LEFT JOIN lex x USING (token) LEFT JOIN lex x1 ON p1 = x1.token LEFT JOIN lex x2 ON p2 = x2.token LEFT JOIN lex x3 ON p3 = x3.token),
+{', '.join(steps)},
+y AS (SELECT *, v{at} * CASE WHEN {listed('p1', ('least',))} AND k1 IS NULL AND NOT {listed('p2', ('at', 'very'))} THEN -0.74 ELSE 1 END * CASE WHEN but > 0 AND i < but THEN 0.5 WHEN but > 0 AND i > but THEN 1.5 ELSE 1 END AS z FROM s{at}),
+a AS (SELECT doc_id, max(marks) AS marks, coalesce(sum(z), 0) AS total, coalesce(sum(CASE WHEN z > 0 THEN z + 1 END), 0) AS up, -coalesce(sum(CASE WHEN z < 0 THEN z - 1 END), 0) AS down, count(CASE WHEN coalesce(z, 0) = 0 THEN 1 END) AS neu, count(z) AS n FROM y GROUP BY doc_id),
+b AS (SELECT doc_id, CASE WHEN n > 0 THEN total + sign(total) * marks ELSE 0 END AS total, up + CASE WHEN up > down THEN marks ELSE 0 END AS up, down + CASE WHEN up < down THEN marks ELSE 0 END AS down, neu FROM a)
+SELECT d.doc_id, coalesce(round(total / sqrt(total * total + 15), 6), 0) AS compound, coalesce(round(up / nullif(up + down + neu, 0), 6), 0) AS pos, coalesce(round(down / nullif(up + down + neu, 0), 6), 0) AS neg, coalesce(round(neu / nullif(up + down + neu, 0), 6), 0) AS neu FROM documents d LEFT JOIN b USING (doc_id)
+"""
+
+
+@register("sentiment_rules", sentiment_sql())
+def sentiment_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    valences = spark.createDataFrame(list(VALENCES), "token string, valence double")
+    return rounded(S.sentiment(table(spark, sf_dir, "documents"), "doc_id", "text", valences, BOOSTERS, NEGATED, "est"))

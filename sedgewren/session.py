@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import logging
 import tempfile
 import uuid
@@ -29,21 +31,53 @@ def settled(frame: DataFrame) -> DataFrame:
     return frame.checkpoint() if frame.sparkSession.conf.get("spark.checkpoint.dir", None) else frame
 
 
+_FOLDERS: list[tuple[SparkSession, str]] = []
+
+
+@atexit.register
+def _clean_up() -> None:
+    """Results are read lazily while the driver's process lives; its working folders go with it, if the session still runs."""
+    for spark, path in _FOLDERS:
+        with contextlib.suppress(Exception):
+            delete(spark, path)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def working_folder(spark: SparkSession) -> str:
-    """A new folder that all executors share: in spark.checkpoint.dir, or a temporary one where a local session has none (tests)."""
+    """A new folder that all executors share: in spark.checkpoint.dir, or a temporary one where a local session has none (tests). It goes when the driver ends."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if not shared:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        return f"file://{tempfile.mkdtemp(prefix='sedgewren-work-')}"
-    return f"{shared.rstrip('/')}/work-{uuid.uuid4().hex}"
+        found = f"file://{tempfile.mkdtemp(prefix='sedgewren-work-')}"
+    else:
+        found = f"{shared.rstrip('/')}/work-{uuid.uuid4().hex}"
+    _FOLDERS.append((spark, found))
+    return found
+
+
+def write_apart(frame: DataFrame) -> str:
+    """Writes the frame to a new working folder and returns its path, which any session can read."""
+    path = f"{working_folder(frame.sparkSession)}/t"
+    frame.write.parquet(path)
+    return path
 
 
 def stored(frame: DataFrame) -> DataFrame:
-    """The frame, written to a folder that executors share and read back: cuts the lineage of rounds."""
-    path = working_folder(frame.sparkSession)
-    frame.write.parquet(f"{path}/t")
-    return frame.sparkSession.read.schema(frame.schema).parquet(f"{path}/t")
+    """The frame, written to a folder that executors share and read back: cuts the lineage of rounds; ``drop_stored`` deletes it."""
+    path = write_apart(frame)
+    read = frame.sparkSession.read.schema(frame.schema).parquet(path)
+    read._sedgewren_path = path
+    return read
+
+
+def drop_stored(frame: DataFrame) -> None:
+    """Deletes a table of ``stored`` that no later plan reads."""
+    delete(frame.sparkSession, frame._sedgewren_path)
 
 
 def small(frame: DataFrame) -> DataFrame:

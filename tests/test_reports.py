@@ -2,15 +2,16 @@
 
 import json
 
+import pytest
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
-from sedgewren.operators import models, reports, stats
+from sedgewren.operators import metrics, models, reports, stats
 
 
-def test_observed_counts(spark):
-    frame, seen = reports.counted(spark.range(7), "stage")
-    frame.collect()
-    assert seen.get["rows"] == 7
+def test_counted_stage(spark):
+    frame, rows = reports.counted(spark.range(7), "stage")
+    assert rows == 7 and sorted(r.id for r in frame.collect()) == list(range(7))
 
 
 def test_frozen_point_without_positives(spark):
@@ -51,9 +52,22 @@ def test_resamples_keep_their_size_on_average(spark):
     assert len(n) == 10 and all(850 < v < 1150 for v in n.values())
 
 
-def test_nested_grid_scores_each_row_once(spark):
+@pytest.mark.parametrize("name, grid", [("elastic", [{"mix": 0.0}, {"mix": 0.5}]), ("forest", [{"numTrees": 3, "maxDepth": 1}, {"numTrees": 5, "maxDepth": 3}])])
+def test_nested_grid_scores_each_row_once(spark, name, grid):
+    seen = Observation("rows")  # an observation in the session must not break the fits
+    spark.range(3).observe(seen, F.count(F.lit(1)).alias("n")).collect()
+    assert seen.get["n"] == 3
     rows = spark.range(60).selectExpr("id", "cast(id % 2 as long) as y", "cast(id % 2 as double) * 3 + cast(id % 7 as double) as a")
-    made = lambda **o: models.build_model("elastic", features=["a"], **o)
-    got = models.nested_grid(rows, made, [{"mix": 0.0}, {"mix": 0.5}], "id", outer=2, inner=2).select("id", "fold", "chosen", "score").collect()
+    made = lambda **o: models.build_model(name, features=["a"], **o)
+    got = models.nested_grid(rows, made, grid, "id", outer=2, inner=2).collect()
     assert sorted(r.id for r in got) == list(range(60)) and {r.chosen for r in got} <= {0, 1}
-    assert len({(r.fold, r.chosen) for r in got}) == 2
+    assert len({(r.fold, r.chosen) for r in got}) == 2 and all(0 <= r.score <= 1 for r in got)
+
+
+def test_nested_grid_chooses_within_folds_alone(spark):
+    """The options that rank the rows win in each fold; the others give all rows one score."""
+    rows = spark.range(80).selectExpr("id", "cast(id % 2 as long) as y", "cast(id % 2 as double) as a", "0D as b")
+    made = lambda use: models.build_model("elastic", features=[use])
+    got = models.nested_grid(rows, made, [{"use": "b"}, {"use": "a"}], "id", outer=2, inner=2)
+    assert {r.chosen for r in got.select("chosen").distinct().collect()} == {1}
+    assert metrics.auroc(got, "y", "score").first().auroc == 1.0
