@@ -26,6 +26,7 @@ IMPLIED = {
 SCOPE = frozenset("html body article section div main td th table button".split())
 P_ALONE, PAGE, INLINE_ENDS = frozenset(("p",)), frozenset(("html", "body")), P_ENDERS | SCOPE
 SKIPPED = frozenset("script style noscript iframe template textarea xmp noembed head title".split())
+COMMENT_END = re.compile("--!?>")
 NAME = re.compile(r"[A-Za-z][^\s/>]*")
 STOP = re.compile(r"[>\"']")
 ATTR = re.compile(r"(?:^|\s)(class|id|role|itemprop|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
@@ -74,9 +75,8 @@ class Scanner:
         while (start := page.find("<", at)) >= 0:
             sign = page[start + 1 : start + 2]
             if page.startswith("!--", start + 1):
-                ends = [(found, size) for mark, size in (("-->", 3), ("--!>", 4)) if (found := page.find(mark, start + 4)) >= 0]
-                found, size = min(ends, default=(len(page), 0))
-                return start, found + size, "", False, ""
+                found = COMMENT_END.search(page, start + 4)
+                return start, found.end() if found else len(page), "", False, ""
             closing = sign == "/"
             name = NAME.match(page, start + 1 + closing)
             if name:

@@ -65,7 +65,7 @@ def test_extract_keeps_rows(spark, model):
     assert H.extract(spark.createDataFrame([], "page_id long, url string, html string"), model).count() == 0
 
 
-@pytest.mark.parametrize("page", ["<a " * 400_000, "<!x " * 400_000, "<div>" * 100_000 + "x", "<b>" * 100_000 + "x", "<p><button>" + "<b>" * 50_000 + "<h1></h1>" * 50_000, "<a '" * 300_001 + ">", "<div>" * 100_000 + "</b>" * 100_000, "<!--" * 300_000], ids=lambda p: p[:12])
+@pytest.mark.parametrize("page", ["<!-- -->" * 400_000, "<!-- -->" * 400_000 + "--!>", "<a " * 400_000, "<!x " * 400_000, "<div>" * 100_000 + "x", "<b>" * 100_000 + "x", "<p><button>" + "<b>" * 50_000 + "<h1></h1>" * 50_000, "<a '" * 300_001 + ">", "<div>" * 100_000 + "</b>" * 100_000, "<!--" * 300_000], ids=lambda p: p[:12])
 def test_odd_pages_take_no_square_time(page):
     began = time.time()
     H.features(H.blocks(H.parse(page)))
