@@ -9,7 +9,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, fresh
 
 #: (verdict, host, path) of the rules of op5.
 RULES = (
@@ -63,7 +63,8 @@ def places(key: Column, level: int, hashes: int, bits: int) -> list[Column]:
 
 
 def passes(key: Column, number: int, level: Level) -> Column:
-    words = F.array(*[F.lit(w).cast("long") for w in level.words])
+    # One literal, whatever the filter's size: the optimiser folds the cast once.
+    words = F.split(F.lit(",".join(map(str, level.words))), ",").cast("array<bigint>")
     found = None
     for place in places(key, number, level.hashes, level.bits):
         bit = F.getbit(F.element_at(words, (F.shiftright(place, 6) + 1).cast("int")), (place % 64).cast("int")) == 1
@@ -160,7 +161,8 @@ def judge(pages: DataFrame, rules: tuple[tuple[str, str, str], ...] = RULES, def
     host, path = split_url(F.col(url_col).cast("string"))
     lengths = sorted({len(p) for _, _, p in rules}) or [1]
     labels = max((h.count(".") + 1 for _, h, _ in rules), default=1)
-    wide = pages.withColumns({"host": host, "path": path}).withColumn("_keys", F.when(F.col("host") == "", F.array().cast("array<string>")).otherwise(candidate_keys(F.col("host"), F.col("path"), labels, lengths)))
+    keys_of, hit = fresh([*pages.columns, "host", "path", "rule", "verdict"], 2)
+    wide = pages.withColumns({"host": host, "path": path}).withColumn(keys_of, F.when(F.col("host") == "", F.array().cast("array<string>")).otherwise(candidate_keys(F.col("host"), F.col("path"), labels, lengths)))
     blocked = {h + p for v, h, p in rules if v == "block"}
     wanted = [("block", blocked), ("allow", {h + p for v, h, p in rules if v == "allow"} - blocked)]
     cascades: dict[str, list[list[Level]]] = {"block": [], "allow": []}
@@ -187,6 +189,6 @@ def judge(pages: DataFrame, rules: tuple[tuple[str, str, str], ...] = RULES, def
     def verdict(key: Column) -> Column:
         return F.when(holds_dealt(key, cascades["block"]), F.lit("block")).when(holds_dealt(key, cascades["allow"]), F.lit("allow"))
 
-    judged = F.transform("_keys", lambda k: F.struct(k.alias("rule"), verdict(k).alias("verdict")))
+    judged = F.transform(keys_of, lambda k: F.struct(k.alias("rule"), verdict(k).alias("verdict")))
     first = F.get(F.filter(judged, lambda x: x["verdict"].isNotNull()), 0)
-    return wide.withColumn("_hit", first).withColumns({"rule": F.col("_hit.rule"), "verdict": F.coalesce("_hit.verdict", F.lit(default))}).drop("_keys", "_hit")
+    return wide.withColumn(hit, first).withColumns({"rule": F.col(hit)["rule"], "verdict": F.coalesce(F.col(hit)["verdict"], F.lit(default))}).drop(keys_of, hit)

@@ -41,6 +41,24 @@ def test_very_long_hosts(spark):
     assert got == {0: ("example.com/en/", "block"), 1: ("net/fr/", "block"), 2: (None, "allow"), 3: ("com/", "allow")} and time.time() - began < 60
 
 
+def test_columns_of_any_names_stay(spark):
+    frame = spark.createDataFrame([(1, "http://x.net/es/", "a", "b", "c")], "page_id long, url string, _keys string, _hit string, _sw0 string")
+    row = urlfilter.judge(frame).first()
+    assert (row._keys, row._hit, row._sw0, row.rule, row.verdict) == ("a", "b", "c", "net/es/", "block")
+
+
+def test_a_full_cascade_of_rules(spark):
+    """50,000 rules are one cascade; verdicts equal a lookup of the rules."""
+    rng = random.Random(4)
+    rules = tuple(("block", f"h{i}.example{i % 7}.org", "/") for i in range(50_000))
+    hosts = [f"{rng.choice(['', 'www.'])}h{rng.randrange(100_000)}.example{rng.randrange(7)}.org" for _ in range(20_000)]
+    listed = {h for _, h, _ in rules}
+    began = time.time()
+    got = {r.page_id: r.verdict for r in urlfilter.judge(spark.createDataFrame([(i, f"http://{h}/p") for i, h in enumerate(hosts)], "page_id long, url string"), rules).collect()}
+    print(f"50,000 rules over 20,000 urls: {time.time() - began:.1f} s")
+    assert got == {i: "block" if h.removeprefix("www.") in listed else "allow" for i, h in enumerate(hosts)} and time.time() - began < 300
+
+
 def test_many_rules_are_dealt_to_several_cascades(spark, monkeypatch):
     monkeypatch.setattr(urlfilter, "CASCADE_RULES", 40)
     rng = random.Random(9)
