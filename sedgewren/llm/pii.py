@@ -7,8 +7,9 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import Scratch, fresh
 
@@ -22,10 +23,9 @@ LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz012
 IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-#: A label, a separator, perhaps a quotation mark, and a value.
-LABELLED = re.compile(r"([^\W\d]\w{1,30})[\x20\t]?([=:#])[\x20\t]?([\"']?)([^\s\"'<>|]{4,})")
-#: After a long value the search goes on so many characters behind its start: labels within it are seen as well.
-RESUME = 128
+#: A label (a whole word, but for digits that it begins with), a separator, perhaps a quotation mark, and a value, which
+#: ends at white space and at signs between parameters. What is within a value is part of it; an address's ``//`` is none.
+LABELLED = re.compile(r"(?<!\w)[0-9]*+([^\W\d]\w++)[\x20\t]?([=:#])[\x20\t]?([\"']?)(?!//)([^\s\"'<>|&?;,]{4,}+)")
 HEX = re.compile(r"[0-9a-f]{32,}|[0-9A-F]{32,}")
 SCAN = "doc_id long, doc_key long, n_email long, n_ip long, n_card long, n_phone long, base string, found array<struct<pattern:string,value:long,kind:string,identifier:boolean,start:long,end:long>>"
 
@@ -77,19 +77,21 @@ def joined(spans: list[tuple[str, int, int]]) -> str:
     return ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
 
 
+def named(word: str) -> str:
+    """A word as a part of a pattern, whatever its case; one of over 64 characters by a digest of 128 bits, so that it is not copied with each place next to it."""
+    folded = word.casefold()
+    return folded if len(folded) <= 64 else xxhash.xxh3_128_hexdigest(folded.encode("utf-8", "surrogatepass"))
+
+
 def labelled(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, int, str | None, bool, int, int]]:
     """(pattern, value's hash, seed kind or null, looks like an identifier, start, end) of each labelled value."""
     if "=" not in text and ":" not in text and "#" not in text:
         return []
     starts = {a: (k, b) for k, a, b in base}
     out = []
-    match = LABELLED.search(text)
-    while match:
+    for match in LABELLED.finditer(text):
         label, mark, quote, value = match.groups()
         start = match.start(4)
-        match = LABELLED.search(text, min(match.end(), start + RESUME))
-        if value.startswith("//"):
-            continue
         value = value.rstrip(".,;:!?)")
         end = start + len(value)
         if start in starts:
@@ -98,14 +100,14 @@ def labelled(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, int
         else:
             kind = SECRET if HEX.fullmatch(value) and re.search("[a-fA-F]", value) and re.search("[0-9]", value) else None
         # The lexical pattern: the label, whatever its case, its separator and the quotation mark.
-        out.append((f"{label.casefold()} {mark} {quote}", xxhash.xxh64_intdigest(value.encode("utf-8", "surrogatepass")) - (1 << 63), kind, len(value) >= 6 and any(c.isdigit() for c in value), start, end))
+        out.append((f"{named(label)} {mark} {quote}", xxhash.xxh64_intdigest(value.encode("utf-8", "surrogatepass")) - (1 << 63), kind, len(value) >= 6 and any(c.isdigit() for c in value), start, end))
     return out
 
 
 #: Characters that end a token, besides white space, and words or signs next to one.
 TOKEN_ENDS = frozenset("\"'<>|=:#,;()[]{}")
 DIGITS = re.compile(r"[0-9]+")
-NEXT_TO = re.compile(r"[^\W\d_]{1,30}|[^\w\s]")
+NEXT_TO = re.compile(r"[^\W\d_]+|[^\w\s]")
 
 
 def around(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, int, str | None, bool, int, int]]:
@@ -131,18 +133,44 @@ def around(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, int,
             continue
         value = text[start:end]
         spots.append((start, end, SECRET if HEX.fullmatch(value) and re.search("[a-fA-F]", value) else None))
+    afters = words_after(text, [end for _, end, _ in spots])
     out = []
-    for start, end, kind in spots:
-        before = [w.casefold() for w in NEXT_TO.findall(text[max(0, start - 64) : start])[-2:]]
-        after = [w.casefold() for w in NEXT_TO.findall(text[end : end + 32])[:1]]
+    for (start, end, kind), before, after in zip(spots, words_before(text, [start for start, _, _ in spots]), afters, strict=True):
         value = xxhash.xxh64_intdigest(text[start:end].encode("utf-8", "surrogatepass")) - (1 << 63)
-        if len(before) == 2 and any(map(str.isalpha, before)):
-            out.append((f"{before[0]} {before[1]} _", value, kind, True, start, end))
-        if before and after and (before[-1].isalpha() or after[0].isalpha()):
-            out.append((f"{before[-1]} _ {after[0]}", value, kind, True, start, end))
+        if len(before) == 2 and any(letters for _, letters in before):
+            out.append((f"{before[0][0]} {before[1][0]} _", value, kind, True, start, end))
+        if before and after and (before[-1][1] or after[1]):
+            out.append((f"{before[-1][0]} _ {after[0]}", value, kind, True, start, end))
     return out
 
 
+def words_before(text: str, places: list[int]) -> list[list[tuple[str, bool]]]:
+    """The last two words or signs that end at or before each place, and whether they are letters. From place to place the text is gone through once."""
+    found: dict[int, list[tuple[str, bool]]] = {}
+    held: list[tuple[int, int, str, bool]] = []  # start, end, name, letters
+    done = 0
+    for place in sorted(set(places)):
+        if held and held[-1][1] == done:  # it may go on
+            done = held.pop()[0]
+        for match in NEXT_TO.finditer(text, done, place):
+            held = [*held[-2:], (*match.span(), named(match.group()), match.group().isalpha())]
+        done = place
+        found[place] = [(name, letters) for *_, name, letters in held[-2:]]
+    return [found[place] for place in places]
+
+
+def words_after(text: str, places: list[int]) -> list[tuple[str, bool] | None]:
+    """The first word or sign that begins at or after each place; none where the text has no more."""
+    found: dict[int, tuple[str, bool] | None] = {}
+    later, limit = None, len(text)
+    for place in sorted(set(places), reverse=True):
+        if match := NEXT_TO.search(text, place, limit):
+            whole = NEXT_TO.match(text, match.start()).group()
+            later = (named(whole), whole.isalpha())
+        found[place], limit = later, place
+    return [found[place] for place in places]
+
+
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One pass over whole texts: base spans, and the labelled values and word contexts around which patterns are learned.
 
@@ -201,24 +229,48 @@ def find_private(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     scratch = Scratch(docs.sparkSession, "pii")
     own = scratch.put(scan(docs, id_col, text_col))
-    rows = own.select("doc_id", "doc_key", "base", F.explode("found").alias("f")).select("doc_id", "doc_key", "base", "f.*")
+    rows = own.select("doc_id", "doc_key", F.explode("found").alias("f")).select("doc_id", "doc_key", "f.*")
     edges = scratch.put(rows)
     good = score_patterns(edges, scratch)
     taken = edges.where("identifier").join(good.withColumnRenamed("kind", "learned").hint("merge"), "pattern")
-    part = taken.select(F.coalesce("doc_id", F.lit(-1)).alias("k1"), F.col("doc_key").alias("k2"), F.col("doc_id").isNull().alias("k3"), "base", F.struct(F.coalesce("kind", "learned").alias("kind"), "start", "end").alias("span"))
+    part = taken.select(F.coalesce("doc_id", F.lit(-1)).alias("k1"), F.col("doc_key").alias("k2"), F.col("doc_id").isNull().alias("k3"), F.struct(F.coalesce("kind", "learned").alias("kind"), "start", "end").alias("span"))
     more = scratch.put(part.groupBy("k1", "k2", "k3").agg(F.collect_set("span").alias("added")))
     on = (F.coalesce(own.doc_id, F.lit(-1)) == more.k1) & (own.doc_key == more.k2) & (own.doc_id.isNull() == more.k3)
-    wide = own.join(more.hint("merge"), on, "left")
-    return wide.select("doc_id", "doc_key", "n_email", "n_ip", "n_card", "n_phone", "base", merged(F.col("base"), F.col("added")).alias("spans"))
-
+    names = ["doc_id", "doc_key", "n_email", "n_ip", "n_card", "n_phone", "base"]
+    wide = own.join(more.hint("merge"), on, "left").select(*names, "added")
 
-def merged(base: Column, added: Column) -> Column:
-    """All spans, by kind (the four first, others by name) and start; an added one that meets a base span is left out."""
-    first = F.transform(F.filter(F.split(base, ","), lambda x: x != ""), lambda x: F.struct(F.split(x, ":")[0].alias("kind"), F.split(x, ":")[1].cast("long").alias("start"), F.split(x, ":")[2].cast("long").alias("end")))
-    extra = F.filter(F.coalesce(added, F.array().cast("array<struct<kind:string,start:long,end:long>>")), lambda a: ~F.exists(first, lambda b: (a["start"] < b["end"]) & (b["start"] < a["end"])))
-    order = F.array(*map(F.lit, KINDS))
-    keyed = F.transform(F.concat(first, extra), lambda s: F.struct(F.when(F.array_contains(order, s["kind"]), F.array_position(order, s["kind"])).otherwise(99).alias("o"), s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
-    return F.array_join(F.transform(F.array_sort(keyed), lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            spans = [merged(base, added or []) for base, added in zip(batch["base"].to_pylist(), batch["added"].to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*(batch[n] for n in names), pa.array(spans, pa.string())], [*names, "spans"])
+
+    return wide.mapInArrow(work, T.StructType([*wide.drop("added").schema.fields, T.StructField("spans", T.StringType())]))
+
+
+def merged(base: str, added: list[dict]) -> str:
+    """All spans, by kind (the four first, others by name) and start. An added span that meets a base span is left out; added ones
+    that overlap are one, from the first's start to the last's end, of the first's kind. Takes sorting and one pass."""
+    spans = [(k, int(a), int(b)) for k, a, b in (s.split(":") for s in base.split(",") if s)]
+    if not added:
+        return base
+    taken: list[list[int]] = []
+    for _, a, b in sorted(spans, key=lambda s: s[1]):
+        if taken and a < taken[-1][1]:
+            taken[-1][1] = max(taken[-1][1], b)
+        else:
+            taken.append([a, b])
+    more: list[list] = []
+    at = 0
+    for a, b, kind in sorted((s["start"], s["end"], s["kind"]) for s in added):
+        while at < len(taken) and taken[at][1] <= a:
+            at += 1
+        if at < len(taken) and taken[at][0] < b:
+            continue
+        if more and a < more[-1][2]:
+            more[-1][2] = max(more[-1][2], b)
+        else:
+            more.append([kind, a, b])
+    return joined(sorted([*spans, *map(tuple, more)], key=lambda s: (KINDS.index(s[0]) if s[0] in KINDS else len(KINDS), s[0], s[1], s[2])))
 
 
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

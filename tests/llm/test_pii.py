@@ -120,3 +120,68 @@ def test_words_on_both_sides_are_learned(spark):
     assert got[8] == f"phone:10:{10 + len('20-55-99-11x')}" and got[9] == "" and got[10] == f"phone:9:{9 + len('77a-88b-99c')}"
     assert [x[0] for x in pii.around("my id: ab12345, ok", [])] == ["id : _"] and pii.around("| 123456 |", []) == []
     assert [x[0] for x in pii.around("x " + "9" * 300_000 + " y", [])] == ["x _ y"]
+
+
+def test_values_and_labels_of_any_length_follow_one_rule():
+    digits = "0123456789abcdef" * 4
+    for filler in ("k" * 20, "k" * 200_000):
+        text = f"token={filler}secret={digits}"
+        assert [(x[0], x[4], x[5]) for x in pii.labelled(text, [])] == [("token = ", 6, len(text))]
+        long = f"{filler}secret={digits}"
+        assert [(x[0], x[2], x[4]) for x in pii.labelled(long, [])] == [(f"{pii.named(filler + 'secret')} = ", "secret", len(filler) + 7)]
+    assert [x[0] for x in pii.labelled("see https://h.example/a?token=abcdef&session=123456 12key: value", [])] == ["token = ", "session = ", "key : "]
+    assert pii.labelled("ab=" * 200_000, [])[0][4:] == (3, 600_000) and pii.labelled("a" * 400_000, []) == [] and pii.labelled("ab=//" * 100_000, []) == []
+
+
+def slow_words(text, place, back):
+    words = [m for m in re.finditer(r"[^\W\d_]+|[^\w\s]", text[:place] if back else text[place:])]
+    words = words[-2:] if back else words[:1]
+    return [(w.group().casefold(), w.group().isalpha()) for w in words]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from(["word", "é", "1", "22", " ", "_", ".", "- ", "A", "\n", "9"]), max_size=30).map("".join), st.data())
+def test_words_next_to_places(text, data):
+    places = data.draw(st.lists(st.integers(0, len(text)), max_size=6))
+    assert pii.words_before(text, places) == [slow_words(text, p, True) for p in places]
+    assert pii.words_after(text, places) == [(slow_words(text, p, False) or [None])[0] for p in places]
+
+
+def test_contexts_know_no_distance():
+    gap = " " * 500
+    assert [x[0] for x in pii.around(f"call dial{gap}ab12345{gap}tonight", [])] == ["call dial _", "dial _ tonight"]
+    word = "w" * 40
+    assert [x[0] for x in pii.around(f"my {word} ab12345", [])] == [f"my {word} _"]
+    assert len(pii.around("x y " + "123456 " * 100_000, [])) == 100_000
+
+
+def slow_merged(base, added):
+    spans = [(k, int(a), int(b)) for k, a, b in (s.split(":") for s in base.split(",") if s)]
+    free = [s for s in added if not any(a < s["end"] and s["start"] < b for _, a, b in spans)]
+    groups = []
+    for s in sorted(free, key=lambda s: (s["start"], s["end"], s["kind"])):
+        for g in groups:
+            if any(s["start"] < t["end"] and t["start"] < s["end"] for t in g):
+                g.append(s)
+                break
+        else:
+            groups.append([s])
+    spans += [(g[0]["kind"], min(t["start"] for t in g), max(t["end"] for t in g)) for g in groups]
+    order = [*pii.KINDS, *sorted({k for k, _, _ in spans} - set(pii.KINDS))]
+    return ",".join(f"{k}:{a}:{b}" for k, a, b in sorted(spans, key=lambda s: (order.index(s[0]), s[1], s[2])))
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.tuples(st.sampled_from(pii.KINDS), st.integers(0, 40), st.integers(1, 8)), max_size=5), st.lists(st.tuples(st.sampled_from(["secret", "email", "a"]), st.integers(0, 60), st.integers(1, 9)), max_size=8))
+def test_merging_equals_a_plain_version(base, added):
+    spans = sorted({(k, a, a + n) for k, a, n in base}, key=lambda s: (pii.KINDS.index(s[0]), s[1], s[2]))
+    more = [{"kind": k, "start": a, "end": a + n} for k, a, n in sorted(set(added))]
+    assert pii.merged(pii.joined(spans), more) == slow_merged(pii.joined(spans), more)
+
+
+def test_very_many_spans_in_one_text(spark):
+    rng = random.Random(9)
+    many = " ".join(f"a{i}@mail.example.com token: x{i}y{rng.randrange(10**9)}" for i in range(100_000))
+    texts = [many, *[f"token: {hexes(rng)} {i}" for i in range(8)]]
+    row = pii.find_private(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).where("doc_id = 0").first()
+    assert row.n_email == 100_000 and row.spans.count(",") + 1 >= 100_000
