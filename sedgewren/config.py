@@ -38,8 +38,12 @@ class ModelSettings:
 
 
 def read_yaml(path: str | Path) -> dict[str, Any]:
+    """A file's settings. What is no file of the driver is read through the active session, so it may be in any of Spark's stores."""
     import yaml
 
+    if not Path(path).is_file() and SparkSession.getActiveSession() is not None:
+        rows = SparkSession.getActiveSession().read.text(str(path), wholetext=True).collect()  # a settings file
+        return yaml.safe_load("\n".join(r[0] for r in rows)) or {}
     return yaml.safe_load(Path(path).read_text(encoding="utf-8")) or {}
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import known, strip
-from ..session import settled, stored
+from ..session import drop_stored, settled, stored
 
 
 def text_digest(text: Column) -> Column:
@@ -92,6 +92,18 @@ def near_pairs(sigs: DataFrame, key: str, group: str, most: int = 5, bands: int
     return pairs.select(group, F.least("ka", "kb").alias("a"), F.greatest("ka", "kb").alias("b"), F.expr("bit_count(sa ^ sb)").cast("long").alias("distance"))
 
 
+def near_links(sigs: DataFrame, key: str, group: str, most: int = 5, bands: int = 7) -> DataFrame:
+    """Near pairs without those of copies: (group, a, b, distance), where a and b are the first rows of two near signatures of a group (a < b),
+    and, for each row that is not its signature's first, (group, first, row, 0). n copies make n - 1 rows; all pairs follow from these."""
+    sigs = settled(sigs)
+    firsts = settled(sigs.groupBy(group, "sig").agg(F.min(key).alias("first")))
+    side = lambda n: firsts.select(group, F.col("sig").alias(f"s{n}"), F.col("first").alias(f"k{n}"))
+    near = near_classes(firsts.select(group, "sig"), group, most, bands).join(side("a"), [group, "sa"]).join(side("b"), [group, "sb"])
+    near = near.select(group, F.least("ka", "kb").alias("a"), F.greatest("ka", "kb").alias("b"), F.expr("bit_count(sa ^ sb)").cast("long").alias("distance"))
+    members = sigs.join(firsts, [group, "sig"]).where(F.col(key) != F.col("first")).select(group, F.col("first").alias("a"), F.col(key).alias("b"), F.lit(0).cast("long").alias("distance"))
+    return near.union(members)
+
+
 def greedy_near_dedup(frame: DataFrame, key: str, group: str, text: str, most: int = 5) -> DataFrame:
     """The rows that a pass in the order of ``key`` keeps: one is dropped if a kept earlier row of its group is near.
 
@@ -109,7 +121,9 @@ def greedy_near_dedup(frame: DataFrame, key: str, group: str, text: str, most: i
         sure = pairs.select("a").distinct().join(pairs.select(F.col("b").alias("a")).distinct(), "a", "left_anti")
         gone = stored(pairs.join(sure, "a", "left_semi").select("b").distinct())
         dropped = gone if dropped is None else dropped.union(gone)
+        before = pairs
         pairs = stored(pairs.join(gone, "b", "left_anti").join(gone.select(F.col("b").alias("a")), "a", "left_anti").select("a", "b"))
+        drop_stored(before)
     kept = classes.select(F.col("first").alias(key))
     if dropped is not None:
         kept = kept.join(dropped.select(F.col("b").alias(key)), key, "left_anti")

@@ -103,6 +103,15 @@ def gbt(features: Sequence[str], label: str = "y", **options: float) -> Scorer:
     return Scorer([assembled(features), GBTClassifier(labelCol=label, weightCol="weight", seed=42, **({"maxIter": 20, "maxDepth": 4} | options))], label)
 
 
+@model("gbt_early")
+def gbt_early(features: Sequence[str], label: str = "y", share: int = 5, **options: float) -> Scorer:
+    """Boosting that stops when the loss over one in ``share`` rows, held back by a hash of their features, no longer falls."""
+    names = ", ".join(f"`{f}`" for f in features)
+    held_back = SQLTransformer(statement=f"SELECT *, pmod(xxhash64({names}), {share}) = 0 AS _held_back FROM __THIS__")
+    boost = GBTClassifier(labelCol=label, weightCol="weight", seed=42, validationIndicatorCol="_held_back", **({"maxIter": 60, "maxDepth": 4, "validationTol": 0.001} | options))
+    return Scorer([assembled(features), held_back, boost, SQLTransformer(statement="SELECT * EXCEPT (_held_back) FROM __THIS__")], label)
+
+
 @model("forest")
 def forest(features: Sequence[str], label: str = "y", **options: float) -> Scorer:
     return Scorer([assembled(features), RandomForestClassifier(labelCol=label, weightCol="weight", seed=42, **({"numTrees": 50, "maxDepth": 6} | options))], label)
@@ -129,8 +138,16 @@ def hist_gbm(features: Sequence[str], label: str = "y", **options: float) -> Sco
 
 
 @model("multinomial")
-def multinomial(text: str = "text", label: str = "y") -> Scorer:
-    return Scorer([*tfidf_stages(text), LogisticRegression(labelCol=label, weightCol="weight", family="multinomial", maxIter=30, regParam=1e-3)], label)
+def multinomial(text: str = "text", label: str = "y", rounds: int = 30, **options: float) -> Scorer:
+    """Classes from 0 on; ``score`` is the probability of class 1, ``prediction`` the class. Its weights are terms times classes: keep ``size`` to what the driver holds."""
+    return Scorer([*tfidf_stages(text, **options), LogisticRegression(labelCol=label, weightCol="weight", family="multinomial", maxIter=rounds, regParam=1e-3)], label)
+
+
+def community_classes(frame: DataFrame, community: str) -> DataFrame:
+    """Adds y: the place of the community's name among all, from 0. Names are as many as classes of a model."""
+    names = sorted(r[0] for r in frame.where(F.col(community).isNotNull()).select(community).distinct().collect())
+    number = F.map_from_arrays(F.lit(names), F.lit(list(range(len(names)))))
+    return frame.where(F.col(community).isNotNull()).withColumn("y", F.element_at(number, F.col(community)).cast("double"))
 
 
 def build_model(name: str, **options: object) -> Scorer:

@@ -77,8 +77,13 @@ def stratified_sample(frame: DataFrame, label: str, key: str, n: int, seed: int
     total = frame.agg(F.count("*").alias("_all"))
     sizes = frame.groupBy(label).agg(F.count("*").alias("_n")).join(F.broadcast(total))  # one row
     quota = sizes.select(F.col(label).alias("_l"), F.round(F.lit(float(n)) * F.col("_n") / F.col("_all")).cast("long").alias("_q"))
-    rank = F.row_number().over(Window.partitionBy(label).orderBy(unit_hash(F.col(key), seed), key))
-    ranked = frame.withColumn("_r", rank)
+    # A row's rank is that within its class and hash bucket, after the sizes of the buckets before: no window holds a class.
+    wide = frame.withColumn("_u", unit_hash(F.col(key), seed)).withColumn("_b", F.floor(F.col("_u") * 4096).cast("int"))
+    buckets = wide.groupBy(label, "_b").agg(F.count("*").alias("_m"))
+    before = Window.partitionBy(label).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = buckets.select(F.col(label).alias("_l2"), F.col("_b").alias("_b2"), F.coalesce(F.sum("_m").over(before), F.lit(0)).alias("_o"))
+    placed = wide.join(offsets, wide[label].eqNullSafe(F.col("_l2")) & (F.col("_b") == F.col("_b2")))
+    ranked = placed.withColumn("_r", F.col("_o") + F.row_number().over(Window.partitionBy(label, "_b").orderBy("_u", key))).drop("_u", "_b", "_l2", "_b2", "_o")
     return ranked.join(quota, ranked[label].eqNullSafe(F.col("_l"))).where("_r <= _q").drop("_r", "_l", "_q")
 
 

@@ -248,7 +248,25 @@ def vote_majority(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(votes(spark, sf_dir).select("doc_id", L.majority(["v1", "v2", "v3"]).alias("p")))
 
 
-@register("dawid_skene")
+def dawid_skene_sql(rounds: int = 100) -> str:
+    """Expectation and maximisation over vote patterns, a row of parameters for each round."""
+    cut = lambda x: f"least(greatest({x}, 1e-3), 1 - 1e-3)"
+    vote = lambda k, right, wrong: f"CASE v{k} WHEN 1 THEN ln({right}) WHEN 0 THEN ln({wrong}) ELSE 0 END"
+    edge = lambda x: f"ln(CASE WHEN {x} IN (0, 1) THEN {cut(x)} ELSE {x} END)"
+    one = " + ".join([edge("pi"), *[vote(k, cut(f"s{k}"), f"1 - {cut(f's{k}')}") for k in (1, 2, 3)]])
+    zero = " + ".join([edge("(1 - pi)"), *[vote(k, f"1 - {cut(f'c{k}')}", cut(f"c{k}")) for k in (1, 2, 3)]])
+    means = ", ".join(f"sum(p * n) FILTER (v{k} = 1) / greatest(1e-9, sum(p * n) FILTER (v{k} IN (0, 1))), sum((1 - p) * n) FILTER (v{k} = 0) / greatest(1e-9, sum((1 - p) * n) FILTER (v{k} IN (0, 1)))" for k in (1, 2, 3))
+    v = "CASE WHEN {0} <= {1}::DOUBLE THEN 0 WHEN {0} >= {2}::DOUBLE THEN 1 ELSE -1 END"
+    return f"""
+WITH RECURSIVE {LABELLED}, v AS (SELECT doc_id, {v.format("score", 0.4, 0.6)} AS v1, {v.format("score_b", 0.3, 0.7)} AS v2, quality * 2 - 1 AS v3 FROM labelled),
+g AS MATERIALIZED (SELECT v1, v2, v3, count(*) AS n FROM v GROUP BY ALL),
+e(round, pi, s1, c1, s2, c2, s3, c3) AS (SELECT 0, CAST(0.5 AS DOUBLE), CAST(0.7 AS DOUBLE), CAST(0.7 AS DOUBLE), CAST(0.7 AS DOUBLE), CAST(0.7 AS DOUBLE), CAST(0.7 AS DOUBLE), CAST(0.7 AS DOUBLE)
+  UNION ALL SELECT round + 1, sum(p * n) / sum(n), {means} FROM (SELECT *, 1 / (1 + exp(least(700, ({zero}) - ({one})))) AS p FROM e, g WHERE round < {rounds - 1}) GROUP BY round),
+last AS (SELECT * FROM e ORDER BY round DESC LIMIT 1)
+SELECT doc_id, round(1 / (1 + exp(least(700, ({zero}) - ({one})))), 6) AS posterior FROM v, last"""
+
+
+@register("dawid_skene", dawid_skene_sql())
 def dawid_skene(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(L.dawid_skene(votes(spark, sf_dir), ["v1", "v2", "v3"])[0].select("doc_id", "posterior"))
 
@@ -370,7 +388,25 @@ def latency_weighted_f1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(early.latency_weighted_f1(decided(spark, sf_dir)))
 
 
-@register("temperature_fit")
+def temperature_sql(rounds: int = 4, points: int = 24) -> str:
+    """The grid of each round as tables: losses, the best place, and the bounds of the next grid."""
+    parts = ["b0 AS (SELECT ln(0.05) AS a, ln(20.0) AS b)"]
+    for r in range(1, rounds + 1):
+        parts += [
+            f"g{r} AS (SELECT i, exp(a + (b - a) * i / {points - 1}) AS t FROM b{r - 1}, range(0, {points}) AS x(i))",
+            f"l{r} AS (SELECT i, t, sum(n * (greatest(m, 0) + ln(1 + exp(-abs(m))))) AS l FROM (SELECT i, t, n, z / t * (1 - 2 * y) AS m FROM g{r}, base) GROUP BY i, t)",
+            f"m{r} AS MATERIALIZED (SELECT i, t FROM l{r} ORDER BY l, t LIMIT 1)",
+            f"b{r} AS MATERIALIZED (SELECT (SELECT ln(t) FROM g{r} WHERE i = (SELECT greatest(0, i - 1) FROM m{r})) AS a, (SELECT ln(t) FROM g{r} WHERE i = (SELECT least({points - 1}, i + 1) FROM m{r})) AS b)",
+        ]
+    clip = lambda x: f"least(greatest({x}, 1e-6), 1 - 1e-6)"
+    error = lambda s: f"(SELECT sum(n * abs(acc - conf)) / sum(n) FROM (SELECT count(*) AS n, avg(y) AS acc, avg({s}) AS conf FROM rows GROUP BY least(9, CAST(floor({s} * 10) AS INT))))"
+    return f"""
+WITH {LABELLED}, base AS MATERIALIZED (SELECT ln({clip("score")} / (1 - {clip("score")})) AS z, y, count(*) AS n FROM labelled GROUP BY ALL), {", ".join(parts)},
+rows AS (SELECT y, score, 1 / (1 + exp(-ln({clip("score")} / (1 - {clip("score")})) / t)) AS after FROM labelled, m{rounds})
+SELECT round({error("score")}, 6) AS ece, round({error("after")}, 6) AS ece_after, round((SELECT t FROM m{rounds}), 6) AS temperature"""
+
+
+@register("temperature_fit", temperature_sql())
 def temperature_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = labelled(spark, sf_dir)
     t = stats.fit_temperature(rows)

@@ -5,13 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import approx
 from ..functions import text as T
 from ..operators import audit, cohort, dedup, labels, splits, threads
 from ..operators.preprocess import preprocess
 from ..schemas import TARGETS
 from ..sources import corpora, files
-from .adapters import LABELLED, POSTS, PRIORS, PROBE, STREAM, TOKENS, hits, labelled, per_hundred, phrases, posts, priors, rounded, stream
+from .adapters import LABELLED, POSTS, PRIORS, PROBE, STREAM, TOKENS, hits, labelled, per_hundred, phrases, posts, priors, rounded, stream, words
 from .catalog import register, table
+from .text_queries import REDACT
 
 PRIOR_SQL = "priors(name, p1, p2, p3, p4) AS (VALUES " + ", ".join(str((n.lower(), *v)) for n, *v in PRIORS) + ")"
 SCORES_SQL = f"""t AS (SELECT doc_id, source, text, {TOKENS} AS toks FROM documents), n AS (SELECT *, greatest(1, len(toks)) AS n FROM t),
@@ -57,7 +59,20 @@ def near_dup_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.near_pairs(dedup.signatures(table(spark, sf_dir, "documents"), "doc_id", "text", ("source",)), "doc_id", "source")
 
 
-@register("near_dedup_greedy")
+def greedy_sql(ids: str, rows: str, signatures: str) -> str:
+    """Tables up to ``gone``: the ids, in one list, that a pass in order drops since an earlier one that is near was not dropped."""
+    return f"""near_pairs AS (SELECT a.{ids} AS a, b.{ids} AS b FROM {signatures} a JOIN {signatures} b ON a.{rows} = b.{rows} AND a.{ids} < b.{ids} WHERE bit_count(xor(a.sig, b.sig)) <= 5),
+turns AS MATERIALIZED (SELECT b, list(a) AS earlier, row_number() OVER (ORDER BY b) AS i FROM near_pairs GROUP BY b),
+pass(i, ids) AS (SELECT CAST(0 AS BIGINT), CAST([] AS BIGINT[]) UNION ALL SELECT t.i, CASE WHEN len(list_filter(earlier, lambda x: NOT list_contains(ids, x))) > 0 THEN list_append(ids, b) ELSE ids END FROM pass p JOIN turns t ON t.i = p.i + 1),
+gone AS (SELECT unnest(arg_max(ids, i)) AS id FROM pass)"""
+
+
+@register("near_dup_links", f"WITH {SIG_SQL}, c AS (SELECT source, sig, min(doc_id) AS first FROM s GROUP BY source, sig) SELECT a.source, least(a.first, b.first) AS a, greatest(a.first, b.first) AS b, CAST(bit_count(xor(a.sig, b.sig)) AS BIGINT) AS distance FROM c a JOIN c b ON a.source = b.source AND a.first < b.first WHERE bit_count(xor(a.sig, b.sig)) <= 5 UNION ALL SELECT s.source, first, doc_id, 0 FROM s JOIN c ON s.source = c.source AND s.sig = c.sig WHERE doc_id <> first")
+def near_dup_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup.near_links(dedup.signatures(table(spark, sf_dir, "documents"), "doc_id", "text", ("source",)), "doc_id", "source")
+
+
+@register("near_dedup_greedy", f"WITH RECURSIVE {SIG_SQL}, {greedy_sql('doc_id', 'source', 's')} SELECT doc_id, source FROM documents WHERE doc_id NOT IN (SELECT id FROM gone)")
 def near_dedup_greedy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.greedy_near_dedup(table(spark, sf_dir, "documents"), "doc_id", "source", "text").select("doc_id", "source")
 
@@ -318,7 +333,35 @@ def held_out_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splits.held_out(d, splits.fixed_sample(d, "doc_id", 100), "doc_id").select("doc_id")
 
 
-@register("preprocess")
+def clean_sql(text: str) -> str:
+    """The cleaning of a text, strip by strip."""
+    t = rf"regexp_replace({text}, '^\s+|\s+$', '', 'g')"
+    for entity, char in (("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''")):
+        t = f"replace({t}, '{entity}', '{char}')"
+    for pattern, new in ((r"\[([^\]]+)\]\(([^)]+)\)", r"'\1'"), (r"https?://\S+|www\.\S+", "' [URL] '"), (r"(?im)^\*?I am a bot.*$|^\*?This action was performed automatically.*$", "''"), (r"\n{3,}", "chr(10) || chr(10)"), (r"[ \t]{2,}", "' '"), (r"^\s+|\s+$", "''")):
+        t = f"regexp_replace({t}, '{pattern}', {new}, 'g')"
+    return t
+
+
+def language_sql(toks: str) -> str:
+    n = {code: f"len(list_filter({toks}, lambda x: list_contains({words(sorted(set(stop)))}, x)))" for code, stop in approx.STOP_WORDS.items()}
+    most = f"greatest({', '.join(n.values())})"
+    return "CASE " + " ".join(f"WHEN {n[c]} = {most} THEN '{c}'" for c in ("en", *sorted(set(n) - {"en"}, reverse=True))) + " END"
+
+
+def preprocess_sql() -> str:
+    """Clean, filter, redact, pseudonymise; of equal texts the first, then the greedy pass over signatures."""
+    return f"""
+WITH RECURSIVE c AS (SELECT doc_id AS id, source AS subreddit, 'u_' || substr(sha256('anxiety-research-v1|' || CAST(doc_id % 50 AS VARCHAR)), 1, 12) AS author_hash, {clean_sql("coalesce(text, '')")} AS text FROM documents
+  WHERE lower(regexp_replace(coalesce(text, 'x'), '^\\s+|\\s+$', '', 'g')) NOT IN ('[deleted]', '[removed]', '')),
+l AS (SELECT *, {language_sql(TOKENS)} AS lang FROM c WHERE length(text) >= 50),
+r AS (SELECT id, subreddit, author_hash, lang, {REDACT} AS text FROM l WHERE lang = 'en'),
+k AS MATERIALIZED (SELECT id AS doc_id, subreddit AS source, author_hash, lang, text FROM (SELECT *, row_number() OVER (PARTITION BY {DIGEST} ORDER BY id) AS n FROM r) WHERE n = 1),
+{SIG_SQL.replace("documents", "k")}, {greedy_sql("doc_id", "source", "s")}
+SELECT doc_id AS id, source AS subreddit, lang, author_hash, md5(text) AS digest FROM k WHERE doc_id NOT IN (SELECT id FROM gone)"""
+
+
+@register("preprocess", preprocess_sql())
 def preprocess_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents")
     raw = d.select(F.col("doc_id").alias("id"), F.col("source").alias("subreddit"), F.lit("").alias("title"), F.col("text").alias("body"), (F.col("doc_id") % 50).cast("string").alias("author"))

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from ..operators import audit, metrics, models, reports, splits
 from ..sources import files
 from ..streaming import events as E
-from .adapters import LABELLED, labelled, rounded
+from ..session import stored
+from .adapters import LABELLED, labelled, posts, rounded
 from .catalog import register
 from .eval_queries import featured
 
@@ -51,6 +52,28 @@ def hist_gbm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scores_of(spark, sf_dir, "hist_gbm")
 
 
+@register("gbt_early_scores")
+def gbt_early_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scores_of(spark, sf_dir, "gbt_early")
+
+
+@register("stacked_scores")
+def stacked_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A logistic regression over out-of-fold scores of two models."""
+    rows, names = kept_features(spark, sf_dir)
+    makers = {"elastic": lambda: models.build_model("elastic", features=names, rounds=20), "forest": lambda: models.build_model("forest", features=names, numTrees=10)}
+    return rounded(models.stacked(rows, makers, "doc_id")[1].select("doc_id", "s_elastic", "s_forest", "score", "pred"))
+
+
+@register("community_classifier")
+def community_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of each text, in the place of its community, by a multinomial model of its words that was fitted on three of four folds."""
+    rows = models.community_classes(posts(spark, sf_dir).select("doc_id", "text", "lang"), "lang")
+    marked = stored(splits.folds(rows, "doc_id", 4))
+    fitted = models.build_model("multinomial", min_df=3, size=5_000, rounds=15).fit(marked.where("fold <> 0"))
+    return fitted.score(marked).select("doc_id", "lang", "fold", F.col("y").cast("long").alias("y"), F.col("prediction").cast("long").alias("found"))
+
+
 @register("nested_grid")
 def nested_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores by forests whose depth is chosen within each outer fold."""

@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..sources import collectors, files
+from .. import config
+from ..session import small
+from ..sources import collectors, corpora, files
 from ..streaming import events as E
-from .adapters import rounded
+from .adapters import POSTS, posts, rounded
 from .catalog import register, table
+from .label_queries import clean_sql
 
 
 @register("parquet_columns", "SELECT o_orderkey, o_custkey, o_totalprice FROM orders")
@@ -110,3 +113,50 @@ def listing_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = saved_pages(spark, sf_dir, f"{folder}/pages")
     found = collectors.make_collector("listing", spark, collectors.Collection(names, least_score=100, least_chars=50), path=f"{folder}/pages")
     return E.run_to_table(found.stream(), folder).dropDuplicates(["id"]).select("id", "subreddit", "body", "score")
+
+
+@register("zst_rows", "SELECT event_id, user_id, event_type, round(value, 6) AS value FROM events")
+def zst_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as zstd JSON lines and back."""
+    path = f"{E.working_folder(spark)}/dump"
+    files.write_zst_jsonl(table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "value"), path)
+    return files.read_zst_jsonl(spark, f"{path}/*.zst", "event_id long, user_id long, event_type string, value double").select("event_id", "user_id", "event_type", F.round("value", 6).alias("value"))
+
+
+@register("configured_priors", "SELECT doc_id, CASE WHEN CAST(substr(source, 4) AS INT) % 2 = 0 THEN 'even' ELSE 'baseline' END AS \"group\", CAST(CAST(substr(source, 4) AS INT) AS DOUBLE) / 100 AS prior_anxiety, CAST(0 AS DOUBLE) AS prior_depression FROM documents WHERE source IS NOT NULL")
+def configured_priors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Settings of all sources as YAML, loaded, and looked up for each document."""
+    docs, path = table(spark, sf_dir, "documents"), f"{E.working_folder(spark)}/subreddits"
+    number = F.substring("source", 4, 9).cast("int")
+    entry = F.concat(F.lit("  - {name: "), "source", F.when(number % 2 == 0, ", group: even").otherwise(""), F.lit(", expected_anxiety_prior: "), (number / 100).cast("string"), F.lit("}"))
+    listed = docs.where("source is not null").select("source").distinct().select(entry.alias("e")).agg(F.concat_ws("\n", F.lit("subreddits:"), F.sort_array(F.collect_list("e"))).alias("value"))
+    listed.coalesce(1).write.text(path)
+    known = config.priors_frame(spark, config.load_communities(path))
+    return docs.join(small(known), F.col("source") == F.col("name")).select("doc_id", "group", "prior_anxiety", "prior_depression")
+
+
+#: Cleaned posts of at least 30 characters from a file for each community; the larger half of the names stands for y = 1.
+COMMUNITY_SQL = f"WITH c AS (SELECT source AS subreddit, lang AS author, {clean_sql('text')} AS t FROM documents WHERE source IS NOT NULL AND text IS NOT NULL AND text <> '') SELECT subreddit, author, md5(t) AS digest, CAST(subreddit >= 'src15' AS BIGINT) AS y FROM c WHERE length(t) >= 30"
+
+
+@register("community_csv", COMMUNITY_SQL)
+def community_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = E.working_folder(spark)
+    docs = table(spark, sf_dir, "documents").where("source is not null").select(F.col("source").alias("subreddit"), F.col("lang").alias("author"), F.col("text").alias("post"))
+    names = sorted(r.subreddit for r in docs.select("subreddit").distinct().collect())
+    for name in names:
+        docs.where(F.col("subreddit") == name).write.option("header", "true").option("escape", '"').option("quoteAll", "true").csv(f"{folder}/{name}_2018.csv")
+    got = corpora.community_csv(spark, folder, [n for n in names if n >= "src15"], [n for n in names if n < "src15"], cap=1 << 40)
+    return got.select("subreddit", "author", F.md5("clean_text").alias("digest"), "y")
+
+
+EXPERT_SQL = f"WITH {POSTS}, c AS (SELECT {clean_sql('text')} AS t, CASE WHEN toxic = 1 THEN 1 WHEN quality = 0 THEN 1 ELSE 0 END AS y FROM posts WHERE toxic IS NOT NULL AND text IS NOT NULL AND text <> '') SELECT md5(t) AS digest, CAST(y AS BIGINT) AS y FROM c WHERE length(t) >= 10"
+
+
+@register("expert_csv", EXPERT_SQL)
+def expert_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labelled documents as a gold test set: Anxiety or comorbid counts as positive."""
+    folder = E.working_folder(spark)
+    kind = F.when(F.col("toxic") == 1, "Anxiety").when(F.col("quality") == 0, "comorbid disorders").otherwise("none")
+    posts(spark, sf_dir).where("toxic is not null").select(F.col("text").alias("Text"), kind.alias("multiclass_label")).write.option("header", "true").option("escape", '"').option("quoteAll", "true").csv(f"{folder}/test.csv")
+    return corpora.expert_csv(spark, folder).select(F.md5("clean_text").alias("digest"), "y")

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import approx, disclosure, perturb
+from ..functions import approx, disclosure, hyphen, perturb
 from ..functions import text as T
 from ..functions.lexicons import DIMENSIONS
-from ..operators import language, splits
+from ..operators import language, names, splits
 from ..operators import sentiment as S
 from .adapters import PROBE, TOKENS, hits, per_hundred, phrases, posts, rounded
 from .catalog import register, table
@@ -281,3 +281,55 @@ SELECT d.doc_id, coalesce(round(total / sqrt(total * total + 15), 6), 0) AS comp
 def sentiment_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     valences = spark.createDataFrame(list(VALENCES), "token string, valence double")
     return rounded(S.sentiment(table(spark, sf_dir, "documents"), "doc_id", "text", valences, BOOSTERS, NEGATED, "est"))
+
+
+#: Made patterns in the form of hyphenation dictionaries: a gap before a consonant and a vowel, but not within pairs that stand for one sound.
+PATTERNS = (
+    *[f"1{c}{v}" for c in "bcdfghjklmnpqrstvwxz" for v in "aeiouyäöüéèáíóú"],
+    "2th", "t2h", "s2h", "c2h", "q2u", "p2h", "1tion", "4tio", ".un1", ".re1", "ing4", "4ed.", "s3t2r", "n1g", "m1b", "n1d", "l1t", "r1s",
+)
+EASY = ("und", "the", "definition", "another")
+
+
+def patterns_sql() -> str:
+    """Every pattern at every place of every word; a gap has its greatest weight, odd ones part syllables."""
+    rows = []
+    for pattern in PATTERNS:
+        weights, letters = [0], ""
+        for char in pattern:
+            if char.isdigit():
+                weights[-1] = int(char)
+            else:
+                letters += char
+                weights.append(0)
+        rows.append(f"('{letters}', {weights})")
+    easy = ", ".join(f"'{w}'" for w in EASY)
+    return rf"""
+WITH d AS MATERIALIZED (SELECT doc_id, text, {TOKENS} AS toks, len(list_filter(regexp_split_to_array(regexp_replace(coalesce(text, ''), '^\s+|\s+$', '', 'g'), '[.!?]+\s+|\n+'), lambda s: regexp_replace(s, '^\s+|\s+$', '', 'g') <> '')) AS sents FROM documents),
+t AS MATERIALIZED (SELECT doc_id, word, count(*) AS n FROM (SELECT doc_id, unnest(toks) AS word FROM d) GROUP BY ALL),
+w AS MATERIALIZED (SELECT DISTINCT word, '.' || word || '.' AS whole FROM t),
+p(letters, weights) AS (VALUES {', '.join(rows)}),
+s AS (SELECT word, whole, unnest(range(1, length(whole) + 1)) AS i FROM w),
+m AS (SELECT word, i, weights FROM s JOIN (SELECT DISTINCT length(letters) AS k FROM p) ON true JOIN p ON letters = substr(whole, CAST(i AS INT), CAST(k AS INT)) AND length(letters) = k),
+g AS (SELECT word, i - 1 + j AS gap, max(weights[CAST(j AS INT) + 1]) AS weight FROM m, range(0, 10) AS r(j) WHERE j < len(weights) GROUP BY ALL),
+y AS (SELECT w.word, 1 + count(CASE WHEN weight % 2 = 1 AND gap - 1 >= 2 AND gap - 1 <= length(w.word) - 2 THEN 1 END) AS n FROM w LEFT JOIN g ON w.word = g.word GROUP BY w.word),
+a AS (SELECT doc_id, sum(t.n * y.n) AS syllables, sum(CASE WHEN y.n >= 3 AND word NOT IN ({easy}) THEN t.n ELSE 0 END) AS hard FROM t JOIN y USING (word) GROUP BY doc_id)
+SELECT d.doc_id, CAST(coalesce(syllables, 0) AS BIGINT) AS syllables, CAST(coalesce(hard, 0) AS BIGINT) AS hard,
+       CASE WHEN length(coalesce(text, '')) < 20 OR coalesce(len(toks), 0) = 0 THEN 0 ELSE round(206.835 - 1.015 * (len(toks) / greatest(1, sents)) - 84.6 * syllables / len(toks), 6) END AS f_flesch,
+       CASE WHEN length(coalesce(text, '')) < 20 OR coalesce(len(toks), 0) = 0 THEN 0 ELSE round(0.4 * (len(toks) / greatest(1, sents) + 100 * hard / len(toks)), 6) END AS f_gunning_fog
+FROM d LEFT JOIN a USING (doc_id)
+"""
+
+
+@register("readability_patterns", patterns_sql())
+def readability_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    patterns = hyphen.read_patterns(PATTERNS)
+    wide = table(spark, sf_dir, "documents").select("doc_id", "text", T.tokens(F.col("text")).alias("w")).withColumn("s", hyphen.syllable_counts(F.col("w"), patterns, EASY))
+    return rounded(wide.select("doc_id", F.col("s.n").alias("syllables"), F.col("s.hard").alias("hard"), *[c.alias(n) for n, c in hyphen.readability(F.col("text"), F.col("w"), F.col("s")).items()]))
+
+
+@register("names_redacted")
+def names_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names in whole texts by the default labeller: how many of each kind, and what is left."""
+    t = table(spark, sf_dir, "documents").select("doc_id", names.redact_names(F.col("text"), names.default_tagger()).alias("t"))
+    return t.select("doc_id", F.md5("t").alias("digest"), *[T.occurrences(F.col("t"), f"[{tag}]").cast("long").alias(f"n_{tag.lower()}") for tag in names.TAGS[1:]])

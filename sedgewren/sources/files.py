@@ -78,6 +78,33 @@ def read_zst_jsonl(spark: SparkSession, path: str, schema: T.StructType | str, c
     return parsed.where("r is not null").select("r.*").dropna("all")
 
 
+def write_zst_jsonl(frame: DataFrame, path: str, level: int = 3) -> None:
+    """JSON lines in zstd files, one for each partition, in a folder of a file system that pyarrow knows. A task that runs again writes its file anew; a folder that has files already raises."""
+    from pyarrow import fs
+
+    target = fs.FileSystem.from_uri(path)
+    target[0].create_dir(target[1], recursive=True)
+    if any(i.type == fs.FileType.File for i in target[0].get_file_info(fs.FileSelector(target[1]))):
+        raise FileExistsError(path)
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+        from pyspark import TaskContext
+
+        system, root = fs.FileSystem.from_uri(path)
+        context = TaskContext.get()
+        name = f"{root}/part-{context.partitionId():05}.jsonl.zst"
+        draft, rows = f"{root}/_{context.taskAttemptId()}.tmp", 0
+        with system.open_output_stream(draft, compression=None) as out, zstandard.ZstdCompressor(level=level).stream_writer(out, closefd=False) as packed:
+            for batch in batches:
+                rows += batch.num_rows
+                packed.write("".join(f"{line}\n" for line in batch.column(0).to_pylist()).encode())
+        system.move(draft, name)
+        yield pa.RecordBatch.from_arrays([pa.array([rows], pa.int64())], ["rows"])
+
+    frame.select(F.to_json(F.struct(*frame.columns)).alias("line")).mapInArrow(write, "rows long").agg(F.sum("rows")).collect()
+
+
 def read_json(spark: SparkSession, path: str, schema: T.StructType | str | None = None) -> DataFrame:
     reader = spark.read.option("multiLine", "true")
     return (reader.schema(schema) if schema else reader).json(path)

@@ -92,3 +92,33 @@ def test_odd_rows(spark):
     assert matched(spark, rows) == [("p", "x", "a")]
     assert matched(spark, rows[:0]) == []
     assert matched(spark, posts_of({"x": ["a"], "y": ["a"]}, set())) == []
+
+
+def test_greedy_pass_equals_a_plain_one(spark):
+    """One text after the other: it stays if no earlier one of its group that stayed is near."""
+    from sedgewren.operators import dedup
+
+    rng = random.Random(11)
+    words = [f"w{i}" for i in range(40)]
+    rows = []
+    for i in range(150):
+        base = rng.choices(words, k=30) if i % 3 == 0 or not rows else rows[rng.randrange(len(rows))][2].split()
+        if i % 3:
+            base[rng.randrange(len(base))] = rng.choice(words)
+        rows.append((i, f"g{i % 2}", " ".join(base)))
+    frame = spark.createDataFrame(rows, "id long, g string, t string")
+    signature = {r.id: r.sig for r in dedup.signatures(frame, "id", "t", ("g",)).collect()}
+    near = lambda a, b: ((signature[a] ^ signature[b]) & ((1 << 64) - 1)).bit_count() <= 5
+    kept = []
+    for i, g, _ in rows:
+        if not any(h == g and near(i, j) for j, h in kept):
+            kept.append((i, g))
+    assert {r.id for r in dedup.greedy_near_dedup(frame, "id", "g", "t").collect()} == {i for i, _ in kept} and len(kept) < 150
+    links = {(r.a, r.b): r.distance for r in dedup.near_links(dedup.signatures(frame, "id", "t", ("g",)), "id", "g").collect()}
+    firsts = {}
+    for i, g, _ in rows:
+        firsts.setdefault((g, signature[i]), i)
+    heads = sorted(firsts.values())
+    want = {(a, b): ((signature[a] ^ signature[b]) & ((1 << 64) - 1)).bit_count() for a in heads for b in heads if a < b and rows[a][1] == rows[b][1] and near(a, b)}
+    want |= {(firsts[g, signature[i]], i): 0 for i, g, _ in rows if firsts[g, signature[i]] != i}
+    assert links == want

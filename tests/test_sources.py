@@ -104,3 +104,21 @@ def test_streams_do_not_depend_on_the_number_of_files(spark, tmp_path):
     for name in ("stream_tumbling", "stream_sessions", "stream_distinct", "stream_early_decision"):
         one, many = (sorted(map(tuple, queries()[name](spark, str(tmp_path / kind)).collect())) for kind in ("one", "many"))
         assert one == many and one, name
+
+
+def test_zst_files_of_each_partition(spark, tmp_path):
+    rows = spark.createDataFrame([(i, "é" * (i % 5), None if i % 3 else i) for i in range(100)], "id long, t string, n long").repartition(3)
+    files.write_zst_jsonl(rows, str(tmp_path / "out"))
+    assert len(list((tmp_path / "out").glob("*.jsonl.zst"))) == 3 and not list((tmp_path / "out").glob("*.tmp"))
+    back = files.read_zst_jsonl(spark, str(tmp_path / "out" / "*.zst"), "id long, t string, n long")
+    assert sorted(map(tuple, back.collect())) == sorted(map(tuple, rows.collect()))
+    with pytest.raises(FileExistsError):
+        files.write_zst_jsonl(rows, str(tmp_path / "out"))
+
+
+def test_settings_in_a_folder_that_spark_wrote(spark, tmp_path):
+    from sedgewren import config
+
+    spark.createDataFrame([("subreddits:\n  - {name: Anxiety, group: clinical, expected_anxiety_prior: 0.8}",)], "value string").coalesce(1).write.text(str(tmp_path / "s"))
+    found = config.load_communities(str(tmp_path / "s"))
+    assert [(c.name, c.group, c.priors["anxiety"], c.priors["depression"]) for c in found] == [("Anxiety", "clinical", 0.8, 0.0)]
