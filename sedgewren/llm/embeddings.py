@@ -139,6 +139,9 @@ def near_dedup(vectors: DataFrame, least: float = 0.98, trees: int = 6, leaf: in
         rng = np.random.default_rng([seed, r.dim, r.depth])
         forests[r.dim, r.depth] = [grow(by_dim.get(r.dim, np.zeros((0, r.dim))), r.depth, r.dim, rng) for _ in range(trees)]
     shared = spark.sparkContext.broadcast(forests)
+    # A leaf's code is its tree's number before its node's; both fit 32 bits but for tables of billions of nodes.
+    narrow = trees << max((r.depth for r in kinds), default=0) + 1 < 1 << 31
+    code_type, code_name = (pa.int32(), "int") if narrow else (pa.int64(), "long")
     reach_of = lambda dim: spill if spill is not None else 1.2 * math.sqrt(2 - 2 * least) / math.sqrt(dim)
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -152,10 +155,10 @@ def near_dedup(vectors: DataFrame, least: float = 0.98, trees: int = 6, leaf: in
                 for number, tree in enumerate(forests[dim, depth]):
                     for row, node in zip(*(v.tolist() for v in leaves(tree, x, reach_of(dim))), strict=True):
                         found[row].append(number << depth + 1 | node)
-                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(5)), pa.array(found, pa.list_(pa.int64()))], ["node", "label", "dim", "e", "copies", "codes"])
+                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(5)), pa.array(found, pa.list_(code_type))], ["node", "label", "dim", "e", "copies", "codes"])
 
     placed_at = nodes.join(depths.select("label", "dim", "depth").hint("merge"), ["label", "dim"]).select("node", "label", "dim", "e", "copies", "depth")
-    indexed = scratch.put(placed_at.mapInArrow(index, f"node long, label long, dim int, e {kind}, copies long, codes array<long>"))
+    indexed = scratch.put(placed_at.mapInArrow(index, f"node long, label long, dim int, e {kind}, copies long, codes array<{code_name}>"))
     counts = indexed.select("label", "dim", F.explode("codes").alias("code")).groupBy("label", "dim", "code").count()
     # Only leaves of over ``tile`` rows are listed: fewer than one for every ``tile`` rows and tree.
     large = scratch.put(counts.where(F.col("count") > tile).select("label", "dim", "code", F.ceil(F.col("count") / tile).cast("int").alias("parts")))
@@ -163,7 +166,8 @@ def near_dedup(vectors: DataFrame, least: float = 0.98, trees: int = 6, leaf: in
     tiled = spread.withColumn("parts", F.coalesce("parts", F.lit(1))).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts").cast("long")).cast("int"))
     # A row of part p goes to the tiles (p, q) and (q, p): every two parts meet once.
     placed = tiled.withColumn("q", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumns({"low": F.least("part", "q"), "high": F.greatest("part", "q")})
-    placed = placed.select("label", "dim", "code", "low", "high", "node", "copies", "part", "e", "codes")
+    # Earlier leaves alone tell whether a pair was met before, so no others travel.
+    placed = placed.select("label", "dim", "code", "low", "high", "node", "copies", "part", "e", F.filter("codes", lambda c: c < F.col("code")).alias("codes"))
 
     def join(key: tuple, table: pa.Table) -> pa.Table:
         dim, code, low, high = (v.as_py() for v in key[1:])
