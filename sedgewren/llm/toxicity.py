@@ -105,6 +105,16 @@ def features_of(word: str) -> list[str]:
     return [word, *(word[:n] + "*" for n in (4, 5, 6) if len(word) > n)]
 
 
+@dataclass(frozen=True)
+class Classes:
+    """The closed word classes of a model, lower-cased; for texts in other languages give others. Of a word in several, the last one named here counts."""
+
+    threats: frozenset[str] = THREATS
+    targets: frozenset[str] = TARGETS
+    negations: frozenset[str] = NEGATIONS
+    reports: frozenset[str] = REPORTS
+
+
 @dataclass
 class Model:
     """Weights of insults (words and beginnings) and of the final logistic curve."""
@@ -112,11 +122,12 @@ class Model:
     lexicon: dict[str, float]
     curve: tuple[float, ...] = (-3.0, 1.0, 1.0, 0.0)
     machine: Transducer = field(default_factory=grammar)
+    classes: Classes = field(default_factory=Classes)
 
     def reader(self) -> Callable[[str | None], tuple[float, float, float]]:
         """A function from a text to (greatest clause score, sum of clause scores, sum per hundred words)."""
         known: dict[str, tuple[int, float]] = {}
-        for words, symbol in ((THREATS, THREAT), (TARGETS, TARGET), (NEGATIONS, NEGATION), (REPORTS, REPORT)):
+        for words, symbol in ((self.classes.threats, THREAT), (self.classes.targets, TARGET), (self.classes.negations, NEGATION), (self.classes.reports, REPORT)):
             known |= {w: (symbol, 1.0) for w in words}
         fixed, lexicon, arcs = dict(known), self.lexicon, self.machine.arcs
         plain = (OTHER, 0.0)
@@ -194,13 +205,14 @@ def surprise(t: np.ndarray, n: np.ndarray, toxic: int, clean: int) -> np.ndarray
         return 2 * (part(t, seen * toxic / total) + part(n, seen * clean / total) + part(toxic - t, (total - seen) * toxic / total) + part(clean - n, (total - seen) * clean / total))
 
 
-def train(docs: DataFrame, labels: DataFrame, most_rows: int = 20_000, strength: float = 28.0, id_col: str = "doc_id", text_col: str = "text") -> Model:
+def train(docs: DataFrame, labels: DataFrame, most_rows: int = 20_000, strength: float = 28.0, id_col: str = "doc_id", text_col: str = "text", classes: Classes | None = None) -> Model:
     """Learns the lexicon and the curve from labelled rows with crc32(doc_id) mod 5 <> 0.
 
     At most about ``most_rows`` labelled rows are used (chosen by a hash of their id), so the table of their
     ids and the fitted model have a bound of their own. A word or beginning is listed if its counts are more
     surprising than ``strength`` (under one chance find in a million candidates) and it is likelier in toxic
-    rows by e squared. Without rows of both labels the lexicon is empty and every score alike and low.
+    rows by e squared. Of several texts of one id the first in order counts; null texts are empty. ``classes`` are the
+    grammar's other words. Without rows of both labels the lexicon is empty and every score alike and low.
     """
     spark = docs.sparkSession
     known = labels.where("toxic in (0, 1) and doc_id is not null and crc32(cast(doc_id as string)) % 5 <> 0").groupBy(F.col("doc_id").cast("long").alias("_id")).agg(F.max("toxic").alias("_toxic"))
@@ -208,7 +220,8 @@ def train(docs: DataFrame, labels: DataFrame, most_rows: int = 20_000, strength:
     bound = 1 << 30
     share = bound if there <= most_rows else int(bound * most_rows / there)
     sample = known.where(F.pmod(F.xxhash64("_id"), F.lit(bound)) < share)
-    rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("_text")).join(F.broadcast(sample), "_id").select("_toxic", "_text")
+    rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("_text")).join(F.broadcast(sample), "_id")
+    rows = rows.groupBy("_id", "_toxic").agg(F.min("_text").alias("_text")).select("_toxic", "_text")  # a text for each id, so repeated rows keep the bound
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[int, Counter] = {0: Counter(), 1: Counter()}
@@ -227,13 +240,14 @@ def train(docs: DataFrame, labels: DataFrame, most_rows: int = 20_000, strength:
     found = counts.toPandas()
     total = found[found.f == ""]
     if not len(total) or not total.n.iloc[0]:
-        return Model({}, (-4.0, 0.0, 0.0, 0.0))
+        return Model({}, (-4.0, 0.0, 0.0, 0.0), classes=classes or Classes())
     toxic, clean = int(total.t.iloc[0]), int(total.n.iloc[0])
     t, n = found.t.to_numpy(float), found.n.to_numpy(float)
     odds = np.log((t + 0.5) / (toxic + 1)) - np.log((n + 0.5) / (clean + 1))
     keep = (surprise(t, n, toxic, clean) >= strength) & (odds >= 2.0) & (found.f != "").to_numpy() & found.f.str.contains(r"\w").to_numpy()
-    closed = THREATS | TARGETS | NEGATIONS | REPORTS
-    model = Model({f: round(float(o) / 3, 6) for f, o in zip(found.f[keep], odds[keep], strict=True) if f not in closed})
+    classes = classes or Classes()
+    closed = classes.threats | classes.targets | classes.negations | classes.reports
+    model = Model({f: round(float(o) / 3, 6) for f, o in zip(found.f[keep], odds[keep], strict=True) if f not in closed}, classes=classes)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         read = model.reader()
@@ -265,7 +279,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
 
 def keep_clean(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """The rows that the model does not call toxic, with all their columns."""
+    """The rows that the model does not call toxic, with all their columns. A null text is scored as an empty one; repeated rows stay or go alike; no rows give none."""
     names = docs.columns
     place = names.index(text_col)
 

@@ -81,3 +81,52 @@ def test_empty_tables(spark):
     model = toxicity.train(docs, labels)
     assert toxicity.score(docs, model).count() == 0
     assert toxicity.score(spark.createDataFrame([(1, "a")], "doc_id long, text string"), model).first().predicted == 0
+
+
+def plain_clause(words, lexicon, classes):
+    """A clause's score by looking around from each word, without any machine."""
+    weight = lambda w: max(lexicon.get(f, 0.0) for f in toxicity.features_of(w))
+    kind = lambda w: next((k for k in ("reports", "negations", "targets", "threats") if w in getattr(classes, k)), "insult" if weight(w) > 0 else "")
+    kinds = ["comma" if w == "," else kind(w) for w in words]
+
+    def abuse(i):
+        """An insult, or a threat that has its target by then."""
+        return kinds[i] == "insult" or kinds[i] == "threats" and "targets" in kinds[:i]
+
+    score = 0.0
+    for i, k in enumerate(kinds):
+        near = next(([*reversed(kinds[:i])][:n] for n in range(i + 1) if n == i or kinds[i - 1 - n] == "comma"), [])[:3]
+        factor = 0.5 if "negations" in near else 0.7 if "reports" in kinds[:i] else 1.0
+        targeted = "targets" in kinds[:i]
+        # Abuse was said: an insult, a threat after a target, or a threat whose target came later.
+        said = any(abuse(j) or kinds[j] == "threats" and "targets" in kinds[j:i] for j in range(i))
+        first = 0.5 if targeted and not said else 0.0
+        if k == "insult":
+            score += weight(words[i]) * (factor + first)
+        elif k == "threats" and targeted:
+            score += 0.6 * factor + first
+        elif k == "targets":
+            last = max((j for j in range(i) if kinds[j] == "targets"), default=-1)
+            waiting = last < 0 and "threats" in kinds[:i]
+            score += 0.6 if waiting else 0.0
+            score += 0.5 if not targeted and (said or waiting) else 0.0
+    return score
+
+
+def test_scores_equal_a_plain_reading():
+    rng = random.Random(12)
+    pool = ["fool", "scoundrel", "kill", "you", "not", "said", "word", "thing", ","]
+    for _ in range(3000):
+        words = rng.choices(pool, k=rng.randrange(1, 9))
+        assert abs(clause(" ".join(words)) - plain_clause(words, MODEL.lexicon, MODEL.classes)) < 1e-9, words
+
+
+def test_other_classes_and_repeated_ids(spark):
+    own = toxicity.Classes(threats=frozenset(["zap"]), targets=frozenset(["ye"]))
+    model = toxicity.Model({"fool": 2.0}, classes=own)
+    assert model.reader()("zap ye")[0] > 0 and model.reader()("kill you")[0] == 0
+    rows = corpus()
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows] + [(1, "blargh " * 5)] * 3000, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    once = spark.createDataFrame([(i, min(t, "blargh " * 5) if i == 1 else t) for i, t, _ in rows], "doc_id long, text string")
+    assert toxicity.train(docs, labels) == toxicity.train(once, labels)
