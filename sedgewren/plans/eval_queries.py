@@ -13,6 +13,7 @@ from ..streaming import events as E
 from ..session import stored
 from .adapters import LABELLED, PROBE, STREAM, TOKENS, hits, labelled, posts, rounded, stream
 from .catalog import register, table
+from .text_queries import perturbed_sql
 
 # Confusion counts of labelled posts at 0.5, and the sweep over distinct scores.
 CONF = "CAST(sum(CASE WHEN y = 1 AND pred = 1 THEN 1 ELSE 0 END) AS DOUBLE) AS tp, CAST(sum(CASE WHEN y = 0 AND pred = 1 THEN 1 ELSE 0 END) AS DOUBLE) AS fp, CAST(sum(CASE WHEN y = 1 AND pred = 0 THEN 1 ELSE 0 END) AS DOUBLE) AS fn, CAST(sum(CASE WHEN y = 0 AND pred = 0 THEN 1 ELSE 0 END) AS DOUBLE) AS tn"
@@ -477,7 +478,13 @@ def ordinal_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return models.ordinal(stored(rows.withColumn("lv", F.col("doc_id") % 3)), names, "lv", 3).select("doc_id", "lv", "level")
 
 
-@register("robustness_flips")
+def flips_sql(name: str) -> str:
+    """Decisions over the words of a text and of its perturbed form."""
+    share = lambda t: f"(SELECT {hits(PROBE.anxiety_terms)} / greatest(1, len(toks)) FROM (SELECT {TOKENS.replace('lower(text)', f'lower({t})')} AS toks))"
+    return f"SELECT round(avg(CASE WHEN (a >= 0.1) <> (b >= 0.1) THEN 1 ELSE 0 END), 6) AS flip_rate, round(avg(abs(a - b)), 6) AS mean_abs_drift, '{name}' AS perturbation FROM (SELECT {share('text')} AS a, {share('other')} AS b FROM (SELECT text, {perturbed_sql(name)} AS other FROM documents))"
+
+
+@register("robustness_flips", " UNION ALL ".join(flips_sql(n) for n in perturb.PERTURBATIONS))
 def robustness_flips(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How often a lexicon decision flips when texts are perturbed."""
     rows = posts(spark, sf_dir).select("doc_id", "text")

@@ -225,7 +225,39 @@ def punct_strip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.md5(perturb.punct_strip(F.col("text"))).alias("digest"))
 
 
-@register("perturbations")
+def perturbed_sql(name: str, text: str = "text", key: str = "doc_id", p: float = 0.15, seed: int = 42) -> str:
+    """A perturbed text; a word is held with its place and digest in a struct."""
+    if name == "punct_strip":
+        return rf"regexp_replace({text}, '[^\p{{L}}\p{{M}}\p{{Nl}}\p{{N}}\t-\r \x{{85}}\x{{A0}}\x{{1680}}\x{{2000}}-\x{{200A}}\x{{2028}}\x{{2029}}\x{{202F}}\x{{205F}}\x{{3000}}]', '', 'g')"
+    number = lambda at: f"(CAST('0x' || substr(x.d, {at}, 8) AS BIGINT) / 4294967296.0::DOUBLE)"
+    place = lambda n, at=9: f"CAST(floor({number(at)} * {n}) AS INT)"
+    char = lambda i: f"substr(x.w, {i} + 1, 1)"
+    splice = lambda i, new, gone=1: f"substr(x.w, 1, {i}) || {new} || substr(x.w, {i} + {gone + 1})"
+    upper = lambda c: f"({c} = upper({c}) AND {c} <> lower({c}))"
+    whole = place("length(x.w)")
+    if name == "char_swap":
+        i, least = place("(length(x.w) - 1)"), 4
+        edit = splice(i, f"{char(f'({i} + 1)')} || {char(i)}", 2)
+    elif name == "char_delete":
+        edit, least = splice(whole, "''"), 4
+    elif name == "keyboard_typo":
+        keys = "map {" + ", ".join(f"'{k}': '{v}'" for k, v in perturb.NEIGHBOURS.items()) + "}"
+        near = f"{keys}[lower({char(whole)})]"
+        new = f"substr({near}, {place(f'length({near})', 17)} + 1, 1)"
+        edit, least = f"CASE WHEN {near} IS NULL THEN x.w ELSE {splice(whole, f'CASE WHEN {upper(char(whole))} THEN upper({new}) ELSE {new} END')} END", 4
+    elif name == "social_elongate":
+        vowels = "list_filter(range(0, length(x.w)), lambda j: contains('aeiou', lower(substr(x.w, CAST(j AS INT) + 1, 1))))"
+        i = f"CAST({vowels}[{place(f'len({vowels})')} + 1] AS INT)"
+        edit, least = f"CASE WHEN len({vowels}) = 0 THEN x.w ELSE {splice(i, f'repeat({char(i)}, 2 + {place(2, 17)})')} END", 2
+    else:
+        other = f"CASE WHEN {upper('c')} THEN lower(c) ELSE upper(c) END"
+        edit, least = f"array_to_string(list_transform(string_split(x.w, ''), lambda c: CASE WHEN c = 'ß' THEN c ELSE {other} END), '')", 1
+    listed = rf"list_filter(regexp_split_to_array({text}, '{perturb.SPACE}'), lambda w: w <> '')"
+    held = f"list_transform({listed}, lambda w, i: {{'w': w, 'd': md5('{seed}|' || {key} || '|' || (i - 1))}})"
+    return f"array_to_string(list_transform({held}, lambda x: CASE WHEN length(x.w) >= {least} AND CAST('0x' || substr(x.d, 1, 8) AS BIGINT) < {round(p * (1 << 32))} THEN {edit} ELSE x.w END), ' ')"
+
+
+@register("perturbations", "SELECT doc_id, " + ", ".join(f"md5({perturbed_sql(n)}) AS {n}" for n in perturb.PERTURBATIONS) + " FROM documents")
 def perturbations(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents").select("doc_id", "text")
     return d.select("doc_id", *[F.md5(perturb.perturbed(n, F.col("text"), F.col("doc_id"))).alias(n) for n in perturb.PERTURBATIONS])
@@ -315,8 +347,8 @@ g AS (SELECT word, i - 1 + j AS gap, max(weights[CAST(j AS INT) + 1]) AS weight
 y AS (SELECT w.word, 1 + count(CASE WHEN weight % 2 = 1 AND gap - 1 >= 2 AND gap - 1 <= length(w.word) - 2 THEN 1 END) AS n FROM w LEFT JOIN g ON w.word = g.word GROUP BY w.word),
 a AS (SELECT doc_id, sum(t.n * y.n) AS syllables, sum(CASE WHEN y.n >= 3 AND word NOT IN ({easy}) THEN t.n ELSE 0 END) AS hard FROM t JOIN y USING (word) GROUP BY doc_id)
 SELECT d.doc_id, CAST(coalesce(syllables, 0) AS BIGINT) AS syllables, CAST(coalesce(hard, 0) AS BIGINT) AS hard,
-       CASE WHEN length(coalesce(text, '')) < 20 OR coalesce(len(toks), 0) = 0 THEN 0 ELSE round(206.835 - 1.015 * (len(toks) / greatest(1, sents)) - 84.6 * syllables / len(toks), 6) END AS f_flesch,
-       CASE WHEN length(coalesce(text, '')) < 20 OR coalesce(len(toks), 0) = 0 THEN 0 ELSE round(0.4 * (len(toks) / greatest(1, sents) + 100 * hard / len(toks)), 6) END AS f_gunning_fog
+       CASE WHEN length(coalesce(text, '')) < 20 OR coalesce(len(toks), 0) = 0 THEN 0 ELSE round(206.835::DOUBLE - 1.015::DOUBLE * (len(toks) / greatest(1, sents)) - 84.6::DOUBLE * syllables / len(toks), 4) END AS f_flesch,
+       CASE WHEN length(coalesce(text, '')) < 20 OR coalesce(len(toks), 0) = 0 THEN 0 ELSE round(0.4::DOUBLE * (len(toks) / greatest(1, sents) + 100::DOUBLE * hard / len(toks)), 4) END AS f_gunning_fog
 FROM d LEFT JOIN a USING (doc_id)
 """
 
@@ -325,7 +357,7 @@ FROM d LEFT JOIN a USING (doc_id)
 def readability_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
     patterns = hyphen.read_patterns(PATTERNS)
     wide = table(spark, sf_dir, "documents").select("doc_id", "text", T.tokens(F.col("text")).alias("w")).withColumn("s", hyphen.syllable_counts(F.col("w"), patterns, EASY))
-    return rounded(wide.select("doc_id", F.col("s.n").alias("syllables"), F.col("s.hard").alias("hard"), *[c.alias(n) for n, c in hyphen.readability(F.col("text"), F.col("w"), F.col("s")).items()]))
+    return rounded(wide.select("doc_id", F.col("s.n").alias("syllables"), F.col("s.hard").alias("hard"), *[c.alias(n) for n, c in hyphen.readability(F.col("text"), F.col("w"), F.col("s")).items()]), 4)
 
 
 @register("names_redacted")

@@ -108,3 +108,45 @@ def test_approximations(spark):
     assert one(spark, approx.fix_encoding_approx(F.col("t")), t="itâ€™s cafÃ©") == "it’s café"
     assert one(spark, approx.with_entities(F.col("t")), t="Ann") == "Ann"
     assert one(spark, approx.with_entities(F.col("t"), lambda ts: [[(0, 3, "PERSON")] for _ in ts]), t="Ann sat") == "[PERSON] sat"
+
+
+def plain_edit(name, w, r, q):
+    """Each edit on a Python string."""
+    if name == "char_swap":
+        i = int(r * (len(w) - 1))
+        return w[:i] + w[i + 1] + w[i] + w[i + 2 :]
+    if name == "char_delete":
+        i = int(r * len(w))
+        return w[:i] + w[i + 1 :]
+    if name == "keyboard_typo":
+        i = int(r * len(w))
+        near = perturb.NEIGHBOURS.get(w[i].lower())
+        return w if near is None else w[:i] + (near[int(q * len(near))].upper() if w[i].isupper() else near[int(q * len(near))]) + w[i + 1 :]
+    if name == "social_elongate":
+        vowels = [i for i, c in enumerate(w) if c.lower() in "aeiou"]
+        if not vowels:
+            return w
+        i = vowels[int(r * len(vowels))]
+        return w[:i] + w[i] * (2 + int(q * 2)) + w[i + 1 :]
+    return "".join(c.swapcase() if len(c.swapcase()) == 1 else c for c in w)
+
+
+def test_edits_equal_plain_ones(spark):
+    import hashlib
+
+    texts = ["Hello wonderful  World,\tthis is QUITE a\u00a0sentence! groß \u00c9t\u00e9 x \U0001f600 ok brr", "", None, " a ", "word " * 3000]
+    frame = spark.createDataFrame(list(enumerate(texts)), "id long, t string")
+    least = {n: k for n, (_, k) in perturb.EDITS.items()}
+    for name in perturb.EDITS:
+        got = {r.id: r.x for r in frame.select("id", perturb.perturbed(name, F.col("t"), F.col("id"), 0.7).alias("x")).collect()}
+        for i, text in enumerate(texts):
+            if text is None:
+                assert got[i] is None
+                continue
+            words = text.split()
+            for at, w in enumerate(words):
+                digest = hashlib.md5(f"42|{i}|{at}".encode()).hexdigest()
+                u, r, q = (int(digest[k : k + 8], 16) / 2**32 for k in (0, 8, 16))
+                if len(w) >= least[name] and u < 0.7:
+                    words[at] = plain_edit(name, w, r, q)
+            assert got[i] == " ".join(words)
