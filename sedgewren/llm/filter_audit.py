@@ -9,7 +9,7 @@ from math import factorial
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, fresh
+from .common import Scratch
 
 SPACE = r"\x20\x09-\x0D"
 LETTERS = "ABCDE"
@@ -33,21 +33,25 @@ def mask_counts(docs: DataFrame, labels: DataFrame, scratch: Scratch, id_col: st
     empty, a null part the empty string. A null id is neither smaller nor larger than another, so it does not fail E, and has no
     labels. Rows that repeat an id count each, and neither fails E for the other. Several labels of an id count as their greatest.
     """
-    doc, part, good, toxic, mask, key, first, owner = fresh([], 8)
     text = F.coalesce(F.col(text_col), F.lit(""))
     failing = quality_filters(text)
     bits = sum((F.when(failing[letter], 1 << bit).otherwise(0) for bit, letter in enumerate("ABCD")), F.lit(0))
-    rows = scratch.put(docs.select(F.col(id_col).alias(doc), F.coalesce(F.col(part_col).cast("string"), F.lit("")).alias(part), bits.alias(mask), F.unhex(F.sha2(text, 256)).alias(key)))
-    # A text of one row alone has nothing to be held against; counts and least ids combine before the shuffle.
-    least = rows.groupBy(key).agg(F.min(doc).alias(first), F.count("*").alias("n")).where(f"n > 1 AND {first} IS NOT NULL").drop("n")
-    known = labels.where(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias(owner)).agg(
-        F.max((F.coalesce("quality", F.lit(0)) == 1).cast("int")).alias(good), F.max((F.coalesce("toxic", F.lit(0)) == 1).cast("int")).alias(toxic)
-    ).where(f"{good} + {toxic} > 0")
-    late = F.when(F.col(doc) > F.col(first), 16).otherwise(0)
-    joined = rows.join(least, key, "left").withColumn(mask, F.col(mask) + late).join(known, F.col(doc) == F.col(owner), "left")
-    return joined.groupBy(F.col(part).alias("part"), F.col(mask).alias("mask")).agg(
-        F.count("*").alias("n"), F.sum(F.coalesce(good, F.lit(0))).cast("long").alias("good"), F.sum(F.coalesce(toxic, F.lit(0))).cast("long").alias("toxic")
-    )
+    part = F.coalesce(F.col(part_col).cast("string"), F.lit(""))
+    rows = scratch.put(docs.select(F.col(id_col).alias("doc"), part.alias("part"), bits.alias("mask"), F.unhex(F.sha2(text, 256)).alias("key")))
+    flag = lambda c: F.max((F.coalesce(c, F.lit(0)) == 1).cast("int"))
+    known = labels.where(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("doc")).agg(flag("quality").alias("good"), flag("toxic").alias("toxic"))
+    one = ["part", "mask", "key", "good", "toxic"]
+    # Rows that repeat become one with their number; ids are alike in their partitioning, so this takes the labels' shuffle.
+    labelled = rows.where("doc IS NOT NULL").join(known.where("good + toxic > 0"), "doc", "left").fillna(0, ["good", "toxic"]).groupBy("doc", *one).agg(F.count("*").alias("c"))
+    # Copies of a text combine before they are shuffled: a row for each part and label of a text, with the number of its first id's rows.
+    kinds = labelled.groupBy(*one).agg(F.sum("c").alias("n"), F.min(F.struct("doc", "c")).alias("first"))
+    kinds = scratch.put(kinds.select(*one, "n", F.col("first.doc").alias("doc"), F.col("first.c").alias("c")))
+    least = kinds.groupBy("key").agg(F.min("doc").alias("least"))
+    kept = F.when(F.col("doc") == F.col("least"), F.col("c")).otherwise(0)
+    split = kinds.join(least, "key").select("part", "good", "toxic", F.explode(F.array(F.struct("mask", kept.alias("n")), F.struct((F.col("mask") + 16).alias("mask"), (F.col("n") - kept).alias("n")))).alias("s"))
+    nameless = rows.where("doc IS NULL").groupBy("part", "mask").agg(F.count("*").alias("n")).select("part", "mask", "n", F.lit(0).alias("good"), F.lit(0).alias("toxic"))
+    counted = split.select("part", "s.mask", "s.n", "good", "toxic").where("n > 0").unionByName(nameless)
+    return counted.groupBy("part", "mask").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("good")).alias("good"), F.sum(F.col("n") * F.col("toxic")).alias("toxic"))
 
 
 def _pass(counts: str, bit: int) -> Column:
