@@ -6,14 +6,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def running(frame: DataFrame, key: str, sums: dict[str, str], descending: bool = False, buckets: int = 64, by: tuple[str, ...] = ()) -> DataFrame:
+def running(frame: DataFrame, key: str, sums: dict[str, str], descending: bool = False, buckets: int | None = None, by: tuple[str, ...] = ()) -> DataFrame:
     """Adds ``name``: the sum of column ``sums[name]`` over rows up to this one in the order of ``key``.
 
     ``frame`` has one row for each key and group ``by`` (counts by distinct score, say). Keys are cut into
     buckets of about as many rows each at approximate quantiles, so an outlier takes no room from others; totals
     of whole buckets are summed over a table of at most ``buckets`` rows a group, and rows are only ordered within
-    their bucket, so no task holds all.
+    their bucket, so no task holds all. There are 64 buckets, or as many as the session has shuffle partitions.
     """
+    buckets = buckets or max(64, int(frame.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     shares = F.expr("array(" + ", ".join(f"{i / buckets}D" for i in range(1, buckets)) + ")")
     bounds = frame.groupBy(*by).agg(F.percentile_approx(key, shares, 20 * buckets).alias("_cuts"))
     # Without groups the bounds are one row; either way the plan's second use of ``frame`` reuses its shuffle.

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import approx
 from ..functions import text as T
 from ..session import settled
+from . import names
 from .dedup import exact_dedup, greedy_near_dedup
 
 GONE = ("[deleted]", "[removed]", "")
@@ -28,12 +31,21 @@ def known_author(author: Column) -> Column:
     return author.isNotNull() & ~F.lower(author).isin("[deleted]", "[removed]", "automoderator", "")
 
 
-def preprocess(posts: DataFrame, least_chars: int = 50, language: str | None = "en", near: int = -1) -> DataFrame:
-    """Adds clean_text, lang and author_hash, drops author. Cheap filters come before Python and shuffles; ``near`` is the Hamming distance of near-dedup (-1: exact only)."""
+def preprocess(posts: DataFrame, least_chars: int = 50, language: str | None = "en", near: int = -1, detector: Callable[[Column], Column] | None = None, tagger: names.Tagger | None = None) -> DataFrame:
+    """Adds clean_text, lang and author_hash, drops author. Cheap filters come before Python and shuffles; ``near`` is the Hamming distance of near-dedup (-1: exact only).
+
+    ``detector`` is a function from a text to its language (``language.language_by_profile`` with fitted profiles, say); without it
+    frequent words decide. ``tagger`` finds names, which become their kind.
+    """
     kept = T.once(posts.where(present(F.col("body"))), clean_text=T.clean_text(F.col("title"), F.col("body"))).where(F.length("clean_text") >= least_chars)
-    kept = T.once(T.once(kept, _words=T.tokens(F.col("clean_text"))), lang=approx.language_of(F.col("_words"))).drop("_words")
+    if detector is None:
+        kept = T.once(T.once(kept, _words=T.tokens(F.col("clean_text"))), lang=approx.language_of(F.col("_words"))).drop("_words")
+    else:
+        kept = T.once(kept, lang=detector(F.col("clean_text")))
     if language:
         kept = kept.where(F.col("lang") == language)
     kept = T.once(kept, clean_text=T.redact(F.col("clean_text")), author_hash=T.pseudonym(F.col("author"))).drop("author")
+    if tagger is not None:
+        kept = T.once(kept, clean_text=names.redact_names(F.col("clean_text"), tagger))
     first = exact_dedup(settled(kept), "clean_text", "id")
     return first if near < 0 else greedy_near_dedup(first, "id", "subreddit", "clean_text", near)

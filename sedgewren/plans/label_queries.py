@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import approx
 from ..functions import text as T
-from ..operators import audit, cohort, dedup, labels, splits, threads
+from ..operators import audit, cohort, dedup, labels, language, names, splits, threads
 from ..operators.preprocess import preprocess
 from ..schemas import TARGETS
 from ..sources import corpora, files
@@ -368,6 +368,16 @@ def preprocess_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return preprocess(raw, near=5).select("id", "subreddit", "lang", "author_hash", F.md5("clean_text").alias("digest"))
 
 
+@register("preprocess_full")
+def preprocess_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With languages by profiles that were fitted on this table, and names by the default labeller."""
+    d = table(spark, sf_dir, "documents")
+    profiles = language.fit_profiles(d, "doc_id", "text", "lang")
+    raw = d.select(F.col("doc_id").alias("id"), F.col("source").alias("subreddit"), F.lit("").alias("title"), F.col("text").alias("body"), (F.col("doc_id") % 50).cast("string").alias("author"))
+    done = preprocess(raw, near=5, detector=lambda t: language.language_by_profile(t, profiles), tagger=names.default_tagger())
+    return done.select("id", "subreddit", "lang", "author_hash", F.md5("clean_text").alias("digest"))
+
+
 @register("synthetic_posts")
 def synthetic_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
     bank = {"anxiety": ("I can't stop worrying.", "My heart is racing."), "depression": ("Everything feels pointless.",), "neutral": ("Today was a regular day.", "I moved to a new city.")}

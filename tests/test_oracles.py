@@ -35,7 +35,7 @@ def test_equals_sql(spark, duck, name):
     assert canonical(frame.columns, [tuple(r) for r in frame.collect()]) == expected
 
 
-@pytest.mark.parametrize("name", ["near_dedup_greedy", "dawid_skene", "temperature_fit", "preprocess", "synthetic_posts", "perturbations", "full_report", "forest_scores"])
+@pytest.mark.parametrize("name", ["preprocess_full", "synthetic_posts", "full_report", "forest_scores", "extra_trees_scores", "gbt_early_scores", "names_redacted", "community_classifier"])
 def test_runs(spark, name):
     QUERIES[name](spark, SF).count()
 
