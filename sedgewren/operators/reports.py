@@ -95,7 +95,7 @@ def assemble(keys: DataFrame, parts: Sequence[DataFrame], key: str, fill: float
     return out.fillna(fill)
 
 
-def full_report(frame: DataFrame, key: str, y: str = "y", score: str = "score", threshold: float | None = None, draws: int = 200, alpha: float = 0.05, seed: int = 42) -> DataFrame:
+def full_report(frame: DataFrame, key: str, y: str = "y", score: str = "score", threshold: float | None = None, draws: int = 500, alpha: float = 0.05, seed: int = 42) -> DataFrame:
     """One row: metrics at a threshold (that of greatest F1 if none is given), areas, calibration error, and percentile intervals of F1 and both areas."""
     if threshold is None:
         best = metrics.best_threshold(frame, y, score).first()

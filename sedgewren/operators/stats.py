@@ -121,17 +121,22 @@ def delong_test(frame: DataFrame, y: str, scores: tuple[str, str]) -> dict[str,
     return {"auc_a": r["auc_a"], "auc_b": r["auc_b"], "z": z, "p": math.erfc(abs(z) / math.sqrt(2))}
 
 
-def poisson_weight(key: Column, draw: Column, seed: int) -> Column:
-    """A Poisson(1) weight from a hash, so that a resample does not depend on partitions."""
-    u = (F.pmod(F.xxhash64(key, draw, F.lit(seed)), F.lit(1 << 40)) + 0.5) / float(1 << 40)
-    out, total, term = F.lit(0), 0.0, math.exp(-1)
-    for k in range(12):
+def poisson_bounds(most: int = 12) -> list[str]:
+    """Ten hexadecimal digits that a draw must reach to count 1, 2, ... times."""
+    total, term, out = 0.0, math.exp(-1), []
+    for k in range(most):
         total += term
-        out = F.when(u >= total, k + 1).otherwise(out) if k else F.when(u >= total, 1).otherwise(0)
         term /= k + 1
+        out.append(f"{min((1 << 40) - 1, round(total * (1 << 40))):010x}")
     return out
 
 
+def poisson_weight(key: Column, draw: Column, seed: int) -> Column:
+    """A Poisson(1) weight from an md5 of seed, row and draw, so that a resample does not depend on partitions."""
+    digits = F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), key.cast("string"), draw.cast("string"))), 1, 10)
+    return F.size(F.filter(F.lit(poisson_bounds()), lambda bound: digits >= bound))
+
+
 def resampled(frame: DataFrame, key: str, draws: int, seed: int = 42) -> DataFrame:
     """The rows of each Poisson resample, with its number as ``draw``; a row that is drawn twice stands there twice."""
     drawn = frame.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws))))
@@ -139,7 +144,7 @@ def resampled(frame: DataFrame, key: str, draws: int, seed: int = 42) -> DataFra
     return drawn.withColumn("_w", weight).where("_w > 0").withColumn("_w", F.explode(F.sequence(F.lit(1), F.col("_w")))).drop("_w")
 
 
-def bootstrap_f1(frame: DataFrame, key: str, y: str, pred: str, draws: int = 200, alpha: float = 0.05, seed: int = 42) -> DataFrame:
+def bootstrap_f1(frame: DataFrame, key: str, y: str, pred: str, draws: int = 500, alpha: float = 0.05, seed: int = 42) -> DataFrame:
     """Percentile interval of F1 by a Poisson bootstrap: each draw's counts are partial sums, nothing is collected."""
     wide = frame.select(F.col(key).alias("k"), F.col(y).alias("y"), F.col(pred).alias("p"), F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("draw"))
     w = poisson_weight(F.col("k"), F.col("draw"), seed)
@@ -149,7 +154,7 @@ def bootstrap_f1(frame: DataFrame, key: str, y: str, pred: str, draws: int = 200
     return sums.select(f1.alias("f1")).agg(F.lit(own).alias("point"), F.expr(f"percentile(f1, {alpha / 2}D)").alias("lo"), F.expr(f"percentile(f1, {1 - alpha / 2}D)").alias("hi"))
 
 
-def paired_bootstrap(frame: DataFrame, key: str, y: str, a: str, b: str, draws: int = 500, seed: int = 42) -> DataFrame:
+def paired_bootstrap(frame: DataFrame, key: str, y: str, a: str, b: str, draws: int = 2000, seed: int = 42) -> DataFrame:
     """Interval and two-sided p of the difference in accuracy of two models over the same resampled rows."""
     wide = frame.select(F.col(key).alias("k"), ((F.col(a) == F.col(y)).cast("int") - (F.col(b) == F.col(y)).cast("int")).alias("d"), F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("draw"))
     w = poisson_weight(F.col("k"), F.col("draw"), seed)

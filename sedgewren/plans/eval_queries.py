@@ -415,12 +415,20 @@ def temperature_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(metrics.calibration_error(rows).join(after).withColumn("temperature", F.lit(t)))
 
 
-@register("bootstrap_ci")
+def drawn_sql(draws: int, seed: int = 42) -> str:
+    """Labelled rows by draw, each with its weight."""
+    digits = f"substr(md5('{seed}|' || doc_id || '|' || draw), 1, 10)"
+    return f"drawn AS (SELECT *, " + " + ".join(f"CAST({digits} >= '{b}' AS BIGINT)" for b in stats.poisson_bounds()) + f" AS w FROM labelled, range(1, {draws + 1}) AS r(draw))"
+
+
+@register("bootstrap_ci", f"""WITH {LABELLED}, {drawn_sql(500)}, f AS (SELECT draw, coalesce(2.0::DOUBLE * sum(w) FILTER (y = 1 AND pred = 1) / nullif(2 * coalesce(sum(w) FILTER (y = 1 AND pred = 1), 0) + coalesce(sum(w) FILTER (y = 0 AND pred = 1), 0) + coalesce(sum(w) FILTER (y = 1 AND pred = 0), 0), 0), 0) AS f1 FROM drawn GROUP BY draw)
+SELECT (SELECT round(coalesce(2.0::DOUBLE * count(*) FILTER (y = 1 AND pred = 1) / nullif(sum(y) + sum(pred), 0), 0), 6) FROM labelled) AS point, round(quantile_cont(f1, 0.025), 6) AS lo, round(quantile_cont(f1, 0.975), 6) AS hi FROM f""")
 def bootstrap_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(stats.bootstrap_f1(labelled(spark, sf_dir), "doc_id", "y", "pred"))
 
 
-@register("paired_bootstrap")
+@register("paired_bootstrap", f"""WITH {LABELLED}, {drawn_sql(2000)}, e AS (SELECT draw, CAST(sum((CAST(pred = y AS BIGINT) - CAST(pred_b = y AS BIGINT)) * w) AS DOUBLE) / nullif(sum(w), 0) AS delta FROM drawn GROUP BY draw)
+SELECT round(avg(delta), 6) AS delta, round(quantile_cont(delta, 0.025), 6) AS lo, round(quantile_cont(delta, 0.975), 6) AS hi, round(least(1, 2 * least(avg(CASE WHEN delta <= 0 THEN 1 ELSE 0 END), avg(CASE WHEN delta >= 0 THEN 1 ELSE 0 END))), 6) AS p FROM e""")
 def paired_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(stats.paired_bootstrap(labelled(spark, sf_dir), "doc_id", "y", "pred", "pred_b"))
 

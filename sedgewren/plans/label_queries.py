@@ -378,19 +378,41 @@ def preprocess_full(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("id", "subreddit", "lang", "author_hash", F.md5("clean_text").alias("digest"))
 
 
-@register("synthetic_posts")
+BANK = {"anxiety": ("I can't stop worrying.", "My heart is racing."), "depression": ("Everything feels pointless.",), "neutral": ("Today was a regular day.", "I moved to a new city.")}
+
+
+def synthetic_sql(posts_each: int = 20, seed: int = 42, now: float = 1735689600.0) -> str:
+    """A profile for each source from its labels; sentences of each kind are drawn by hashes."""
+    u = lambda *parts: f"(CAST('0x' || substr(md5('{seed}|' || name || '|' || i" + "".join(f" || '|' || {x}" for x in parts) + "), 1, 8) AS BIGINT) / 4294967296.0::DOUBLE)"
+    pick = lambda kind: f"[{', '.join(chr(39) + t.replace(chr(39), chr(39) * 2) + chr(39) for t in BANK[kind])}][CAST(floor({u(repr('pick'), 'j')} * {len(BANK[kind])}) AS INT) + 1]"
+    sentence = f"CASE WHEN {u(repr('kind'), 'j')} < anxiety THEN {pick('anxiety')} WHEN {u(repr('kind'), 'j')} < anxiety + depression THEN {pick('depression')} ELSE {pick('neutral')} END"
+    return f"""
+WITH {POSTS}, c AS (SELECT source AS name, coalesce(avg(CAST(toxic AS DOUBLE)), 0) AS anxiety, coalesce(avg(1 - CAST(quality AS DOUBLE)), 0) AS depression FROM posts WHERE source IS NOT NULL GROUP BY source),
+r AS (SELECT c.*, i FROM c, range(0, {posts_each}) AS x(i)),
+b AS (SELECT *, array_to_string(list_transform(range(1, CAST(3 + floor({u(repr('n'))} * 6) AS INT) + 1), lambda j: {sentence}), ' ') AS body FROM r)
+SELECT 'syn_' || name || '_' || lpad(CAST(i AS VARCHAR), 5, '0') AS id, name AS subreddit, {now}::DOUBLE - floor({u(repr('t'))} * 94608000) AS created_utc, substr(split_part(body, '.', 1), 1, 80) AS title, body,
+       'user_' || CAST(1000 + floor({u(repr('author'))} * 9000) AS BIGINT) AS author, CAST(floor({u(repr('score'))} * 1001) AS BIGINT) AS score, CAST(floor({u(repr('comments'))} * 201) AS BIGINT) AS num_comments FROM b"""
+
+
+@register("synthetic_posts", synthetic_sql())
 def synthetic_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    bank = {"anxiety": ("I can't stop worrying.", "My heart is racing."), "depression": ("Everything feels pointless.",), "neutral": ("Today was a regular day.", "I moved to a new city.")}
-    return corpora.synthetic_posts(spark, spark.createDataFrame([("alpha", 0.5, 0.1), ("beta", 0.1, 0.6)], "name string, anxiety double, depression double"), bank, 20)
-
-
-@register("flagship", f"""WITH {PRIOR_SQL}, {SCORES_SQL}, {POSTS},
-first AS (SELECT doc_id FROM (SELECT doc_id, row_number() OVER (PARTITION BY {DIGEST} ORDER BY doc_id) AS n FROM documents) WHERE n = 1),
-lab AS (SELECT p.doc_id, p.source, w.weak_anxiety AS s, CASE WHEN p.quality IS NOT NULL THEN p.quality WHEN p.toxic = 1 THEN 1 ELSE w.weak_anxiety END AS label FROM posts p JOIN weak w ON p.doc_id = w.doc_id JOIN first f ON p.doc_id = f.doc_id)
-SELECT source, count(*) AS n, round(avg(CASE WHEN label >= 0.5 THEN 1 ELSE 0 END), 6) AS positive_rate, round(avg(s), 6) AS mean_score FROM lab GROUP BY source""")
-def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Weak labels, label precedence, exact dedup, and rates by source, end to end."""
-    once = dedup.exact_dedup(posts(spark, sf_dir), "text", "doc_id")
-    weak = labels.weak_labels(once, priors(spark), "text", "source", PROBE)
-    full = labels.aggregate_labels(weak.withColumns({"manual_anxiety": F.col("quality"), "disclosure_anxiety": F.col("toxic")}), "anxiety")
-    return rounded(full.groupBy("source").agg(F.count("*").alias("n"), F.avg((F.col("label_anxiety") >= 0.5).cast("double")).alias("positive_rate"), F.avg("weak_anxiety").alias("mean_score")).orderBy("source"))
+    """Posts in the number and by the profiles of the documents' sources."""
+    share = lambda c: F.coalesce(F.avg(c.cast("double")), F.lit(0.0))
+    profiles = posts(spark, sf_dir).where("source is not null").groupBy(F.col("source").alias("name")).agg(share(F.col("toxic")).alias("anxiety"), share(1 - F.col("quality")).alias("depression"))
+    made = corpora.synthetic_posts(spark, profiles, BANK, 20)
+    return made.select("id", "subreddit", "created_utc", "title", "body", "author", "score", "num_comments")
+
+
+@register("audit_markdown", f"WITH {POSTS}, c AS (SELECT lang, count(*) AS n, CAST(coalesce(sum(toxic), 0) AS BIGINT) AS toxic FROM posts GROUP BY lang) SELECT place, line FROM (SELECT 1 AS place, '# Corpus' AS line UNION ALL SELECT 2, '' UNION ALL SELECT 3, '## Languages' UNION ALL SELECT 4, '' UNION ALL SELECT 5, '| lang | n | toxic |' UNION ALL SELECT 6, '|---|---|---|' UNION ALL SELECT 6 + row_number() OVER (ORDER BY lang), '| ' || coalesce(lang, 'None') || ' | ' || n || ' | ' || toxic || ' |' FROM c UNION ALL SELECT 7 + (SELECT count(*) FROM c), '')")
+def audit_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A report's lines: the languages and their labels."""
+    figures = posts(spark, sf_dir).groupBy("lang").agg(F.count("*").alias("n"), F.sum(F.coalesce("toxic", F.lit(0))).alias("toxic")).orderBy("lang")
+    return spark.createDataFrame(list(enumerate(audit.markdown("Corpus", {"Languages": figures}).split("\n"), 1)), "place long, line string")
+
+
+@register("cache_keys", """SELECT o_orderkey, sha256('{"o_custkey":' || o_custkey || ',"o_orderstatus":"' || o_orderstatus || '"}') AS cache_key FROM orders WHERE o_orderstatus <> 'F'""")
+def cache_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders whose key is not among the answers that are kept already: those of status F."""
+    keyed = table(spark, sf_dir, "orders").withColumn("cache_key", files.cache_key("o_custkey", "o_orderstatus"))
+    answers = keyed.where("o_orderstatus = 'F'").select("cache_key")
+    return files.not_yet_done(keyed, answers, ["cache_key"]).select("o_orderkey", "cache_key")

@@ -113,7 +113,7 @@ def permutation_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("full_report")
 def full_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(reports.full_report(labelled(spark, sf_dir), "doc_id", draws=500))
+    return rounded(reports.full_report(labelled(spark, sf_dir), "doc_id"))
 
 
 AGREED = "SELECT '{0}' AS model, '{1}' AS target, '{2}' AS metric, round({3}, 6) AS value FROM labelled"
