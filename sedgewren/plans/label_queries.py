@@ -5,15 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import approx
 from ..functions import text as T
 from ..operators import audit, cohort, dedup, labels, language, names, splits, threads
 from ..operators.preprocess import preprocess
 from ..schemas import TARGETS
 from ..sources import corpora, files
-from .adapters import LABELLED, POSTS, PRIORS, PROBE, STREAM, TOKENS, hits, labelled, per_hundred, phrases, posts, priors, rounded, stream, words
+from .adapters import LABELLED, POSTS, PRIORS, PROBE, STREAM, TOKENS, hits, labelled, per_hundred, phrases, posts, priors, rounded, stream
 from .catalog import register, table
-from .text_queries import REDACT
+from .text_queries import REDACT, language_sql
 
 PRIOR_SQL = "priors(name, p1, p2, p3, p4) AS (VALUES " + ", ".join(str((n.lower(), *v)) for n, *v in PRIORS) + ")"
 SCORES_SQL = f"""t AS (SELECT doc_id, source, text, {TOKENS} AS toks FROM documents), n AS (SELECT *, greatest(1, len(toks)) AS n FROM t),
@@ -343,12 +342,6 @@ def clean_sql(text: str) -> str:
     return t
 
 
-def language_sql(toks: str) -> str:
-    n = {code: f"len(list_filter({toks}, lambda x: list_contains({words(sorted(set(stop)))}, x)))" for code, stop in approx.STOP_WORDS.items()}
-    most = f"greatest({', '.join(n.values())})"
-    return "CASE " + " ".join(f"WHEN {n[c]} = {most} THEN '{c}'" for c in ("en", *sorted(set(n) - {"en"}, reverse=True))) + " END"
-
-
 def preprocess_sql() -> str:
     """Clean, filter, redact, pseudonymise; of equal texts the first, then the greedy pass over signatures."""
     return f"""

@@ -11,7 +11,7 @@ from ..streaming import events as E
 from ..session import stored
 from .adapters import LABELLED, labelled, posts, rounded
 from .catalog import register
-from .eval_queries import featured
+from .eval_queries import BEST, drawn_sql, featured
 
 
 def kept_features(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[str]]:
@@ -111,7 +111,29 @@ def permutation_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(models.permutation_importances(rows, fitted, "doc_id", names))
 
 
-@register("full_report")
+def full_report_sql(draws: int = 500) -> str:
+    """Sweeps over the scores of the whole table and of each draw; the threshold is that of greatest F1 on the whole."""
+    sweep = lambda rows, by: f"(SELECT *, sum(pos) OVER ({by} ORDER BY score DESC) AS tp, sum(neg) OVER ({by} ORDER BY score DESC) AS fp, sum(neg) OVER ({by} ORDER BY score) AS below, sum(pos) OVER ({by}) AS all_pos, sum(neg) OVER ({by}) AS all_neg FROM {rows})"
+    areas = "sum(pos * (below - neg / 2)) / nullif(any_value(all_pos) * any_value(all_neg), 0) AS auroc, sum(coalesce(pos / nullif(all_pos, 0), 0) * coalesce(tp / nullif(tp + fp, 0), 0)) AS auprc"
+    f1 = "coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0)"
+    counts = "coalesce(sum(n) FILTER (y = 1 AND score >= t), 0) AS tp, coalesce(sum(n) FILTER (y = 0 AND score >= t), 0) AS fp, coalesce(sum(n) FILTER (y = 1 AND score < t), 0) AS fn, coalesce(sum(n) FILTER (y = 0 AND score < t), 0) AS tn"
+    limits = ", ".join(f"round(quantile_cont({m}, {q}), 6) AS {m}_ci_{side}" for m in ("f1", "auroc", "auprc") for side, q in (("lo", 0.025), ("hi", 0.975)))
+    return f"""
+WITH {LABELLED}, {drawn_sql(draws)},
+whole AS MATERIALIZED (SELECT score, sum(y) AS pos, sum(1 - y) AS neg FROM labelled GROUP BY score),
+parts AS MATERIALIZED (SELECT draw, score, sum(w * y) AS pos, sum(w * (1 - y)) AS neg FROM drawn WHERE w > 0 GROUP BY draw, score),
+best AS (SELECT score AS t FROM {sweep("whole", "")} ORDER BY round({BEST}, 12) DESC, score LIMIT 1),
+m AS (SELECT *, (SELECT avg(pow(score - y, 2)) FROM labelled) AS brier FROM (SELECT {counts} FROM (SELECT score, y, 1 AS n FROM labelled), best)),
+a AS (SELECT {areas} FROM {sweep("whole", "")}),
+d AS (SELECT draw, {areas} FROM {sweep("parts", "PARTITION BY draw")} GROUP BY draw),
+f AS (SELECT draw, {f1} AS f1 FROM (SELECT draw, {counts} FROM (SELECT draw, score, y, w AS n FROM drawn WHERE w > 0), best GROUP BY draw)),
+l AS (SELECT {limits} FROM d JOIN f USING (draw)),
+e AS (SELECT sum(n * abs(observed - predicted)) / sum(n) AS ece FROM (SELECT count(*) AS n, avg(CAST(y AS DOUBLE)) AS observed, avg(score) AS predicted FROM labelled GROUP BY least(floor(score * 10), 9)))
+SELECT round((tp + tn) / (tp + fp + fn + tn), 6) AS accuracy, round(coalesce(tp / nullif(tp + fp, 0), 0), 6) AS precision, round(coalesce(tp / nullif(tp + fn, 0), 0), 6) AS recall, round({f1}, 6) AS f1, round(brier, 6) AS brier, CAST(tp + fn AS BIGINT) AS support_pos, CAST(fp + tn AS BIGINT) AS support_neg,
+       round(t, 6) AS threshold, round(auroc, 6) AS auroc, round(auprc, 6) AS auprc, round(ece, 6) AS ece, l.* FROM m, best, a, e, l"""
+
+
+@register("full_report", full_report_sql())
 def full_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(reports.full_report(labelled(spark, sf_dir), "doc_id"))
 

@@ -10,7 +10,7 @@ from ..functions import text as T
 from ..functions.lexicons import DIMENSIONS
 from ..operators import language, names, splits
 from ..operators import sentiment as S
-from .adapters import PROBE, TOKENS, hits, per_hundred, phrases, posts, rounded
+from .adapters import PROBE, TOKENS, hits, per_hundred, phrases, posts, rounded, words
 from .catalog import register, table
 
 
@@ -151,16 +151,31 @@ def answer_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.select("id", T.verdict(F.col("t")).cast("long").alias("verdict"), F.from_json(T.first_object(F.col("t")), "label long")["label"].alias("label"), T.slug(F.col("t")).alias("slug"))
 
 
-@register("language_approx")
+def language_sql(toks: str) -> str:
+    n = {code: f"len(list_filter({toks}, lambda x: list_contains({words(sorted(set(stop)))}, x)))" for code, stop in approx.STOP_WORDS.items()}
+    most = f"greatest({', '.join(n.values())})"
+    return "CASE " + " ".join(f"WHEN {n[c]} = {most} THEN '{c}'" for c in ("en", *sorted(set(n) - {"en"}, reverse=True))) + " END"
+
+
+@register("language_approx", f"SELECT lang, found, count(*) AS n FROM (SELECT lang, {language_sql('toks')} AS found FROM (SELECT lang, {TOKENS} AS toks FROM documents)) GROUP BY lang, found")
 def language_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents").select("doc_id", "lang", approx.language_approx(F.col("text")).alias("found"))
     return d.groupBy("lang", "found").agg(F.count("*").alias("n"))
 
 
-@register("readability_approx")
+VOWELS = "len(regexp_extract_all(w, '[aeiouyäöüéèêáíóú]+'))"
+READABILITY_SQL = rf"""
+WITH t AS (SELECT doc_id, text, {TOKENS} AS toks, len(list_filter(regexp_split_to_array(regexp_replace(text, '^\s+|\s+$', '', 'g'), '[.!?]+\s+|\n+'), lambda s: regexp_replace(s, '^\s+|\s+$', '', 'g') <> '')) AS sents FROM documents),
+n AS (SELECT doc_id, text, len(toks) / greatest(1, sents) AS per_sentence, greatest(1, len(toks)) AS n, coalesce(list_sum(list_transform(toks, lambda w: greatest(1, {VOWELS}))), 0) AS syllables, len(list_filter(toks, lambda w: {VOWELS} >= 3)) AS hard FROM t)
+SELECT doc_id, CASE WHEN length(text) < 20 THEN 0 ELSE round(206.835::DOUBLE - 1.015::DOUBLE * per_sentence - 84.6::DOUBLE * (syllables / n), 4) END AS f_flesch_approx,
+       CASE WHEN length(text) < 20 THEN 0 ELSE round(0.4::DOUBLE * (per_sentence + 100::DOUBLE * (hard / n)), 4) END AS f_gunning_fog_approx,
+       0::DOUBLE AS f_sent_compound, 0::DOUBLE AS f_sent_pos, 0::DOUBLE AS f_sent_neg, 0::DOUBLE AS f_sent_neu FROM n"""
+
+
+@register("readability_approx", READABILITY_SQL)
 def readability_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     wide = table(spark, sf_dir, "documents").select("doc_id", "text", T.tokens(F.col("text")).alias("w"))
-    return rounded(wide.select("doc_id", *[c.alias(n) for n, c in T.feature_columns(F.col("text"), F.col("w"), PROBE, ("readability", "sentiment")).items()]))
+    return rounded(wide.select("doc_id", *[c.alias(n) for n, c in T.feature_columns(F.col("text"), F.col("w"), PROBE, ("readability", "sentiment")).items()]), 4)
 
 
 #: Letters n-gram by n-gram, with a space at both ends of a word; shares of the 3,000 most frequent ones of each language.
