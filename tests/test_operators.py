@@ -289,6 +289,29 @@ def test_greedy_rounds_equal_a_pass_in_order(spark):
     assert sorted(r.id for r in dedup.greedy_near_dedup(frame, "id", "community", "text").collect()) == kept and len(kept) < 150
 
 
+def test_greedy_pass_over_a_dense_group_lays_down_few_pairs(spark, monkeypatch):
+    rng = random.Random(4)
+    base = [f"w{i}" for i in range(400)]
+    rows = [(i, "c", " ".join(w if rng.random() > 0.02 else f"x{rng.randrange(99)}" for w in base)) for i in range(400)]
+    frame, most, stored = spark.createDataFrame(rows, "id long, c string, t string"), [], dedup.stored
+
+    def counted(table):
+        out = stored(table)
+        most.append(out.count())
+        return out
+
+    monkeypatch.setattr(dedup, "stored", counted)
+    monkeypatch.setattr(dedup, "FIRST_BLOCK", 8, raising=False)
+    sigs = {i: dedup.token_signature(t, {}) for i, _, t in rows}
+    near = lambda i, j: ((sigs[i] ^ sigs[j]) & (1 << 64) - 1).bit_count() <= 5
+    kept = []
+    for i in sorted(sigs):
+        if not any(near(i, j) for j in kept):
+            kept.append(i)
+    assert sorted(r.id for r in dedup.greedy_near_dedup(frame, "id", "c", "t").collect()) == kept
+    assert max(most) < 0.1 * sum(near(i, j) for i in sigs for j in sigs if i < j)
+
+
 def test_running_sums_with_an_outlier(spark):
     from sedgewren.operators.ordered import running
 
