@@ -320,3 +320,24 @@ def test_running_sums_with_an_outlier(spark):
     assert got == {float(i): i * (i + 1) // 2 for i in range(500)} | {1e18: 499 * 250 + 7}
     down = {r.k: r.upto for r in running(frame, "k", {"upto": "n"}, descending=True, buckets=16).collect()}
     assert down[499.0] == 7 + 499 and down[0.0] == 499 * 250 + 7
+
+
+def test_drawn_sums_equal_weights_row_by_row(spark):
+    rows = [(i, i % 2 if i % 7 else None, (i % 5) / 4 if i % 11 else None) for i in range(200)] + [(None, 1, 0.5), (7 * 10**17, 1, 0.25)]
+    frame = spark.createDataFrame(rows, "id long, y int, s double").repartition(3)
+    wide = frame.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(25)))).withColumn("w", stats.poisson_weight(F.col("id"), F.col("draw"), 42))
+    for by in ((), ("s",)):
+        want = wide.groupBy("draw", *by).agg(F.sum("w").alias("n"), F.sum(F.col("y") * F.col("w")).alias("y"))
+        want = want.where("n > 0") if by else want
+        got = stats.drawn_sums(frame, "id", ["y"], 25, by=by[0] if by else None)
+        plain = lambda rows: sorted((tuple(r) for r in rows), key=str)
+        mine, theirs = plain(got.select("draw", *by, "n", F.coalesce("y", F.lit(0))).collect()), plain(want.select("draw", *by, "n", F.coalesce("y", F.lit(0))).collect())
+        assert mine == theirs
+
+
+def test_resampled_curves_pass_through_counts(spark):
+    counted = spark.createDataFrame([(1, 0.9, 3, 1), (1, 0.4, 1, 2)], "draw int, score double, _pos long, _neg long")
+    rows = [(1, int(k == "_pos"), r.score) for r in counted.collect() for k in ("_pos", "_neg") for _ in range(r[k])]
+    each = spark.createDataFrame(rows, "draw int, y int, score double")
+    for area in (metrics.auroc, metrics.auprc):
+        assert area(counted, by=("draw",)).first()[1] == pytest.approx(area(each, by=("draw",)).first()[1])
