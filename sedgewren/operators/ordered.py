@@ -31,7 +31,10 @@ def running(frame: DataFrame, key: str, sums: dict[str, str], descending: bool =
 
 
 def by_score(frame: DataFrame, y: Column, score: Column, by: tuple[str, ...] = ()) -> DataFrame:
-    """Positive and negative rows of each distinct score: what curves and ranks need, after partial sums."""
+    """Positive and negative rows of each distinct score: what curves and ranks need, after partial sums. A frame that has them
+    (columns _pos and _neg) passes as it is."""
+    if {"_pos", "_neg"} <= set(frame.columns):
+        return frame.select(*by, score.cast("double").alias("score"), F.col("_pos").alias("pos"), F.col("_neg").alias("neg"))
     return frame.select(*by, score.cast("double").alias("score"), y.cast("long").alias("_y")).groupBy(*by, "score").agg(F.sum("_y").alias("pos"), F.sum(1 - F.col("_y")).alias("neg"))
 
 

@@ -100,8 +100,12 @@ def full_report(frame: DataFrame, key: str, y: str = "y", score: str = "score",
     if threshold is None:
         best = metrics.best_threshold(frame, y, score).first()
         threshold = 0.5 if best is None or best["threshold"] is None else float(best["threshold"])
-    drawn, by = stats.resampled(frame.select(key, y, score), key, draws, seed), ("draw",)
-    each = metrics.basic_metrics(drawn, y, score, threshold, by).select("draw", "f1").join(metrics.auroc(drawn, y, score, by), "draw").join(metrics.auprc(drawn, y, score, by), "draw")
+    labels = frame.select(key, F.col(y).cast("long").alias("_pos"), (1 - F.col(y).cast("long")).alias("_neg"), F.col(score).alias("score"))
+    drawn, by = stored(stats.drawn_sums(labels, key, ["_pos", "_neg"], draws, seed, "score")), ("draw",)
+    over = F.col("score") >= threshold
+    part = lambda name, which: F.sum(F.when(which, F.col(name)).otherwise(0))
+    f1 = drawn.groupBy("draw").agg(metrics.f1_of(part("_pos", over), part("_neg", over), part("_pos", ~over)).alias("f1"))
+    each = f1.join(metrics.auroc(drawn, y, "score", by), "draw").join(metrics.auprc(drawn, y, "score", by), "draw")
     limits = each.agg(*[F.expr(f"percentile({m}, {p}D)").alias(f"{m}_ci_{side}") for m in ("f1", "auroc", "auprc") for side, p in (("lo", alpha / 2), ("hi", 1 - alpha / 2))])
     out = metrics.basic_metrics(frame, y, score, threshold).withColumn("threshold", F.lit(threshold))
     for part in (metrics.auroc(frame, y, score), metrics.auprc(frame, y, score), metrics.calibration_error(frame, y, score), limits):
