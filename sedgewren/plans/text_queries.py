@@ -275,7 +275,7 @@ def perturbed_sql(name: str, text: str = "text", key: str = "doc_id", p: float =
 @register("perturbations", "SELECT doc_id, " + ", ".join(f"md5({perturbed_sql(n)}) AS {n}" for n in perturb.PERTURBATIONS) + " FROM documents")
 def perturbations(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return d.select("doc_id", *[F.md5(perturb.perturbed(n, F.col("text"), F.col("doc_id"))).alias(n) for n in perturb.PERTURBATIONS])
+    return perturb.all_perturbed(d, "text", "doc_id").select("doc_id", *[F.md5(n).alias(n) for n in perturb.PERTURBATIONS])
 
 
 #: Frequent words with made-up valences, boosters and negations, in the place of a sentiment lexicon.

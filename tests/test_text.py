@@ -150,3 +150,13 @@ def test_edits_equal_plain_ones(spark):
                 if len(w) >= least[name] and u < 0.7:
                     words[at] = plain_edit(name, w, r, q)
             assert got[i] == " ".join(words)
+
+
+def test_all_forms_come_from_one_reading(spark):
+    """No row's text is cut into words or digested once for each form: the plan has one Python step, and forms equal single ones."""
+    frame = spark.createDataFrame([(1, "Hello wonderful world of letters"), (None, "some other words"), (3, None), (4, "")], "id long, t string")
+    both = perturb.all_perturbed(frame, "t", "id", 0.8)
+    assert both._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython") == 1
+    for name in perturb.PERTURBATIONS:
+        single = [r.x for r in frame.select(perturb.perturbed(name, F.col("t"), F.col("id"), 0.8).alias("x")).collect()]
+        assert [r[name] for r in both.collect()] == single
