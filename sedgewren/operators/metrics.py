@@ -140,8 +140,8 @@ def macro_f1(frame: DataFrame, group: str, y: str = "y", pred: str = "pred", min
     return confusion_by(frame, group, y, pred).where(F.col("n_pos") >= min_pos).agg(F.avg("f1").alias("macro_f1"), F.count("*").alias("n_groups"))
 
 
-def flip_rate(frame: DataFrame, a: str, b: str, score_a: str, score_b: str) -> DataFrame:
-    return frame.agg(F.avg((F.col(a) != F.col(b)).cast("double")).alias("flip_rate"), F.avg(F.abs(F.col(score_a) - F.col(score_b))).alias("mean_abs_drift"))
+def flip_rate(frame: DataFrame, a: str, b: str, score_a: str, score_b: str, by: tuple[str, ...] = ()) -> DataFrame:
+    return frame.groupBy(*by).agg(F.avg((F.col(a) != F.col(b)).cast("double")).alias("flip_rate"), F.avg(F.abs(F.col(score_a) - F.col(score_b))).alias("mean_abs_drift"))
 
 
 def class_f1(frame: DataFrame, y: str, pred: str) -> DataFrame:

@@ -11,7 +11,7 @@ from ..operators import early, metrics, models, splits, stats, users
 from ..operators import labels as L
 from ..streaming import events as E
 from ..session import stored
-from .adapters import LABELLED, PROBE, STREAM, TOKENS, hits, labelled, posts, rounded, stream
+from .adapters import LABELLED, PROBE, STREAM, TOKENS, hits, labelled, rounded, stream
 from .catalog import register, table
 from .text_queries import perturbed_sql
 
@@ -495,15 +495,16 @@ def flips_sql(name: str) -> str:
 @register("robustness_flips", " UNION ALL ".join(flips_sql(n) for n in perturb.PERTURBATIONS))
 def robustness_flips(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How often a lexicon decision flips when texts are perturbed."""
-    rows = posts(spark, sf_dir).select("doc_id", "text")
-    decide = lambda t: (T.token_hits(T.tokens(t), PROBE.anxiety_terms) / F.greatest(F.lit(1), F.size(T.tokens(t))))
-    out = None
-    for name in perturb.PERTURBATIONS:
-        both = rows.select(decide(F.col("text")).alias("a"), decide(perturb.perturbed(name, F.col("text"), F.col("doc_id"))).alias("b"))
-        both = both.withColumns({"pa": (F.col("a") >= 0.1).cast("int"), "pb": (F.col("b") >= 0.1).cast("int")})
-        part = metrics.flip_rate(both, "pa", "pb", "a", "b").withColumn("perturbation", F.lit(name))
-        out = part if out is None else out.unionByName(part)
-    return rounded(out)
+    rows = table(spark, sf_dir, "documents").select("doc_id", "text")
+    share = lambda w: T.token_hits(w, PROBE.anxiety_terms) / F.greatest(F.lit(1), F.size(w))
+    names = ("text", *perturb.PERTURBATIONS)
+    # Each form of a text is cut into words once; all decisions come out of one pass over the texts.
+    words = T.once(perturb.all_perturbed(rows, "text", "doc_id").select(*names), **{f"w_{n}": T.tokens(F.col(n)) for n in names})
+    scores = T.once(words.select(*[f"w_{n}" for n in names]), **{f"s_{n}": share(F.col(f"w_{n}")) for n in names})
+    forms = F.array(*[F.struct(F.lit(n).alias("perturbation"), F.col("s_text").alias("a"), F.col(f"s_{n}").alias("b")) for n in perturb.PERTURBATIONS])
+    both = scores.select(F.inline(forms)).withColumns({"pa": (F.col("a") >= 0.1).cast("int"), "pb": (F.col("b") >= 0.1).cast("int")})
+    named = spark.createDataFrame([(n,) for n in perturb.PERTURBATIONS], "perturbation string")  # without texts there is a row for each all the same
+    return rounded(named.join(metrics.flip_rate(both, "pa", "pb", "a", "b", ("perturbation",)), "perturbation", "left").select("flip_rate", "mean_abs_drift", "perturbation"))
 
 
 @register("embedding_centroid_cosine", "WITH x AS (SELECT vec_id, label, unnest(embedding) AS v, generate_subscripts(embedding, 1) AS i FROM embeddings), c AS (SELECT label, i, avg(CAST(v AS DOUBLE)) AS m FROM x GROUP BY label, i) SELECT vec_id, round(sum(v * m) / (sqrt(sum(CAST(v AS DOUBLE) * v)) * sqrt(sum(m * m))), 5) AS cosine FROM x JOIN c ON x.label = c.label AND x.i = c.i GROUP BY vec_id")
