@@ -341,3 +341,17 @@ def test_resampled_curves_pass_through_counts(spark):
     each = spark.createDataFrame(rows, "draw int, y int, score double")
     for area in (metrics.auroc, metrics.auprc):
         assert area(counted, by=("draw",)).first()[1] == pytest.approx(area(each, by=("draw",)).first()[1])
+
+
+def test_capped_sample_brings_few_rows_together(spark):
+    import hashlib
+
+    rows = [(i, None if i % 9 == 0 else "abc"[i % 3 and i % 2]) for i in range(6000)]
+    frame = spark.createDataFrame(rows, "id long, g string")
+    marked = frame.withColumn("_o", F.md5(F.concat_ws("|", F.lit("42"), F.col("id").cast("string"))))
+    assert max(r["count"] for r in audit.under_cut(marked, "g", "_o", 50).groupBy("g").count().collect()) < 60
+    want = set()
+    for g in {g for _, g in rows}:
+        want |= set(sorted((i for i, h in rows if h == g), key=lambda i: hashlib.md5(f"42|{i}".encode()).hexdigest())[:50])
+    got = audit.capped_sample(frame, "g", "id", 50)
+    assert {r.id for r in got.collect()} == want and got.columns == ["id", "g"]
