@@ -68,3 +68,13 @@ def test_readability(spark):
     assert tuple(got[0].s) == (11, 3)
     assert got[0].f_flesch == pytest.approx(206.835 - 1.015 * 2.5 - 84.6 * 11 / 5) and got[0].f_gunning_fog == pytest.approx(0.4 * (2.5 + 60))
     assert all((got[i].f_flesch, got[i].f_gunning_fog) == (0, 0) for i in (1, 2, 3))
+
+
+def test_the_decoder_finds_what_viterbi_finds():
+    tagger = names.default_tagger()
+    decoder, rng = names.Decoder(tagger), random.Random(2)
+    sentences = [w for w, _ in names.made_sentences(300, 7, True)] + [[], ["."], ["Ann"]]
+    mixed = [w for s in sentences for w in s]
+    sentences += [[rng.choice([*mixed, "É", "x,y", "9", "İ"]) for _ in range(rng.randrange(60))] for _ in range(200)]
+    assert all(decoder.tags(s) == names.viterbi(s, tagger) for s in sentences)
+    assert len(decoder.memo) < 5_000  # a word's own figures are worked out once
