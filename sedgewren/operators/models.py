@@ -9,15 +9,15 @@ from functools import reduce
 from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LinearSVC, LogisticRegression, RandomForestClassifier
-from pyspark.ml.feature import IDF, CountVectorizer, NGram, Normalizer, RegexTokenizer, SQLTransformer, VectorAssembler
+from pyspark.ml.feature import IDF, NGram, Normalizer, RegexTokenizer, SQLTransformer, VectorAssembler
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..session import write_apart
+from ..session import drop_stored, stored, write_apart
 from .coral import Coral
 from .metrics import auroc
 from .splits import folds, unit_hash
-from .stages import ClassWeights, ScoreColumns
+from .stages import ClassWeights, ScoreColumns, Vocabulary
 from .trees import ExtraTrees, HistogramBoost
 
 
@@ -27,11 +27,15 @@ def tfidf_stages(text: str, min_df: float = 5, max_df: float = 0.95, size: int =
         SQLTransformer(statement=f"SELECT *, translate(lower(coalesce({text}, '')), 'àâäáãçéèêëíîïñóôöõúùûü', 'aaaaaceeeeiiinoooouuuu') AS _t FROM __THIS__"),
         RegexTokenizer(inputCol="_t", outputCol="_w", pattern=r"(?U)\b\w\w+\b", gaps=False), NGram(n=2, inputCol="_w", outputCol="_p"),
         SQLTransformer(statement="SELECT *, concat(_w, _p) AS _terms FROM __THIS__"),
-        CountVectorizer(inputCol="_terms", outputCol="_tf", minDF=min_df, maxDF=max_df, vocabSize=size), IDF(inputCol="_tf", outputCol="_idf"), Normalizer(inputCol="_idf", outputCol="features"),
+        Vocabulary(inputCol="_terms", outputCol="_tf", minDF=float(min_df), maxDF=float(max_df), vocabSize=size), IDF(inputCol="_tf", outputCol="_idf"), Normalizer(inputCol="_idf", outputCol="features"),
         SQLTransformer(statement="SELECT * EXCEPT (_t, _w, _p, _terms, _tf, _idf) FROM __THIS__"),
     ]
 
 
+#: Columns of ``tfidf_stages`` before its counts.
+TEXT_COLUMNS = ("_t", "_w", "_p", "_terms")
+
+
 class Scorer:
     """fit, score and labels of a pyspark.ml pipeline; ``score`` adds score (of class 1) and pred. What is fitted is one PipelineModel, saved and loaded whole."""
 
@@ -44,7 +48,21 @@ class Scorer:
         return Pipeline(stages=[*([ClassWeights(labelCol=self.label)] if self.balance else []), *self.stages, ScoreColumns()])
 
     def fit(self, frame: DataFrame) -> Scorer:
-        self.model = self.pipeline().fit(frame.withColumn(self.label, F.col(self.label).cast("double")))
+        """Texts are cut into words twice: for the vocabulary, and for their counts, a written table that all later stages read."""
+        frame = frame.withColumn(self.label, F.col(self.label).cast("double"))
+        stages = self.pipeline().getStages()
+        words = next((i for i, s in enumerate(stages, 1) if isinstance(s, Vocabulary)), 0)
+        if not words:
+            self.model = Pipeline(stages=stages).fit(frame)
+            return self
+        first = Pipeline(stages=stages[:words]).fit(frame)
+        counted = first.transform(frame)
+        # Words and texts are no longer needed, but later stages name the columns.
+        empty = [F.lit(None).cast(f.dataType).alias(f.name) for f in counted.schema if f.name in TEXT_COLUMNS]
+        counts = stored(counted.select("_tf", self.label, *(["weight"] if self.balance else [])))
+        rest = Pipeline(stages=stages[words:]).fit(counts.select("*", *empty))
+        drop_stored(counts)
+        self.model = PipelineModel(stages=first.stages + rest.stages)
         return self
 
     def score(self, frame: DataFrame, threshold: float = 0.5) -> DataFrame:

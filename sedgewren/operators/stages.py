@@ -4,13 +4,16 @@ from __future__ import annotations
 
 from pyspark import keyword_only
 from pyspark.ml import Estimator, Model, Transformer
+from pyspark.ml.feature import CountVectorizerModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.param import Param, Params, TypeConverters
-from pyspark.ml.param.shared import HasLabelCol, HasWeightCol
+from pyspark.ml.param.shared import HasInputCol, HasLabelCol, HasOutputCol, HasWeightCol
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import drop_stored, stored
+
 
 class ClassWeights(Estimator, HasLabelCol, HasWeightCol, DefaultParamsReadable, DefaultParamsWritable):
     """Learns weights that give all classes the same sum; a weight column that is there already is multiplied."""
@@ -48,6 +51,35 @@ class ClassWeightsModel(Model, HasLabelCol, HasWeightCol, DefaultParamsReadable,
         return dataset.withColumn(name, F.col(name) * weight if name in dataset.columns else weight)
 
 
+class Vocabulary(Estimator, HasInputCol, HasOutputCol, DefaultParamsReadable, DefaultParamsWritable):
+    """Learns the ``vocabSize`` most frequent terms of an array column as a CountVectorizerModel (its own estimator holds the terms of all rows in memory).
+
+    ``minDF`` and ``maxDF`` bound a term's rows: numbers from 1 on, shares below. Of equally frequent terms the first in order are taken.
+    """
+
+    minDF = Param(Params._dummy(), "minDF", "least rows of a term, or share of them", typeConverter=TypeConverters.toFloat)
+    maxDF = Param(Params._dummy(), "maxDF", "most rows of a term, or share of them", typeConverter=TypeConverters.toFloat)
+    vocabSize = Param(Params._dummy(), "vocabSize", "most terms", typeConverter=TypeConverters.toInt)
+
+    @keyword_only
+    def __init__(self, *, inputCol: str = "terms", outputCol: str = "counts", minDF: float = 1.0, maxDF: float = 1.0, vocabSize: int = 1 << 18):  # noqa: N803
+        super().__init__()
+        self._setDefault(minDF=1.0, maxDF=float((1 << 63) - 1), vocabSize=1 << 18)
+        self._set(**self._input_kwargs)
+
+    def _fit(self, dataset: DataFrame) -> CountVectorizerModel:
+        # Two rows a text, all its terms and the distinct ones: one reading of the texts counts both, and also the texts (null).
+        forms = F.array(F.struct(F.array_append("_t", F.lit(None)).alias("t"), F.lit(1).alias("all"), F.lit(0).alias("rows")), F.struct(F.array_distinct("_t").alias("t"), F.lit(0).alias("all"), F.lit(1).alias("rows")))
+        terms = dataset.select(F.explode(F.array(F.coalesce(F.col(self.getInputCol()), F.array().cast("array<string>")))).alias("_t")).select(F.inline(forms))
+        counts = stored(terms.select("all", "rows", F.explode("t").alias("term")).groupBy("term").agg(F.sum("all").alias("n"), F.sum("rows").alias("rows")))
+        total = counts.where("term is null").agg(F.sum("n")).first()[0] or 0
+        least, most = (v if v >= 1 else v * total for v in (self.getOrDefault(self.minDF), self.getOrDefault(self.maxDF)))
+        kept = counts.where(F.col("term").isNotNull() & (F.col("rows") >= least) & (F.col("rows") <= most))
+        found = [r.term for r in kept.orderBy(F.col("n").desc(), "term").select("term").limit(self.getOrDefault(self.vocabSize)).collect()]  # a model's terms
+        drop_stored(counts)
+        return CountVectorizerModel.from_vocabulary(found, inputCol=self.getInputCol(), outputCol=self.getOutputCol())
+
+
 class ScoreColumns(Transformer, DefaultParamsReadable, DefaultParamsWritable):
     """Adds score, the probability of class 1 (or the logistic of the raw prediction where there is none), and pred."""
 

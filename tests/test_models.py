@@ -5,11 +5,12 @@ import json
 import numpy as np
 import pytest
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.feature import CountVectorizer, VectorAssembler
 from pyspark.sql import functions as F
 
 from sedgewren.operators import metrics, models, trees
 from sedgewren.operators.coral import Coral, descend, thresholds_of
+from sedgewren.operators.stages import Vocabulary
 
 
 def ordered_rows(n=240):
@@ -145,3 +146,31 @@ def test_unfitted_pipeline_and_coral_are_saved(spark, tmp_path):
     again = PipelineModel.load(str(tmp_path / "c")).transform(rows)
     assert [r.level for r in again.orderBy("a").collect()] == [r.level for r in fitted.transform(rows).orderBy("a").collect()]
     assert again.where(F.col("level") == F.col("lv")).count() > 50
+
+
+def test_vocabulary_equals_count_vectorizer(spark):
+    rows = [("a b a c",), ("b a d d d",), ("",), (None,), ("a c",), ("a",)]
+    frame = spark.createDataFrame(rows, "t string").select(F.split("t", " ").alias("terms"))
+    full = frame.select(F.coalesce("terms", F.array().cast("array<string>")).alias("terms"))
+    for options in ({"minDF": 2.0}, {"minDF": 0.2, "maxDF": 0.5}, {"maxDF": 3.0}, {"vocabSize": 2}):
+        got = Vocabulary(inputCol="terms", outputCol="n", **options).fit(frame).vocabulary
+        want = CountVectorizer(inputCol="terms", outputCol="n", **options).fit(full).vocabulary
+        assert set(got) == set(want), options
+    assert Vocabulary(inputCol="terms", outputCol="n").fit(frame).vocabulary == ["a", "d", "b", "c", ""]  # 5, 3, 2, 2 and 1
+
+
+def test_a_text_model_cuts_texts_twice(spark):
+    reads = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def read(text):
+        reads.add(1)
+        return text
+
+    rows = spark.createDataFrame([(i, f"word{i % 7} other{i % 3} same", i % 2) for i in range(60)], "id long, t string, y long")
+    fitted = models.build_model("tfidf", min_df=2, size=50).fit(rows.select("id", read.asNondeterministic()("t").alias("text"), "y"))
+    # Once for the vocabulary and once for the counts; the weights of classes may read the rows as well.
+    assert reads.value <= 3 * 60
+    got = fitted.score(rows.withColumnRenamed("t", "text"))
+    assert got.columns == ["id", "text", "y", "weight", "features", "rawPrediction", "probability", "prediction", "score", "pred"] and got.where("score between 0 and 1").count() == 60
+    assert not [c for c in got.columns if c.startswith("_")]
