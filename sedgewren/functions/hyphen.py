@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterable
 from dataclasses import dataclass
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -66,17 +66,20 @@ def syllables(word: str, patterns: Patterns) -> int:
 def syllable_counts(words: Column, patterns: Patterns, easy: Iterable[str] = ()) -> Column:
     """A struct of n (syllables of all words, at least one each) and hard (words of three or more that are not ``easy``), in Arrow batches.
 
-    A word is looked up once for each task, and kept for up to 100,000 words.
+    Words (no spaces in them) travel as one string a text, since lists of words take many times the room; a batch is
+    gone through row by row. A word is looked up once for each batch, and kept for up to 100,000 words.
     """
     simple = frozenset(easy)
 
-    @F.pandas_udf("n long, hard long")
-    def count(rows: pd.Series) -> pd.DataFrame:
+    @F.arrow_udf("struct<n: bigint, hard: bigint>")
+    def count(rows: pa.Array) -> pa.Array:
         memo: dict[str, int] = {}
-        out = []
+        totals, hards = [], []
         for row in rows:
             total = hard = 0
-            for word in row if row is not None else ():
+            for word in (row.as_py() or "").split(" "):
+                if not word:
+                    continue
                 n = memo.get(word)
                 if n is None:
                     n = syllables(word, patterns)
@@ -84,10 +87,11 @@ def syllable_counts(words: Column, patterns: Patterns, easy: Iterable[str] = ())
                         memo[word] = n
                 total += n
                 hard += n >= 3 and word not in simple
-            out.append((total, hard))
-        return pd.DataFrame(out, columns=["n", "hard"])
+            totals.append(total)
+            hards.append(hard)
+        return pa.StructArray.from_arrays([pa.array(totals, pa.int64()), pa.array(hards, pa.int64())], ["n", "hard"])
 
-    return count(words)
+    return count(F.array_join(words, " "))
 
 
 def readability(text: Column, words: Column, counts: Column) -> dict[str, Column]:

@@ -174,8 +174,9 @@ SELECT doc_id, CASE WHEN length(text) < 20 THEN 0 ELSE round(206.835::DOUBLE - 1
 
 @register("readability_approx", READABILITY_SQL)
 def readability_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    wide = table(spark, sf_dir, "documents").select("doc_id", "text", T.tokens(F.col("text")).alias("w"))
-    return rounded(wide.select("doc_id", *[c.alias(n) for n, c in T.feature_columns(F.col("text"), F.col("w"), PROBE, ("readability", "sentiment")).items()]), 4)
+    wide = T.once(table(spark, sf_dir, "documents").select("doc_id", "text"), w=T.tokens(F.col("text")))
+    wide = T.once(wide, v=T.vowel_groups(F.col("w")), s=F.size(T.sentences(F.col("text"))))
+    return rounded(wide.select("doc_id", *[c.alias(n) for n, c in T.feature_columns(F.col("text"), F.col("w"), PROBE, ("readability", "sentiment"), F.col("v"), F.col("s")).items()]), 4)
 
 
 #: Letters n-gram by n-gram, with a space at both ends of a word; shares of the 3,000 most frequent ones of each language.
@@ -371,7 +372,7 @@ FROM d LEFT JOIN a USING (doc_id)
 @register("readability_patterns", patterns_sql())
 def readability_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
     patterns = hyphen.read_patterns(PATTERNS)
-    wide = table(spark, sf_dir, "documents").select("doc_id", "text", T.tokens(F.col("text")).alias("w")).withColumn("s", hyphen.syllable_counts(F.col("w"), patterns, EASY))
+    wide = T.once(table(spark, sf_dir, "documents").select("doc_id", "text"), w=T.tokens(F.col("text"))).withColumn("s", hyphen.syllable_counts(F.col("w"), patterns, EASY))
     return rounded(wide.select("doc_id", F.col("s.n").alias("syllables"), F.col("s.hard").alias("hard"), *[c.alias(n) for n, c in hyphen.readability(F.col("text"), F.col("w"), F.col("s")).items()]), 4)
 
 

@@ -160,3 +160,16 @@ def test_all_forms_come_from_one_reading(spark):
     for name in perturb.PERTURBATIONS:
         single = [r.x for r in frame.select(perturb.perturbed(name, F.col("t"), F.col("id"), 0.8).alias("x")).collect()]
         assert [r[name] for r in both.collect()] == single
+
+
+def test_vowel_groups_equal_a_count_for_each_word(spark):
+    from pyspark.sql import functions as F
+
+    from sedgewren.functions import text as T
+
+    texts = ["banana table strength xyz", "", None, "Über d'été naïve queue a b", "education_1 rhythm 12 aeon ïï", "b"]
+    w = T.once(spark.createDataFrame(list(enumerate(texts)), "i long, t string"), w=T.tokens(F.col("t")))
+    each = F.transform("w", lambda x: F.regexp_count(x, F.lit("[aeiouyäöüéèêáíóú]+")))
+    v = T.once(w, v=T.vowel_groups(F.col("w")))
+    got = v.select(T.syllables(F.col("v")).alias("a"), T.hard_words(F.col("v")).alias("b"), F.aggregate(each, F.lit(0), lambda s, n: s + F.greatest(n, F.lit(1))).alias("c"), F.size(F.filter(each, lambda n: n >= 3)).alias("d")).collect()
+    assert [(r.a, r.b) for r in got] == [(r.c, r.d) for r in got] and got[0].a == 7
