@@ -207,9 +207,10 @@ def candidates(ids: np.ndarray, groups: np.ndarray, sizes: np.ndarray, prints: n
 def near_copies(docs: DataFrame, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, raw, whole, component_id) of each row with an id: groups of texts whose word shingles are alike to ALIKE or more.
 
-    Equal word sequences are one text from the start. Each distinct text has BANDS lookup keys of its shingles'
-    least hashes, and texts that share a key are candidates; the exact Jaccard similarity of their shingle sets
-    decides. Pairs that are one group already need no comparison, so candidates come in rounds: each
+    Equal word sequences are one text from the start. SimHash fingerprints (64 bits) within two bits are looked up first,
+    by Hamming balls (``near_links``). Copies at 0.8 differ in more bits than balls reach, so each distinct text also has
+    BANDS lookup keys of its shingles' least hashes, and texts that share a key are candidates. The exact Jaccard similarity
+    of their shingle sets decides on all of them. Pairs that are one group already need no comparison, so candidates come in rounds: each
     text's nearest by SimHash first, then those of later ranks that are in other groups still, until none is left.
     Keys of over TILE texts are gone through tile by tile in many tasks. ``raw`` is
     xxhash64 of the text and ``whole`` one of its words in order, which tell rows of one id apart. A null text is empty; all empty texts are copies.
@@ -231,7 +232,13 @@ def near_copies(docs: DataFrame, shingle: int = 5, id_col: str = "doc_id", text_
     keys = reps.where("size > 0").select("whole", F.explode("keys").alias("key"))
     sizes = scratch.put(keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").withColumn("parts", F.ceil(F.col("n") / TILE).cast("int")))
     met = scratch.put(keys.join(sizes.hint("merge"), "key").select("key", "parts", "whole", F.pmod(F.xxhash64("whole"), F.col("parts").cast("long")).cast("int").alias("part")))
-    meeting = met.groupBy("whole").agg(F.count("*").alias("_n")).select("whole")
+    # The named lookup: multi-index hashing by Hamming balls of the first 64 bits; equal fingerprints point to the first of them.
+    prints = reps.where("size > 0").select("whole", F.get("full", F.lit(0)).alias("fp"))
+    firsts = scratch.put(prints.groupBy("fp").agg(F.min("whole").alias("rep")))
+    same = prints.join(firsts.hint("merge"), "fp").where("whole <> rep").select(F.col("whole").alias("u"), F.col("rep").alias("v"))
+    balls = scratch.put(near_links(firsts, scratch).union(same))
+    asked = balls.select(F.explode(F.array("u", "v")).alias("whole")).union(met.select("whole"))
+    meeting = asked.groupBy("whole").agg(F.count("*").alias("_n")).select("whole")
     places = meeting.join(reps.select("whole", "doc_id", "raw").hint("merge"), "whole")
 
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -266,7 +273,14 @@ def near_copies(docs: DataFrame, shingle: int = 5, id_col: str = "doc_id", text_
 
         return run
 
-    links = groups = None
+    def verified(pairs: DataFrame) -> DataFrame:
+        left = pairs.join(sets.select(F.col("whole").alias("u"), F.col("hashes").alias("a")).hint("merge"), "u")
+        both = left.join(sets.select(F.col("whole").alias("v"), F.col("hashes").alias("b")).hint("merge"), "v")
+        shared = F.size(F.array_intersect("a", "b"))
+        return both.where(shared / (F.size("a") + F.size("b") - shared) >= ALIKE).select("u", "v")
+
+    links = scratch.put(verified(balls))
+    groups = None if links.isEmpty() else scratch.put(components(links, scratch))
     for across, ranks in ((False, (0, 1)), (True, (0, 2)), (True, (2, 16)), (True, (16, None))):
         state = met.withColumn("group", F.col("whole")) if groups is None else met.join(groups.hint("merge"), met.whole == groups.node, "left").select("key", "parts", met.whole, "part", F.coalesce("component", met.whole).alias("group"))
         if groups is not None:
@@ -278,11 +292,8 @@ def near_copies(docs: DataFrame, shingle: int = 5, id_col: str = "doc_id", text_
         full = tiles.join(reps.select("whole", "size", "full").hint("merge"), "whole")
         grouped = full.groupBy("key", "low", "high").agg(F.collect_list(F.struct("whole", "part", "group", "size", "full")).alias("all")).where("size(all) > 1")
         pairs = scratch.put(grouped.select("low", "high", "all").mapInArrow(compare(ranks), "u long, v long").distinct())
-        left = pairs.where("u is not null").join(sets.select(F.col("whole").alias("u"), F.col("hashes").alias("a")).hint("merge"), "u")
-        both = left.join(sets.select(F.col("whole").alias("v"), F.col("hashes").alias("b")).hint("merge"), "v")
-        shared = F.size(F.array_intersect("a", "b"))
-        sure = scratch.put(both.where(shared / (F.size("a") + F.size("b") - shared) >= ALIKE).select("u", "v"))
-        links = sure if links is None else links.union(sure)
+        sure = scratch.put(verified(pairs.where("u is not null")))
+        links = links.union(sure)
         if not sure.isEmpty():
             groups = scratch.put(components(links, scratch))
         if across and pairs.where("u is null").isEmpty():

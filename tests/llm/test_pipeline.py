@@ -146,3 +146,17 @@ def test_exact_similarity_decides(spark):
         assert reached == set(texts)
     at = {text: key for key, text in rows}
     assert all(got[at[a]] == got[at[b]] for a, b in near)
+
+
+def test_near_copies_are_looked_up_by_hamming_balls(spark, monkeypatch):
+    seen, plain = [], simhash.near_links
+
+    def watched(reps, scratch):
+        seen.append(reps.count())
+        return plain(reps, scratch)
+
+    monkeypatch.setattr(simhash, "near_links", watched)
+    text = " ".join(f"w{i * i % 997}" for i in range(800))
+    frame = spark.createDataFrame([(5, text), (3, text + " end"), (9, "other words that nobody else has at all")], "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in simhash.near_copies(frame).collect()}
+    assert got == {3: 3, 5: 3, 9: 9} and seen and seen[0] in (2, 3)
