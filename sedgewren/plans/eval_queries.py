@@ -471,14 +471,12 @@ def tfidf_logreg_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("gbt_scores")
 def gbt_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, names = featured(spark, sf_dir)
-    rows = stored(rows)  # fits read it many times
     return rounded(models.build_model("gbt", features=names, maxIter=8).fit(rows).score(rows).select("doc_id", "score", "pred"))
 
 
 @register("out_of_fold_scores")
 def out_of_fold_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, names = featured(spark, sf_dir)
-    rows = stored(rows)  # fits read it many times
     return rounded(models.out_of_fold(rows, lambda: models.build_model("elastic", features=names), "doc_id", 3).select("doc_id", "fold", "score"))
 
 
