@@ -131,32 +131,30 @@ def simhash_groups(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", te
     return own.join(named.hint("merge"), "fp", "left").select("id", "fp", "component_id")
 
 
-#: 64-bit words of the long fingerprint, which is compared in full.
-FULL_WORDS = 16
 #: Lookup: so many keys of so many least hashes of the shingles. Texts alike to J share a key with a chance of
 #: 1 - (1 - J^4)^24, whatever the edits: all but 3 in a million at 0.8.
 BANDS, BAND_ROWS = 24, 4
 _MIX = np.random.default_rng(SEED).integers(0, 1 << 64, (2, BANDS * BAND_ROWS), dtype=np.uint64)
 #: Shingle sets (five words) alike to this much are near copies.
 ALIKE = 0.8
-#: Two sets of similarity 0.8 have cosine 0.889, an angle of 0.1514 of a half turn: 155 of 1,024 bits, give or
-#: take 11.5 by chance. Pairs beyond seven deviations are not compared in full; sets too small for that rule always are.
-WIDE_BITS, SMALL = 240, 64
-#: Rows of a bucket that meet in one task; larger buckets are compared tile by tile.
+#: A text of n shingles can be alike only to texts of ALIKE * n shingles or more; their sizes fall into classes that grow by this factor.
+STEP = 1.03
+#: Rows of a key that meet their hub in one task.
 TILE = 512
+#: Taken off before a double is rounded up, so that no bound comes out one too high.
+SLACK = 1e-6
 
 
-def long_fingerprint(hashes: np.ndarray, planes: int) -> np.ndarray:
-    """``planes`` 64-bit words: bit j is 1 if over half the hashes' derived words have it set."""
-    counts = np.zeros(planes * 64, dtype=np.int64)
-    keys = (np.arange(1, planes + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))[None, :]
-    for at in range(0, len(hashes), 2048):
-        x = hashes[at : at + 2048, None] ^ keys
+def short_fingerprint(hashes: np.ndarray) -> int:
+    """A signed 64-bit word: bit j is 1 if over half the hashes' derived words have it set."""
+    counts = np.zeros(64, dtype=np.int64)
+    for at in range(0, len(hashes), BLOCK):
+        x = hashes[at : at + BLOCK] ^ np.uint64(0x9E3779B97F4A7C15)
         x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
         x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
         x ^= x >> np.uint64(31)
-        counts += np.unpackbits(x.view(np.uint8), axis=1).sum(axis=0, dtype=np.int32)
-    return np.packbits(counts * 2 > len(hashes)).view(np.uint64)
+        counts += np.unpackbits(x.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    return int(np.packbits(counts * 2 > len(hashes)).view(np.int64)[0])
 
 
 def band_keys(hashes: np.ndarray) -> np.ndarray:
@@ -176,32 +174,48 @@ def shingle_set(text: str | None, shingle: int) -> np.ndarray:
     return np.unique(shingle_hashes(text, shingle))
 
 
-def sketches(text: str | None, shingle: int) -> tuple[int, np.ndarray, np.ndarray, int]:
-    """A number of the words in order; the lookup keys, the full fingerprint and the count of the distinct shingles."""
+def sketches(text: str | None, shingle: int) -> tuple[int, np.ndarray, int, int]:
+    """A number of the words in order; the lookup keys, the fingerprint and the count of the distinct shingles."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     whole = xxhash.xxh64_intdigest(b" ".join(words), SEED) - (1 << 63)
     own = shingle_set(text, shingle)
     if not len(own):
-        return whole, np.zeros(BANDS, np.int64), np.zeros(FULL_WORDS, np.uint64), 0
-    return whole, band_keys(own), long_fingerprint(own, FULL_WORDS), len(own)
+        return whole, np.zeros(BANDS, np.int64), 0, 0
+    return whole, band_keys(own), short_fingerprint(own), len(own)
 
 
-def candidates(ids: np.ndarray, groups: np.ndarray, sizes: np.ndarray, prints: np.ndarray, own: np.ndarray, other: np.ndarray, ranks: tuple[int, int | None]) -> tuple[list[tuple[int, int]], bool]:
-    """Pairs of different groups among rows ``own`` and ``other`` (positions) that may be alike, and whether later ranks have more.
+def at_least(share: float, n: Column) -> Column:
+    """``share`` of ``n``, rounded up."""
+    return F.ceil(F.lit(share) * n - SLACK).cast("int")
 
-    Each row's partners are ordered by distance, then id, whatever their groups, and those of ``ranks`` are taken;
-    so calls with one range after the other take each pair once. Rows are in order of ids.
+
+def shared_least(a: Column, b: Column) -> Column:
+    """How many shingles two sets of these sizes share if they are alike to ALIKE or more."""
+    return at_least(ALIKE / (1 + ALIKE), a + b)
+
+
+def size_class(size: Column) -> Column:
+    return F.floor(F.log(size) / np.log(STEP)).cast("int")
+
+
+def prefix_rows(sets: DataFrame) -> DataFrame:
+    """(hash, class, whole, size, place, own): the shingles by which texts of ``sets`` (whole, hashes) can meet all that are alike to them.
+
+    Shingles have one order, rarest first. If two sets share m shingles, then one of those stands in the first n - m + 1
+    of either set (n its size), and m follows from the sizes: so a set stands under its first shingles, the more of them the
+    smaller the other set may be. Classes are of the smaller set's size, and ``own`` rows are those of a set's own class.
+    Shingles that no other text has only count: a text that shares none of its first shingles has no row at all.
     """
-    found, more = [], False
-    for a in own.tolist():
-        rest = other[other > a] if own is other else other
-        small, large = np.minimum(sizes[rest], sizes[a]), np.maximum(sizes[rest], sizes[a])
-        bits = np.bitwise_count(prints[rest] ^ prints[a]).sum(axis=1)
-        near = (small / large >= ALIKE) & ((bits <= WIDE_BITS) | (small < SMALL))
-        rest = rest[near][np.argsort(bits[near], kind="stable")]
-        found += [(int(ids[a]), int(ids[b])) for b in rest[slice(*ranks)].tolist() if groups[b] != groups[a]]
-        more = more or ranks[1] is not None and bool((groups[rest[ranks[1] :]] != groups[a]).any())
-    return found, more
+    words = sets.select("whole", F.explode("hashes").alias("hash"))
+    often = words.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1")
+    order = words.join(often.hint("merge"), "hash").groupBy("whole").agg(F.sort_array(F.collect_list(F.struct("n", "hash"))).alias("order"))
+    size, low = F.col("size"), at_least(ALIKE, F.col("size"))
+    rows = sets.select("whole", F.size("hashes").alias("size")).join(order.hint("merge"), "whole").withColumn("alone", size - F.size("order"))
+    first = F.slice("order", 1, F.greatest(F.lit(0), size - low + 1 - F.col("alone")))
+    rows = rows.select("whole", "size", "alone", F.posexplode(first).alias("at", "word")).select("whole", "size", F.col("word.hash").alias("hash"), (F.col("alone") + F.col("at")).alias("place"))
+    rows = rows.withColumn("class", F.explode(F.sequence(size_class(low), size_class(size))))
+    other = F.greatest(low, F.ceil(F.pow(F.lit(STEP), F.col("class")) - SLACK).cast("int"))
+    return rows.where(F.col("place") <= size - shared_least(size, other)).withColumn("own", F.col("class") == size_class(size))
 
 
 def near_copies(docs: DataFrame, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -209,10 +223,12 @@ def near_copies(docs: DataFrame, shingle: int = 5, id_col: str = "doc_id", text_
 
     Equal word sequences are one text from the start. SimHash fingerprints (64 bits) within two bits are looked up first,
     by Hamming balls (``near_links``). Copies at 0.8 differ in more bits than balls reach, so each distinct text also has
-    BANDS lookup keys of its shingles' least hashes, and texts that share a key are candidates. The exact Jaccard similarity
-    of their shingle sets decides on all of them. Pairs that are one group already need no comparison, so candidates come in rounds: each
-    text's nearest by SimHash first, then those of later ranks that are in other groups still, until none is left.
-    Keys of over TILE texts are gone through tile by tile in many tasks. ``raw`` is
+    BANDS lookup keys of its shingles' least hashes, and texts that share a key may be alike. The exact Jaccard similarity
+    of their shingle sets decides on all pairs that are compared. Pairs that are one group already need no comparison: each key's
+    texts are compared with its hub first, the text that shares keys with most others. What is then in keys of several groups
+    meets by its rarest shingles (``prefix_rows``), which loses no pair at ALIKE: again with a hub first, then all pairs of
+    different groups that sizes and places allow. Texts that share a passage and differ in more than ALIKE allows stand under
+    rare shingles of their own, so they make no pairs, however many they are. ``raw`` is
     xxhash64 of the text and ``whole`` one of its words in order, which tell rows of one id apart. A null text is empty; all empty texts are copies.
     """
     scratch = Scratch(docs.sparkSession, "near-copies")
@@ -224,16 +240,15 @@ def near_copies(docs: DataFrame, shingle: int = 5, id_col: str = "doc_id", text_
                 part = batch.slice(at, 1024)
                 done = [sketches(t, shingle) for t in part.column(1).to_pylist()]
                 keys = pa.FixedSizeListArray.from_arrays(pa.array(np.concatenate([d[1] for d in done])), BANDS)
-                full = pa.FixedSizeListArray.from_arrays(pa.array(np.concatenate([d[2] for d in done]).view(np.int64)), FULL_WORDS)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array([d[0] for d in done], pa.int64()), pa.array([d[3] for d in done], pa.int64()), keys.cast(pa.list_(pa.int64())), full.cast(pa.list_(pa.int64()))], ["doc_id", "raw", "whole", "size", "keys", "full"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), *[pa.array([d[i] for d in done], pa.int64()) for i in (0, 3)], keys.cast(pa.list_(pa.int64())), pa.array([d[2] for d in done], pa.int64())], ["doc_id", "raw", "whole", "size", "keys", "fp"])
 
-    own = scratch.put(texts.mapInArrow(work, "doc_id long, raw long, whole long, size long, keys array<long>, full array<long>"))
-    reps = scratch.put(own.groupBy("whole").agg(F.min(F.struct("doc_id", "raw")).alias("rep"), F.any_value("size").alias("size"), F.any_value("keys").alias("keys"), F.any_value("full").alias("full")).select("whole", "rep.*", "size", "keys", "full"))
+    own = scratch.put(texts.mapInArrow(work, "doc_id long, raw long, whole long, size long, keys array<long>, fp long"))
+    reps = scratch.put(own.groupBy("whole").agg(F.min(F.struct("doc_id", "raw")).alias("rep"), *[F.any_value(c).alias(c) for c in ("size", "keys", "fp")]).select("whole", "rep.*", "size", "keys", "fp"))
     keys = reps.where("size > 0").select("whole", F.explode("keys").alias("key"))
     sizes = scratch.put(keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").withColumn("parts", F.ceil(F.col("n") / TILE).cast("int")))
-    met = scratch.put(keys.join(sizes.hint("merge"), "key").select("key", "parts", "whole", F.pmod(F.xxhash64("whole"), F.col("parts").cast("long")).cast("int").alias("part")))
+    met = scratch.put(keys.join(sizes.hint("merge"), "key").select("key", "n", "parts", "whole", F.pmod(F.xxhash64("whole"), F.col("parts").cast("long")).cast("int").alias("part")))
     # The named lookup: multi-index hashing by Hamming balls of the first 64 bits; equal fingerprints point to the first of them.
-    prints = reps.where("size > 0").select("whole", F.get("full", F.lit(0)).alias("fp"))
+    prints = reps.where("size > 0").select("whole", "fp")
     firsts = scratch.put(prints.groupBy("fp").agg(F.min("whole").alias("rep")))
     same = prints.join(firsts.hint("merge"), "fp").where("whole <> rep").select(F.col("whole").alias("u"), F.col("rep").alias("v"))
     balls = scratch.put(near_links(firsts, scratch).union(same))
@@ -252,54 +267,49 @@ def near_copies(docs: DataFrame, shingle: int = 5, id_col: str = "doc_id", text_
     once = texts.join(places.hint("merge"), ["doc_id", "raw"]).select("whole", "text").groupBy("whole").agg(F.first("text").alias("text"))
     sets = scratch.put(once.mapInArrow(sets_of, "whole long, hashes array<long>"))
 
-    def compare(ranks: tuple[int, int | None]):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                out: set[tuple[int | None, int | None]] = set()
-                for at in range(batch.num_rows):
-                    low, high = batch.column(0)[at].as_py(), batch.column(1)[at].as_py()
-                    rows = batch.column(2)[at].values
-                    ids = rows.field(0).to_numpy()
-                    order = np.argsort(ids)
-                    part, groups, size = (rows.field(i).to_numpy()[order] for i in (1, 2, 3))
-                    prints = rows.field(4).flatten().to_numpy().view(np.uint64).reshape(-1, FULL_WORDS)[order]
-                    first = np.flatnonzero(part == low)
-                    found, more = candidates(ids[order], groups, size, prints, first, first if low == high else np.flatnonzero(part == high), ranks)
-                    out.update((min(p), max(p)) for p in found)
-                    if more:
-                        out.add((None, None))
-                pairs = list(out)
-                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in pairs], pa.int64()), pa.array([y for _, y in pairs], pa.int64())], ["u", "v"])
-
-        return run
-
     def verified(pairs: DataFrame) -> DataFrame:
         left = pairs.join(sets.select(F.col("whole").alias("u"), F.col("hashes").alias("a")).hint("merge"), "u")
         both = left.join(sets.select(F.col("whole").alias("v"), F.col("hashes").alias("b")).hint("merge"), "v")
         shared = F.size(F.array_intersect("a", "b"))
         return both.where(shared / (F.size("a") + F.size("b") - shared) >= ALIKE).select("u", "v")
 
+    def with_groups(rows: DataFrame) -> DataFrame:
+        found = rows.join(groups.hint("merge"), rows.whole == groups.node, "left")
+        return found.select(*[rows[c] for c in rows.columns], F.coalesce("component", rows.whole).alias("group"))
+
+    def of_several(rows: DataFrame, *key: str) -> DataFrame:
+        """The rows of those keys whose texts are of several groups."""
+        rows = scratch.put(rows)
+        several = rows.groupBy(*key).agg(F.min("group").alias("least"), F.max("group").alias("most")).where("least <> most").select(*key)
+        return rows.join(several.hint("merge"), list(key), "left_semi")
+
     links = scratch.put(verified(balls))
-    groups = None if links.isEmpty() else scratch.put(components(links, scratch))
-    for across, ranks in ((False, (0, 1)), (True, (0, 2)), (True, (2, 16)), (True, (16, None))):
-        state = met.withColumn("group", F.col("whole")) if groups is None else met.join(groups.hint("merge"), met.whole == groups.node, "left").select("key", "parts", met.whole, "part", F.coalesce("component", met.whole).alias("group"))
-        if groups is not None:
-            state = scratch.put(state)
-            mixed = state.groupBy("key").agg(F.min("group").alias("least"), F.max("group").alias("most")).where("least <> most").select("key")
-            state = state.join(mixed.hint("merge"), "key", "left_semi")
-        other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)) if across else F.col("part")
-        tiles = state.withColumn("q", other).select("key", "part", F.least("part", "q").alias("low"), F.greatest("part", "q").alias("high"), "whole", "group")
-        full = tiles.join(reps.select("whole", "size", "full").hint("merge"), "whole")
-        grouped = full.groupBy("key", "low", "high").agg(F.collect_list(F.struct("whole", "part", "group", "size", "full")).alias("all")).where("size(all) > 1")
-        pairs = scratch.put(grouped.select("low", "high", "all").mapInArrow(compare(ranks), "u long, v long").distinct())
-        sure = scratch.put(verified(pairs.where("u is not null")))
-        links = links.union(sure)
+    groups = scratch.put(components(links, scratch))
+    state = of_several(with_groups(met), "key")
+    weights = met.groupBy("whole").agg(F.sum("n").alias("weight"))
+    state = scratch.put(state.join(weights.hint("merge"), "whole"))
+    hubs = state.groupBy("key", "parts").agg(F.max(F.struct("weight", "whole", "group")).alias("hub"))
+    hubs = hubs.select("key", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "hub")
+    near = state.join(hubs.hint("merge"), ["key", "part"]).where("group <> hub.group")
+    sure = scratch.put(verified(near.select(F.greatest("whole", "hub.whole").alias("u"), F.least("whole", "hub.whole").alias("v")).distinct()))
+    links = links.union(sure)
+    groups = scratch.put(components(links, scratch))
+    left = of_several(with_groups(met), "key").groupBy("whole").agg(F.count("*").alias("_n")).select("whole")
+    rows = scratch.put(prefix_rows(scratch.put(sets.join(left.hint("merge"), "whole"))))
+    for hub in (True, False):
+        state = scratch.put(of_several(with_groups(rows), "hash", "class"))
+        one = F.struct("place", "whole", "size", "group")
+        ones = state.where("own").groupBy("hash", "class").agg(F.min(one).alias("one")) if hub else state.where("own").select("hash", "class", one.alias("one"))
+        shared = shared_least(F.col("size"), F.col("one.size"))
+        fits = (F.col("group") != F.col("one.group")) & (F.least("size", "one.size") >= at_least(ALIKE, F.greatest("size", "one.size")))
+        fits = fits & (F.col("place") <= F.col("size") - shared) & (F.col("one.place") <= F.col("one.size") - shared)
+        one, many = ones.alias("a"), state.alias("b")
+        near = one.hint("merge").join(many, (F.col("a.hash") == F.col("b.hash")) & (F.col("a.class") == F.col("b.class")) & fits)
+        near = scratch.put(near.select(F.greatest("whole", "one.whole").alias("u"), F.least("whole", "one.whole").alias("v")).distinct())
+        sure = scratch.put(verified(near))
         if not sure.isEmpty():
+            links = links.union(sure)
             groups = scratch.put(components(links, scratch))
-        if across and pairs.where("u is null").isEmpty():
-            break
-    if groups is None:
-        groups = scratch.put(components(links, scratch))
     linked = reps.select("whole", "doc_id").join(groups.hint("merge"), F.col("whole") == F.col("node"))
     linked = scratch.put(linked.select("whole", "doc_id", "component"))
     named = linked.groupBy("component").agg(F.min("doc_id").alias("component_id"))

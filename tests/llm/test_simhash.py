@@ -97,3 +97,25 @@ def test_empty_table_and_null_ids(spark):
     rows = spark.createDataFrame([(None, "a b c"), (5, "a b c"), (5, "a b c"), (None, "quite other words here")], "doc_id long, text string")
     got = sorted(((r.id, r.component_id) for r in simhash.simhash_groups(rows).collect()), key=str)
     assert got == [(5, 5), (5, 5), (None, 5), (None, None)]
+
+
+def test_rarest_shingles_bring_all_alike_sets_together_and_few_others(spark):
+    rng, fresh = random.Random(4), iter(range(10**6, 10**7))
+    sets = [set(range(i * 1000, i * 1000 + size)) for i, size in enumerate([1, 3, 7, 40, 150, 151, 400])]
+    for base in list(sets):
+        for _ in range(12):
+            gone = set(rng.sample(sorted(base), rng.randrange(len(base) // 4 + 1)))
+            sets.append(base - gone | {next(fresh) for _ in range(rng.randrange(len(base) // 8 + 1))})
+    base = range(50_000, 50_150)  # each pair shares over half, none 80 %
+    far = [{next(fresh) if i * 20 <= k - base[0] < i * 20 + 8 or k % 15 == 0 else k for k in base} | {next(fresh) for _ in range(8)} for i in range(7)]
+    sets += far
+    rows = simhash.prefix_rows(spark.createDataFrame([(i, sorted(s)) for i, s in enumerate(sets)], "whole long, hashes array<long>")).collect()
+    met = {}
+    for r in rows:
+        met.setdefault((r.hash, r["class"]), []).append(r)
+    together = {tuple(sorted((x.whole, y.whole))) for at in met.values() for x in at if x.own for y in at if x.whole != y.whole}
+    alike = {(a, b) for a in range(len(sets)) for b in range(a + 1, len(sets)) if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])}
+    first = len(sets) - len(far)
+    assert len(alike) > 150 and alike <= together
+    assert all(len(sets[a] & sets[b]) > 0.5 * len(sets[a] | sets[b]) for a in range(first, len(sets)) for b in range(first, len(sets)))
+    assert not any(a >= first for a, _ in together)
