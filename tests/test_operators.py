@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from sedgewren.operators import audit, cohort, dedup, early, labels, metrics, models, ordered, preprocess, splits, stats, threads, users
 from sedgewren.schemas import require_columns
+from sedgewren.session import stored
 
 TARGETS = {"a": "d_a", "b": "d_b"}
 
@@ -240,6 +241,28 @@ def test_preprocess(spark):
     assert {r.id: r.lang for r in german.collect()}["6"] == "de"
 
 
+def test_near_joins_send_no_key_rows_through_the_driver(spark):
+    classes = stored(spark.range(2000).select(F.lit("c").alias("c"), F.xxhash64("id").alias("sig")))
+    for frame in (dedup.near_classes(classes, "c"), dedup.near_some(classes, classes, "c")):
+        plan = frame._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+def test_preprocess_near_equals_both_passes_in_turn(spark):
+    words = "this is the body of a post that talks of it with words and it is on the way to be kept by all of us here".split()
+    text = lambda i: " ".join([*words[: 20 + i % 4], *[f"word{i % 9}{j}" for j in range(3 * (i % 2))]])
+    rows = [(i % 70, f"s{i % 3}", None, text(i).upper() if i % 5 == 0 else text(i), "ann", i) for i in range(80)]
+    frame = spark.createDataFrame(rows, "id long, subreddit string, title string, body string, author string, score long").withColumn("none", F.lit(None))
+    exact = preprocess.preprocess(frame)
+    plain = dedup.greedy_near_dedup(exact, "id", "subreddit", "clean_text", 5)
+    out = preprocess.preprocess(frame, near=5)
+    assert set(out.columns) == set(plain.columns)
+    names = sorted(plain.columns)
+    assert sorted(map(str, out.select(names).collect())) == sorted(map(str, plain.select(names).collect())) and 0 < out.count() < exact.count()
+    few = preprocess.preprocess(frame, near=5, columns=("score", "author"))
+    assert few.columns == ["id", "subreddit", "score", "clean_text", "lang", "author_hash"] and few.count() == out.count()
+
+
 def test_models(spark):
     rows = [(i, f"{'good fine calm' if i % 2 else 'bad awful dread'} text number {i % 7}", i % 2, float(i % 2) + (i * 37 % 10) / 20) for i in range(120)]
     frame = spark.createDataFrame(rows, "id long, text string, y int, f double")
