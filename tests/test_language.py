@@ -1,10 +1,14 @@
 """Language profiles and encoding repair."""
 
+import random
+
+import numpy as np
 import pytest
+import regex
 from pyspark.sql import functions as F
 
 from sedgewren.functions.approx import fix_encoding_approx, repaired
-from sedgewren.operators.language import Profiles, fit_profiles, gram_rows, language_by_profile
+from sedgewren.operators.language import WORD, Detector, Profiles, fit_profiles, gram_rows, language_by_profile
 
 TEXTS = [
     ("en", "the quick brown fox jumps over the lazy dog and runs through the forest with its friends"), ("en", "there is nothing that we could have done about this weather"), ("en", "she thinks that they should leave before night"),
@@ -27,6 +31,43 @@ def test_unseen_texts(spark):
     assert [r[0] for r in frame.orderBy("i").select(language_by_profile(F.col("t"), profiles)).collect()] == [c for _, c in cases]
 
 
+def test_counted_grams_equal_sums_over_words(monkeypatch):
+    rng = random.Random(4)
+    letters = "abcdeéßи日𐐨"
+    grams = {"".join(rng.choice(letters + " ") for _ in range(rng.randrange(1, 4))) for _ in range(300)}
+    profiles = Profiles(("de", "en", "fr"), {g: tuple(-rng.random() * 9 for _ in range(3)) for g in sorted(grams)}, (-9.5, -9.25, -9.125))
+    texts = ["".join(rng.choice(letters + "zÜ  '1\u0301\n") for _ in range(rng.randrange(80))) for _ in range(200)] + ["a", " a ", "a b", "a'b", "İa", "12"]
+    for dense, piece in ((1 << 22, 1 << 20), (1, 7)):
+        monkeypatch.setattr(Detector, "DENSE", dense)
+        monkeypatch.setattr(Detector, "PIECE", piece)
+        detector = Detector(profiles)
+        for text in texts:
+            wholes = [f" {w} " for w in regex.findall(WORD, text.lower())]
+            rows = [profiles.grams.get(w[i : i + n], profiles.unknown) for w in wholes for n in (1, 2, 3) for i in range(len(w) - n + 1)]
+            best = max((1, 0, 2), key=lambda i: round(sum(r[i] for r in rows), 6))  # noqa: B023
+            assert detector.language(text) == ("en" if not rows else profiles.codes[best])
+            if piece > 7:
+                found = detector.figures(text.lower())
+                assert found is None if not rows else np.allclose(found, np.sum(rows, axis=0))
+
+
+def test_words_that_no_text_repeats_cost_no_more_than_others(monkeypatch):
+    looks = []
+
+    class Counted(dict):
+        def get(self, *at):
+            looks.append(at)
+            return super().get(*at)
+
+        def __getitem__(self, at):
+            looks.append(at)
+            return super().__getitem__(at)
+
+    detector = Detector(Profiles(("de", "en"), Counted({"a": (-1.0, -2.0), "e": (-2.0, -1.0)}), (-5.0, -5.0)))
+    before = len(looks)
+    assert detector.language(" ".join(f"a{a}{b}" for a in "bcdfghjk" for b in "bcdfghjk")) == "de" and len(looks) == before
+
+
 def test_without_rows(spark):
     profiles = fit_profiles(spark.createDataFrame([], "id long, lang string, text string"), "id", "text", "lang")
     assert profiles == Profiles((), {}, ())

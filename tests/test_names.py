@@ -78,3 +78,32 @@ def test_the_decoder_finds_what_viterbi_finds():
     sentences += [[rng.choice([*mixed, "É", "x,y", "9", "İ"]) for _ in range(rng.randrange(60))] for _ in range(200)]
     assert all(decoder.tags(s) == names.viterbi(s, tagger) for s in sentences)
     assert len(decoder.memo) < 5_000  # a word's own figures are worked out once
+
+
+def test_texts_together_have_the_tags_and_spans_of_single_ones(monkeypatch):
+    tagger, rng = names.default_tagger(), random.Random(5)
+    words = [w for s, _ in names.made_sentences(300, 7, True) for w in s] + ["É", "x,y", "9", "İ", "don’t", "^", "$", "e-mail", "\x1c", "\xa0", "\x85", "日本", "²", "a\u0301"]
+    texts = ["", None, " ", "Ann", "Ann\nSmith", "Ann  Smith", "Ann-Smith of Oslo"] + [rng.choice(["", " "]) + rng.choice([" ", "  ", "\t", ""]).join(rng.choice(words) for _ in range(rng.randrange(90))) for _ in range(300)]
+    for places, chars in ((1 << 18, 1 << 24), (200, 500)):
+        monkeypatch.setattr(names.BatchDecoder, "PLACES", places)
+        monkeypatch.setattr(names.BatchDecoder, "CHARS", chars)
+        batch = names.BatchDecoder(tagger)
+        assert list(batch.spans(texts)) == [names.spans(t or "", tagger) for t in texts]
+        found = [names.regex.findall(names.TOKEN, t or "") for t in texts]
+        assert [t.tolist() for t in batch.tags([batch.numbered(w) for w in found])] == [names.viterbi(w, tagger) for w in found]
+
+
+def test_any_weights_give_the_tags_of_viterbi():
+    rng = random.Random(6)
+    sentences = [[rng.choice(["My", "name", "is", "Ann", ".", "^", "$", "NATO", "x1", "iPod", "7"]) for _ in range(rng.randrange(1, 12))] for _ in range(40)]
+    pool = sorted({f for s in sentences for i in range(len(s)) for f in names.features(s, i)})
+    for step in (1.0, 0.37):  # whole numbers make many equal sums
+        tagger = names.Tagger({f: tuple(step * rng.randrange(-2, 3) for _ in names.TAGS) for f in pool if rng.random() < 0.7}, tuple(tuple(step * rng.randrange(-2, 3) for _ in names.TAGS) for _ in names.TAGS))
+        batch = names.BatchDecoder(tagger)
+        assert [t.tolist() for t in batch.tags([batch.numbered(s) for s in sentences])] == [names.viterbi(s, tagger) for s in sentences]
+
+
+def test_words_that_look_alike_have_one_number():
+    batch = names.BatchDecoder(names.default_tagger())
+    batch.numbered([f"{a}{b}{c}xqz" for a in "bcdfghjk" for b in "bcdfghjk" for c in "bcdfghjk"])
+    assert len(batch.numbers) == 512 and len(batch.numbers.kinds) == 1
