@@ -1,5 +1,6 @@
 """Text functions on hand-made rows."""
 
+import random
 import re
 
 import pytest
@@ -33,6 +34,36 @@ def test_redaction(spark):
     assert "me@x.org" not in out
 
 
+def test_strip_knows_all_white_space(spark):
+    chars = [chr(c) for c in range(1, 0x3100)]
+    frame = spark.createDataFrame([(f"{c} a{c}b {c}",) for c in chars] + [(None,), (" \u3000\n",)], "t string")
+    got = frame.select("t", T.strip(F.col("t")).alias("s"), F.regexp_replace("t", r"(?U)^\s+|\s+$", "").alias("p")).collect()
+    assert all(r.s == r.p for r in got) and sum(r.s is not None and r.s.startswith("a") and r.t[0] != "a" for r in got) == len(T.SPACES) and "regexp" not in str(T.strip(F.col("t")))
+
+
+def test_what_spares_patterns_changes_nothing(spark):
+    rng = random.Random(3)
+    bits = ["&amp;", "&amp;lt;", "&#39;", "[a](b)", "](", "http://a.b", "https:// x", "www.q", "www. ", "\nI am a bot ha\n", "\n\n\n", "\n\n", "  ", "\t", "a@b.co", "@han_dle", "555-123-4567", "123", "12 345 6789", "/u/you", "u/me", "r/here", " ", "x", "é", "\r"]
+    frame = spark.createDataFrame([("".join(rng.choice(bits) for _ in range(rng.randrange(12))),) for _ in range(3000)] + [(None,)], "t string")
+    clean = F.col("t")
+    for name, char in T.ENTITIES:
+        clean = F.replace(clean, F.lit(name), F.lit(char))
+    for pattern, new in ((T.MARKDOWN_LINK, "$1"), (T.URL, " [URL] "), (T.BOT_NOTICE, ""), (r"\n{3,}", "\n\n"), (r"[ \t]{2,}", " "), (r"(?U)^\s+|\s+$", "")):
+        clean = F.regexp_replace(clean, pattern, new)
+    plain = F.col("t")
+    for pattern, token in ((T.URL, "URL"), (T.EMAIL, "EMAIL"), (T.PHONE, "PHONE"), (T.USER, "USER"), (T.COMMUNITY, "SUB"), (T.HANDLE, "HANDLE")):
+        plain = F.regexp_replace(plain, pattern, f" [{token}] ")
+    ours = T.normalize_whitespace(T.strip_bot_notices(T.strip_urls(T.strip_markdown(T.decode_entities(F.col("t"))))))
+    assert frame.where(~ours.eqNullSafe(clean) | ~T.redact(F.col("t")).eqNullSafe(plain)).count() == 0
+
+
+def test_tokens_keep_apostrophes_inside(spark):
+    rng = random.Random(4)
+    frame = spark.createDataFrame([("".join(rng.choice("ab_É1日'' -.") for _ in range(rng.randrange(16))),) for _ in range(2000)], "t string")
+    slow = F.regexp_extract_all(F.lower("t"), F.lit(r"[\p{L}\p{N}_](?:[\p{L}\p{N}_']*[\p{L}\p{N}_])?"), F.lit(0))
+    assert frame.where(T.tokens(F.col("t")) != slow).count() == 0
+
+
 def test_pseudonym(spark):
     a, b = one(spark, T.pseudonym(F.col("t")), t="alice"), one(spark, T.pseudonym(F.col("t")), t="bob")
     assert a.startswith("u_") and len(a) == 14 and a != b and one(spark, T.pseudonym(F.col("t")), t=None) is None
